@@ -18,12 +18,24 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op3_quality_rules(spark: SparkSession, root: str) -> DataFrame:
+    from tessera.llm.quality import verdicts
+
+    return verdicts(table(spark, root, "documents"), table(spark, root, "labels"))
+
+
 def op7_packing(spark: SparkSession, root: str) -> DataFrame:
     from tessera.llm.packing import pack
 
     return pack(table(spark, root, "documents"), tokenizer_path())
 
 
+def op9_minhash_near_dedup(spark: SparkSession, root: str) -> DataFrame:
+    from tessera.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, root, "documents"))
+
+
 def op10_sharding(spark: SparkSession, root: str) -> DataFrame:
     from tessera.llm.sharding import shard_documents
 
@@ -31,7 +43,7 @@ def op10_sharding(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_packing, op10_sharding)}
+    return {f.__name__: f for f in (op3_quality_rules, op7_packing, op9_minhash_near_dedup, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
