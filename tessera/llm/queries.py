@@ -24,12 +24,25 @@ def op3_quality_rules(spark: SparkSession, root: str) -> DataFrame:
     return verdicts(table(spark, root, "documents"), table(spark, root, "labels"))
 
 
+def op4_nearest_neighbours(spark: SparkSession, root: str) -> DataFrame:
+    from tessera.llm.vptree import nearest
+
+    vectors = table(spark, root, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op7_packing(spark: SparkSession, root: str) -> DataFrame:
     from tessera.llm.packing import pack
 
     return pack(table(spark, root, "documents"), tokenizer_path())
 
 
+def op8_html_extraction(spark: SparkSession, root: str) -> DataFrame:
+    from tessera.llm.html import main_texts
+
+    return main_texts(table(spark, root, "pages"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, root: str) -> DataFrame:
     from tessera.llm.neardup import near_duplicates
 
@@ -43,7 +56,7 @@ def op10_sharding(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op7_packing, op9_minhash_near_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op3_quality_rules, op4_nearest_neighbours, op7_packing, op8_html_extraction, op9_minhash_near_dedup, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
