@@ -31,6 +31,12 @@ def op4_nearest_neighbours(spark: SparkSession, root: str) -> DataFrame:
     return nearest(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op6_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
+    from tessera.llm.passages import without_passages
+
+    return without_passages(table(spark, root, "documents").select("doc_id", "text"))
+
+
 def op7_packing(spark: SparkSession, root: str) -> DataFrame:
     from tessera.llm.packing import pack
 
@@ -56,7 +62,7 @@ def op10_sharding(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op4_nearest_neighbours, op7_packing, op8_html_extraction, op9_minhash_near_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op3_quality_rules, op4_nearest_neighbours, op6_substring_dedup, op7_packing, op8_html_extraction, op9_minhash_near_dedup, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
