@@ -31,6 +31,12 @@ def op4_nearest_neighbours(spark: SparkSession, root: str) -> DataFrame:
     return nearest(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op5_mixing(spark: SparkSession, root: str) -> DataFrame:
+    from tessera.llm.mixing import mix
+
+    return mix(table(spark, root, "documents"), table(spark, root, "labels"))
+
+
 def op6_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
     from tessera.llm.passages import without_passages
 
@@ -62,7 +68,7 @@ def op10_sharding(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op4_nearest_neighbours, op6_substring_dedup, op7_packing, op8_html_extraction, op9_minhash_near_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op3_quality_rules, op4_nearest_neighbours, op5_mixing, op6_substring_dedup, op7_packing, op8_html_extraction, op9_minhash_near_dedup, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
