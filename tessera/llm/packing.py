@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 from tessera.llm import words as W
 
 END_ID = 2
+#: Words whose ids a worker holds: about 200 bytes each.
+TOKEN_WORDS = 800_000
 PIECES = T.StructType([T.StructField("doc_id", T.LongType())] + [T.StructField(x, T.LongType()) for x in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [T.StructField("bucket", T.IntegerType())])
 
 
@@ -69,13 +71,13 @@ _tables: dict[str, "TokenTable"] = {}
 
 
 class TokenTable:
-    """Words' token ids, kept by each worker."""
+    """Words' token ids, kept by each worker; more(words) adds columns to the table."""
 
-    def __init__(self, path: str):
-        self.subwords = Subwords(path)
+    def __init__(self, path: str, more: Callable[[list[bytes]], tuple[np.ndarray, ...]] = lambda new: ()):
+        self.subwords, self.more = Subwords(path), more
         self.ids = np.zeros(1 << 16, np.uint32)
         self.used = 0
-        self.table = W.WordTable(self._fill)
+        self.table = W.WordTable(self._fill, TOKEN_WORDS)
 
     @classmethod
     def of(cls, path: str) -> "TokenTable":
@@ -83,7 +85,7 @@ class TokenTable:
             _tables[path] = cls(path)
         return _tables[path]
 
-    def _fill(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _fill(self, new: list[bytes]) -> tuple[np.ndarray, ...]:
         if len(new) == len(self.table):  # the table was emptied
             self.used = 0
         ids, counts = self.subwords.encode(new)
@@ -92,11 +94,11 @@ class TokenTable:
         self.ids[self.used : self.used + len(ids)] = ids
         first = self.used + np.cumsum(counts) - counts
         self.used += len(ids)
-        return first, counts
+        return (first, counts, *self.more(new))
 
     def tokens(self, rows: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words in `rows`, and where each text's ids start."""
-        first, counts = self.table.columns
+        first, counts = self.table.columns[:2]
         n = counts[rows]
         ends = np.concatenate(([0], np.cumsum(n)))
         flat = np.repeat(first[rows] - ends[:-1], n)

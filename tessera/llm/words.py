@@ -37,9 +37,13 @@ class WordTable(dict):
         self.bytes += len(word)
         return row
 
+    def full(self) -> bool:
+        """Whether the next call of rows() empties the table."""
+        return len(self) > self.limit or self.bytes > TABLE_BYTES
+
     def rows(self, words: Iterable[bytes], count: int) -> np.ndarray:
         """Row numbers of the words. Columns hold until the next call."""
-        if len(self) > self.limit or self.bytes > TABLE_BYTES:
+        if self.full():
             self.clear()
             self.parts, self.columns, self.bytes = [], None, 0
         out = np.fromiter(map(self.__getitem__, words), np.int32, count)
