@@ -18,6 +18,12 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, root: str) -> DataFrame:
+    from tessera.llm.langid import identify
+
+    return identify(table(spark, root, "pages"), table(spark, root, "documents"))
+
+
 def op2_lm_scoring(spark: SparkSession, root: str) -> DataFrame:
     from tessera.llm.scoring import score
 
@@ -74,7 +80,7 @@ def op10_sharding(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_lm_scoring, op3_quality_rules, op4_nearest_neighbours, op5_mixing, op6_substring_dedup, op7_packing, op8_html_extraction, op9_minhash_near_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_language_id, op2_lm_scoring, op3_quality_rules, op4_nearest_neighbours, op5_mixing, op6_substring_dedup, op7_packing, op8_html_extraction, op9_minhash_near_dedup, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
