@@ -1,22 +1,442 @@
-"""Named queries of the engine and their SQL twins."""
+"""Named queries of the engine over the star tables, each with its DuckDB twin where SQL can express it."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessera.functions import canonical, privacy
+from tessera.operators import calibration as cal
+from tessera.operators import dedup, dsl, explore
+from tessera.operators import registry_ops as reg
+from tessera.operators.calculus import Calculus
+from tessera.plans.catalog import star_catalog
+from tessera.sources.tables import read_table
+from tessera.streaming import flows
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def frames(spark: SparkSession, root: str) -> Callable[[str], DataFrame]:
+    return cache(lambda name: read_table(spark, root, name))
+
+
+def calculus(spark: SparkSession, root: str) -> Calculus:
+    return Calculus(star_catalog(), frames(spark, root))
+
+
+def add(sql: str | None = None):
+    def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def chain(sql: str, name: str, *steps: tuple, last: tuple) -> None:
+    """Registers a query of the calculus: steps build cursors (integers refer to earlier ones), last materializes."""
+
+    def run(spark: SparkSession, root: str) -> DataFrame:
+        c, made = calculus(spark, root), []
+        for method, *arguments in steps:
+            made.append(getattr(c, method)(*(made[a[0]] if isinstance(a, tuple) else a for a in arguments)))
+        method, *arguments = last
+        return getattr(c, method)(*((made[-1],) if method not in ("read",) else ()), *arguments)
+
+    run.__name__ = name
+    add(sql)(run)
+
+
+def spec(sql: str, name: str, query: dict) -> None:
+    def run(spark: SparkSession, root: str) -> DataFrame:
+        return dsl.query(star_catalog(), frames(spark, root), query)
+
+    run.__name__ = name
+    add(sql)(run)
+
+
+# the calculus
+
+chain("SELECT count(*) AS cnt FROM orders WHERE o_orderstatus = 'F'", "where_eq", ("rows_where", "orders", "o_orderstatus", "eq", "F"), last=("count",))
+chain("SELECT count(*) AS cnt FROM customer WHERE c_nationkey IN (1, 5, 7)", "where_in", ("rows_where", "customer", "c_nationkey", "in", [1, "5", 7]), last=("count",))
+for _op, _sign in (("lt", "<"), ("gt", ">"), ("lte", "<="), ("gte", ">=")):
+    chain(f"SELECT count(*) AS cnt FROM part WHERE p_size {_sign} 20", f"where_{_op}", ("rows_where", "part", "p_size", _op, "20"), last=("count",))
+chain("SELECT count(*) AS cnt FROM orders WHERE o_orderdate >= TIMESTAMP '1995-06-01'", "where_range", ("rows_where", "orders", "o_orderdate", "gte", "1995-06-01"), last=("count",))
+chain("SELECT count(*) AS cnt FROM customer WHERE c_mktsegment ILIKE '%build%'", "where_like", ("rows_where", "customer", "c_mktsegment", "like", "%build%"), last=("count",))
+chain("SELECT DISTINCT c_custkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' ORDER BY c_custkey LIMIT 5", "via_forward", ("rows_where", "orders", "o_orderstatus", "eq", "F"), ("rows_via", (0,), "orders.o_custkey->customer"), last=("take", 5))
+chain("SELECT DISTINCT o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' ORDER BY o_orderkey LIMIT 5", "via_reverse", ("rows_where", "customer", "c_mktsegment", "eq", "BUILDING"), ("rows_via", (0,), "customer<-orders.o_custkey"), last=("take", 5))
+chain("SELECT count(*) AS cnt FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderpriority = '1-URGENT'", "via_two_hop", ("rows_where", "orders", "o_orderpriority", "eq", "1-URGENT"), ("rows_via", (0,), "orders.o_custkey->customer"), ("rows_via", (1,), "customer.c_nationkey->nation"), last=("count",))
+chain("SELECT count(*) AS cnt FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F'", "via_bag_count", ("rows_where", "orders", "o_orderstatus", "eq", "F"), ("rows_via", (0,), "orders.o_custkey->customer"), last=("count",))
+chain("SELECT count(*) AS cnt FROM (SELECT c_custkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' INTERSECT SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')", "intersect", ("rows_where", "orders", "o_orderstatus", "eq", "F"), ("rows_via", (0,), "orders.o_custkey->customer"), ("rows_where", "customer", "c_mktsegment", "eq", "BUILDING"), ("intersect", (1,), (2,)), last=("count",))
+chain("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' ORDER BY o_totalprice DESC NULLS FIRST, o_orderkey LIMIT 5", "order_take", ("rows_where", "orders", "o_orderstatus", "eq", "O"), ("order_by", (0,), "o_totalprice", "desc"), last=("take", 5))
+chain("SELECT c_custkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' GROUP BY c_custkey ORDER BY max(c_acctbal) DESC NULLS FIRST, min(c_name) ASC NULLS LAST, c_custkey LIMIT 5", "take_dedup", ("rows_where", "orders", "o_orderstatus", "eq", "F"), ("rows_via", (0,), "orders.o_custkey->customer"), ("order_by", (1,), "c_name"), ("order_by", (2,), "c_acctbal", "desc"), last=("take", 5))
+_LINES = (("rows_where", "orders", "o_orderstatus", "eq", "F"), ("rows_via", (0,), "orders<-lineitem.l_orderkey"))
+_JOIN = "FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'"
+chain(f"SELECT CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS agg {_JOIN}", "agg_sum", *_LINES, last=("aggregate", "sum", "l_extendedprice"))
+chain(f"SELECT CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) / count(l_quantity) AS agg {_JOIN}", "agg_avg", *_LINES, last=("aggregate", "avg", "l_quantity"))
+chain(f"SELECT min(l_extendedprice) AS agg {_JOIN}", "agg_min", *_LINES, last=("aggregate", "min", "l_extendedprice"))
+chain(f"SELECT max(l_shipdate) AS agg {_JOIN}", "agg_max", *_LINES, last=("aggregate", "max", "l_shipdate"))
+chain(f"SELECT l_returnflag AS group_value, count(*) AS agg_value {_JOIN} GROUP BY 1 ORDER BY 2 DESC NULLS FIRST, 1 ASC NULLS LAST LIMIT 3", "group_top_count", *_LINES, last=("group_top", "l_returnflag", "count", 3))
+chain(f"SELECT l_suppkey AS group_value, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS agg_value {_JOIN} GROUP BY 1 ORDER BY 2 DESC NULLS FIRST, 1 ASC NULLS LAST LIMIT 5", "group_top_sum", *_LINES, last=("group_top", "l_suppkey", "sum", 5, "l_quantity"))
+chain("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey = 7 LIMIT 1", "read_row", last=("read", "orders", 7, ["o_orderkey", "o_totalprice", "o_orderstatus"]))
+chain("SELECT conv_id, turn, role FROM conversations WHERE conv_id = 1 AND turn = 1 LIMIT 1", "read_composite", last=("read", "conversations", [1, 1], ["conv_id", "turn", "role"]))
+
+# JSON queries
+
+FLAGSHIP = {
+    "from": "lineitem",
+    "filter": [{"column": "l_returnflag", "op": "in", "value": ["A", "R"]}, {"column": "l_quantity", "op": "gte", "value": 10}],
+    "join": [{"via_edge": "lineitem.l_orderkey->orders"}, {"via_edge": "orders.o_custkey->customer"}],
+    "group_by": ["c_mktsegment"],
+    "aggregate": [{"fn": "count", "alias": "n_items"}, {"fn": "sum", "column": "l_extendedprice", "alias": "revenue"}],
+    "sort": [{"column": "revenue", "direction": "desc"}, {"column": "c_mktsegment"}],
+}
+spec("SELECT c_mktsegment, count(*) AS n_items, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_returnflag IN ('A', 'R') AND l_quantity >= 10 GROUP BY 1", "dsl_group_agg", FLAGSHIP)
+spec("SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 300000 ORDER BY o_orderkey LIMIT 50", "dsl_select_chain", {"from": "orders", "filter": [{"column": "o_totalprice", "op": "gt", "value": 300000}], "join": [{"via_edge": "orders.o_custkey->customer"}, {"via_edge": "customer.c_nationkey->nation"}], "select": ["o_orderkey", "c_name", "n_name"], "sort": [{"column": "o_orderkey"}], "limit": 50})
+spec("SELECT count(*) AS n, count(l_tax) AS n_tax, min(l_discount) AS lo, max(l_discount) AS hi, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) / count(l_quantity) AS mean_quantity FROM lineitem", "dsl_global_agg", {"from": "lineitem", "aggregate": [{"fn": "count", "alias": "n"}, {"fn": "count", "column": "l_tax", "alias": "n_tax"}, {"fn": "min", "column": "l_discount", "alias": "lo"}, {"fn": "max", "column": "l_discount", "alias": "hi"}, {"fn": "avg", "column": "l_quantity", "alias": "mean_quantity"}]})
+spec("SELECT n_name, count(*) AS n_orders FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey WHERE n_regionkey = 2 GROUP BY 1", "dsl_reverse_join", {"from": "nation", "filter": [{"column": "n_regionkey", "op": "eq", "value": 2}], "join": [{"via_edge": "nation<-customer.c_nationkey"}, {"via_edge": "customer<-orders.o_custkey"}], "group_by": ["n_name"], "aggregate": [{"fn": "count", "alias": "n_orders"}], "sort": [{"column": "n_orders", "direction": "desc"}, {"column": "n_name"}]})
+spec("SELECT c.* FROM orders JOIN customer c ON o_custkey = c_custkey WHERE o_orderkey <= 100", "dsl_default_select", {"from": "orders", "filter": [{"column": "o_orderkey", "op": "lte", "value": 100}], "join": [{"via_edge": "orders.o_custkey->customer"}]})
+
+# exploration
+
+_EDGES = "(VALUES " + ", ".join(f"('{e.source}', '{e.target}', '{e.forward}', '{e.reverse}')" for e in star_catalog().edges) + ") AS e(source, target, forward, reverse)"
+_THIRD = max(1, len(star_catalog().tables) // 3)
+
+
+@add(f"SELECT forward, reverse, source, target FROM {_EDGES} WHERE source IN ('orders', 'customer', 'lineitem', 'nation') AND target IN ('orders', 'customer', 'lineitem', 'nation')")
+def schema_map(spark: SparkSession, root: str) -> DataFrame:
+    return explore.schema_map_frame(spark, star_catalog(), "customer", 1).union(explore.schema_map_frame(spark, star_catalog(), "orders", 1)).distinct()
+
+
+@add(f"SELECT t AS table_name, count(*) AS degree FROM (SELECT source AS t FROM {_EDGES} UNION ALL SELECT target FROM {_EDGES}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT {_THIRD}")
+def hubs(spark: SparkSession, root: str) -> DataFrame:
+    return explore.hubs(spark, star_catalog())
+
+
+@add(f"SELECT source AS table_name, count(*) AS fk_count FROM {_EDGES} GROUP BY 1 HAVING count(*) >= 2")
+def bridges(spark: SparkSession, root: str) -> DataFrame:
+    return explore.bridges(spark, star_catalog())
+
+
+@add(" UNION ALL ".join(f"SELECT '{t.name}' AS table_name, count(*) AS row_count FROM {t.name}" for t in star_catalog().tables))
+def table_sizes(spark: SparkSession, root: str) -> DataFrame:
+    return explore.table_sizes(star_catalog(), frames(spark, root))
+
+
+@add("SELECT * FROM (VALUES " + ", ".join(f"('{t.name}', '{c}', '{k}', {i + 1}, {str(c in t.key).lower()}, {str(any(e.source == t.name and e.column == c for e in star_catalog().edges)).lower()})" for t in star_catalog().tables for i, (c, k) in enumerate(t.columns)) + ") AS x(table_name, column_name, type, ordinal, is_key, is_foreign_key)")
+def catalog_columns(spark: SparkSession, root: str) -> DataFrame:
+    return explore.columns_frame(spark, star_catalog())
+
+
+@add(" UNION ALL ".join(f"SELECT '{e.forward}' AS label, (SELECT count(*) FROM {e.source}) AS source_rows, (SELECT count(*) FROM {e.target}) AS target_rows, (SELECT count(*) FROM {e.source}) / (SELECT count(*) FROM {e.target}) AS fanout" for e in star_catalog().edges))
+def fanout(spark: SparkSession, root: str) -> DataFrame:
+    return explore.fanout(star_catalog(), frames(spark, root))
+
+
+@add(" UNION ALL ".join(f"SELECT '{e.forward}' AS label, count(*) AS orphans FROM {e.source} s WHERE s.{e.column} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {e.target} t WHERE t.{e.target_column} = s.{e.column})" for e in star_catalog().edges))
+def fk_orphans(spark: SparkSession, root: str) -> DataFrame:
+    return explore.fk_orphans(star_catalog(), frames(spark, root))
+
+
+@add(" UNION ALL ".join(f"SELECT '{t.name}' AS table_name, count(*) AS duplicates FROM (SELECT 1 FROM {t.name} GROUP BY {', '.join(t.key)} HAVING count(*) > 1)" for t in star_catalog().tables if t.key))
+def pk_duplicates(spark: SparkSession, root: str) -> DataFrame:
+    return explore.key_duplicates(star_catalog(), frames(spark, root))
+
+
+@add(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS n_distinct FROM orders" for c in ("o_custkey", "o_orderstatus", "o_orderpriority")))
+def distinct_counts(spark: SparkSession, root: str) -> DataFrame:
+    return explore.distinct_counts(frames(spark, root), "orders", ["o_custkey", "o_orderstatus", "o_orderpriority"])
+
+
+@add("SELECT * FROM customer ORDER BY c_custkey LIMIT 10")
+def sample_pk(spark: SparkSession, root: str) -> DataFrame:
+    return explore.sample(star_catalog(), frames(spark, root), "customer", 10)
+
+
+@add("SELECT * FROM orders WHERE o_orderstatus = 'O' ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '7'), o_orderkey LIMIT 10")
+def sample_seeded(spark: SparkSession, root: str) -> DataFrame:
+    return explore.sample(star_catalog(), frames(spark, root), "orders", 10, 7, [{"column": "o_orderstatus", "op": "eq", "value": "O"}])
+
+
+def _profile(table: str, where: str = "") -> str:
+    return " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS row_count, count(DISTINCT {c}) AS distinct_count, count(*) - count({c}) AS null_count FROM {table} {where}" for c in star_catalog().table(table).names)
+
+
+@add(_profile("lineitem"))
+def profile_table(spark: SparkSession, root: str) -> DataFrame:
+    return explore.profile_table(star_catalog(), frames(spark, root), "lineitem")
+
+
+@add(_profile("orders", "WHERE o_orderstatus = 'F' AND o_totalprice > 100000"))
+def profile_filtered(spark: SparkSession, root: str) -> DataFrame:
+    return explore.profile_table(star_catalog(), frames(spark, root), "orders", [{"column": "o_orderstatus", "op": "eq", "value": "F"}, {"column": "o_totalprice", "op": "gt", "value": 100000}])
+
+
+@add("SELECT count(*) AS row_count, count(DISTINCT p_size) AS distinct_count, count(*) - count(p_size) AS null_count, CAST(min(p_size) AS VARCHAR) AS min_value, CAST(max(p_size) AS VARCHAR) AS max_value FROM part")
+def profile_column(spark: SparkSession, root: str) -> DataFrame:
+    return explore.profile_column(star_catalog(), frames(spark, root), "part", "p_size")
+
+
+@add("SELECT p_brand AS value, count(*) AS frequency FROM part WHERE p_brand IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
+def top_values(spark: SparkSession, root: str) -> DataFrame:
+    return explore.top_values(star_catalog(), frames(spark, root), "part", "p_brand", 5)
+
+
+@add("SELECT 'customer.c_nationkey->nation' AS label, 'ok' AS status, CAST(1 AS BIGINT) AS total, CAST(c_nationkey AS VARCHAR) AS ids FROM customer WHERE c_custkey = 4 UNION ALL SELECT 'customer<-orders.o_custkey', 'ok', count(*), coalesce((SELECT string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) FROM (SELECT o_orderkey FROM orders WHERE o_custkey = 4 ORDER BY o_orderkey LIMIT 5)), '') FROM orders WHERE o_custkey = 4")
+def neighborhood_edges(spark: SparkSession, root: str) -> DataFrame:
+    return explore.neighborhood(star_catalog(), frames(spark, root), "customer", 4)
+
+
+@add()
+def random_anchor(spark: SparkSession, root: str) -> DataFrame:
+    f = frames(spark, root)
+    sizes = {r["table_name"]: r["row_count"] for r in explore.table_sizes(star_catalog(), f).collect()}
+    name, row = explore.random_anchor(star_catalog(), f, sizes, 11)
+    return row.select(F.lit(name).alias("table_name"), F.col(row.columns[0]).cast("string").alias("row_id"))
+
+
+@add("SELECT * FROM (WITH RECURSIVE n AS (" + f"SELECT source, target, forward, source || '.' || target AS path, forward AS edges, 1 AS hops FROM {_EDGES} UNION ALL SELECT n.source, e.target, e.forward, n.path || '.' || e.target, n.edges || ' ' || e.forward, n.hops + 1 FROM n JOIN {_EDGES} ON e.source = n.target WHERE n.hops < 3) SELECT path, edges, hops FROM n)")
+def path_catalog(spark: SparkSession, root: str) -> DataFrame:
+    return explore.path_features(spark, star_catalog(), {}, 3).select("path", "edges", "hops")
+
+
+@add()
+def path_features(spark: SparkSession, root: str) -> DataFrame:
+    sizes = {r["table_name"]: r["row_count"] for r in explore.table_sizes(star_catalog(), frames(spark, root)).collect()}
+    return explore.path_features(spark, star_catalog(), sizes, 3)
+
+
+def _band(table: str, c: str) -> str:
+    return f"SELECT '{table}' AS table_name, '{c}' AS column_name, round(avg({c}), 2) AS mean, round(avg({c}) - stddev_samp({c}), 2) AS low, round(avg({c}) + stddev_samp({c}), 2) AS high, CAST(min({c}) AS DOUBLE) AS min_value, CAST(max({c}) AS DOUBLE) AS max_value FROM {table}"
+
+
+@add(" UNION ALL ".join(_band(*x) for x in (("customer", "c_acctbal"), ("part", "p_size"), ("part", "p_retailprice"))))
+def numeric_bands(spark: SparkSession, root: str) -> DataFrame:
+    return explore.numeric_bands(star_catalog(), frames(spark, root), ["customer", "part"])
+
+
+@add("WITH c AS (" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, {c} AS value, count(*) AS frequency FROM {t} GROUP BY {c}" for t, c in (("orders", "o_orderstatus"), ("orders", "o_orderpriority"), ("customer", "c_name"), ("customer", "c_mktsegment"))) + "), k AS (SELECT table_name, column_name, count(value) AS kinds FROM c GROUP BY 1, 2) SELECT c.* FROM c JOIN k USING (table_name, column_name) WHERE kinds BETWEEN 2 AND 20 AND value IS NOT NULL")
+def categorical_topk(spark: SparkSession, root: str) -> DataFrame:
+    return explore.categorical_values(star_catalog(), frames(spark, root), ["orders", "customer"])
+
+
+@add("SELECT c_custkey, CASE WHEN c_name IS NOT NULL THEN '[INTERNAL]' END AS c_name, CASE WHEN c_acctbal IS NOT NULL THEN '[REDACTED]' END AS c_acctbal, c_mktsegment FROM customer")
+def redact(spark: SparkSession, root: str) -> DataFrame:
+    labels = {"c_custkey": privacy.VISIBLE, "c_name": privacy.INTERNAL, "c_acctbal": privacy.BLOCKED, "c_mktsegment": privacy.VISIBLE}
+    return privacy.redact(read_table(spark, root, "customer").select(*labels), labels)
+
+
+# registry
+
+@add("SELECT user_id, event_id, event_type, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id DESC) AS r FROM events) WHERE r = 1")
+def latest_by_key(spark: SparkSession, root: str) -> DataFrame:
+    return reg.latest_by_key(read_table(spark, root, "events").select("user_id", "event_id", "event_type", "ts"), ["user_id"], ["ts", "event_id"])
+
+
+@add("SELECT event_id, user_id, event_type, ts FROM events WHERE event_type = 'signup' ORDER BY ts DESC NULLS LAST, event_id DESC LIMIT 20")
+def registry_list(spark: SparkSession, root: str) -> DataFrame:
+    return reg.listing(read_table(spark, root, "events").select("event_id", "user_id", "event_type", "ts"), 20, "ts", "event_id", {"event_type": "signup"})
 
-def flagship(spark: SparkSession, root: str) -> DataFrame:
-    """Line items of each market segment."""
-    from tessera.sources.tables import read_table
 
-    return read_table(spark, root, "customer").groupBy("c_mktsegment").count()
+@add("SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2")
+def coverage(spark: SparkSession, root: str) -> DataFrame:
+    return reg.coverage(read_table(spark, root, "documents"), ["lang", "source"])
+
+
+@add("SELECT g.lang, g.source, coalesce(c.n, 0) AS n, CAST(greatest(0, 25 - coalesce(c.n, 0)) AS BIGINT) AS deficit FROM (SELECT DISTINCT lang, source FROM documents) g LEFT JOIN (SELECT lang, source, count(*) AS n FROM documents WHERE n_chars > 1000 GROUP BY 1, 2) c USING (lang, source)")
+def coverage_deficit(spark: SparkSession, root: str) -> DataFrame:
+    docs = read_table(spark, root, "documents")
+    return reg.deficits(docs, reg.coverage(docs.where("n_chars > 1000"), ["lang", "source"]), ["lang", "source"], 25)
+
+
+@add("SELECT lang, source, n, total FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2), (SELECT count(*) AS total FROM documents)")
+def registry_snapshot(spark: SparkSession, root: str) -> DataFrame:
+    return reg.snapshot(read_table(spark, root, "documents"), ["lang", "source"])
+
+
+@add("SELECT min(doc_id) AS doc_id, sha256(coalesce(text, '')) AS signature FROM documents GROUP BY 2")
+def exact_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return dedup.exact_dedup(read_table(spark, root, "documents").select("doc_id", "text"), ["text"], ["doc_id"]).select("doc_id", "signature")
+
+
+@add()
+def near_dup_verified(spark: SparkSession, root: str) -> DataFrame:
+    return dedup.near_pairs(read_table(spark, root, "documents"), "doc_id", "text", ["lang"], word="[a-z0-9_]+")
+
+
+@add()
+def minhash_pairs(spark: SparkSession, root: str) -> DataFrame:
+    return dedup.near_pairs(read_table(spark, root, "documents"), "doc_id", "text", ["lang"], verify=False)
+
+
+@add("SELECT item_id, len(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS n_shingles FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM benchmark)")
+def shingle_counts(spark: SparkSession, root: str) -> DataFrame:
+    return read_table(spark, root, "benchmark").select("item_id", F.size(dedup.shingles(F.col("text"), word="[a-z0-9_]+")).cast("bigint").alias("n_shingles"))
+
+
+@add("SELECT count(*) AS total, count_if(event_type = 'purchase') AS accepted, count_if(event_type = 'error') AS rejected, count_if(event_type NOT IN ('purchase', 'error')) AS other FROM events")
+def run_summary(spark: SparkSession, root: str) -> DataFrame:
+    return reg.run_summary(read_table(spark, root, "events"), "event_type", "purchase", "error")
+
+
+@add("SELECT d.doc_id, d.lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def checkpoint_anti(spark: SparkSession, root: str) -> DataFrame:
+    return reg.unprocessed(read_table(spark, root, "documents").select("doc_id", "lang"), read_table(spark, root, "labels"), "doc_id", "doc_id")
+
+
+@add("SELECT event_id, user_id, CAST(spent AS DOUBLE) AS spent, spent > 500 AS over FROM (SELECT event_id, user_id, sum(CASE WHEN event_type = 'error' THEN -1 ELSE 1 END * CAST(value AS DECIMAL(18,2))) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS spent FROM events)")
+def budget_ledger(spark: SparkSession, root: str) -> DataFrame:
+    rows = read_table(spark, root, "events").select("event_id", "user_id", "ts", F.when(F.col("event_type") == "error", "release").otherwise("reserve").alias("kind"), F.col("value").cast("decimal(18,2)").alias("amount"))
+    return reg.ledger(rows, "user_id", ["ts", "event_id"], "kind", "amount", 500).select("event_id", "user_id", F.col("spent").cast("double").alias("spent"), "over")
+
+
+# calibration: users are tasks, their events are runs
+
+_PASS = "SELECT user_id, count_if(event_type <> 'error') AS n, count_if(event_type = 'purchase') AS passes FROM events GROUP BY 1"
+
+
+def _rates(spark: SparkSession, root: str) -> DataFrame:
+    return cal.pass_rates(read_table(spark, root, "events"), "user_id", F.col("event_type") == "purchase", F.col("event_type") == "error")
+
+
+@add(f"SELECT user_id, n, passes, CASE WHEN n > 0 THEN passes / n ELSE 0.0 END AS pass_rate FROM ({_PASS})")
+def pass_rate(spark: SparkSession, root: str) -> DataFrame:
+    return _rates(spark, root)
+
+
+@cache
+def _intervals(most: int) -> str:
+    return "(VALUES " + ", ".join(f"({n}, {k}, {round(a, 6)!r}::DOUBLE, {round(b, 6)!r}::DOUBLE)" for n in range(most + 1) for k in range(n + 1) for a, b in [cal.clopper_pearson(k, n, 0.1)]) + ") AS i(n, passes, ci_low, ci_high)"
+
+
+@add(f"SELECT * FROM {_intervals(12)}")
+def cp_interval(spark: SparkSession, root: str) -> DataFrame:
+    return cal.interval_table(spark, 12)
+
+
+def _possible(total: str) -> str:
+    return f"CASE WHEN (passes + {total} - n) / {total} < 0.2 THEN 'too_hard' WHEN passes / {total} > 0.8 THEN 'too_easy' WHEN passes / {total} >= 0.2 AND (passes + {total} - n) / {total} <= 0.8 THEN 'accept' ELSE 'continue' END"
+
+
+_SIX = "SELECT user_id, count(*) AS n, count_if(event_type = 'purchase') AS passes FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE event_type <> 'error') WHERE r <= 5 GROUP BY 1"
+
+
+def _first(spark: SparkSession, root: str, most: int) -> DataFrame:
+    rows = read_table(spark, root, "events").where("event_type <> 'error'")
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
+    return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "purchase").alias("passes"))
+
+
+@add(f"SELECT user_id, n, passes, {_possible('6')} AS decision FROM ({_SIX})")
+def early_stop(spark: SparkSession, root: str) -> DataFrame:
+    return _first(spark, root, 5).withColumn("decision", cal.possible(F.lit(6), F.col("n"), F.col("passes"), 0.2, 0.8))
+
+
+_DECIDED = f"SELECT user_id, n, passes, CASE WHEN sure <> 'continue' THEN sure WHEN ci_high < 0.2 THEN 'too_hard' WHEN ci_low > 0.8 THEN 'too_easy' WHEN ci_low >= 0.2 AND ci_high <= 0.8 THEN 'accept' ELSE 'continue' END AS decision FROM (SELECT s.*, i.ci_low, i.ci_high, {_possible('6').replace('passes', 's.passes').replace(' n)', ' s.n)')} AS sure FROM ({_SIX}) s JOIN {_intervals(12)} ON s.n = i.n AND s.passes = i.passes)"
+
+
+def _decided(spark: SparkSession, root: str) -> DataFrame:
+    rows = _first(spark, root, 5)
+    ci = cal.interval_table(spark, 12).withColumnRenamed("n", "m").withColumnRenamed("passes", "p")
+    rows = rows.join(F.broadcast(ci), (F.col("n") == F.col("m")) & (F.col("passes") == F.col("p")))  # 91 rows
+    return rows.withColumn("decision", cal.decide(F.col("ci_low"), F.col("ci_high"), cal.possible(F.lit(6), F.col("n"), F.col("passes"), 0.2, 0.8), 0.2, 0.8)).select("user_id", "n", "passes", "decision")
+
+
+@add(_DECIDED)
+def calibration_decision(spark: SparkSession, root: str) -> DataFrame:
+    return _decided(spark, root)
+
+
+_DIVERGENCE = "SELECT user_id, count(*) AS submissions, count(DISTINCT props) AS answers, count(DISTINCT props) / count(*) AS divergence FROM events WHERE coalesce(trim(props), '') <> '' GROUP BY 1"
+
+
+@add(_DIVERGENCE)
+def divergence(spark: SparkSession, root: str) -> DataFrame:
+    return cal.divergence(read_table(spark, root, "events"), "user_id", "props")
+
+
+@add(f"SELECT user_id, passes, CASE WHEN divergence > 0.9 THEN 'divergent' WHEN decision <> 'continue' THEN decision WHEN passes / n < 0.2 THEN 'too_hard' WHEN passes / n > 0.8 THEN 'too_easy' ELSE 'accept' END AS verdict FROM ({_DECIDED}) JOIN ({_DIVERGENCE}) USING (user_id)")
+def quality_gate(spark: SparkSession, root: str) -> DataFrame:
+    rows = _decided(spark, root).join(divergence(spark, root), "user_id")
+    return rows.select("user_id", "passes", cal.gate(F.col("decision"), F.col("passes") / F.col("n"), F.col("divergence"), 0.2, 0.8, 0.9).alias("verdict"))
+
+
+@add("WITH r AS (SELECT user_id, row_number() OVER w AS n, sum(CAST(event_type = 'purchase' AS INT)) OVER w AS passes FROM events WHERE event_type <> 'error' WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), c AS (SELECT *, max(n) OVER (PARTITION BY user_id) AS m FROM r WHERE n <= 6), d AS (SELECT user_id, n, passes, " + _possible("6") + " AS decision FROM c WHERE n % 3 = 0 OR n = m) SELECT user_id, n AS runs_used, CAST(passes AS BIGINT) AS passes, decision FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN decision <> 'continue' THEN 0 ELSE 1 END, CASE WHEN decision <> 'continue' THEN n ELSE -n END) AS k FROM d) WHERE k = 1")
+def early_stop_batches(spark: SparkSession, root: str) -> DataFrame:
+    rows = read_table(spark, root, "events").where("event_type <> 'error'")
+    return cal.batched(rows, "user_id", ["ts", "event_id"], F.col("event_type") == "purchase", 6, 3, 0.2, 0.8).withColumn("runs_used", F.col("runs_used").cast("bigint"))
+
+
+# flows
+
+_ROLLING = "SELECT event_id, event_type, ts, event_type = 'error' AS failed, count(*) OVER w AS n, count_if(event_type = 'error') OVER w AS errors FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW)"
+
+
+@add(f"SELECT event_id, n, errors, errors / n AS rate FROM ({_ROLLING})")
+def breaker_rolling(spark: SparkSession, root: str) -> DataFrame:
+    return flows.rolling_errors(read_table(spark, root, "events"), "user_id", "ts", F.col("event_type") == "error", 86_400).select("event_id", "n", "errors", "rate")
+
+
+@add(f"SELECT event_id, n, errors FROM ({_ROLLING}) WHERE failed AND n >= 2 AND errors / n >= 0.5")
+def breaker_openings(spark: SparkSession, root: str) -> DataFrame:
+    return flows.breaker_openings(read_table(spark, root, "events"), "user_id", "ts", F.col("event_type") == "error", 86_400, 2, 0.5).select("event_id", "n", "errors")
+
+
+@add("WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, sum(CASE WHEN event_type IN ('error', 'view') THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM events) SELECT user_id, count(*) AS run_length, min(i) AS first_pos, max(i) AS last_pos FROM r WHERE event_type IN ('error', 'view') GROUP BY user_id, g")
+def backoff_runs(spark: SparkSession, root: str) -> DataFrame:
+    return flows.runs(read_table(spark, root, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type").isin("error", "view"))
+
+
+@add("SELECT event_id, user_id, gap_seconds FROM (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 1000000 AS gap_seconds FROM events) WHERE gap_seconds > 86400")
+def stall_gaps(spark: SparkSession, root: str) -> DataFrame:
+    return flows.stalls(read_table(spark, root, "events"), "user_id", "ts", "event_id", 86_400).select("event_id", "user_id", "gap_seconds")
+
+
+@add("SELECT conv_id, count(*) AS events, min(turn) AS lo, max(turn) AS hi, count(DISTINCT turn) AS kinds FROM conversations GROUP BY 1 HAVING min(turn) <> 1 OR max(turn) <> count(*) OR count(DISTINCT turn) <> count(*)")
+def event_seq_check(spark: SparkSession, root: str) -> DataFrame:
+    return flows.sequence_faults(read_table(spark, root, "conversations"), "conv_id", "turn")
+
+
+# answers
+
+@add("SELECT event_id, CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) % 2 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS reward, CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) % 2 = 0 THEN 'matched' ELSE 'em_mismatch' END AS status FROM events")
+def answer_rewards(spark: SparkSession, root: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("int")
+    rows = read_table(spark, root, "events").select("event_id", "props", F.format_string('{"k": %d}', k + k % 2).alias("expected"))
+    contract = canonical.Field("object", fields=(canonical.Field("int", "k"),))
+    return canonical.rewards(rows, "props", "expected", contract).select("event_id", "reward", "status")
+
+
+@add("SELECT user_id, array_to_string(list_sort(list_distinct(list(event_type))), ',') AS kinds FROM events GROUP BY 1")
+def canonical_lists(spark: SparkSession, root: str) -> DataFrame:
+    # of the event types, of which there are five
+    return read_table(spark, root, "events").groupBy("user_id").agg(F.array_join(canonical.canonical_list(F.collect_set("event_type"), True), ",").alias("kinds"))
+
+
+@add("SELECT DISTINCT 'k:int' AS path FROM events")
+def inferred_schema(spark: SparkSession, root: str) -> DataFrame:
+    first = read_table(spark, root, "events").orderBy("event_id").select("props").first()
+    return spark.createDataFrame([(p,) for p in canonical.flatten(canonical.infer(json.loads(first["props"])))], "path string")
+
+
+def flagship(spark: SparkSession, root: str) -> DataFrame:
+    """Counts and revenue of returned and accepted items by market segment, along line items, orders and customers."""
+    return dsl.query(star_catalog(), frames(spark, root), FLAGSHIP)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
