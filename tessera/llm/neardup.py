@@ -17,12 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import words as W
-from tessera.llm.components import link
+from tessera.llm.components import BROADCAST_IDS, link, shared_keys
 from tessera.llm.storage import materialize
 
-#: Up to so many ids (16 bytes each) are sent to all executors instead of shuffling texts by id.
-BROADCAST_IDS = 500_000
-SIGNATURES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+SIGNATURES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
 _table: list[W.WordTable] = []
 
 
@@ -34,13 +32,20 @@ def shingle_sets(blobs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray
     return W.distinct(*W.shingles(_table[0].columns[0][rows], starts, width))
 
 
-def min_max_bands(values: np.ndarray, starts: np.ndarray, bands: int, permutations: int) -> np.ndarray:
-    """A matrix of band hashes for nonempty sets. Each band holds the minima and maxima of `permutations` permutations."""
+def least_agreement(percent: int, values: int) -> int:
+    """How many of a sketch's bytes agree at least if the similarity is `percent`: 4.5 standard deviations below the mean."""
+    s = percent / 100
+    return max(1, int(values * s - 4.5 * (values * s * (1 - s)) ** 0.5))
+
+
+def min_max_bands(values: np.ndarray, starts: np.ndarray, bands: int, permutations: int) -> tuple[np.ndarray, np.ndarray]:
+    """For nonempty sets, a matrix of band hashes and one of the low bytes of all signature values. Each band holds the minima and maxima of `permutations` permutations."""
     low = (values >> np.uint64(32)).astype(np.uint32)
     rng = np.random.Generator(np.random.PCG64(20240229))
     odd = rng.integers(0, 1 << 32, bands * permutations, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
     add = rng.integers(0, 1 << 32, bands * permutations, dtype=np.uint64).astype(np.uint32)
     out = np.empty((len(starts) - 1, bands), np.uint64)
+    sketch = np.empty((len(starts) - 1, 2 * bands * permutations), np.uint8)
     x = np.empty_like(low)
     at = starts[:-1]
     for band in range(bands):
@@ -48,9 +53,11 @@ def min_max_bands(values: np.ndarray, starts: np.ndarray, bands: int, permutatio
         for k in range(band * permutations, (band + 1) * permutations):
             np.multiply(low, odd[k], out=x)
             x += add[k]
-            acc = W.mix64(acc * np.uint64(0x9E3779B97F4A7C15) + (np.minimum.reduceat(x, at).astype(np.uint64) << np.uint64(32) | np.maximum.reduceat(x, at).astype(np.uint64)))
+            low_end, high_end = np.minimum.reduceat(x, at), np.maximum.reduceat(x, at)
+            sketch[:, 2 * k], sketch[:, 2 * k + 1] = low_end & np.uint32(255), high_end & np.uint32(255)
+            acc = W.mix64(acc * np.uint64(0x9E3779B97F4A7C15) + (low_end.astype(np.uint64) << np.uint64(32) | high_end.astype(np.uint64)))
         out[:, band] = acc
-    return out.view(np.int64)
+    return out.view(np.int64), sketch
 
 
 def signatures(documents: DataFrame, width: int, bands: int, permutations: int) -> DataFrame:
@@ -62,10 +69,13 @@ def signatures(documents: DataFrame, width: int, bands: int, permutations: int)
             n = np.diff(starts)
             full = np.flatnonzero(n)
             digests = [xxhash.xxh3_128_intdigest(values[starts[d] : starts[d + 1]].tobytes()) for d in range(len(n))]
-            found = min_max_bands(values, np.concatenate((starts[:-1][full], starts[-1:])), bands, permutations) if len(full) else np.zeros((0, bands), np.int64)
+            found, sketch = min_max_bands(values, np.concatenate((starts[:-1][full], starts[-1:])), bands, permutations) if len(full) else (np.zeros((0, bands), np.int64), [])
+            sketches: list[bytes | None] = [None] * len(n)
+            for d, row in zip(full.tolist(), sketch, strict=True):
+                sketches[d] = row.tobytes()
             ends = np.concatenate(([0], np.cumsum(np.where(n > 0, bands, 0))))
             k1, k2 = (np.array([x >> s & (1 << 64) - 1 for x in digests], np.uint64).view(np.int64) for s in (64, 0))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(n), pa.array(k1), pa.array(k2), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found.reshape(-1)))], names=SIGNATURES.names)
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(n), pa.array(k1), pa.array(k2), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found.reshape(-1))), pa.array(sketches, pa.binary())], names=SIGNATURES.names)
 
     return documents.select("doc_id", "text").mapInArrow(run, SIGNATURES)
 
@@ -91,16 +101,6 @@ def full_sets(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return chosen.select("node", "k1", "k2", "text").mapInArrow(run, schema)
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union. A set of many pairs is joined in a way that Spark can split."""
-    pairs = materialize(pairs, "pairs")
-    hint = F.broadcast if pairs.count() <= BROADCAST_IDS else lambda x: x
-    one = sets.join(hint(pairs), F.col("node") == F.col("a")).select("a", "b", F.col("hashes").alias("ha"))
-    two = sets.join(hint(pairs.select(F.col("b").alias("n")).distinct()), F.col("node") == F.col("n"), "left_semi").select(F.col("node").alias("nb"), F.col("hashes").alias("hb"))
-    both = F.size(F.array_intersect("ha", "hb"))
-    return one.join(two, F.col("b") == F.col("nb")).where(100 * both >= percent * (F.size("ha") + F.size("hb") - both)).select("a", "b").distinct()
-
-
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 75, bands: int = 32, permutations: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row.
 
@@ -111,14 +111,12 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 75, ban
     ignored. At similarity `percent` the chance to miss a pair is (1 - s^(2 * permutations))^bands: 5e-6 by default.
     """
     every = materialize(signatures(documents, width, bands, permutations), "signatures")
-    classes = every.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id())
+    classes = every.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id())
     classes = materialize(classes, "classes")
-    keys = classes.select(F.explode("bands").alias("key"), "node")
-    counts = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("key", "k")
-    shared = materialize(keys.join(counts, F.col("key") == F.col("k")).select("key", "node"), "keys")
+    shared = shared_keys(classes.select(F.explode("bands").alias("key"), "node"))
     wanted = materialize(classes.join(shared.select(F.col("node").alias("n")).distinct(), F.col("node") == F.col("n"), "left_semi").select("rep", "k1", "k2", "node"), "wanted")
     sets = materialize(full_sets(documents, wanted, width), "sets")
-    found = materialize(link(shared, lambda pairs: confirm(pairs, sets, percent)), "found")
+    found = link(shared, classes.select("node", "sketch"), sets, percent, least_agreement(percent, 2 * bands * permutations))
     named = classes.select("k1", "k2", "rep", "node").join(found.select(F.col("node").alias("n"), "component"), F.col("node") == F.col("n"), "left").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep", F.coalesce("component", "node").alias("component"))
     named = materialize(named, "named")
     least = named.groupBy("component").agg(F.min("rep").alias("least")).withColumnRenamed("component", "c")

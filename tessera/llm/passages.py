@@ -22,14 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import words as W
-from tessera.llm.components import link
-from tessera.llm.neardup import BROADCAST_IDS, confirm, min_max_bands
+from tessera.llm.components import BROADCAST_IDS, link, shared_keys
+from tessera.llm.neardup import least_agreement, min_max_bands
 from tessera.llm.storage import materialize
 
 LINE_WORDS, CUT_ONE_IN, CUT_MIN, CUT_MAX = 20, 8, 4, 32
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _table: list[W.WordTable] = []
-LINES = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "text_key", "start", "n", "k1", "k2")] + [T.StructField("bands", T.ArrayType(T.LongType()))])
+LINES = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "text_key", "start", "n", "k1", "k2")] + [T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
 CHUNKS = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "text_key", "start", "n", "h")])
 
 
@@ -131,11 +131,11 @@ def line_paragraphs(documents: DataFrame, width: int, bands: int) -> DataFrame:
             flat = hashes[np.repeat(begin - total[:-1], count) + np.arange(total[-1])]
             values, starts = W.distinct(*W.shingles(flat, total, width))
             ids, keys = _columns(batch, blobs)
-            found = min_max_bands(values, starts, bands, 2) if len(text) else np.zeros((0, bands), np.int64)
+            found, sketch = min_max_bands(values, starts, bands, 2) if len(text) else (np.zeros((0, bands), np.int64), [])
             digests = [xxhash.xxh3_128_intdigest(values[starts[d] : starts[d + 1]].tobytes()) for d in range(len(text))]
             k1, k2 = (np.array([x >> s & (1 << 64) - 1 for x in digests], np.uint64).view(np.int64) for s in (64, 0))
             ends = np.arange(len(text) + 1, dtype=np.int32) * bands
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[text], keys[text], first, count, k1, k2)] + [pa.ListArray.from_arrays(pa.array(ends), pa.array(found.reshape(-1)))], names=LINES.names)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[text], keys[text], first, count, k1, k2)] + [pa.ListArray.from_arrays(pa.array(ends), pa.array(found.reshape(-1))), pa.array([x.tobytes() for x in sketch], pa.binary())], names=LINES.names)
 
     return documents.select("doc_id", "text").mapInArrow(run, LINES)
 
@@ -168,14 +168,12 @@ def line_removals(documents: DataFrame, width: int, percent: int, recall: float)
     """(doc_id, text_key, start, n, keeper) of lines whose component has a smaller doc_id."""
     bands = tuned_bands(percent, recall)
     every = materialize(line_paragraphs(documents, width, bands), "lines")
-    classes = every.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "text_key", "start", "n")).alias("rep"), F.first("bands").alias("bands"))
-    classes = materialize(classes.select("k1", "k2", F.col("rep.doc_id").alias("rep"), F.col("rep.text_key").alias("rep_key"), F.col("rep.start").alias("start"), F.col("rep.n").alias("n"), "bands", F.monotonically_increasing_id().alias("node")), "classes")
-    keys = classes.select(F.explode("bands").alias("key"), "node")
-    counts = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").withColumnRenamed("key", "k")
-    shared = materialize(keys.join(counts, F.col("key") == F.col("k")).select("key", "node"), "keys")
+    classes = every.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "text_key", "start", "n")).alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = materialize(classes.select("k1", "k2", F.col("rep.doc_id").alias("rep"), F.col("rep.text_key").alias("rep_key"), F.col("rep.start").alias("start"), F.col("rep.n").alias("n"), "bands", "sketch", F.monotonically_increasing_id().alias("node")), "classes")
+    shared = shared_keys(classes.select(F.explode("bands").alias("key"), "node"))
     wanted = materialize(classes.join(shared.select(F.col("node").alias("x")).distinct(), F.col("node") == F.col("x"), "left_semi").select("rep", "rep_key", "start", "n", "node"), "wanted")
     sets = materialize(line_sets(documents, wanted, width), "sets")
-    found = link(shared, lambda pairs: confirm(pairs, sets, percent))
+    found = link(shared, classes.select("node", "sketch"), sets, percent, least_agreement(percent, 4 * bands))
     named = materialize(classes.select("k1", "k2", "rep", "node").join(found.select(F.col("node").alias("x"), "component"), F.col("node") == F.col("x"), "left").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep", F.coalesce("component", "node").alias("component")), "named")
     least = named.groupBy("component").agg(F.min("rep").alias("keeper")).withColumnRenamed("component", "c")
     named = named.join(least, F.col("component") == F.col("c")).select("c1", "c2", "keeper")
