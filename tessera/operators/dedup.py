@@ -29,21 +29,26 @@ def exact_dedup(df: DataFrame, parts: Sequence[str], order: Sequence[str]) -> Da
 def shingles(text: Column, k: int = SHINGLE, word: str = r"(?U)\w+") -> Column:
     """Distinct k-grams of lower-case words; fewer words give one shingle of all; no words give the trimmed text, or nothing."""
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))
-    w = F.regexp_extract_all(plain, F.lit(word), F.lit(0))
-    grams = F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.array_join(F.slice(w, i, k), " "))
     none = F.array().cast("array<string>")
-    return F.when(F.size(w) >= k, F.array_distinct(grams)).when(F.size(w) > 0, F.array(F.array_join(w, " "))).when(plain != "", F.array(plain)).otherwise(none)
 
+    def grams(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.array_join(F.slice(w, i, k), " "))
+        return F.when(F.size(w) >= k, F.array_distinct(runs)).when(F.size(w) > 0, F.array(F.array_join(w, " "))).when(plain != "", F.array(plain)).otherwise(none)
 
-def minhash(hashes: Column, permutations: int = PERMUTATIONS) -> Column:
-    """The least of each permutation over an array of hashes."""
-    return F.array(*(F.array_min(F.transform(hashes, lambda h, i=i: F.xxhash64(h, F.lit(i)))) for i in range(permutations)))
+    # the words are bound to a variable, or each shingle would split the text anew
+    return F.element_at(F.transform(F.array(F.regexp_extract_all(plain, F.lit(word), F.lit(0))), grams), 1)
 
 
-def signatures(df: DataFrame, text: str, k: int = SHINGLE, word: str = r"(?U)\w+") -> DataFrame:
-    """Adds shingle_hashes and minhash; rows without shingles go."""
-    rows = df.withColumn("shingle_hashes", F.transform(shingles(F.col(text), k, word), lambda s: F.xxhash64(s))).where(F.size("shingle_hashes") > 0)
-    return rows.withColumn("minhash", minhash(F.col("shingle_hashes")))
+def shingled(df: DataFrame, text: str, k: int = SHINGLE, word: str = r"(?U)\w+") -> DataFrame:
+    """Adds shingle_hashes; rows without shingles go."""
+    return df.withColumn("shingle_hashes", F.transform(shingles(F.col(text), k, word), lambda s: F.xxhash64(s))).where(F.size("shingle_hashes") > 0)
+
+
+def signatures(rows: DataFrame, keys: Sequence[str], permutations: int = PERMUTATIONS) -> DataFrame:
+    """keys and minhash: the least of each permutation over the shingles, as one aggregate that combines before the shuffle."""
+    each = rows.select(*keys, F.explode("shingle_hashes").alias("h"))
+    least = each.groupBy(*keys).agg(*(F.min(F.xxhash64("h", F.lit(i))).alias(f"m{i}") for i in range(permutations)))
+    return least.select(*keys, F.array(*(F.col(f"m{i}") for i in range(permutations))).alias("minhash"))
 
 
 def slots_agreeing(a: Column, b: Column) -> Column:
@@ -57,19 +62,19 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def near_pairs(df: DataFrame, id_column: str, text: str, scope: Sequence[str] = (), threshold: float = THRESHOLD, word: str = r"(?U)\w+", verify: bool = True) -> DataFrame:
     """Pairs (a, b, similarity) of at least the threshold: exact Jaccard similarity, or with verify off the share of agreeing signature slots. Texts of equal shingles are linked to the least id among them; links between different texts are all of the candidates'."""
-    rows = signatures(df, text, word=word).select(F.col(id_column), *scope, "shingle_hashes", "minhash")
-    sets = rows.withColumn("class", F.xxhash64(F.array_sort("shingle_hashes")))
+    sets = shingled(df, text, word=word).select(id_column, *scope, "shingle_hashes").withColumn("class", F.xxhash64(F.array_sort("shingle_hashes")))
     least = sets.groupBy(*scope, "class").agg(F.min(id_column).alias("rep"))
-    copies = sets.join(least, [*scope, "class"]).where(F.col(id_column) != F.col("rep")).select(F.col("rep").alias("a"), F.col(id_column).alias("b"), F.lit(1.0).alias("similarity"))
-    reps = sets.join(least, [*scope, "class"]).where(F.col(id_column) == F.col("rep")).select(id_column, *scope, "shingle_hashes", "minhash")
+    known = sets.join(least, [*scope, "class"])
+    copies = known.where(F.col(id_column) != F.col("rep")).select(F.col("rep").alias("a"), F.col(id_column).alias("b"), F.lit(1.0).alias("similarity"))
+    reps = known.where(F.col(id_column) == F.col("rep")).select(id_column, *scope, "shingle_hashes")
+    signed = signatures(reps, [id_column, *scope])
     key = F.array(*(F.xxhash64(F.slice("minhash", i * ROWS + 1, ROWS), F.lit(i)) for i in range(BANDS)))
-    bands = reps.select(F.col(id_column).alias("id"), *scope, F.explode(key).alias("band"))
+    bands = signed.select(F.col(id_column).alias("id"), *scope, F.explode(key).alias("band"))
     pairs = bands.withColumnRenamed("id", "a").join(bands.withColumnRenamed("id", "b"), [*scope, "band"]).where("a < b").select("a", "b").distinct()
-    one = reps.select(F.col(id_column).alias("a"), F.col("shingle_hashes").alias("sa"), F.col("minhash").alias("ma"))
-    two = reps.select(F.col(id_column).alias("b"), F.col("shingle_hashes").alias("sb"), F.col("minhash").alias("mb"))
-    both = pairs.join(one, "a").join(two, "b")
-    similarity = jaccard(F.col("sa"), F.col("sb")) if verify else slots_agreeing(F.col("ma"), F.col("mb"))
-    return both.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold).union(copies)
+    of, value, measure = (reps, "shingle_hashes", jaccard) if verify else (signed, "minhash", slots_agreeing)
+    one, two = (of.select(F.col(id_column).alias(x), F.col(value).alias(f"v{x}")) for x in "ab")
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", measure(F.col("va"), F.col("vb")).alias("similarity"))
+    return both.where(F.col("similarity") >= threshold).union(copies)
 
 
 def semantic_text(topic: Column, question: Column, answer: Column, schema: Column, constraints: Column, payload: Column) -> Column:
