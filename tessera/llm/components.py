@@ -14,7 +14,7 @@ from tessera.llm.storage import materialize
 #: Up to so many edges (16 bytes each) are joined up by one task; beyond, by rounds over all executors.
 ONE_TASK_EDGES = 1_000_000
 #: Nodes in a block of a large key, and in a home of nodes whose sets travel together.
-BLOCK, HOME = 48, 48
+BLOCK, HOME = 48, 128
 #: Up to so many ids (16 bytes each) are sent to all executors instead of shuffling texts or sets by id.
 BROADCAST_IDS = 500_000
 
