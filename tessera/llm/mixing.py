@@ -25,6 +25,8 @@ from tessera.llm.storage import materialize
 DOMAINS = ("clean", "junk", "toxic")
 #: Hash places of words and word shapes; with the classes they bound the model's size.
 PLACES = 1 << 16
+#: Labelled rows that the classifier learns from: all up to so many, of more a share by a hash. Their ids and domains (16 bytes each) go to all workers.
+TRAIN_ROWS = 200_000
 _table: list[W.WordTable] = []
 _SHAPE = bytes(ord("A") if 65 <= c <= 90 else ord("a") if 97 <= c <= 122 or c >= 128 else ord("0") if 48 <= c <= 57 else c for c in range(256))
 
@@ -85,9 +87,13 @@ class Classifier:
 
 
 def train(documents: DataFrame, labels: DataFrame) -> Classifier:
-    """Counts, for each domain, the labelled documents that have each place: partial sums in each task, then a grouped sum of at most domains x PLACES rows."""
+    """Counts, for each domain, the labelled documents (up to about TRAIN_ROWS) that have each place: partial sums in each task, then a grouped sum of at most domains x PLACES rows."""
     k = len(DOMAINS)
-    rows = documents.select("doc_id", "text").join(labelled(labels), F.col("doc_id") == F.col("labelled_id")).select("domain", "text")
+    known = labelled(labels)
+    share = TRAIN_ROWS / max(1, known.count())
+    if share < 1:
+        known = known.where(F.pmod(F.xxhash64("labelled_id", F.lit("train")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    rows = documents.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("labelled_id")).select("domain", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((k, PLACES + 1), np.int64)
