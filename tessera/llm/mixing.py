@@ -20,14 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import words as W
-from tessera.llm.storage import materialize
+from tessera.llm.storage import materialize, shield
 
 DOMAINS = ("clean", "junk", "toxic")
 #: Hash places of words and word shapes; with the classes they bound the model's size.
 PLACES = 1 << 16
 #: Labelled rows that the classifier learns from: all up to so many, of more a share by a hash. Their ids and domains (16 bytes each) go to all workers.
 TRAIN_ROWS = 200_000
-_table: list[W.WordTable] = []
 _SHAPE = bytes(ord("A") if 65 <= c <= 90 else ord("a") if 97 <= c <= 122 or c >= 128 else ord("0") if 48 <= c <= 57 else c for c in range(256))
 
 
@@ -44,10 +43,9 @@ def _places(new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def features(blobs: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
     """Each text's distinct places, and its count of words."""
-    if not _table:
-        _table.append(W.WordTable(_places))
-    rows, starts = W.split(_table[0], blobs)
-    word, shape = (c[rows] for c in _table[0].columns)
+    table = W.held("places", lambda: W.WordTable(_places))
+    rows, starts = W.split(table, blobs)
+    word, shape = (c[rows] for c in table.columns)
     out = []
     for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
         seen = np.zeros(PLACES, bool) if b - a > 4096 else None
@@ -215,6 +213,6 @@ def mixed_documents(documents: DataFrame, labels: DataFrame, weights: tuple[floa
     model = train(documents, labels)
     rows = materialize(memberships(documents, model, ["doc_id"]), "memberships")
     steps = solve(rows, list(weights))
-    chosen = with_rates(memberships(documents, model, documents.columns), steps)
-    repeated = chosen.where("copies > 0").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return repeated.select(*documents.columns)
+    inner, restore = shield(documents, ("doc_id", "text"))
+    chosen = with_rates(memberships(inner, model, inner.columns), steps)
+    return restore(chosen.where("copies > 0").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))

@@ -21,15 +21,13 @@ from tessera.llm.components import BROADCAST_IDS, link, shared_keys
 from tessera.llm.storage import materialize
 
 SIGNATURES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
-_table: list[W.WordTable] = []
 
 
 def shingle_sets(blobs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Each text's distinct shingle hashes, ascending, of its words with A-Z in lower case; and where each text's start."""
-    if not _table:
-        _table.append(W.WordTable(W.hash64))
-    rows, starts = W.split(_table[0], [b.lower() for b in blobs])
-    return W.distinct(*W.shingles(_table[0].columns[0][rows], starts, width))
+    table = W.held("hashes", lambda: W.WordTable(W.hash64))
+    rows, starts = W.split(table, [b.lower() for b in blobs])
+    return W.distinct(*W.shingles(table.columns[0][rows], starts, width))
 
 
 def least_agreement(percent: int, values: int) -> int:

@@ -67,9 +67,6 @@ class Subwords:
         return np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.concatenate(counts).astype(np.int64) if counts else np.zeros(0, np.int64)
 
 
-_tables: dict[str, "TokenTable"] = {}
-
-
 class TokenTable:
     """Words' token ids, kept by each worker; more(words) adds columns to the table."""
 
@@ -81,9 +78,7 @@ class TokenTable:
 
     @classmethod
     def of(cls, path: str) -> "TokenTable":
-        if path not in _tables:
-            _tables[path] = cls(path)
-        return _tables[path]
+        return W.held(path, lambda: cls(path))
 
     def _fill(self, new: list[bytes]) -> tuple[np.ndarray, ...]:
         if len(new) == len(self.table):  # the table was emptied

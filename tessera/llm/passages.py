@@ -24,11 +24,10 @@ from pyspark.sql import types as T
 from tessera.llm import words as W
 from tessera.llm.components import BROADCAST_IDS, link, shared_keys
 from tessera.llm.neardup import least_agreement, min_max_bands
-from tessera.llm.storage import materialize
+from tessera.llm.storage import materialize, shield
 
 LINE_WORDS, CUT_ONE_IN, CUT_MIN, CUT_MAX = 20, 8, 4, 32
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_table: list[W.WordTable] = []
 LINES = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "text_key", "start", "n", "k1", "k2")] + [T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
 CHUNKS = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "text_key", "start", "n", "h")])
 
@@ -39,10 +38,9 @@ def tuned_bands(percent: int, recall: float, values: int = 4) -> int:
 
 
 def _hashes(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    if not _table:
-        _table.append(W.WordTable(W.hash64))
-    rows, starts = W.split(_table[0], [b.lower() for b in blobs])
-    return _table[0].columns[0][rows], starts
+    table = W.held("hashes", lambda: W.WordTable(W.hash64))
+    rows, starts = W.split(table, [b.lower() for b in blobs])
+    return table.columns[0][rows], starts
 
 
 def _lines(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,10 +221,11 @@ def without_passages(documents: DataFrame, width: int = 5, percent: int = 75, re
     # a document's spans: as many as its words allow
     spans = both.groupBy(F.col("doc_id").alias("span_id"), F.col("text_key").alias("span_key")).agg(F.collect_list(F.struct("start", "n", "keeper")).alias("_parts"))
     small = both.count() <= BROADCAST_IDS
-    fields = list(documents.schema.fields)
+    inner_documents, restore = shield(documents, ("doc_id", "text"))
+    fields = list(inner_documents.schema.fields)
     schema = T.StructType([*fields, T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("start", "end", "keeper")])))])
-    names = documents.columns
-    joined = documents.join(F.broadcast(_by_id(spans)) if small else _by_id(spans), F.coalesce("doc_id", F.lit((1 << 63) - 1)) == F.col("_span_id"), "left")
+    names = inner_documents.columns
+    joined = inner_documents.join(F.broadcast(_by_id(spans)) if small else _by_id(spans), F.coalesce("doc_id", F.lit((1 << 63) - 1)) == F.col("_span_id"), "left")
     inner = schema["spans"].dataType
     arrow = pa.list_(pa.struct([(c, pa.int64()) for c in inner.elementType.names]))
 
@@ -246,7 +245,7 @@ def without_passages(documents: DataFrame, width: int = 5, percent: int = 75, re
             columns = [pa.array(texts, column.type) if c == "text" else batch.column(batch.schema.get_field_index(c)) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64()), pa.array(spans_out, arrow)], names=[*names, "n_removed", "spans"])
 
-    return joined.select(*names, "_found").mapInArrow(run, schema)
+    return restore(joined.select(*names, "_found").mapInArrow(run, schema), "n_removed", "spans")
 
 
 def _by_id(spans: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import words as W
-from tessera.llm.storage import materialize
+from tessera.llm.storage import materialize, shield
 
 #: The rules: a feature, of which higher is worse, and its grid of cutoffs from strict to loose.
 RULES: dict[str, tuple[float, ...]] = {
@@ -38,7 +38,6 @@ SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MEASURES = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS] + [T.StructField("features", T.ArrayType(T.DoubleType()))])
 POOLED = "(pooled)"
-_table: list[W.WordTable] = []
 
 
 def _of_words(new: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -75,10 +74,9 @@ def repeated_words(rows: np.ndarray, window: int) -> int:
 
 def measure(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The counts (COUNTS, a row for each text) and the rules' features."""
-    if not _table:
-        _table.append(W.WordTable(_of_words))
-    rows, starts = W.split(_table[0], blobs)
-    sums = [np.concatenate(([0], np.cumsum(c[rows])))[starts] for c in _table[0].columns]
+    table = W.held("quality", lambda: W.WordTable(_of_words))
+    rows, starts = W.split(table, blobs)
+    sums = [np.concatenate(([0], np.cumsum(c[rows])))[starts] for c in table.columns]
     chars, symbols, bangs, upper, other = (np.diff(s) for s in sums)
     n = np.diff(starts)
     dup, lines, again = (np.zeros(len(blobs), np.int64) for _ in range(3))
@@ -209,4 +207,5 @@ def keep_documents(documents: DataFrame, labels: DataFrame, stratum: str = "lang
     """The rows of documents, with all their columns, that the rules keep. Measures twice: once for the cutoffs, once to filter, so that no text is shuffled."""
     rows = materialize(measured(documents.select("doc_id", stratum, "text"), ["doc_id", stratum]), "measures")
     cutoffs = thresholds(rows, labels, stratum, **risk)
-    return judge(measured(documents, documents.columns), cutoffs, stratum).where("kept").select(*documents.columns)
+    inner, restore = shield(documents, ("doc_id", "text", stratum))
+    return restore(judge(measured(inner, inner.columns), cutoffs, stratum).where("kept"))

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,3 +28,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shield(df: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """df with every column that is not in `used` under a name that no operator has, and what restores the names (and order) of all, with further columns after them."""
+    inner = {c: c if c in used else f"__column_{k}" for k, c in enumerate(df.columns)}
+
+    def restore(out: DataFrame, *more: str) -> DataFrame:
+        return out.select(*(F.col(x).alias(c) for c, x in inner.items()), *more)
+
+    return df.select(*(df[f"`{c}`"].alias(x) for c, x in inner.items())), restore

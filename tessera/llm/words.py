@@ -1,7 +1,7 @@
 """Words of texts as numbers: the shared fast path of the text operators.
 
 A word is a run of bytes other than \\x20 and \\x09-\\x0D, which is what `bytes.split()` yields on UTF-8.
-Each Python worker keeps one WordTable for each use: a dictionary from word to row number with columns of
+Each Python worker keeps one WordTable, of the use it was last put to: a dictionary from word to row number with columns of
 per-word values (hashes, token ids, counts), so that a word costs its computation once and a lookup after that.
 The table is emptied when it passes its limit; that changes speed, never results.
 """
@@ -59,6 +59,17 @@ class WordTable(dict):
         return out
 
 
+_held: dict[object, object] = {}
+
+
+def held(use: object, make: Callable[[], object]):
+    """This worker's table for a use. A worker serves many operators one after the other; it drops the table of the last use first, so that it holds one."""
+    if use not in _held:
+        _held.clear()
+        _held[use] = make()
+    return _held[use]
+
+
 def hash64(words: list[bytes]) -> tuple[np.ndarray]:
     """The stable 64-bit hash of each word."""
     return (np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64),)
