@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 from tessera.llm import words as W
 
 END_ID = 2
-#: Words whose ids a worker holds: about 200 bytes each.
-TOKEN_WORDS = 800_000
+#: Words whose ids a worker holds: about 150 bytes each.
+TOKEN_WORDS = 1_500_000
 PIECES = T.StructType([T.StructField("doc_id", T.LongType())] + [T.StructField(x, T.LongType()) for x in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [T.StructField("bucket", T.IntegerType())])
 
 
