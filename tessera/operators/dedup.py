@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Permutations, words in a shingle, similarity, and the bands and rows of that similarity (fixed values).
-PERMUTATIONS, SHINGLE, THRESHOLD, BANDS, ROWS = 128, 3, 0.9, 5, 25
+#: Permutations, words in a shingle, and similarity (fixed values).
+PERMUTATIONS, SHINGLE, THRESHOLD = 128, 3, 0.9
+#: Bands and their rows: a pair at the threshold is missed once in 8,000 times.
+BANDS, ROWS = 16, 8
 
 
 def signature(*parts: str | Column) -> Column:
