@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.mixing import mixed_documents
-from tessera.llm.neardup import near_duplicates
+from tessera.llm.neardup import one_of_each
 from tessera.llm.packing import pack
 from tessera.llm.passages import without_passages
 from tessera.llm.quality import keep_documents
@@ -21,12 +21,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest doc_id."""
+    """One row of each group of near-duplicates: that of the smallest doc_id, a null one last."""
     reach_workers(spark)
-    verdict = near_duplicates(docs)
-    gone = verdict.where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(gone.distinct(), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    return kept.select(*docs.columns)
+    return one_of_each(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

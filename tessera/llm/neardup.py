@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from tessera.llm import words as W
 from tessera.llm.components import BROADCAST_IDS, link, shared_keys
-from tessera.llm.storage import materialize
+from tessera.llm.storage import materialize, shield
 
 SIGNATURES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
 
@@ -122,3 +122,21 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 75, ban
     out = every.select("doc_id", "n_shingles", "k1", "k2").join(named, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("n_shingles") > 0), "left")
     own = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+
+
+def one_of_each(documents: DataFrame, **options) -> DataFrame:
+    """The rows of documents, with all their columns, one for each component of near_duplicates().
+
+    Rows are told apart by a number of their own, which is written with them, so null and repeated doc_ids neither join
+    nor shadow each other. The row of the smallest doc_id stays (a null one comes last), of equal ones that of the least
+    text hash. Rows of an empty set are linked with nothing and all stay.
+    """
+    inner, restore = shield(documents, ("doc_id", "text"))
+    rows = materialize(inner.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    verdict = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), **options).select(F.col("doc_id").alias("r"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row").alias("place")
+    placed = materialize(verdict.join(rows.select("_row", order), F.col("_row") == F.col("r")).select("r", "component_id", "place"), "placed")
+    first = placed.groupBy(F.col("component_id").alias("c")).agg(F.min("place")["_row"].alias("stays"))
+    gone = materialize(placed.join(first, F.col("component_id") == F.col("c")).where("r <> stays").select("r"), "gone")
+    few = gone.count() <= BROADCAST_IDS
+    return restore(rows.join(F.broadcast(gone) if few else gone, F.col("_row") == F.col("r"), "left_anti"))
