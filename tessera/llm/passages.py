@@ -2,10 +2,10 @@
 
 A text is seen at two grains. Its lines of 20 words and more are paragraphs: min-max MinHash bands, as many as the wanted
 recall needs, propose pairs; exact Jaccard similarity of their shingles confirms them. A passage may also sit inside
-lines that differ elsewhere, so lines are further cut where the words themselves say so (content-defined cuts): the cuts
-inside a copied passage fall alike in every document, and its small paragraphs between cuts are equal, which is
-similarity one and needs a single band. Links of both grains form components; the paragraph in the smallest doc_id stays,
-the others go. Small paragraphs go only in runs of `least_run` words.
+lines that differ elsewhere or break at other words, so texts are further seen as plain sequences of words: seeds chosen
+by content (winnowing) lie in every window of `least_run` words, alike in every document, and the windows around seeds
+that two documents share are compared whole. Links of lines form components; the paragraph, or window, in the smallest
+doc_id stays, the others go.
 """
 
 from __future__ import annotations
@@ -26,10 +26,12 @@ from tessera.llm.components import BROADCAST_IDS, link, shared_keys
 from tessera.llm.neardup import least_agreement, min_max_bands
 from tessera.llm.storage import materialize, shield
 
-LINE_WORDS, CUT_ONE_IN, CUT_MIN, CUT_MAX = 20, 8, 4, 32
+#: Words of a line that is a paragraph, and of a seed.
+LINE_WORDS, SEED_WORDS = 20, 10
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LINES = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "text_key", "start", "n", "k1", "k2")] + [T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
-CHUNKS = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "text_key", "start", "n", "h")])
+SEEDS = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "text_key", "start", "h", "copy_of")])
+WINDOWS = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "text_key", "start", "h")])
 
 
 def tuned_bands(percent: int, recall: float, values: int = 4) -> int:
@@ -58,42 +60,39 @@ def _lines(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(text, np.int64), np.array(first, np.int64), np.array(count, np.int64)
 
 
-def cuts(hashes: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Small paragraphs of lines (places of their first words in `hashes`, counts of words): starts and lengths.
-
-    A cut falls before a word if the hash of the three words from it on says so and the last such cut is CUT_MIN words
-    away or more; pieces over CUT_MAX words are cut evenly.
-    """
-    n = len(hashes)
-    key = hashes.copy()
-    key[:-1] += hashes[1:] * np.uint64(3) if n > 1 else 0
-    key[:-2] += hashes[2:] * np.uint64(5) if n > 2 else 0
-    marked = np.flatnonzero(W.mix64(key) % np.uint64(CUT_ONE_IN) == 0)
-    own = np.searchsorted(marked, np.stack((first, first + count)))
-    starts, sizes = [], []
-    for a, c, lo, hi in zip(first.tolist(), count.tolist(), own[0].tolist(), own[1].tolist(), strict=True):
-        bounds, end = [a], a + c
-        for m in marked[lo:hi].tolist():
-            if m - bounds[-1] >= CUT_MIN or (m > a and bounds[-1] == a):
-                bounds.append(m)
-        bounds.append(end)
-        for s, e in zip(bounds, bounds[1:]):
-            while e - s > CUT_MAX:
-                starts.append(s)
-                sizes.append(CUT_MAX)
-                s += CUT_MAX
-            if e > s:
-                starts.append(s)
-                sizes.append(e - s)
-    return np.array(starts, np.int64), np.array(sizes, np.int64)
-
-
-def _span_hashes(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(starts), np.uint64)
-    for k in range(int(sizes.max(initial=0))):
-        live = np.flatnonzero(sizes > k)
-        out[live] = W.mix64(out[live] * np.uint64(0x9E3779B97F4A7C15) + hashes[starts[live] + k] + np.uint64(k + 1))
-    return out
+def _sliding(x: np.ndarray, width: int, least: np.ufunc) -> np.ndarray:
+    """least.reduce of every `width` values in a row, in doubling steps."""
+    size = 1
+    while 2 * size <= width:
+        x = least(x[:-size], x[size:])
+        size *= 2
+    return least(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
+
+
+def winnow(hashes: np.ndarray, at: np.ndarray, least_run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the seeds of texts (words' hashes, where each text starts): of each window of `least_run` words, its runs of SEED_WORDS words with the least hash. The words of a window alone decide, so equal windows have equal seeds."""
+    size = min(SEED_WORDS, least_run)
+    span = least_run - size + 1
+    if len(hashes) < least_run:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    value = _rolled(hashes, np.arange(len(hashes) - size + 1), size)
+    least = _sliding(value, span, np.minimum)
+    inside = np.ones(len(least), bool)  # windows that lie in one text
+    for end in at[1:-1].tolist():
+        inside[max(0, end - least_run + 1) : end] = False
+    pad = np.zeros(span - 1, np.uint64)
+    best = _sliding(np.concatenate((pad, np.where(inside, least, np.uint64(0)), pad)), span, np.maximum)
+    places = np.flatnonzero(best == value)
+    return places, value[places]
+
+
+def _rolled(hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """The hash of the `size` words from each start on."""
+    out = np.full(len(starts), np.uint64(size), np.uint64)
+    for k in range(size):
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += hashes[starts + k]
+    return W.mix64(out)
 
 
 def _columns(batch: pa.RecordBatch, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -102,17 +101,53 @@ def _columns(batch: pa.RecordBatch, blobs: list[bytes]) -> tuple[np.ndarray, np.
     return ids, np.array([xxhash.xxh3_64_intdigest(b) for b in blobs], np.uint64).view(np.int64)
 
 
-def small_paragraphs(documents: DataFrame) -> DataFrame:
+def seeds(documents: DataFrame, least_run: int) -> DataFrame:
+    """The seeds of texts (doc_id, text, copy_of). A text that copies a smaller doc_id has one row, with its count of words as start, instead."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, blobs in W.chunks(batches, "text"):
             hashes, at = _hashes(blobs)
-            text, first, count = _lines(blobs)
-            starts, sizes = cuts(hashes, at[:-1][text] + first, count)
             ids, keys = _columns(batch, blobs)
-            owner = np.searchsorted(at, starts, "right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[owner], keys[owner], starts - at[:-1][owner], sizes, _span_hashes(hashes, starts, sizes).view(np.int64))], names=CHUNKS.names)
+            column = batch.column(batch.schema.get_field_index("copy_of"))
+            is_copy = column.is_valid().to_numpy(zero_copy_only=False)
+            places, values = winnow(hashes, at, least_run)
+            owner = np.searchsorted(at, places, "right") - 1
+            live = ~is_copy[owner]
+            places, values, owner = places[live], values[live], owner[live]
+            whole = np.flatnonzero(is_copy & (np.diff(at) >= least_run))
+            rows = np.concatenate((owner, whole))
+            start = np.concatenate((places - at[:-1][owner], np.diff(at)[whole]))
+            h = np.concatenate((values.view(np.int64), np.zeros(len(whole), np.int64)))
+            keeper = np.concatenate((np.zeros(len(owner), np.int64), column.fill_null(0).to_numpy(zero_copy_only=False)[whole]))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (ids[rows], keys[rows], start, h)), pa.array(keeper, mask=np.arange(len(rows)) < len(owner))], names=SEEDS.names)
+
+    return documents.select("doc_id", "text", "copy_of").mapInArrow(run, SEEDS)
+
+
+def seeded_windows(documents: DataFrame, marks: DataFrame, few: bool, least_run: int) -> DataFrame:
+    """The windows of `least_run` words that hold a marked seed (of_id, of_key, places), with their hashes."""
+    marks = marks.groupBy(F.col("of_id").alias("m")).agg(F.collect_list(F.struct("of_key", "places")).alias("marks"))
+    chosen = documents.select("doc_id", "text").join(F.broadcast(marks) if few else marks, F.coalesce("doc_id", F.lit((1 << 63) - 1)) == F.col("m"))
+    reach = least_run - min(SEED_WORDS, least_run)
 
-    return documents.select("doc_id", "text").mapInArrow(run, CHUNKS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, blobs in W.chunks(batches, "text"):
+            hashes, at = _hashes(blobs)
+            ids, keys = _columns(batch, blobs)
+            lists = batch.column(batch.schema.get_field_index("marks")).to_pylist()
+            owners, starts = [], []
+            for d, own in enumerate(lists):
+                places = [p for o in own if o["of_key"] == keys[d] for p in o["places"]]
+                if places:
+                    at_word = np.unique(np.array(places, np.int64)[:, None] - np.arange(reach + 1))
+                    at_word = at_word[(at_word >= 0) & (at_word <= at[d + 1] - at[d] - least_run)]
+                    starts.append(at_word)
+                    owners.append(np.full(len(at_word), d))
+            owner, start = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (owners, starts))
+            h = _rolled(hashes, at[:-1][owner] + start, least_run)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[owner], keys[owner], start, h.view(np.int64))], names=WINDOWS.names)
+
+    return chosen.select("doc_id", "text", "marks").mapInArrow(run, WINDOWS)
 
 
 def line_paragraphs(documents: DataFrame, width: int, bands: int) -> DataFrame:
@@ -178,34 +213,53 @@ def line_removals(documents: DataFrame, width: int, percent: int, recall: float)
     return every.join(named, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))).where("doc_id <> keeper").select("doc_id", "text_key", "start", "n", "keeper")
 
 
-def chunk_removals(documents: DataFrame, least_run: int) -> DataFrame:
-    """(doc_id, text_key, start, n, keeper) of runs of small paragraphs that a smaller doc_id has too."""
-    rows = materialize(small_paragraphs(documents), "small")
-    first = rows.groupBy("h").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper <> last").select(F.col("h").alias("k"), "keeper")
-    hits = rows.join(first, F.col("h") == F.col("k")).where("doc_id <> keeper")
+def _copies(documents: DataFrame) -> DataFrame:
+    """documents (doc_id, text) with copy_of: the smallest doc_id of the same text, null where it is the row's own."""
+    rows = documents.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.xxhash64("text").alias("t"), F.octet_length("text").alias("size")).where("size > 0")
+    first = rows.groupBy("t", "size").agg(F.min("id").alias("copy_of"), F.max("id").alias("last")).where("copy_of <> last").select(F.col("t").alias("t1"), F.col("size").alias("s1"), "copy_of")
+    copies = materialize(rows.join(first, (F.col("t") == F.col("t1")) & (F.col("size") == F.col("s1"))).where("id <> copy_of").select("id", "t", "copy_of").distinct(), "copies")
+    few = copies.count() <= BROADCAST_IDS
+    own = (F.coalesce("doc_id", F.lit((1 << 63) - 1)) == F.col("id")) & (F.xxhash64("text") == F.col("t"))
+    return documents.select("doc_id", "text").join(F.broadcast(copies) if few else copies, own, "left").select("doc_id", "text", "copy_of")
+
+
+def window_removals(documents: DataFrame, least_run: int) -> DataFrame:
+    """(doc_id, text_key, start, n, keeper) of all windows of `least_run` words that a smaller doc_id has too, joined up.
+
+    Texts that copy a smaller doc_id's go as a whole. Two documents that share a window share its seeds, so the windows
+    around shared seeds, which are few against all, have every shared window among them; they meet by their hashes.
+    """
+    rows = materialize(seeds(_copies(documents), least_run), "seeds")
+    copied = rows.where("copy_of is not null").select("doc_id", "text_key", F.lit(0).cast("long").alias("start"), F.col("start").alias("n"), F.col("copy_of").alias("keeper"))
+    rows = rows.where("copy_of is null")
+    both = rows.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select(F.col("h").alias("k"))
+    # a document's own seeds: as many as its words allow
+    marks = materialize(rows.join(both, F.col("h") == F.col("k")).groupBy(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key")).agg(F.collect_set(F.col("start").cast("int")).alias("places")), "marks")
+    # a place is a quarter of an id's 16 bytes
+    few = (marks.agg(F.sum(F.size("places") + 4)).first()[0] or 0) <= 4 * BROADCAST_IDS
+    windows = materialize(seeded_windows(documents, marks, few, least_run), "windows")
+    first = windows.groupBy("h").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper <> last").select(F.col("h").alias("k"), "keeper")
+    hits = windows.join(first, F.col("h") == F.col("k")).where("doc_id <> keeper")
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "text_key", "start", "n", "keeper")])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list[int]] = [[], [], [], [], []]
             for doc, key, parts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                parts = sorted({(p["start"], p["n"]): p["keeper"] for p in parts}.items())
-                k = 0
-                while k < len(parts):
-                    (start, n), keeper = parts[k]
-                    end, j = start + n, k + 1
-                    while j < len(parts) and parts[j][0][0] == end:
-                        end += parts[j][0][1]
-                        keeper = min(keeper, parts[j][1])
-                        j += 1
-                    if end - start >= least_run:
-                        for column, x in zip(out, (doc, key, start, end - start, keeper), strict=True):
-                            column.append(x)
-                    k = j
+                merged: list[list[int]] = []
+                for start, keeper in sorted((p["start"], p["keeper"]) for p in parts):
+                    if merged and start <= merged[-1][1]:
+                        merged[-1][1] = start + least_run
+                        merged[-1][2] = min(keeper, merged[-1][2])
+                    else:
+                        merged.append([start, start + least_run, keeper])
+                for start, end, keeper in merged:
+                    for column, x in zip(out, (doc, key, start, end - start, keeper), strict=True):
+                        column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=schema.names)
 
-    # a document's own small paragraphs: as many as its words allow
-    return hits.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "n", "keeper")).alias("parts")).mapInArrow(runs, schema)
+    # a document's own windows: as many as its words allow
+    return copied.unionByName(hits.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "keeper")).alias("parts")).mapInArrow(runs, schema))
 
 
 def without_passages(documents: DataFrame, width: int = 5, percent: int = 75, recall: float = 0.995, least_run: int = 24) -> DataFrame:
@@ -217,7 +271,7 @@ def without_passages(documents: DataFrame, width: int = 5, percent: int = 75, re
     becomes empty, and its row stays. An empty table gives no rows.
     """
     lines = line_removals(documents, width, percent, recall)
-    both = materialize(lines.unionByName(chunk_removals(documents, least_run)), "removals")
+    both = materialize(lines.unionByName(window_removals(documents, least_run)), "removals")
     # a document's spans: as many as its words allow
     spans = both.groupBy(F.col("doc_id").alias("span_id"), F.col("text_key").alias("span_key")).agg(F.collect_list(F.struct("start", "n", "keeper")).alias("_parts"))
     small = both.count() <= BROADCAST_IDS
