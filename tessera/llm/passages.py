@@ -1,6 +1,6 @@
 """Substring dedup by paragraph MinHash banding.
 
-A text is seen at two grains. Its lines of 20 words and more are paragraphs: min-max MinHash bands, as many as the wanted
+A text is seen at two grains. Its lines of 20 words and more, and blocks of shorter lines in a row, are paragraphs: min-max MinHash bands, as many as the wanted
 recall needs, propose pairs; exact Jaccard similarity of their shingles confirms them. A passage may also sit inside
 lines that differ elsewhere or break at other words, so texts are further seen as plain sequences of words: seeds chosen
 by content (winnowing) lie in every window of `least_run` words, alike in every document, and the windows around seeds
@@ -26,8 +26,10 @@ from tessera.llm.components import BROADCAST_IDS, link, shared_keys
 from tessera.llm.neardup import least_agreement, min_max_bands
 from tessera.llm.storage import materialize, shield
 
-#: Words of a line that is a paragraph, and of a seed.
+#: Words of a line (or a run of shorter lines) that is a paragraph, and of a seed.
 LINE_WORDS, SEED_WORDS = 20, 10
+#: Words of a block of a longer run of short lines, and between starts of blocks at least: so far apart, two blocks of a run are never 75 % similar.
+BLOCK_WORDS, BLOCK_GAP = 40, 6
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LINES = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "text_key", "start", "n", "k1", "k2")] + [T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
 SEEDS = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "text_key", "start", "h", "copy_of")])
@@ -60,6 +62,41 @@ def _lines(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(text, np.int64), np.array(first, np.int64), np.array(count, np.int64)
 
 
+def _block_starts(hashes: np.ndarray) -> list[int]:
+    """Where blocks of a long run of short lines start: at its ends, and between them before words whose three-word hash is the least of BLOCK_GAP - 1 to either side, wherever lines break."""
+    last = len(hashes) - BLOCK_WORDS
+    key = W.mix64(hashes[:-2] + hashes[1:-1] * np.uint64(3) + hashes[2:] * np.uint64(5))
+    least = _sliding(key, 2 * BLOCK_GAP - 1, np.minimum)
+    out = [0]
+    for p in (np.flatnonzero(least == key[BLOCK_GAP - 1 : BLOCK_GAP - 1 + len(least)]) + BLOCK_GAP - 1).tolist():
+        if out[-1] + BLOCK_GAP <= p <= last - BLOCK_GAP:
+            out.append(p)
+    return [*out, last]
+
+
+def _paragraphs(hashes: np.ndarray, at: np.ndarray, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all paragraphs: the text's number, the first word's place in the text, and the count of words."""
+    text, first, count = _lines(blobs)
+    if not len(text):
+        return text, first, count
+    long = count >= LINE_WORDS
+    head = np.ones(len(text), bool)
+    head[1:] = long[1:] | long[:-1] | (text[1:] != text[:-1])
+    heads = np.flatnonzero(head)
+    total = np.add.reduceat(count, heads)
+    text, first, long = text[heads], first[heads], long[heads]
+    split = ~long & (total >= BLOCK_WORDS + BLOCK_GAP)
+    whole = (total >= LINE_WORDS) & ~split
+    texts, firsts, counts = [text[whole]], [first[whole]], [total[whole]]
+    for r in np.flatnonzero(split).tolist():
+        begin = at[text[r]] + first[r]
+        starts = np.array(_block_starts(hashes[begin : begin + total[r]]), np.int64)
+        texts.append(np.full(len(starts), text[r]))
+        firsts.append(first[r] + starts)
+        counts.append(np.full(len(starts), BLOCK_WORDS))
+    return np.concatenate(texts), np.concatenate(firsts), np.concatenate(counts)
+
+
 def _sliding(x: np.ndarray, width: int, least: np.ufunc) -> np.ndarray:
     """least.reduce of every `width` values in a row, in doubling steps."""
     size = 1
@@ -151,14 +188,12 @@ def seeded_windows(documents: DataFrame, marks: DataFrame, few: bool, least_run:
 
 
 def line_paragraphs(documents: DataFrame, width: int, bands: int) -> DataFrame:
-    """Lines of LINE_WORDS words and more with their fingerprint and band hashes."""
+    """Lines of LINE_WORDS words and more, and blocks of shorter ones, with their fingerprint and band hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, blobs in W.chunks(batches, "text"):
             hashes, at = _hashes(blobs)
-            text, first, count = _lines(blobs)
-            long = count >= LINE_WORDS
-            text, first, count = text[long], first[long], count[long]
+            text, first, count = _paragraphs(hashes, at, blobs)
             begin = at[:-1][text] + first
             total = np.concatenate(([0], np.cumsum(count)))
             flat = hashes[np.repeat(begin - total[:-1], count) + np.arange(total[-1])]

@@ -57,6 +57,20 @@ def test_other_line_breaks(spark):
     assert [got[i].n_removed for i in range(len(texts))] == size
 
 
+def test_edited_short_lines(spark):
+    """Runs of short lines, of which an edit leaves no 24 words in a row, or which are edited every 36 words; wrapped otherwise in the copy."""
+    rng = random.Random(8)
+    texts, least = [], []
+    for n, edits in [(40, (20,))] * 12 + [(47, (23,))] * 12 + [(120, (30, 66, 102))] * 12:
+        p = new(rng, n)
+        q = [f"edit{rng.randrange(10**9)}" if k in edits else w for k, w in enumerate(p)]
+        texts += ["\n".join([" ".join(new(rng, 25)), wrap(x, width), " ".join(new(rng, 25))]) for x, width in ((p, 8), (q, 11))]
+        least += [0, 0.8 * n]
+    got = cleaned(spark, texts)
+    assert all(got[i].n_removed == 0 for i in range(0, len(texts), 2))
+    assert sum(got[i].n_removed >= least[i] for i in range(1, len(texts), 2)) >= 0.95 * len(texts) / 2
+
+
 def test_null_and_repeated_ids(spark):
     rng = random.Random(9)
     p, q = new(rng, 60), new(rng, 60)
