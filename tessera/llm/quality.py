@@ -2,9 +2,11 @@
 
 Each rule rejects a document whose feature is above a cutoff of the document's stratum. Cutoffs come from a fixed grid,
 chosen on labelled documents: a cutoff is certified if the exact (Clopper-Pearson) upper bound on its share of good
-documents rejected is within the rule's part of the allowed risk, at a confidence divided by the number of strata, rules
-and cutoffs (Bonferroni). So with probability 1 - delta, in no stratum do all rules together reject more than `risk`
-of the good documents. The strictest certified cutoff is taken; a rule without one is off in that stratum.
+documents rejected is within the rule's part of the allowed risk, at a confidence divided by the number of strata and
+rules (Bonferroni). The cutoffs of a rule are tested in fixed sequence from the loosest, up to the first that is not
+certified, which needs no further division. So with probability 1 - delta, in no stratum do all rules together reject
+more than `risk` of the good documents. The strictest certified cutoff is taken; a rule without one is off in that
+stratum. Strata with too few good labels to certify any cutoff are pooled as one stratum, to which the risk then applies.
 """
 
 from __future__ import annotations
@@ -118,7 +120,7 @@ def certify(counts: dict[tuple[str, int, int], tuple[int, int]], totals: dict[st
     of the grid. totals: (good, bad) of each stratum. A cutoff that rejects more good than bad labelled documents is not used.
     """
     grids = list(RULES.values())
-    tests = max(1, len(totals) * sum(map(len, grids)))
+    tests = max(1, len(totals) * len(grids))
     out: dict[str, list[float]] = {}
     for stratum, (good, _) in totals.items():
         out[stratum] = [math.inf] * len(grids)
@@ -134,6 +136,12 @@ def certify(counts: dict[tuple[str, int, int], tuple[int, int]], totals: dict[st
     return out
 
 
+def own_strata(good: list[int], risk: float, delta: float) -> int:
+    """How many of the strata, by their counts of good labels in descending order, stand alone: as many as could each certify a cutoff that rejects no good document, beside one pooled stratum."""
+    rules = len(RULES)
+    return max((m for m in range(1, len(good) + 1) if upper_bound(0, good[m - 1], delta / ((m + 1) * rules)) <= risk / rules), default=0)
+
+
 def labelled(labels: DataFrame) -> DataFrame:
     """(labelled_id, good): one row for each labelled doc_id; a document labelled both ways counts as good."""
     return labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("labelled_id")).agg((F.max("quality") > 0).alias("good"))
@@ -142,13 +150,14 @@ def labelled(labels: DataFrame) -> DataFrame:
 def thresholds(measures: DataFrame, labels: DataFrame, stratum: str, risk: float = 0.05, delta: float = 0.05, min_labels: int = 200, max_strata: int = 64) -> dict[str, list[float]]:
     """Cutoffs by stratum from the measures (doc_id, stratum, features) of labelled documents that pass the base rules.
 
-    Strata of under min_labels labels, and those beyond the max_strata with most, are pooled as one.
+    Strata of under min_labels labels or too few good ones to certify any cutoff, and those beyond the max_strata with
+    most good ones, are pooled as one.
     """
     rows = measures.join(labelled(labels), F.col("doc_id") == F.col("labelled_id"))
     rows = rows.where((F.col("n_words") >= MIN_WORDS) & (100 * F.col("n_repeat_words") <= MAX_REPEAT * F.col("n_words")))
     rows = materialize(rows.select(F.coalesce(F.col(stratum).cast("string"), F.lit(POOLED)).alias("s"), "good", "features"), "labelled")
-    sizes = rows.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= min_labels).orderBy(F.desc("n"), "s").limit(max_strata).collect()
-    own = [r["s"] for r in sizes]
+    sizes = rows.groupBy("s").agg(F.count("*").alias("n"), F.count_if("good").alias("g")).where((F.col("n") >= min_labels) & (F.col("s") != POOLED)).orderBy(F.desc("g"), "s").limit(max_strata).collect()
+    own = [r["s"] for r in sizes][: own_strata([r["g"] for r in sizes], risk, delta)]
     rows = rows.withColumn("s", F.when(F.col("s").isin(own), F.col("s")).otherwise(F.lit(POOLED)) if own else F.lit(POOLED))
     level = [F.struct(F.lit(j).alias("rule"), sum(((F.col("features")[j] > c).cast("int") for c in grid), F.lit(0)).alias("level")) for j, grid in enumerate(RULES.values())]
     seen = rows.select("s", "good", F.explode(F.array(*level)).alias("x")).groupBy("s", "x.rule", "x.level").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b")).collect()
