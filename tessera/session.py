@@ -23,8 +23,14 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     return reach_workers(builder.getOrCreate())
 
 
+#: Rows of an Arrow batch, unless the session sets its own: texts can be long, and a batch is held on both sides.
+BATCH_ROWS, BATCH_SETTING = 2_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def reach_workers(spark: SparkSession) -> SparkSession:
-    """Lets Python workers on machines that hold this package at the same place import it, whatever folder the driver runs in. Elsewhere, ship it with --py-files."""
+    """Lets Python workers on machines that hold this package at the same place import it, whatever folder the driver runs in, and keeps their batches small. Elsewhere, ship the package with --py-files."""
+    if not spark.sparkContext.getConf().contains(BATCH_SETTING):
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
     root = str(Path(__file__).resolve().parent.parent)
     environment = spark.sparkContext.environment
     paths = environment.get("PYTHONPATH", "").split(os.pathsep)
