@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 from tessera.llm import words as W
 
 END_ID = 2
-#: Words whose ids a worker holds: about 150 bytes each.
-TOKEN_WORDS = 1_500_000
+#: Words whose ids a worker holds.
+TOKEN_WORDS = 300_000
 PIECES = T.StructType([T.StructField("doc_id", T.LongType())] + [T.StructField(x, T.LongType()) for x in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [T.StructField("bucket", T.IntegerType())])
 
 
@@ -34,7 +34,6 @@ class Subwords:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.size = self.tokenizer.get_vocab_size()
         self.closes = np.zeros(self.size, bool)
@@ -55,7 +54,7 @@ class Subwords:
         for part, e in zip(runs, self.tokenizer.encode_batch_fast([" ".join(p) for p in runs], add_special_tokens=False), strict=True):
             got = np.array(e.ids, np.uint32)
             ends = np.flatnonzero(self.closes[got])
-            pieces = np.cumsum([len(self.pieces(x if x.isascii() else unicodedata.normalize("NFC", x).lower())) for x in part])
+            pieces = np.cumsum([len(self.pieces(x.lower() if x.isascii() else unicodedata.normalize("NFC", x).lower())) for x in part])
             if len(ends) == pieces[-1] and (not len(got) or (len(ends) and ends[-1] == len(got) - 1)):
                 bounds = np.concatenate(([0], np.concatenate(([-1], ends))[pieces] + 1))
                 ids.append(got)
@@ -67,6 +66,27 @@ class Subwords:
         return np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.concatenate(counts).astype(np.int64) if counts else np.zeros(0, np.int64)
 
 
+class TokenWords(W.WordTable):
+    """A word table whose first two columns say where a word's ids start in its owner's list, and how many they are."""
+
+    owner: TokenTable
+
+    def forget(self) -> np.ndarray:
+        keep = super().forget()
+        first, counts = self.columns[:2]
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        at = np.repeat(first - ends[:-1], counts) + np.arange(ends[-1])
+        self.owner.ids, self.owner.used = self.owner.ids[at], int(ends[-1])
+        self.columns = (ends[:-1], *self.columns[1:])
+        self.parts = [[c] for c in self.columns]
+        return keep
+
+
+def spelled(blob: bytes) -> bytes:
+    """The text with A-Z in lower case, as the tokenizer reads it; one that may hold a special token's string, which counts as that token in this spelling only, stays as it is."""
+    return blob if b"<|" in blob else blob.lower()
+
+
 class TokenTable:
     """Words' token ids, kept by each worker; more(words) adds columns to the table."""
 
@@ -74,15 +94,14 @@ class TokenTable:
         self.subwords, self.more = Subwords(path), more
         self.ids = np.zeros(1 << 16, np.uint32)
         self.used = 0
-        self.table = W.WordTable(self._fill, TOKEN_WORDS)
+        self.table = TokenWords(self._fill, TOKEN_WORDS)
+        self.table.owner = self
 
     @classmethod
     def of(cls, path: str) -> "TokenTable":
         return W.held(path, lambda: cls(path))
 
     def _fill(self, new: list[bytes]) -> tuple[np.ndarray, ...]:
-        if len(new) == len(self.table):  # the table was emptied
-            self.used = 0
         ids, counts = self.subwords.encode(new)
         if self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate((self.ids[: self.used], np.zeros(max(len(ids), len(self.ids)), np.uint32)))
@@ -121,7 +140,7 @@ def pack(documents: DataFrame, tokenizer_path: str, longest: int = 4096, end_id:
         table = TokenTable.of(tokenizer_path)
         sequence = TaskContext.get().partitionId() << 40
         for batch, blobs in W.chunks(batches, "text"):
-            rows, starts = W.split(table.table, [b.lower() for b in blobs])
+            rows, starts = W.split(table.table, [spelled(b) for b in blobs])
             ids, at = table.tokens(rows, starts)
             end = np.array([end_id], np.uint32)
             out: list[list] = [[] for _ in range(8)]

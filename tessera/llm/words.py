@@ -3,12 +3,14 @@
 A word is a run of bytes other than \\x20 and \\x09-\\x0D, which is what `bytes.split()` yields on UTF-8.
 Each Python worker keeps one WordTable, of the use it was last put to: a dictionary from word to row number with columns of
 per-word values (hashes, token ids, counts), so that a word costs its computation once and a lookup after that.
-The table is emptied when it passes its limit; that changes speed, never results.
+A table that passes its limit forgets the words it has seen least; that changes speed, never results.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import suppress
 from itertools import chain
 
 import numpy as np
@@ -16,8 +18,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-#: Words and bytes of words that a table holds before it is emptied, and bytes of text handled at a time.
-TABLE_WORDS, TABLE_BYTES, CHUNK_BYTES = 400_000, 64 << 20, 4 << 20
+#: Words that a table holds, and bytes it may take, before it forgets; and bytes of text handled at a time.
+TABLE_WORDS, TABLE_BYTES, CHUNK_BYTES = 250_000, 64 << 20, 2 << 20
+#: Bytes that a word takes in a table beside its own characters: the bytes object, its number, its place in the dictionary and its columns.
+WORD_BYTES = 180
 
 
 class WordTable(dict):
@@ -30,22 +34,40 @@ class WordTable(dict):
         self.bytes = 0
         self.parts: list[list[np.ndarray]] = []
         self.columns: tuple[np.ndarray, ...] | None = None
+        self.uses = np.zeros(0, np.int64)
 
     def __missing__(self, word: bytes) -> int:
         row = self[word] = len(self)
         self.new.append(word)
-        self.bytes += len(word)
+        self.bytes += len(word) + WORD_BYTES
         return row
 
     def full(self) -> bool:
-        """Whether the next call of rows() empties the table."""
+        """Whether the next call of rows() makes the table forget, which changes row numbers."""
         return len(self) > self.limit or self.bytes > TABLE_BYTES
 
+    def forget(self) -> np.ndarray:
+        """Keeps the words used most, half of what fits; returns their former rows. Words used once always go."""
+        most = self.limit // 2
+        order = np.argsort(-self.uses, kind="stable")[:most]
+        keep = np.sort(order[self.uses[order] > 1])
+        words = list(self)
+        kept = [words[r] for r in keep.tolist()]
+        sizes = np.cumsum([len(w) + WORD_BYTES for w in kept])
+        fit = int(np.searchsorted(sizes, TABLE_BYTES // 2, "right"))
+        kept, keep = kept[:fit], keep[:fit]
+        self.clear()
+        self.update(zip(kept, range(len(kept))))
+        self.bytes = int(sizes[fit - 1]) if fit else 0
+        self.columns = tuple(c[keep] for c in self.columns)
+        self.parts = [[c] for c in self.columns]
+        self.uses = self.uses[keep] // 2
+        return keep
+
     def rows(self, words: Iterable[bytes], count: int) -> np.ndarray:
         """Row numbers of the words. Columns hold until the next call."""
         if self.full():
-            self.clear()
-            self.parts, self.columns, self.bytes = [], None, 0
+            self.forget()
         out = np.fromiter(map(self.__getitem__, words), np.int32, count)
         if self.new or self.columns is None:
             got = self.fill(self.new)
@@ -56,6 +78,9 @@ class WordTable(dict):
                     have[-2:] = [np.concatenate(have[-2:])]
             self.columns = tuple(np.concatenate(x) if len(x) > 1 else x[0] for x in self.parts)
             self.new = []
+        seen = np.bincount(out, minlength=len(self))
+        seen[: len(self.uses)] += self.uses
+        self.uses = seen
         return out
 
 
@@ -85,6 +110,15 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a), [x or b"" for x in col.slice(a, b - a).to_pylist()]
+        del col
+    _give_back()
+
+
+def _give_back() -> None:
+    """Returns freed memory to the system: a worker lives on after its task, beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def split(table: WordTable, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -63,8 +63,10 @@ def test_min_max_estimates():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 63, 600, dtype=np.uint64)
     sets = [np.sort(a[:500]), np.sort(a[100:])]
-    _, sketch = neardup.min_max_bands(np.concatenate(sets), np.array([0, 500, 1000]), 64, 4)
-    assert abs((sketch[0] == sketch[1]).mean() - 400 / 600) < 0.08
+    values = neardup.min_max(np.concatenate(sets), np.array([0, 500, 1000]), 512)
+    assert abs((values[:, 0] == values[:, 1]).mean() - 400 / 600) < 0.08
+    bands = neardup.min_max_bands(np.concatenate(sets), np.array([0, 500, 1000]), 128, 4)
+    assert abs((bands[0] == bands[1]).mean() - (400 / 600) ** 4) < 0.12
 
 
 def test_exact_search_equals_brute_force():
@@ -121,13 +123,35 @@ def test_shingles_of_words():
     assert np.diff(at).tolist() == [2, 1, 0, 1] and values[0] == values[2] != values[1]
 
 
-def test_word_table_is_emptied():
-    t = W.WordTable(W.hash64, limit=3)
-    first = t.columns
-    for text in (b"a b c d", b"e a", b"a"):
+def test_word_table_forgets():
+    t = W.WordTable(W.hash64, limit=4)
+    for text in (b"a a b b c d e", b"e a f g h", b"a", b"b b z z y x w v u t", b"z"):
         rows, _ = W.split(t, [text])
         assert t.columns[0][rows].tolist() == W.hash64(text.split())[0].tolist()
-    assert first is None and len(t) <= 4
+    assert len(t) <= 4 and b"z" in t and b"w" not in t
+
+
+def test_token_table_forgets():
+    from tessera.llm import packing
+    from tessera.llm.queries import tokenizer_path
+
+    t = packing.TokenTable(tokenizer_path())
+    t.table.limit = 40
+    rng = random.Random(4)
+    for _ in range(30):
+        words = [f"wörd{int(rng.paretovariate(0.6)) % 300}x" for _ in range(60)]
+        ids, at = t.tokens(*W.split(t.table, [" ".join(words).encode()]))
+        assert ids.tolist() == t.subwords.tokenizer.encode(" ".join(words), add_special_tokens=False).ids and at[-1] == len(ids)
+
+
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "A <|ENDOFTEXT|> B", "x<|endoftext|>y. FOO'S", "<|startoftext|>", "It'S <| b |>c <|startoftext|>, 12 Été", "plain Text"])
+def test_special_tokens(text):
+    from tessera.llm import packing
+    from tessera.llm.queries import tokenizer_path
+
+    t = packing.TokenTable(tokenizer_path())
+    ids, _ = t.tokens(*W.split(t.table, [packing.spelled(text.encode())]))
+    assert ids.tolist() == t.subwords.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_windows_score_each_token_once():

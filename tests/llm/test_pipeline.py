@@ -96,7 +96,6 @@ def test_packing(made):
 
     before, after, *_ = made["packing"]
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     want = {r.doc_id: len(t.encode(r.text, add_special_tokens=False).ids) + 1 for r in before}
     got = Counter()
     for r in after:

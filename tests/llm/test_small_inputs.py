@@ -74,7 +74,6 @@ def test_packing(docs, none):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     got = packing.pack(docs, tokenizer_path(), keep_ids=True).collect()
     left = {}
     for i, text, *_ in ROWS:
