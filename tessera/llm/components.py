@@ -9,14 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.storage import materialize
+from tessera.llm.storage import beside, discard, materialize
 
 #: Up to so many edges (16 bytes each) are joined up by one task; beyond, by rounds over all executors.
 ONE_TASK_EDGES = 1_000_000
-#: Nodes in a block of a large key, and in a home of nodes whose sets travel together.
-BLOCK, HOME = 48, 128
-#: Up to so many ids (16 bytes each) are sent to all executors instead of shuffling texts or sets by id.
-BROADCAST_IDS = 500_000
+#: Nodes in a block of a large key; nodes, and hashes of 8 bytes, in a home of nodes whose sets travel together.
+BLOCK, HOME, HOME_HASHES = 48, 128, 1 << 16
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -45,7 +43,7 @@ def _join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFrame:
-    """(node, component) for every node of the undirected edges (a, b); the component is its smallest node.
+    """(node, component) for every node of the undirected edges (a, b), written; the component is its smallest node.
 
     Few edges are joined up by one task. Beyond `one_task` of them, the large-star and small-star steps alternate until
     the edges are stars; each step writes its edges to the shared folder. Nodes of many edges meet only in min()
@@ -53,8 +51,11 @@ def components(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """
     now = materialize(edges.select("a", "b"), "edges")
     if now.count() <= one_task:
-        return now.coalesce(1).mapInArrow(_join_up, "node long, component long")
-    now = materialize(now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+        out = materialize(now.coalesce(1).mapInArrow(_join_up, "node long, component long"), "components")
+        discard(now)
+        return out
+    first, now = now, materialize(now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    discard(first)
     state = _state(now)
     while state[0]:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -62,44 +63,59 @@ def components(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFrame:
         large = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         top = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(top.withColumnRenamed("a", "u"), F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = materialize(small.union(top).where("a <> b").distinct(), "edges")
+        last, now = now, materialize(small.union(top).where("a <> b").distinct(), "edges")
         before, state = state, _state(now)
+        discard(last)
         if state == before:
             break
-    return now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node").union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out = now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node").union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out = materialize(out, "components")
+    discard(now)
+    return out
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """(key, node, hub) of keys (key, node) that two nodes or more have; the hub is the key's smallest node."""
-    counts = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").select(F.col("key").alias("k"), "hub")
-    return materialize(keys.join(counts, F.col("key") == F.col("k")).select("key", "node", "hub"), "keys")
+    """(key, node, hub) of keys (key, node) that two nodes or more have, written; the hub is the key's smallest node. Of keys that one node has, which are most, only a count is shuffled."""
+    twice = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k")), "twice")
+    members = materialize(keys.join(beside(twice, 1), F.col("key") == F.col("k"), "left_semi"), "members")
+    hubs = materialize(members.groupBy(F.col("key").alias("k")).agg(F.min("node").alias("hub")), "hubs")
+    out = materialize(members.join(beside(hubs), F.col("key") == F.col("k")).select("key", "node", "hub"), "keys")
+    discard(twice, members, hubs)
+    return out
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union. A set of many pairs is joined in a way that Spark can split."""
+    """The pairs (a, b), written, whose full sets have 100 * intersection >= percent * union. A set of many pairs is joined in a way that Spark can split."""
     pairs = materialize(pairs, "pairs")
-    hint = F.broadcast if pairs.count() <= BROADCAST_IDS else lambda x: x
-    one = sets.join(hint(pairs), F.col("node") == F.col("a")).select("a", "b", F.col("hashes").alias("ha"))
-    two = sets.join(hint(pairs.select(F.col("b").alias("n")).distinct()), F.col("node") == F.col("n"), "left_semi").select(F.col("node").alias("nb"), F.col("hashes").alias("hb"))
+    ends = materialize(pairs.select(F.col("b").alias("n")).distinct(), "ends")
+    one = sets.join(beside(pairs), F.col("node") == F.col("a")).select("a", "b", F.col("hashes").alias("ha"))
+    two = sets.join(beside(ends, 1), F.col("node") == F.col("n"), "left_semi").select(F.col("node").alias("nb"), F.col("hashes").alias("hb"))
     both = F.size(F.array_intersect("ha", "hb"))
-    return one.join(two, F.col("b") == F.col("nb")).where(100 * both >= percent * (F.size("ha") + F.size("hb") - both)).select("a", "b").distinct()
+    out = materialize(one.join(two, F.col("b") == F.col("nb")).where(100 * both >= percent * (F.size("ha") + F.size("hb") - both)).select("a", "b").distinct(), "links")
+    discard(pairs, ends)
+    return out
 
 
-def _homes(shared: DataFrame) -> DataFrame:
-    """(node, home): nodes with the same least hub share a home, of about HOME nodes at most."""
-    own = shared.groupBy("node").agg(F.min("hub").alias("family"))
-    sizes = own.groupBy("family").agg(F.ceil(F.count("*") / HOME).alias("parts")).withColumnRenamed("family", "f")
-    return own.join(sizes, F.col("family") == F.col("f")).select("node", F.xxhash64("family", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("home"))
+def _homes(shared: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, home), written: nodes with the same least hub share a home, of about HOME nodes and HOME_HASHES hashes at most (one set at least)."""
+    weights = sets.select(F.col("node").alias("w"), F.size("hashes").alias("hashes"))
+    own = materialize(shared.groupBy("node").agg(F.min("hub").alias("family")).join(weights, F.col("node") == F.col("w")).select("node", "family", "hashes"), "families")
+    parts = F.greatest(F.ceil(F.count("*") / HOME), F.ceil(F.sum("hashes") / HOME_HASHES))
+    sizes = materialize(own.groupBy(F.col("family").alias("f")).agg(parts.alias("parts")), "sizes")
+    out = materialize(own.join(beside(sizes), F.col("family") == F.col("f")).select("node", F.xxhash64("family", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("home")), "homes")
+    discard(own, sizes)
+    return out
 
 
 def _candidates(left: DataFrame, sketches: DataFrame, homes: DataFrame, agree: int) -> DataFrame:
     """(h1, h2, xs, ys): lists of pairs, by their homes, that share a key, are of different components and whose sketches agree in `agree` bytes or more. Nodes of a key are dealt into blocks, and each pair of blocks is one row of work."""
-    sizes = left.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("key", "k")
+    sizes = materialize(left.groupBy(F.col("key").alias("k")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
     known = sketches.withColumnRenamed("node", "n").join(homes.withColumnRenamed("node", "m"), F.col("n") == F.col("m")).select("n", "sketch", "home")
-    rows = left.join(sizes, F.col("key") == F.col("k")).join(known, F.col("node") == F.col("n"))
+    rows = left.join(beside(sizes), F.col("key") == F.col("k")).join(known, F.col("node") == F.col("n"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # a block holds about BLOCK nodes
     packed = materialize(rows.groupBy("key", "block").agg(*(F.collect_list(c).alias(c) for c in ("node", "comp", "home", "sketch"))), "blocks")
+    discard(sizes)
     one, two = (packed.select(*(F.col(c).alias(c + x) for c in packed.columns)) for x in "12")
     work = one.join(two, (F.col("key1") == F.col("key2")) & (F.col("block1") <= F.col("block2")))
     lists = pa.list_(pa.int64())
@@ -162,7 +178,7 @@ def _confirm_lists(rows: DataFrame, sets: DataFrame, homes: DataFrame, percent:
 
 
 def link(shared: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, agree: int) -> DataFrame:
-    """(node, component) of the nodes that links join; others are absent.
+    """(node, component) of the nodes that links join, written; others are absent.
 
     shared: shared_keys(), where nodes that share a key are candidates. sketches: (node, sketch), bytes of the signature.
     sets: (node, hashes), on which a link is confirmed. All pairs that share a key are settled, without emitting those of
@@ -170,13 +186,18 @@ def link(shared: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int,
     Nodes of keys that still hold several components are compared by their sketches in blocks, and the pairs of different
     components that agree enough for a link are confirmed on the sets, as lists between blocks of nodes.
     """
-    links = materialize(confirm(shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), sets, percent), "links")
-    found = materialize(components(links), "components")
-    labels = shared.join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-    mixed = labels.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"))
-    left = materialize(labels.join(mixed, F.col("key") == F.col("k")).select("key", "node", "comp"), "mixed")
+    links = confirm(shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), sets, percent)
+    found = components(links)
+    discard(links)
+    labels = materialize(shared.join(beside(found).withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("component", "node").alias("comp")), "labels")
+    mixed = materialize(labels.groupBy(F.col("key").alias("k")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("k"), "mixed")
+    left = materialize(labels.join(beside(mixed, 1), F.col("key") == F.col("k"), "left_semi").select("key", "node", "comp"), "left")
+    discard(labels, mixed)
     if left.isEmpty():
+        discard(left)
         return found
-    homes = materialize(_homes(shared), "homes")
-    more = _confirm_lists(_candidates(left, sketches, homes, agree), sets, homes, percent)
-    return materialize(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
+    homes = _homes(shared, sets)
+    more = materialize(_confirm_lists(_candidates(left, sketches, homes, agree), sets, homes, percent), "links")
+    out = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    discard(left, homes, found, more)
+    return out

@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import words as W
-from tessera.llm.components import BROADCAST_IDS, link, shared_keys
-from tessera.llm.storage import materialize, shield
+from tessera.llm.components import link, shared_keys
+from tessera.llm.storage import beside, discard, materialize, shield
 
-SIGNATURES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
+SIGNATURES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+SETS = T.StructType([T.StructField("node", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
 
 
 def shingle_sets(blobs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -36,29 +37,40 @@ def least_agreement(percent: int, values: int) -> int:
     return max(1, int(values * s - 4.5 * (values * s * (1 - s)) ** 0.5))
 
 
-def min_max_bands(values: np.ndarray, starts: np.ndarray, bands: int, permutations: int) -> tuple[np.ndarray, np.ndarray]:
-    """For nonempty sets, a matrix of band hashes and one of the low bytes of all signature values. Each band holds the minima and maxima of `permutations` permutations."""
+def min_max(values: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
+    """For nonempty sets, `count` signature values: the minimum and the maximum under each of count / 2 permutations."""
     low = (values >> np.uint64(32)).astype(np.uint32)
     rng = np.random.Generator(np.random.PCG64(20240229))
-    odd = rng.integers(0, 1 << 32, bands * permutations, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-    add = rng.integers(0, 1 << 32, bands * permutations, dtype=np.uint64).astype(np.uint32)
-    out = np.empty((len(starts) - 1, bands), np.uint64)
-    sketch = np.empty((len(starts) - 1, 2 * bands * permutations), np.uint8)
+    permutations = -(-count // 2)
+    odd = rng.integers(0, 1 << 32, permutations, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+    add = rng.integers(0, 1 << 32, permutations, dtype=np.uint64).astype(np.uint32)
+    out = np.empty((2 * permutations, len(starts) - 1), np.uint32)
     x = np.empty_like(low)
-    at = starts[:-1]
+    for k in range(permutations):
+        np.multiply(low, odd[k], out=x)
+        x += add[k]
+        out[2 * k], out[2 * k + 1] = np.minimum.reduceat(x, starts[:-1]), np.maximum.reduceat(x, starts[:-1])
+    return out[:count]
+
+
+def min_max_bands(values: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """For nonempty sets, a matrix of band hashes; each band holds `rows` signature values."""
+    signature = min_max(values, starts, bands * rows).astype(np.uint64)
+    out = np.empty((signature.shape[1], bands), np.uint64)
     for band in range(bands):
-        acc = np.full(len(at), np.uint64(band + 1))
-        for k in range(band * permutations, (band + 1) * permutations):
-            np.multiply(low, odd[k], out=x)
-            x += add[k]
-            low_end, high_end = np.minimum.reduceat(x, at), np.maximum.reduceat(x, at)
-            sketch[:, 2 * k], sketch[:, 2 * k + 1] = low_end & np.uint32(255), high_end & np.uint32(255)
-            acc = W.mix64(acc * np.uint64(0x9E3779B97F4A7C15) + (low_end.astype(np.uint64) << np.uint64(32) | high_end.astype(np.uint64)))
+        acc = np.full(signature.shape[1], np.uint64(band + 1))
+        for v in signature[band * rows : (band + 1) * rows]:
+            acc = W.mix64(acc * np.uint64(0x9E3779B97F4A7C15) + v)
         out[:, band] = acc
-    return out.view(np.int64), sketch
+    return out.view(np.int64)
+
 
+def sketches(values: np.ndarray, starts: np.ndarray, count: int) -> list[bytes]:
+    """For nonempty sets, the low bytes of `count` signature values."""
+    return [x.tobytes() for x in (min_max(values, starts, count) & np.uint32(255)).astype(np.uint8).T]
 
-def signatures(documents: DataFrame, width: int, bands: int, permutations: int) -> DataFrame:
+
+def signatures(documents: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     """doc_id, the set's size, its 128-bit fingerprint (k1, k2) and its band hashes (none for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,60 +79,63 @@ def signatures(documents: DataFrame, width: int, bands: int, permutations: int)
             n = np.diff(starts)
             full = np.flatnonzero(n)
             digests = [xxhash.xxh3_128_intdigest(values[starts[d] : starts[d + 1]].tobytes()) for d in range(len(n))]
-            found, sketch = min_max_bands(values, np.concatenate((starts[:-1][full], starts[-1:])), bands, permutations) if len(full) else (np.zeros((0, bands), np.int64), [])
-            sketches: list[bytes | None] = [None] * len(n)
-            for d, row in zip(full.tolist(), sketch, strict=True):
-                sketches[d] = row.tobytes()
+            found = min_max_bands(values, np.concatenate((starts[:-1][full], starts[-1:])), bands, rows) if len(full) else np.zeros((0, bands), np.int64)
             ends = np.concatenate(([0], np.cumsum(np.where(n > 0, bands, 0))))
             k1, k2 = (np.array([x >> s & (1 << 64) - 1 for x in digests], np.uint64).view(np.int64) for s in (64, 0))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(n), pa.array(k1), pa.array(k2), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found.reshape(-1))), pa.array(sketches, pa.binary())], names=SIGNATURES.names)
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(n), pa.array(k1), pa.array(k2), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found.reshape(-1)))], names=SIGNATURES.names)
 
     return documents.select("doc_id", "text").mapInArrow(run, SIGNATURES)
 
 
-def full_sets(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(node, hashes) of the wanted classes (rep, k1, k2, node), from one document of each."""
-    few = wanted.count() <= BROADCAST_IDS
-    chosen = documents.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("rep")))
-    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType()))])
+def full_sets(documents: DataFrame, wanted: DataFrame, width: int, values: int) -> DataFrame:
+    """(node, hashes, sketch) of the wanted classes (rep, k1, k2, node), from one document of each."""
+    chosen = documents.select("doc_id", "text").join(beside(wanted, 4), F.col("doc_id").eqNullSafe(F.col("rep")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, blobs in W.chunks(batches, "text"):
-            values, starts = shingle_sets(blobs, width)
+            found, starts = shingle_sets(blobs, width)
             k1, k2, node = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("k1", "k2", "node"))
-            keep, parts = [], []
+            keep, parts, signed = [], [], []
             for d in range(len(blobs)):
-                own = values[starts[d] : starts[d + 1]]
+                own = found[starts[d] : starts[d + 1]]
                 if xxhash.xxh3_128_intdigest(own.tobytes()) == (k1[d] % (1 << 64)) << 64 | k2[d] % (1 << 64):
                     keep.append(node[d])
                     parts.append(own.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(parts, pa.list_(pa.int64()))], names=schema.names)
+                    signed += sketches(own, np.array([0, len(own)]), values)
+            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(parts, pa.list_(pa.int64())), pa.array(signed, pa.binary())], names=SETS.names)
 
-    return chosen.select("node", "k1", "k2", "text").mapInArrow(run, schema)
+    return chosen.select("node", "k1", "k2", "text").mapInArrow(run, SETS)
 
 
-def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 75, bands: int = 32, permutations: int = 2) -> DataFrame:
+def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 75, bands: int = 32, rows: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row.
 
     Documents of equal sets are one class, and classes are compared, never copies. A null or empty text, or one of white
     space, has an empty set and is linked with nothing: its component is its own doc_id. A text of fewer than `width`
     words is one shingle. Rows of null doc_id take part with their text; their component is the smallest doc_id reachable,
     null if there is none (kept is then true). Repeated rows each appear. An empty table gives no rows; other columns are
-    ignored. At similarity `percent` the chance to miss a pair is (1 - s^(2 * permutations))^bands: 5e-6 by default.
+    ignored. At similarity `percent` the chance that no band of a pair agrees is (1 - s^rows)^bands: 5e-6 by default. Pairs
+    inside a large key whose sketches agree in fewer than least_agreement() of their bytes are not confirmed, which a pair
+    at `percent` meets once in 300,000 times.
     """
-    every = materialize(signatures(documents, width, bands, permutations), "signatures")
-    classes = every.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id())
+    values = bands * rows
+    every = materialize(signatures(documents, width, bands, rows), "signatures")
+    classes = every.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id())
     classes = materialize(classes, "classes")
     shared = shared_keys(classes.select(F.explode("bands").alias("key"), "node"))
-    wanted = materialize(classes.join(shared.select(F.col("node").alias("n")).distinct(), F.col("node") == F.col("n"), "left_semi").select("rep", "k1", "k2", "node"), "wanted")
-    sets = materialize(full_sets(documents, wanted, width), "sets")
-    found = link(shared, classes.select("node", "sketch"), sets, percent, least_agreement(percent, 2 * bands * permutations))
-    named = classes.select("k1", "k2", "rep", "node").join(found.select(F.col("node").alias("n"), "component"), F.col("node") == F.col("n"), "left").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep", F.coalesce("component", "node").alias("component"))
-    named = materialize(named, "named")
-    least = named.groupBy("component").agg(F.min("rep").alias("least")).withColumnRenamed("component", "c")
-    named = named.join(least, F.col("component") == F.col("c")).select("c1", "c2", "least")
-    out = every.select("doc_id", "n_shingles", "k1", "k2").join(named, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("n_shingles") > 0), "left")
-    own = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
+    nodes = materialize(shared.select(F.col("node").alias("n")).distinct(), "nodes")
+    wanted = materialize(classes.join(beside(nodes, 1), F.col("node") == F.col("n"), "left_semi").select("rep", "k1", "k2", "node"), "wanted")
+    sets = materialize(full_sets(documents, wanted, width, values), "sets")
+    found = link(shared, sets.select("node", "sketch"), sets, percent, least_agreement(percent, values))
+    discard(shared, nodes, wanted, sets)
+    named = classes.select("k1", "k2", "rep", "copies", "node").join(beside(found).withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep", "copies", F.col("component").isNotNull().alias("linked"), F.coalesce("component", "node").alias("component"))
+    # a class of one document without links needs no name
+    named = materialize(named.where("copies > 1 or linked"), "named")
+    least = materialize(named.groupBy(F.col("component").alias("c")).agg(F.min("rep").alias("least")), "least")
+    keepers = materialize(named.join(beside(least), F.col("component") == F.col("c")).select("c1", "c2", F.lit(True).alias("named"), "least"), "keepers")
+    discard(classes, found, named, least)
+    out = every.select("doc_id", "n_shingles", "k1", "k2").join(beside(keepers, 3), (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("n_shingles") > 0), "left")
+    own = F.when(F.col("named"), F.col("least")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
@@ -134,9 +149,13 @@ def one_of_each(documents: DataFrame, **options) -> DataFrame:
     inner, restore = shield(documents, ("doc_id", "text"))
     rows = materialize(inner.withColumn("_row", F.monotonically_increasing_id()), "rows")
     verdict = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), **options).select(F.col("doc_id").alias("r"), "component_id")
+    # only components of several rows lose any
+    verdict = materialize(verdict, "verdict")
+    several = materialize(verdict.groupBy(F.col("component_id").alias("c")).agg(F.count("*").alias("n")).where("n > 1").select("c"), "several")
+    members = materialize(verdict.join(beside(several, 1), F.col("component_id") == F.col("c"), "left_semi"), "members")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row").alias("place")
-    placed = materialize(verdict.join(rows.select("_row", order), F.col("_row") == F.col("r")).select("r", "component_id", "place"), "placed")
-    first = placed.groupBy(F.col("component_id").alias("c")).agg(F.min("place")["_row"].alias("stays"))
-    gone = materialize(placed.join(first, F.col("component_id") == F.col("c")).where("r <> stays").select("r"), "gone")
-    few = gone.count() <= BROADCAST_IDS
-    return restore(rows.join(F.broadcast(gone) if few else gone, F.col("_row") == F.col("r"), "left_anti"))
+    placed = materialize(rows.select("_row", order).join(beside(members), F.col("_row") == F.col("r")).select("r", "component_id", "place"), "placed")
+    first = materialize(placed.groupBy(F.col("component_id").alias("c")).agg(F.min("place")["_row"].alias("stays")), "first")
+    gone = materialize(placed.join(beside(first), F.col("component_id") == F.col("c")).where("r <> stays").select("r"), "gone")
+    discard(verdict, several, members, placed, first)
+    return restore(rows.join(beside(gone, 1), F.col("_row") == F.col("r"), "left_anti"))

@@ -22,21 +22,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import words as W
-from tessera.llm.components import BROADCAST_IDS, link, shared_keys
-from tessera.llm.neardup import least_agreement, min_max_bands
-from tessera.llm.storage import materialize, shield
+from tessera.llm.components import link, shared_keys
+from tessera.llm.neardup import SETS, least_agreement, min_max_bands, sketches
+from tessera.llm.storage import BROADCAST_IDS, beside, discard, materialize, shield
 
 #: Words of a line (or a run of shorter lines) that is a paragraph, and of a seed.
 LINE_WORDS, SEED_WORDS = 20, 10
 #: Words of a block of a longer run of short lines, and between starts of blocks at least: so far apart, two blocks of a run are never 75 % similar.
 BLOCK_WORDS, BLOCK_GAP = 40, 6
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-LINES = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "text_key", "start", "n", "k1", "k2")] + [T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
+LINES = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "text_key", "start", "n", "k1", "k2")] + [T.StructField("bands", T.ArrayType(T.LongType()))])
+#: Signature values in a band, and in a sketch.
+BAND_ROWS, SKETCH_VALUES = 4, 64
 SEEDS = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "text_key", "start", "h", "copy_of")])
 WINDOWS = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "text_key", "start", "h")])
 
 
-def tuned_bands(percent: int, recall: float, values: int = 4) -> int:
+def tuned_bands(percent: int, recall: float, values: int = BAND_ROWS) -> int:
     """The least number of bands of `values` signature values that finds pairs at the similarity with the recall."""
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - (percent / 100) ** values)))
 
@@ -199,82 +201,93 @@ def line_paragraphs(documents: DataFrame, width: int, bands: int) -> DataFrame:
             flat = hashes[np.repeat(begin - total[:-1], count) + np.arange(total[-1])]
             values, starts = W.distinct(*W.shingles(flat, total, width))
             ids, keys = _columns(batch, blobs)
-            found, sketch = min_max_bands(values, starts, bands, 2) if len(text) else (np.zeros((0, bands), np.int64), [])
+            found = min_max_bands(values, starts, bands, BAND_ROWS) if len(text) else np.zeros((0, bands), np.int64)
             digests = [xxhash.xxh3_128_intdigest(values[starts[d] : starts[d + 1]].tobytes()) for d in range(len(text))]
             k1, k2 = (np.array([x >> s & (1 << 64) - 1 for x in digests], np.uint64).view(np.int64) for s in (64, 0))
             ends = np.arange(len(text) + 1, dtype=np.int32) * bands
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[text], keys[text], first, count, k1, k2)] + [pa.ListArray.from_arrays(pa.array(ends), pa.array(found.reshape(-1))), pa.array([x.tobytes() for x in sketch], pa.binary())], names=LINES.names)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[text], keys[text], first, count, k1, k2)] + [pa.ListArray.from_arrays(pa.array(ends), pa.array(found.reshape(-1)))], names=LINES.names)
 
     return documents.select("doc_id", "text").mapInArrow(run, LINES)
 
 
 def line_sets(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(node, hashes) of wanted lines (rep doc_id, its text's key, start, n, node)."""
-    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType()))])
-    by_doc = wanted.groupBy("rep", "rep_key").agg(F.collect_list(F.struct("start", "n", "node")).alias("lines"))
+    """(node, hashes, sketch) of wanted lines (rep doc_id, its text's key, start, n, node)."""
+    by_doc = wanted.groupBy("rep").agg(F.collect_list(F.struct("rep_key", "start", "n", "node")).alias("lines"))
     small = wanted.count() <= BROADCAST_IDS
     chosen = documents.select("doc_id", "text").join(F.broadcast(by_doc) if small else by_doc, F.coalesce("doc_id", F.lit((1 << 63) - 1)) == F.col("rep"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, blobs in W.chunks(batches, "text"):
             hashes, at = _hashes(blobs)
-            rep_key, lines = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("rep_key", "lines"))
-            node, parts = [], []
+            lines = batch.column(batch.schema.get_field_index("lines")).to_pylist()
+            node, parts, signed = [], [], []
             for d, b in enumerate(blobs):
-                if np.uint64(xxhash.xxh3_64_intdigest(b)).view(np.int64) == rep_key[d]:
-                    for x in lines[d]:
+                key = np.uint64(xxhash.xxh3_64_intdigest(b)).view(np.int64)
+                for x in lines[d]:
+                    if x["rep_key"] == key:
                         own = hashes[at[d] + x["start"] : at[d] + x["start"] + x["n"]]
                         values, _ = W.distinct(*W.shingles(own, np.array([0, len(own)]), width))
                         node.append(x["node"])
                         parts.append(values.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(parts, pa.list_(pa.int64()))], names=schema.names)
+                        signed += sketches(values, np.array([0, len(values)]), SKETCH_VALUES)
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(parts, pa.list_(pa.int64())), pa.array(signed, pa.binary())], names=SETS.names)
 
-    return chosen.select("rep_key", "lines", "text").mapInArrow(run, schema)
+    return chosen.select("lines", "text").mapInArrow(run, SETS)
 
 
 def line_removals(documents: DataFrame, width: int, percent: int, recall: float) -> DataFrame:
-    """(doc_id, text_key, start, n, keeper) of lines whose component has a smaller doc_id."""
+    """(doc_id, text_key, start, n, keeper), written, of lines whose component has a smaller doc_id."""
     bands = tuned_bands(percent, recall)
     every = materialize(line_paragraphs(documents, width, bands), "lines")
-    classes = every.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "text_key", "start", "n")).alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    classes = materialize(classes.select("k1", "k2", F.col("rep.doc_id").alias("rep"), F.col("rep.text_key").alias("rep_key"), F.col("rep.start").alias("start"), F.col("rep.n").alias("n"), "bands", "sketch", F.monotonically_increasing_id().alias("node")), "classes")
+    classes = every.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "text_key", "start", "n")).alias("rep"), F.max("doc_id").alias("last"), F.first("bands").alias("bands"))
+    classes = materialize(classes.select("k1", "k2", F.col("rep.doc_id").alias("rep"), F.col("rep.text_key").alias("rep_key"), F.col("rep.start").alias("start"), F.col("rep.n").alias("n"), "last", "bands", F.monotonically_increasing_id().alias("node")), "classes")
     shared = shared_keys(classes.select(F.explode("bands").alias("key"), "node"))
-    wanted = materialize(classes.join(shared.select(F.col("node").alias("x")).distinct(), F.col("node") == F.col("x"), "left_semi").select("rep", "rep_key", "start", "n", "node"), "wanted")
+    nodes = materialize(shared.select(F.col("node").alias("x")).distinct(), "nodes")
+    wanted = materialize(classes.join(beside(nodes, 1), F.col("node") == F.col("x"), "left_semi").select("rep", "rep_key", "start", "n", "node"), "wanted")
     sets = materialize(line_sets(documents, wanted, width), "sets")
-    found = link(shared, classes.select("node", "sketch"), sets, percent, least_agreement(percent, 4 * bands))
-    named = materialize(classes.select("k1", "k2", "rep", "node").join(found.select(F.col("node").alias("x"), "component"), F.col("node") == F.col("x"), "left").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep", F.coalesce("component", "node").alias("component")), "named")
-    least = named.groupBy("component").agg(F.min("rep").alias("keeper")).withColumnRenamed("component", "c")
-    named = named.join(least, F.col("component") == F.col("c")).select("c1", "c2", "keeper")
-    return every.join(named, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))).where("doc_id <> keeper").select("doc_id", "text_key", "start", "n", "keeper")
-
-
-def _copies(documents: DataFrame) -> DataFrame:
-    """documents (doc_id, text) with copy_of: the smallest doc_id of the same text, null where it is the row's own."""
+    found = link(shared, sets.select("node", "sketch"), sets, percent, least_agreement(percent, SKETCH_VALUES))
+    discard(shared, nodes, wanted, sets)
+    named = classes.select("k1", "k2", "rep", "last", "node").join(beside(found).withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left")
+    # a class of one document without links loses nothing
+    named = materialize(named.where("rep <> last or component is not null").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep", F.coalesce("component", "node").alias("component")), "named")
+    least = materialize(named.groupBy(F.col("component").alias("c")).agg(F.min("rep").alias("keeper")), "least")
+    keepers = materialize(named.join(beside(least), F.col("component") == F.col("c")).select("c1", "c2", "keeper"), "keepers")
+    discard(classes, found, named, least)
+    out = materialize(every.join(beside(keepers, 3), (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))).where("doc_id <> keeper").select("doc_id", "text_key", "start", "n", "keeper"), "line-removals")
+    discard(every, keepers)
+    return out
+
+
+def _copies(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """documents (doc_id, text) with copy_of: the smallest doc_id of the same text, null where it is the row's own; and the table that says so."""
     rows = documents.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.xxhash64("text").alias("t"), F.octet_length("text").alias("size")).where("size > 0")
     first = rows.groupBy("t", "size").agg(F.min("id").alias("copy_of"), F.max("id").alias("last")).where("copy_of <> last").select(F.col("t").alias("t1"), F.col("size").alias("s1"), "copy_of")
+    # a text of one document only is no copy
     copies = materialize(rows.join(first, (F.col("t") == F.col("t1")) & (F.col("size") == F.col("s1"))).where("id <> copy_of").select("id", "t", "copy_of").distinct(), "copies")
-    few = copies.count() <= BROADCAST_IDS
     own = (F.coalesce("doc_id", F.lit((1 << 63) - 1)) == F.col("id")) & (F.xxhash64("text") == F.col("t"))
-    return documents.select("doc_id", "text").join(F.broadcast(copies) if few else copies, own, "left").select("doc_id", "text", "copy_of")
+    return documents.select("doc_id", "text").join(beside(copies, 3), own, "left").select("doc_id", "text", "copy_of"), copies
 
 
 def window_removals(documents: DataFrame, least_run: int) -> DataFrame:
-    """(doc_id, text_key, start, n, keeper) of all windows of `least_run` words that a smaller doc_id has too, joined up.
+    """(doc_id, text_key, start, n, keeper), written, of all windows of `least_run` words that a smaller doc_id has too, joined up.
 
     Texts that copy a smaller doc_id's go as a whole. Two documents that share a window share its seeds, so the windows
     around shared seeds, which are few against all, have every shared window among them; they meet by their hashes.
     """
-    rows = materialize(seeds(_copies(documents), least_run), "seeds")
+    marked, copies = _copies(documents)
+    rows = materialize(seeds(marked, least_run), "seeds")
+    discard(copies)
     copied = rows.where("copy_of is not null").select("doc_id", "text_key", F.lit(0).cast("long").alias("start"), F.col("start").alias("n"), F.col("copy_of").alias("keeper"))
-    rows = rows.where("copy_of is null")
-    both = rows.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select(F.col("h").alias("k"))
+    own = rows.where("copy_of is null")
+    both = materialize(own.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select(F.col("h").alias("k")), "both")
     # a document's own seeds: as many as its words allow
-    marks = materialize(rows.join(both, F.col("h") == F.col("k")).groupBy(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key")).agg(F.collect_set(F.col("start").cast("int")).alias("places")), "marks")
+    marks = materialize(own.join(beside(both, 1), F.col("h") == F.col("k"), "left_semi").groupBy(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key")).agg(F.collect_set(F.col("start").cast("int")).alias("places")), "marks")
     # a place is a quarter of an id's 16 bytes
     few = (marks.agg(F.sum(F.size("places") + 4)).first()[0] or 0) <= 4 * BROADCAST_IDS
     windows = materialize(seeded_windows(documents, marks, few, least_run), "windows")
-    first = windows.groupBy("h").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper <> last").select(F.col("h").alias("k"), "keeper")
-    hits = windows.join(first, F.col("h") == F.col("k")).where("doc_id <> keeper")
+    discard(both, marks)
+    first = materialize(windows.groupBy("h").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper <> last").select(F.col("h").alias("k"), "keeper"), "first")
+    hits = windows.join(beside(first), F.col("h") == F.col("k")).where("doc_id <> keeper")
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "text_key", "start", "n", "keeper")])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +307,9 @@ def window_removals(documents: DataFrame, least_run: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=schema.names)
 
     # a document's own windows: as many as its words allow
-    return copied.unionByName(hits.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "keeper")).alias("parts")).mapInArrow(runs, schema))
+    out = materialize(copied.unionByName(hits.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "keeper")).alias("parts")).mapInArrow(runs, schema)), "window-removals")
+    discard(rows, windows, first)
+    return out
 
 
 def without_passages(documents: DataFrame, width: int = 5, percent: int = 75, recall: float = 0.995, least_run: int = 24) -> DataFrame:
@@ -302,11 +317,14 @@ def without_passages(documents: DataFrame, width: int = 5, percent: int = 75, re
 
     Other columns are as they were. A null text stays null; empty texts, short lines and texts that share nothing stay as
     they are. A passage stays in the smallest doc_id that has it; repeats within one document, and rows that share a
-    doc_id, do not count against each other. A row of null doc_id counts as the last. A text that is wholly repeated
+    doc_id, do not count against each other. A near-matched line or block goes whole, also the few words in it that the
+    other lacks. A row of null doc_id counts as the last. A text that is wholly repeated
     becomes empty, and its row stays. An empty table gives no rows.
     """
     lines = line_removals(documents, width, percent, recall)
-    both = materialize(lines.unionByName(window_removals(documents, least_run)), "removals")
+    windows = window_removals(documents, least_run)
+    both = materialize(lines.unionByName(windows), "removals")
+    discard(lines, windows)
     # a document's spans: as many as its words allow
     spans = both.groupBy(F.col("doc_id").alias("span_id"), F.col("text_key").alias("span_key")).agg(F.collect_list(F.struct("start", "n", "keeper")).alias("_parts"))
     small = both.count() <= BROADCAST_IDS

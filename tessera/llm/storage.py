@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Where it is unset, a local session (as in tests) gets a temporary folder; a cluster gets an error."""
     sc = spark.sparkContext
@@ -26,8 +29,32 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again, so that a lost executor costs no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEAN_UP, "false")
+    conf.set(CLEAN_UP, "true")  # once the table is written, nothing reads the shuffles that led to it
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEAN_UP, before)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialize() wrote and that nothing still to be computed reads."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Up to so many rows of ids (16 bytes each, or as many bytes of more) are sent to all executors instead of shuffling rows that meet them.
+BROADCAST_IDS = 500_000
+
+
+def beside(df: DataFrame, ids: int = 2) -> DataFrame:
+    """A written table as the other side of a join: sent to all executors if its rows, of `ids` numbers each, are few; or else the join shuffles, and Spark splits what is skewed."""
+    return F.broadcast(df) if df.count() * ids <= 2 * BROADCAST_IDS else df
 
 
 def shield(df: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, Callable[..., DataFrame]]:

@@ -54,7 +54,8 @@ def test_other_line_breaks(spark):
             texts += [wrap(new(rng, 30) + p + new(rng, 30), one), wrap(new(rng, 35) + p + new(rng, 31), two)]
             size += [0, n]
     got = cleaned(spark, texts)
-    assert [got[i].n_removed for i in range(len(texts))] == size
+    # a block of 40 words that is 75 % alike goes whole, with up to 5 words beside the passage at either end
+    assert all(n <= got[i].n_removed <= n + 10 * (n > 0) for i, n in enumerate(size))
 
 
 def test_edited_short_lines(spark):
