@@ -1,12 +1,13 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule rejects a document whose feature is above a cutoff of the document's stratum. Cutoffs come from a fixed grid,
-chosen on labelled documents: a cutoff is certified if the exact (Clopper-Pearson) upper bound on its share of good
-documents rejected is within the rule's part of the allowed risk, at a confidence divided by the number of strata and
-rules (Bonferroni). The cutoffs of a rule are tested in fixed sequence from the loosest, up to the first that is not
-certified, which needs no further division. So with probability 1 - delta, in no stratum do all rules together reject
-more than `risk` of the good documents. The strictest certified cutoff is taken; a rule without one is off in that
-stratum. Strata with too few good labels to certify any cutoff are pooled as one stratum, to which the risk then applies.
+Each rule rejects a document whose feature is above a cutoff of the document's stratum. Labelled texts are split in two
+halves by a hash. On the tuning half an ordered path of rejection regions is built, each one wider than the last by one
+rule's lower cutoff, those that reject most bad for each good label first. On the holdout half the regions are tested in
+that order: a region, all rules together, is certified if the exact (Clopper-Pearson) upper bound on the share of good
+labels that it rejects is within the allowed risk. Testing stops at the first that is not, so the path needs no
+correction for its length; strata divide the error (Bonferroni). With probability 1 - delta, in every stratum the rules
+reject at most `risk` of the good documents like those labelled. A stratum without labels enough to certify a region has
+no rules but the base ones, since nothing could be promised for it.
 """
 
 from __future__ import annotations
@@ -16,12 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import words as W
-from tessera.llm.storage import materialize, shield
+from tessera.llm.storage import discard, materialize, shield
 
 #: The rules: a feature, of which higher is worse, and its grid of cutoffs from strict to loose.
 RULES: dict[str, tuple[float, ...]] = {
@@ -38,8 +40,9 @@ RULES: dict[str, tuple[float, ...]] = {
 MIN_WORDS, MAX_REPEAT, WINDOW = 20, 30, 8
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-MEASURES = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS] + [T.StructField("features", T.ArrayType(T.DoubleType()))])
-POOLED = "(pooled)"
+MEASURES = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS] + [T.StructField("features", T.ArrayType(T.DoubleType())), T.StructField("text_key", T.LongType())])
+#: The stratum of documents that have none; and how many bad labels a step of the path rejects at least for each good one.
+NONE, BAD_FOR_GOOD = "(none)", 4
 
 
 def _of_words(new: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -100,6 +103,8 @@ def upper_bound(k: int, n: int, delta: float) -> float:
     """The exact upper confidence bound on a share of which k in n were seen: the p with P(X <= k) = delta."""
     if n == 0 or k >= n:
         return 1.0
+    if k == 0:
+        return 1.0 - delta ** (1.0 / n)
     logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) for i in range(k + 1)]
     lo, hi = k / n, 1.0
     for _ in range(60):
@@ -113,33 +118,36 @@ def upper_bound(k: int, n: int, delta: float) -> float:
     return hi
 
 
-def certify(counts: dict[tuple[str, int, int], tuple[int, int]], totals: dict[str, tuple[int, int]], risk: float, delta: float) -> dict[str, list[float]]:
-    """Cutoffs by stratum, infinite where a rule is off.
-
-    counts: for (stratum, rule, level), the (good, bad) labelled documents whose feature is above exactly `level` cutoffs
-    of the grid. totals: (good, bad) of each stratum. A cutoff that rejects more good than bad labelled documents is not used.
-    """
+def path(levels: np.ndarray, good: np.ndarray, bad: np.ndarray) -> list[tuple[int, int]]:
+    """Steps (rule, least level rejected), in order. levels: for groups of labelled texts, how many cutoffs of each rule their feature is above; good, bad: how many texts each group has."""
+    out: list[tuple[int, int]] = []
+    live = np.ones(len(levels), bool)
+    while True:
+        best = None
+        for j, grid in enumerate(RULES.values()):
+            # texts not yet rejected, by their level, from the highest down
+            g, b = (np.bincount(levels[live, j], x[live], len(grid) + 1)[::-1].cumsum()[::-1] for x in (good, bad))
+            for t in range(1, len(grid) + 1):
+                if b[t] > 0 and b[t] >= BAD_FOR_GOOD * g[t]:
+                    rank = (b[t] / (g[t] + 0.5), b[t], -j, t)
+                    best = max(best, (rank, j, t)) if best else (rank, j, t)
+        if best is None:
+            return out
+        _, j, t = best
+        out.append((j, t))
+        live &= levels[:, j] < t
+
+
+def certify(steps: list[tuple[int, int]], levels: np.ndarray, good: np.ndarray, risk: float, delta: float) -> list[float]:
+    """The rules' cutoffs (infinite where a rule is off) of the last region of the path that is certified on the holdout groups before one that is not."""
     grids = list(RULES.values())
-    tests = max(1, len(totals) * len(grids))
-    out: dict[str, list[float]] = {}
-    for stratum, (good, _) in totals.items():
-        out[stratum] = [math.inf] * len(grids)
-        for j, grid in enumerate(grids):
-            g = b = 0
-            for level in range(len(grid), 0, -1):  # from the loosest cutoff
-                more = counts.get((stratum, j, level), (0, 0))
-                g, b = g + more[0], b + more[1]
-                if g > good * risk / len(grids) or upper_bound(g, good, delta / tests) > risk / len(grids):
-                    break
-                if b > g:
-                    out[stratum][j] = grid[level - 1]
-    return out
-
-
-def own_strata(good: list[int], risk: float, delta: float) -> int:
-    """How many of the strata, by their counts of good labels in descending order, stand alone: as many as could each certify a cutoff that rejects no good document, beside one pooled stratum."""
-    rules = len(RULES)
-    return max((m for m in range(1, len(good) + 1) if upper_bound(0, good[m - 1], delta / ((m + 1) * rules)) <= risk / rules), default=0)
+    cutoffs, rejected, n = [math.inf] * len(grids), np.zeros(len(levels), bool), int(good.sum())
+    for j, t in steps:
+        rejected |= levels[:, j] >= t
+        if upper_bound(int(good[rejected].sum()), n, delta) > risk:
+            break
+        cutoffs[j] = grids[j][t - 1]
+    return cutoffs
 
 
 def labelled(labels: DataFrame) -> DataFrame:
@@ -147,26 +155,26 @@ def labelled(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("labelled_id")).agg((F.max("quality") > 0).alias("good"))
 
 
-def thresholds(measures: DataFrame, labels: DataFrame, stratum: str, risk: float = 0.05, delta: float = 0.05, min_labels: int = 200, max_strata: int = 64) -> dict[str, list[float]]:
-    """Cutoffs by stratum from the measures (doc_id, stratum, features) of labelled documents that pass the base rules.
+def thresholds(measures: DataFrame, labels: DataFrame, stratum: str, risk: float = 0.05, delta: float = 0.05) -> dict[str, list[float]]:
+    """Cutoffs by stratum from the measures (doc_id, stratum, features, text_key) of labelled documents that pass the base rules.
 
-    Strata of under min_labels labels or too few good ones to certify any cutoff, and those beyond the max_strata with
-    most good ones, are pooled as one.
+    Texts that repeat in a stratum count once. What reaches the driver are counts of groups of equal levels: as many as
+    the grids tell apart, not as many as documents.
     """
     rows = measures.join(labelled(labels), F.col("doc_id") == F.col("labelled_id"))
     rows = rows.where((F.col("n_words") >= MIN_WORDS) & (100 * F.col("n_repeat_words") <= MAX_REPEAT * F.col("n_words")))
-    rows = materialize(rows.select(F.coalesce(F.col(stratum).cast("string"), F.lit(POOLED)).alias("s"), "good", "features"), "labelled")
-    sizes = rows.groupBy("s").agg(F.count("*").alias("n"), F.count_if("good").alias("g")).where((F.col("n") >= min_labels) & (F.col("s") != POOLED)).orderBy(F.desc("g"), "s").limit(max_strata).collect()
-    own = [r["s"] for r in sizes][: own_strata([r["g"] for r in sizes], risk, delta)]
-    rows = rows.withColumn("s", F.when(F.col("s").isin(own), F.col("s")).otherwise(F.lit(POOLED)) if own else F.lit(POOLED))
-    level = [F.struct(F.lit(j).alias("rule"), sum(((F.col("features")[j] > c).cast("int") for c in grid), F.lit(0)).alias("level")) for j, grid in enumerate(RULES.values())]
-    seen = rows.select("s", "good", F.explode(F.array(*level)).alias("x")).groupBy("s", "x.rule", "x.level").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b")).collect()
-    counts = {(r["s"], r["rule"], r["level"]): (r["g"], r["b"]) for r in seen}
-    totals: dict[str, tuple[int, int]] = {}
-    for (s, j, _), (g, b) in counts.items():
-        if j == 0:
-            totals[s] = (totals.get(s, (0, 0))[0] + g, totals.get(s, (0, 0))[1] + b)
-    return certify(counts, totals, risk, delta)
+    level = F.array(*(sum(((F.col("features")[j] > c).cast("int") for c in grid), F.lit(0)) for j, grid in enumerate(RULES.values())))
+    texts = rows.groupBy(F.coalesce(F.col(stratum).cast("string"), F.lit(NONE)).alias("s"), "text_key", level.alias("levels")).agg(F.max("good").alias("good"))
+    half = F.pmod(F.xxhash64("text_key", F.lit("half")), F.lit(2))
+    seen = texts.groupBy("s", half.alias("half"), "levels").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b")).collect()
+    by: dict[str, tuple[list, list]] = {}
+    for r in seen:
+        by.setdefault(r["s"], ([], []))[r["half"]].append(r)
+    out = {}
+    for s, halves in sorted(by.items()):
+        (tl, tg, tb), (hl, hg, _) = ((np.array([r["levels"] for r in x], int).reshape(-1, len(RULES)), np.array([r["g"] for r in x], int), np.array([r["b"] for r in x], int)) for x in halves)
+        out[s] = certify(path(tl, tg, tb), hl, hg, risk, delta / len(by))
+    return out
 
 
 def measured(documents: DataFrame, keep: list[str]) -> DataFrame:
@@ -180,7 +188,8 @@ def measured(documents: DataFrame, keep: list[str]) -> DataFrame:
             ends = np.arange(len(blobs) + 1, dtype=np.int32) * features.shape[1]
             columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             columns += [pa.array(counts[:, k]) for k in range(len(COUNTS))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(features.reshape(-1)))], names=schema.names)
+            keys = np.array([xxhash.xxh3_64_intdigest(b) for b in blobs], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(features.reshape(-1))), pa.array(keys)], names=schema.names)
 
     return documents.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
@@ -188,33 +197,30 @@ def measured(documents: DataFrame, keep: list[str]) -> DataFrame:
 def verdicts(documents: DataFrame, labels: DataFrame, stratum: str = "lang", **risk) -> DataFrame:
     """doc_id, the counts, base_failed, kept and the names of the rules that reject, for every row.
 
-    A null text has no words and fails the base rules; a null stratum counts with the pooled one, whose rules also
-    hold for strata without enough labels; where nothing is certified, the base rules alone decide. Repeated rows each
-    appear; an empty table gives no rows; other columns are ignored.
+    A null text has no words and fails the base rules; rows of a null stratum are a stratum of their own; where nothing
+    is certified, the base rules alone decide. Repeated rows each appear; an empty table gives no rows; other columns are
+    ignored.
     """
     rows = materialize(measured(documents, ["doc_id", stratum]), "measures")
-    cutoffs = thresholds(rows, labels, stratum, **risk)
-    return judge(rows, cutoffs, stratum).select("doc_id", *COUNTS, "base_failed", "kept", "rules")
+    return judge(rows, thresholds(rows, labels, stratum, **risk), stratum).select("doc_id", *COUNTS, "base_failed", "kept", "rules")
 
 
 def judge(rows: DataFrame, cutoffs: dict[str, list[float]], stratum: str) -> DataFrame:
     """Adds base_failed, rules and kept to measured rows."""
-    s = F.coalesce(F.col(stratum).cast("string"), F.lit(POOLED))
-    own = [x for x in cutoffs if x != POOLED]
-    s = F.when(s.isin(own), s).otherwise(F.lit(POOLED)) if own else F.lit(POOLED)
-    fired = []
-    for j, rule in enumerate(RULES):
-        cut = F.lit(math.inf)
-        for name, values in cutoffs.items():
-            cut = F.when(s == name, F.lit(values[j])).otherwise(cut)
-        fired.append(F.when(F.col("features")[j] > cut, F.lit(rule)))
+    off = F.array(*(F.lit(math.inf) for _ in RULES))
+    cut = off
+    if cutoffs:
+        table = F.create_map(*(x for s, values in cutoffs.items() for x in (F.lit(s), F.array(*map(F.lit, values)))))
+        cut = F.coalesce(F.try_element_at(table, F.coalesce(F.col(stratum).cast("string"), F.lit(NONE))), off)
+    fired = [F.when(F.col("features")[j] > cut[j], F.lit(rule)) for j, rule in enumerate(RULES)]
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     return rows.withColumn("base_failed", failed).withColumn("rules", F.array_compact(F.array(*fired))).withColumn("kept", ~failed & (F.size("rules") == 0))
 
 
 def keep_documents(documents: DataFrame, labels: DataFrame, stratum: str = "lang", **risk) -> DataFrame:
-    """The rows of documents, with all their columns, that the rules keep. Measures twice: once for the cutoffs, once to filter, so that no text is shuffled."""
+    """The rows of documents, with all their columns, that the rules keep, as verdicts() says. Measures twice: once for the cutoffs, once to filter, so that no text is shuffled."""
     rows = materialize(measured(documents.select("doc_id", stratum, "text"), ["doc_id", stratum]), "measures")
     cutoffs = thresholds(rows, labels, stratum, **risk)
+    discard(rows)
     inner, restore = shield(documents, ("doc_id", "text", stratum))
     return restore(judge(measured(inner, inner.columns), cutoffs, stratum).where("kept"))
