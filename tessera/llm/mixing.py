@@ -2,14 +2,15 @@
 
 A classifier learned from the labelled table gives each document a probability of each domain. Nonnegative rates, one for
 each document, make the expected token totals of the domains meet their targets: least squares by projected gradient.
-From rate 1 for all, each step moves rates by -p.g, where g is the residual of the domains' totals scaled by their Gram
-matrix, and holds them between 0 and a bound (1 by default, so that no
-document is repeated). A step is K numbers, so a document's rate is replayed from the steps so far wherever it is
-needed; each iteration is one aggregate over a narrow table.
+From rate 1 for all, each step moves a document's rate against the gradient, p.g for its probabilities p, and holds it
+at 0 or above; g has the domains' residuals, each scaled by the domain's own curvature. A step is as many numbers as
+there are domains, so a document's rate is replayed from the steps so far wherever it is needed; each iteration is one
+aggregate over a narrow table.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,13 +21,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import words as W
-from tessera.llm.storage import materialize, shield
+from tessera.llm.neardup import shingle_sets
+from tessera.llm.storage import discard, materialize, shield
 
 DOMAINS = ("clean", "junk", "toxic")
 #: Hash places of words and word shapes; with the classes they bound the model's size.
 PLACES = 1 << 16
 #: Labelled rows that the classifier learns from: all up to so many, of more a share by a hash. Their ids and domains (16 bytes each) go to all workers.
 TRAIN_ROWS = 200_000
+_RUN = re.compile(rb"(.)\1+", re.S)
 _SHAPE = bytes(ord("A") if 65 <= c <= 90 else ord("a") if 97 <= c <= 122 or c >= 128 else ord("0") if 48 <= c <= 57 else c for c in range(256))
 
 
@@ -34,8 +37,7 @@ def _places(new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Of each word, the place of its lower-case form without outer punctuation, and that of its shape (runs of letters as one)."""
     out = np.zeros((2, len(new)), np.int32)
     for k, w in enumerate(new):
-        shape = w[:64].translate(_SHAPE)
-        short = bytes(c for i, c in enumerate(shape) if not i or c != shape[i - 1])
+        short = _RUN.sub(rb"\1", w.translate(_SHAPE))
         out[0, k] = xxhash.xxh3_64_intdigest(w.lower().strip(b".,;:!?|\"'()*#$%&<>")) % PLACES
         out[1, k] = xxhash.xxh3_64_intdigest(b"\x00" + short) % PLACES
     return out[0], out[1]
@@ -64,17 +66,19 @@ def labelled(labels: DataFrame) -> DataFrame:
 
 
 class Classifier:
-    """Naive Bayes over the places whose share differs between domains beyond chance (|z| >= least_z)."""
+    """Naive Bayes over the places that are present, or absent, far more often in one domain than in another: beyond chance (|z| >= least_z) and `least_ratio` times as often. Words that merely go with the length of a domain's texts are below that."""
 
-    def __init__(self, counts: np.ndarray, documents: np.ndarray, least_z: float = 6.0):
+    def __init__(self, counts: np.ndarray, documents: np.ndarray, least_z: float = 6.0, least_ratio: float = 4.0):
+        self.learned = bool(documents.sum())
         n = np.maximum(documents, 1.0)[:, None]
         share = (counts + 0.5) / (n + 1.0)
         overall = (counts.sum(0) + 0.5) / (documents.sum() + 1.0)
         z = (counts / n - overall) / np.sqrt(overall * (1 - np.minimum(overall, 1 - 1e-9)) / n)
-        used = np.abs(z).max(0) >= least_z
-        gain = np.where(used, np.log(share) - np.log(1 - np.minimum(share, 1 - 1e-9)), 0.0)
+        used = (np.abs(z).max(0) >= least_z) & (share.max(0) >= least_ratio * share.min(0))
+        absent = np.log(1 - np.minimum(share, 1 - 1e-9))
+        gain = np.where(used, np.log(share) - absent, 0.0)
         self.weights = (gain - gain.mean(0)).T.astype(np.float32)
-        base = np.where(used, np.log(1 - np.minimum(share, 1 - 1e-9)), 0.0).sum(1)
+        base = np.where(used, absent, 0.0).sum(1)
         self.bias = np.log((documents + 1.0) / (documents.sum() + len(documents))) + base - base.mean()
 
     def posteriors(self, places: list[np.ndarray]) -> np.ndarray:
@@ -84,14 +88,28 @@ class Classifier:
         return p / p.sum(1, keepdims=True)
 
 
+def _kinds(rows: DataFrame) -> DataFrame:
+    """labelled_id, domain and the least hash of the text's five-word shingles, which copies and most near copies have in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, blobs in W.chunks(batches, "text"):
+            hashes, starts = shingle_sets(blobs, 5)
+            least = np.array([hashes[a] if b > a else 0 for a, b in zip(starts[:-1], starts[1:], strict=True)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("labelled_id", "domain")] + [pa.array(least)], names=["labelled_id", "domain", "least"])
+
+    return rows.select("labelled_id", "domain", "text").mapInArrow(run, T.StructType([rows.schema["labelled_id"], T.StructField("domain", T.IntegerType()), T.StructField("least", T.LongType())]))
+
+
 def train(documents: DataFrame, labels: DataFrame) -> Classifier:
-    """Counts, for each domain, the labelled documents (up to about TRAIN_ROWS) that have each place: partial sums in each task, then a grouped sum of at most domains x PLACES rows."""
+    """Counts, for each domain, the labelled documents (up to about TRAIN_ROWS) that have each place: partial sums in each task, then a grouped sum of at most domains x PLACES rows. Of labelled copies of one text, near ones too, one counts, so that a much copied text does not teach its words."""
     k = len(DOMAINS)
     known = labelled(labels)
     share = TRAIN_ROWS / max(1, known.count())
     if share < 1:
         known = known.where(F.pmod(F.xxhash64("labelled_id", F.lit("train")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
-    rows = documents.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("labelled_id")).select("domain", "text")
+    of = lambda x: documents.select("doc_id", "text").join(F.broadcast(x), F.col("doc_id") == F.col("labelled_id"))
+    known = materialize(_kinds(of(known)).groupBy("domain", "least").agg(F.min("labelled_id").alias("labelled_id")).select("labelled_id", "domain"), "labelled")
+    rows = of(known).select("domain", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((k, PLACES + 1), np.int64)
@@ -104,6 +122,7 @@ def train(documents: DataFrame, labels: DataFrame) -> Classifier:
         yield pa.RecordBatch.from_arrays([pa.array(d.astype(np.int32)), pa.array(p.astype(np.int32)), pa.array(counts[d, p])], names=["domain", "place", "n"])
 
     total = rows.mapInArrow(run, "domain int, place int, n long").groupBy("domain", "place").agg(F.sum("n").alias("n")).toPandas()
+    discard(known)
     counts = np.zeros((k, PLACES + 1))
     counts[total["domain"], total["place"]] = total["n"]
     return Classifier(counts[:, :PLACES], counts[:, PLACES])
@@ -124,26 +143,25 @@ def memberships(documents: DataFrame, model: Classifier, keep: list[str]) -> Dat
     return documents.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
-def replay(p: np.ndarray, steps: list[np.ndarray], most: float) -> np.ndarray:
-    """Rates after the steps, from 1, held between 0 and most."""
+def replay(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
+    """Rates after the steps, from 1, held at 0 or above."""
     rate = np.ones(len(p))
     for g in steps:
-        rate = np.clip(rate - p @ g, 0.0, most)
+        rate = np.maximum(rate - p @ g, 0.0)
     return rate
 
 
-def _sums(rows: DataFrame, steps: list[np.ndarray], k: int, most: float) -> tuple[np.ndarray, np.ndarray]:
-    """The domains' expected totals at the rates, and their Gram matrix over documents whose rates are not at a bound."""
+def _sums(rows: DataFrame, steps: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The domains' expected totals at the rates, and their Gram matrix over documents whose rates are above 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(k + k * k)
         for batch in batches:
             t = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
             p = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-            rate = replay(p, steps, most)
+            rate = replay(p, steps)
             total[:k] += (rate * t) @ p
-            free = (rate > 0) & (rate < most) if steps else np.ones(len(rate), bool)
-            total[k:] += ((p * (t * free)[:, None]).T @ p).reshape(-1)
+            total[k:] += ((p * (t * (rate > 0))[:, None]).T @ p).reshape(-1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["i", "v"])
 
     got = rows.select("n_tokens", "p").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
@@ -152,67 +170,71 @@ def _sums(rows: DataFrame, steps: list[np.ndarray], k: int, most: float) -> tupl
     return out[:k], out[k:].reshape(k, k)
 
 
-def solve(rows: DataFrame, weights: list[float], most: float = 1.0, tolerance: float = 1e-4, iterations: int = 40) -> list[np.ndarray]:
-    """Steps whose replay gives rates that meet the targets. The first domain keeps its tokens; each other's target is its weight against the first's, or what it has if that is less.
+def solve(rows: DataFrame, weights: list[float], tolerance: float = 1e-4, iterations: int = 60) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Steps whose replay gives rates that meet the targets; the targets; and the totals reached. The first domain's target is its own tokens, each other's its weight against the first's: less than it has, or more, for which its documents are repeated.
 
-    rows: (n_tokens, p), read once an iteration. Stops when every domain's total is within `tolerance` of all tokens of
-    its target, or when steps no longer help.
+    rows: (n_tokens, p), read once an iteration. The squares of the domains' residuals are weighted by their curvature, the
+    sum of n_tokens * p^2 over documents that are not held at 0; a gradient step of 1 / (greatest eigenvalue of the Gram
+    matrix so scaled), in the metric of the documents' tokens, cannot overshoot while none is let go. Stops when every
+    domain's total is within `tolerance` of all tokens of its target; or else the steps up to the least residual count.
     """
     k, steps = len(weights), []
     w = np.array(weights, float)
-    now, gram = _sums(rows, steps, k, most)
+    now, gram = _sums(rows, steps, k)
     every = now.sum()
-    if not every:
-        return steps
-    target = np.minimum(now, now[0] * w / w[0])
-    best = np.abs(now - target).max()
-    for _ in range(iterations):
-        if np.abs(now - target).max() <= tolerance * every:
-            break
-        ridge = np.eye(k) * (1e-9 * max(np.trace(gram), 1.0))
-        steps.append(np.linalg.solve(gram + ridge, now - target))
-        now, gram = _sums(rows, steps, k, most)
-        off = np.abs(now - target).max()
-        if off > best * 0.999 and len(steps) > 3:
-            break
-        best = min(best, off)
-    return steps
-
-
-def with_rates(rows: DataFrame, steps: list[np.ndarray], most: float = 1.0) -> DataFrame:
+    if not every or not w[0] > 0:
+        return steps, now, now
+    target = now[0] * w / w[0]
+    floor = 1e-9 * np.diag(gram).max()
+    best = (np.abs(now - target).max(), 0, now)
+    while best[0] > tolerance * every and len(steps) < iterations:
+        curve = np.maximum(np.diag(gram), floor)
+        length = 1 / np.linalg.eigvalsh(gram / np.sqrt(np.outer(curve, curve)))[-1]
+        steps.append(length * (now - target) / curve)
+        now, gram = _sums(rows, steps, k)
+        best = min(best, (np.abs(now - target).max(), len(steps), now), key=lambda x: x[0])
+    return steps[: best[1]], target, best[2]
+
+
+def with_rates(rows: DataFrame, steps: list[np.ndarray]) -> DataFrame:
     """Adds rate, and copies: its whole part, and one more with the probability of the rest, by a hash of doc_id and n_tokens."""
     p = F.col("p")
     rate = F.lit(1.0)
-    for g in steps:
-        dot = sum((p[i] * F.lit(float(x)) for i, x in enumerate(g)), F.lit(0.0))
-        rate = F.least(F.lit(float(most)), F.greatest(F.lit(0.0), rate - dot))
+    if steps:
+        moves = F.array(*(F.array(*(F.lit(float(x)) for x in g)) for g in steps))
+        rate = F.aggregate(moves, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - sum((p[i] * g[i] for i in range(len(steps[0]))), F.lit(0.0))))
     chance = F.pmod(F.xxhash64("doc_id", "n_tokens", F.lit("mix")), F.lit(1 << 40)).cast("double") / F.lit(float(1 << 40))
     return rows.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + chance).cast("long"))
 
 
 #: Weights of the three domains in the mixture.
-WEIGHTS = (0.9, 0.05, 0.05)
+WEIGHTS = (0.99, 0.002, 0.008)
+
+
+def _steps(rows: DataFrame, model: Classifier, weights: tuple[float, ...]) -> list[np.ndarray]:
+    return solve(rows, list(weights))[0] if model.learned else []
 
 
 def mix(documents: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """doc_id, n_tokens, p_<domain>, rate, copies for every row.
 
-    The first domain keeps its tokens, at rates near 1; the others are held to their weights against it, and one that has
-    less than its weight keeps what it has. A null or empty text has no tokens and the labelled table's own shares as its
-    probabilities; rows that repeat are weighed one by one and get the same rate; a null doc_id is an ordinary key of
-    the draw. Without labels all domains are alike and rates are the same for all. An empty table gives no rows; other
-    columns are ignored.
+    The first domain keeps its tokens, at rates near 1; the others are brought to their weights against it, thinned or
+    repeated. A null or empty text has no tokens and the labelled table's own shares as its probabilities; rows that
+    repeat are weighed one by one and get the same rate; a null doc_id is an ordinary key of the draw. Without labelled
+    documents no domain can be told and all rates are 1. An empty table gives no rows; other columns are ignored.
     """
-    rows = materialize(memberships(documents, train(documents, labels), ["doc_id"]), "memberships")
-    out = with_rates(rows, solve(rows, list(weights)))
+    model = train(documents, labels)
+    rows = materialize(memberships(documents, model, ["doc_id"]), "memberships")
+    out = with_rates(rows, _steps(rows, model, weights))
     return out.select("doc_id", "n_tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)), "rate", "copies")
 
 
 def mixed_documents(documents: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """The documents, each as often as its copies say."""
+    """The documents, with all their columns, each as often as its copies say, as mix() does for each kind of row."""
     model = train(documents, labels)
     rows = materialize(memberships(documents, model, ["doc_id"]), "memberships")
-    steps = solve(rows, list(weights))
+    steps = _steps(rows, model, weights)
+    discard(rows)
     inner, restore = shield(documents, ("doc_id", "text"))
     chosen = with_rates(memberships(inner, model, inner.columns), steps)
     return restore(chosen.where("copies > 0").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tessera.llm import components, lm, neardup, quality, vptree
+from tessera.llm import components, lm, mixing, neardup, quality, vptree
 from tessera.llm import words as W
 
 ROOT = "/root/testdata/sf0.001"
@@ -107,13 +107,40 @@ def test_upper_bounds():
     assert sum(comb(50, i) * p**i * (1 - p) ** (50 - i) for i in range(4)) == pytest.approx(0.01, rel=1e-6)
 
 
-def test_certified_cutoffs_keep_the_risk():
-    grid = next(iter(quality.RULES.values()))
-    counts = {("en", 0, 0): (9990, 0), ("en", 0, 4): (10, 300), ("en", 0, len(grid)): (0, 200)}
-    cut = quality.certify(counts, {"en": (10_000, 500)}, 0.05, 0.05)["en"]
-    assert cut[0] == grid[0] and all(c == float("inf") for c in cut[1:])
-    few = quality.certify({("en", 0, len(grid)): (0, 20), ("en", 0, 0): (30, 0)}, {"en": (30, 20)}, 0.05, 0.05)["en"]
-    assert few[0] == float("inf")
+@pytest.mark.parametrize("weights", [(0.9, 0.05, 0.05), (0.5, 0.3, 0.2), (0.98, 0.01, 0.01)])
+def test_rates_meet_the_targets(spark, weights):
+    """Against the same least squares in numpy, and against the targets themselves."""
+    rng = np.random.default_rng(6)
+    n = rng.integers(1, 900, 600)
+    p = rng.dirichlet((0.3, 0.05, 0.04), 600)
+    rows = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "n_tokens long, p array<double>")
+    steps, target, reached = mixing.solve(rows, list(weights))
+    totals = (p * n[:, None]).sum(0)
+    assert np.allclose(target, totals[0] * np.array(weights) / weights[0])
+    rate = mixing.replay(p, steps)
+    assert (rate >= 0).all() and np.allclose((p * (n * rate)[:, None]).sum(0), reached)
+    assert np.abs(reached - target).max() <= 1e-4 * n.sum()
+    # projected gradient by dense matrices, in the metric of the tokens
+    a, x = (p * n[:, None]).T, np.ones(600)
+    for _ in steps:
+        free = x > 0
+        gram = (p[free] * n[free, None]).T @ p[free]
+        scale = np.diag(1 / np.diag(gram))
+        length = 1 / np.linalg.eigvals(scale @ gram).real.max()
+        x = np.maximum(x - length * (a.T @ scale @ (a @ x - target)) / n, 0)
+    assert np.allclose(x, rate)
+
+
+def test_unreachable_targets_leave_the_least_residual(spark):
+    rows = spark.createDataFrame([(10, [0.5, 0.5]), (20, [0.5, 0.5])], "n_tokens long, p array<double>")
+    steps, target, reached = mixing.solve(rows, [0.9, 0.1])
+    assert np.allclose(target, [15, 15 / 9]) and np.abs(reached - target).max() < np.abs(np.array([15, 15]) - target).max() and reached[0] == pytest.approx(reached[1])
+
+
+def test_places_of_whole_words():
+    one, two = b"a" + b"-a" * 40, b"a" + b"-a" * 39 + b"-9"
+    _, shapes = mixing._places([one, two, b"aaab", b"ab"])
+    assert shapes[0] != shapes[1] and shapes[2] == shapes[3]
 
 
 def test_shingles_of_words():
