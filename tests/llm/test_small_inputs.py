@@ -158,6 +158,8 @@ def test_nearest(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, shard int")
     got = vptree.nearest(df, df.where("vec_id in (0, 5)"), 3, 1.0).orderBy("rank").collect()
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 3, 0.0)]
+    got = vptree.nearest(df.union(spark.createDataFrame([(10, [2.0, 0.0, 1.0], 1)], df.schema)), df.where("vec_id = 9")).collect()
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == [(9, 1, 10, 5.0)]
     assert vptree.nearest(df.limit(0), df.limit(0)).count() == 0
     assert vptree.nearest(df.where("vec_id = 0"), df.where("vec_id = 0")).count() == 0
 
