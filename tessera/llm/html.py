@@ -1,9 +1,11 @@
 """Main text of web pages by tag-path ratios.
 
-Each block of text hangs on a root-to-leaf path of tags. For each path of a page, text length and punctuation per block
-are aggregated, smoothed along the page, fused and held against a threshold; the weight of the paths that pass finds
-the element that holds the article. Its blocks are the main text, without those of elements that are boilerplate by
-their kind and of paths that are mostly links.
+Each block of text hangs on a root-to-leaf path of tags and their classes. For each path of a page, text length,
+punctuation and link text per block are aggregated, smoothed along the page, fused and held against a threshold: blocks of
+paths that pass are content, and so are unlinked blocks among them under the same holder, such as headings, short
+paragraphs and list items. Elements that are boilerplate by their kind (menus, forms, scripts) have no part in this.
+A class, id or role that names boilerplate is evidence, not proof: it counts by the share of its words that do, and
+gives way where the element holds what there is to read on the page.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ INLINE = frozenset(("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "c
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 #: Elements that are never article text, and words of class, id or role that mark such elements.
 BOILERPLATE = frozenset(("nav", "footer", "aside", "form", "button", "select", "option", "head", "menu", "dialog", "header", "label", "fieldset", "audio", "video", "canvas", "map"))
-MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead topbar comment comments commentlist reply replies respond discussion disqus share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay widget pagination pager search complementary contentinfo navigation toolbar skip".split())
+COMMENTS = frozenset("comment comments commentlist commenter replies reply respond discussion disqus".split())
+MARKS = COMMENTS | frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead topbar share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay widget pagination pager search complementary contentinfo navigation toolbar skip".split())
 ARTICLE = frozenset(("article", "main"))
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -35,26 +38,29 @@ _CONTAINER = frozenset("html body div section article main center table tbody tr
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
-def _marked(tag: str, attributes: str) -> bool:
-    """Whether the element is boilerplate by its kind."""
-    if tag in BOILERPLATE:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
-    if _HIDDEN.search(attributes):
-        return True
+def _kind(tag: str, attributes: str) -> tuple[bool, float, str]:
+    """Whether the element is boilerplate by its kind; how far its names say so: the share of a name's words that do (2 for comments), most of all names; and its names without digits."""
+    if tag in BOILERPLATE or (attributes and _HIDDEN.search(attributes)):
+        return True, 0.0, ""
+    if not attributes:
+        return False, 0.0, ""
+    most, names = 0.0, []
     for found in _ATTR.findall(attributes):
-        if MARKS.intersection(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", "".join(found)).lower())):
-            return True
-    return False
+        for name in "".join(found).split():
+            words = [x for x in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if x]
+            names.append("-".join(words))
+            if words and tag not in ("html", "body"):
+                hits = sum(x in MARKS for x in words)
+                most = max(most, 2.0 if 2 * sum(x in COMMENTS for x in words) >= len(words) else hits / len(words))
+    return False, most, " ".join(names)
 
 
 class Page:
-    """Blocks of a page: text, element, share of link text; and elements: parent, path, whether they are boilerplate."""
+    """Blocks of a page: text, element, share of link text; and elements: parent, path, whether they are boilerplate, and how far their own names say so."""
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.path, self.out = [-1], [""], [0], [False]
-        self.paths: dict[tuple[int, str], int] = {}
+        self.parent, self.tag, self.path, self.out, self.mark = [-1], [""], [0], [False], [0.0]
+        self.paths: dict[tuple[int, str, str], int] = {}
         self.blocks: list[tuple[str, int, int]] = []  # text, element, characters in links
         self._stack, self._links, self._buffer, self._linked = [0], 0, [], 0
         lower, at, end = None, 0, len(source)
@@ -99,7 +105,7 @@ class Page:
             self._buffer, self._linked = [], 0
 
     def _open(self, name: str, attributes: str) -> None:
-        if name in INLINE and not (name != "a" and attributes and _marked(name, attributes)):
+        if name in INLINE and (name == "a" or not attributes or not any(_kind(name, attributes)[:2])):
             self._links += name == "a"
             return
         self._flush()
@@ -110,13 +116,13 @@ class Page:
         if name in _SAME:
             self._pop(name, _SAME[name], _HOLDS[name])
         top = self._stack[-1]
-        key = (self.path[top], name)
+        out, mark, names = _kind(name, attributes)
         self._stack.append(len(self.parent))
         self.parent.append(top)
         self.tag.append(name)
-        self.path.append(self.paths.setdefault(key, len(self.paths) + 1))
-        inside = self.out[top] and name not in ARTICLE
-        self.out.append(inside or (_marked(name, attributes) and not (name == "header" and self._in_article())))
+        self.path.append(self.paths.setdefault((self.path[top], name, names), len(self.paths) + 1))
+        self.out.append(self.out[top] or (out and not (name == "header" and self._in_article())))
+        self.mark.append(mark)
         self._links = 0
 
     def _in_article(self) -> bool:
@@ -149,10 +155,8 @@ class Page:
             if tag in ARTICLE and name not in ("body", "html"):
                 return
 
-    def main_text(self, smooth: int = 1, cut: float = 0.25) -> str:
-        blocks = [b for b in self.blocks if not self.out[b[1]]]
-        if not blocks:
-            return ""
+    def _scores(self, blocks: list[tuple[str, int, int]], smooth: int, cut: float) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each block's path passes, and whether it is mostly links."""
         path = np.array([self.path[b[1]] for b in blocks])
         size = np.array([len(b[0]) for b in blocks], float)
         points = np.array([len(_PUNCTUATION.findall(b[0])) for b in blocks], float)
@@ -160,35 +164,94 @@ class Page:
         _, which = np.unique(path, return_inverse=True)
         count = np.bincount(which)
         text, marks, linked = (np.bincount(which, x) for x in (size, points, links))
-        fused = (text / count * np.log1p(marks / count + 1))[which]
+        fused = ((text - linked) / count * np.log1p(marks / count))[which]
         padded = np.pad(fused, smooth, mode="edge")
         fused = np.convolve(padded, np.ones(2 * smooth + 1) / (2 * smooth + 1), "valid")
-        dense = (linked / np.maximum(text, 1))[which] > 0.5
-        passed = (fused >= cut * fused.std()) & ~dense
+        dense = links > 0.5 * size
+        return (fused >= cut * fused.std()) & (fused > 0) & ~dense, dense
+
+    def main_text(self, smooth: int = 1, cut: float = 0.25) -> str:
+        blocks = [b for b in self.blocks if not self.out[b[1]]]
+        if not blocks:
+            return ""
+        passed, dense = self._scores(blocks, smooth, cut)
+        size = np.array([len(b[0]) for b in blocks], float)
+        suspect = self._suspects(blocks, np.where(passed, size, 0))
+        live = [k for k, b in enumerate(blocks) if not suspect[b[1]]]
+        if not live:
+            return ""
+        blocks, passed, dense, size = [blocks[k] for k in live], passed[live], dense[live], size[live]
+        weight = self._weights(blocks, np.where(passed, size, 0))
+        if not weight[0]:
+            passed = ~dense
+            weight = self._weights(blocks, np.where(passed, size, 0))
+        root, sure = self._holder(weight, suspect)
+        inside = self._inside(root)
+        mine = np.array([inside[b[1]] for b in blocks])
+        chosen = mine & (~dense | self._between(mine & ~dense & passed))
+        if not sure:  # a heading or lead beside the holder
+            chosen |= passed
+            first = int(np.argmax(chosen)) if chosen.any() else 0
+            while first and self.tag[blocks[first - 1][1]] in ("h1", "h2") and not dense[first - 1]:
+                first -= 1
+                chosen[first] = True
+        return " ".join(b[0] for b, ok in zip(blocks, chosen, strict=True) if ok)
+
+    @staticmethod
+    def _between(known: np.ndarray) -> np.ndarray:
+        """Whether known blocks stand on either side."""
+        at = np.cumsum(known)
+        return (at > 0) & (at < at[-1]) if len(at) else known
+
+    def _weights(self, blocks: list[tuple[str, int, int]], sizes: np.ndarray) -> np.ndarray:
+        """Of each element, the sizes of the blocks within."""
         weight = np.zeros(len(self.parent))
-        for b, s, ok in zip(blocks, size, passed, strict=True):
-            weight[b[1]] += s if ok else 0
+        for b, s in zip(blocks, sizes, strict=True):
+            weight[b[1]] += s
         for e in range(len(weight) - 1, 0, -1):
             weight[self.parent[e]] += weight[e]
-        root = self._holder(weight)
+        return weight
+
+    def _inside(self, root: int) -> np.ndarray:
         inside = np.zeros(len(self.parent), bool)
         inside[root] = True
         for e in range(root + 1, len(inside)):
             inside[e] = inside[self.parent[e]]
-        sure = self.tag[root] in ARTICLE
-        return " ".join(b[0] for b, d in zip(blocks, dense, strict=True) if inside[b[1]] and (sure or not d))
-
-    def _holder(self, weight: np.ndarray, share: float = 0.9) -> int:
-        """The element of the article: an article or main element with most of the weight, or else the deepest container with nearly all."""
-        marked = [e for e in range(len(weight)) if self.tag[e] in ARTICLE and weight[e] >= 0.5 * weight[0] and not self.out[e]]
-        if marked:
-            best = [e for e in marked if self.tag[e] == "article"] or marked
-            return max(best, key=lambda e: (weight[e], -e))
+        return inside
+
+    def _suspects(self, blocks: list[tuple[str, int, int]], sizes: np.ndarray) -> np.ndarray:
+        """Elements whose names are believed. A name gives way if beside the element there is next to nothing that passes (twenty times less; nothing at all if all its words name boilerplate), or, if no more than half of its words do, if the element stands among an article's blocks and passes like them."""
+        weight = self._weights(blocks, sizes)
+        plain = self._weights(blocks, np.array([len(b[0]) for b in blocks], float))
+        suspect = np.zeros(len(self.parent), bool)
+        article = [False] * len(self.parent)
+        for e in range(1, len(self.parent)):
+            up = self.parent[e]
+            suspect[e], article[e] = suspect[up], article[up] or self.tag[e] in ARTICLE
+            if self.mark[e] and not suspect[e]:
+                rest = weight[0] - weight[e]
+                holds = weight[e] > 0 and (rest * 20 <= weight[e] if self.mark[e] < 1 else rest == 0)
+                among = self.mark[e] <= 0.5 and article[up] and weight[e] > 0.5 * plain[e] and weight[e] < 0.5 * weight[0]
+                suspect[e] = not holds and not among
+        return suspect
+
+    def _holder(self, weight: np.ndarray, suspect: np.ndarray, share: float = 0.9) -> tuple[int, bool]:
+        """The element of the article, and whether it is one by its tag: an article or main element with most of the weight (or with a heading of the first order and some), or else the deepest container with nearly all."""
+        least = 0.5 * weight[0]
+        titled = np.zeros(len(weight), bool)
+        for e in range(len(weight) - 1, 0, -1):
+            titled[e] |= self.tag[e] == "h1"
+            titled[self.parent[e]] |= titled[e]
+        marked = [e for e in range(len(weight)) if self.tag[e] in ARTICLE and not self.out[e] and not suspect[e] and weight[e] > 0]
+        fit = [e for e in marked if weight[e] >= least or (titled[e] and weight[e] >= 0.15 * weight[0])]
+        if fit:
+            best = [e for e in fit if self.tag[e] == "article"] or fit
+            return max(best, key=lambda e: (titled[e], weight[e], -e)), True
         at = 0
         for e in range(1, len(weight)):
             if self.parent[e] == at and self.tag[e] in _CONTAINER and weight[e] >= share * weight[0] > 0:
                 at = e
-        return at
+        return at, False
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
