@@ -21,8 +21,8 @@ from tessera.llm import words as W
 from tessera.llm.html import Page
 from tessera.llm.storage import materialize
 
-#: Hash places of byte trigrams; how much of a page's trigram evidence counts, since neighbouring trigrams overlap; the strength of a parent's prior; languages at most, the commonest.
-PLACES, TEMPER, STRENGTH, LANGUAGES = 1 << 15, 0.25, 5.0, 64
+#: Hash places of byte trigrams; how much of a page's trigram evidence counts, since neighbouring trigrams overlap; the strength of a parent's prior.
+PLACES, TEMPER, STRENGTH = 1 << 15, 0.25, 5.0
 _DECLARED = re.compile(rb"<(?:html|body)\b[^>]*?\b(?:xml:)?lang\s*=\s*[\"']?\s*([A-Za-z]{2,8})", re.I)
 _META = re.compile(rb"<meta\b[^>]*?content-language[^>]*?content\s*=\s*[\"']?\s*([A-Za-z]{2,8})", re.I)
 
@@ -94,8 +94,8 @@ def identify(pages: DataFrame, documents: DataFrame) -> DataFrame:
     Ties go to the first language by name. Without documents of known language lang is null. Repeated rows each appear; an
     empty table gives no rows; other columns are ignored.
     """
-    found = documents.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in found)
+    # languages are a few hundred in the widest crawls; each takes PLACES counts in a worker
+    languages = sorted(r["lang"] for r in documents.where(F.col("lang").isNotNull()).select("lang").distinct().collect())
     n = len(languages)
     address = F.lower(F.coalesce("url", F.lit("")))
     host = F.regexp_extract(address, r"^[a-z][a-z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)
