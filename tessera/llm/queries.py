@@ -83,5 +83,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_language_id, op2_lm_scoring, op3_quality_rules, op4_nearest_neighbours, op5_mixing, op6_substring_dedup, op7_packing, op8_html_extraction, op9_minhash_near_dedup, op10_sharding)}
 
 
+#: The checksum is worked out bytewise from its polynomial. Of equal weights the least -ln(u) is the greatest u, which is the greatest hex digits.
+SHARDING_SQL = """
+WITH bits AS (SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(n))),
+raw AS (SELECT row_number() OVER () AS i, doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS k, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS x, list_transform(range(25), lambda s: substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || s), 1, 12)) AS draws FROM documents),
+summed AS (SELECT i, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(n), lambda p: CAST('0x' || substr(x, 2 * p + 1, 2) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM raw, bits),
+placed AS (SELECT doc_id, CAST(n + 8 AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, substr(md5(k || ':' || text_crc32), 1, 3) AS part, CAST(list_position(draws[:24], list_max(draws[:24])) - 1 AS INTEGER) AS shard, CAST(list_position(draws, list_max(draws)) - 1 AS INTEGER) AS grown_shard FROM raw JOIN summed USING (i))
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY part, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard FROM placed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_sharding": SHARDING_SQL}

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of the key's hash within which slots are counted: 3 hex digits of md5.
+#: Ranges of the keys' hash within which slots are counted: 3 hex digits of md5.
 SLOT_RANGES = 4096
 
 
@@ -29,13 +29,13 @@ def rendezvous(key: Column, weights: list[float]) -> Column:
     return (F.least(*draws) if len(draws) > 1 else draws[0])["shard"]
 
 
-def with_slots(df: DataFrame, shard: str, key: str, order: list[str]) -> DataFrame:
-    """Adds slot: each row's place in its shard, gapless from 0, by the key's md5 range, then `order`.
+def with_slots(df: DataFrame, shard: str, keys: list[str], order: list[str]) -> DataFrame:
+    """Adds slot: each row's place in its shard, gapless from 0, by the range of the keys' md5, then `order`.
 
-    Rows of a shard are numbered within SLOT_RANGES ranges of the key's hash, and each range starts where the ranges
+    Rows of a shard are numbered within SLOT_RANGES ranges of the keys' hash, and each range starts where the ranges
     before it end; the table of ranges has SLOT_RANGES rows a shard whatever the input's size. So no task gets a whole shard.
     """
-    part = F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, 3)
+    part = F.substring(F.md5(F.concat_ws(":", *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys))), 1, 3)
     rows = df.withColumn("_range", part)
     before = Window.partitionBy(shard).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     first = rows.groupBy(shard, "_range").agg(F.count("*").alias("_n")).select(F.col(shard).alias("_s"), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
@@ -61,5 +61,5 @@ def shard_documents(documents: DataFrame, weights: list[float], grown_weight: fl
         rendezvous(F.col("doc_id"), weights).alias("shard"),
         rendezvous(F.col("doc_id"), [*weights, grown_weight]).alias("grown_shard"),
     )
-    out = with_slots(rows, "shard", "doc_id", ["doc_id", "size", "text_crc32"])
+    out = with_slots(rows, "shard", ["doc_id", "text_crc32"], ["doc_id", "size", "text_crc32"])
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

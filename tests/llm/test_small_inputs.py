@@ -60,6 +60,17 @@ def test_sharding(spark, docs, none):
     for s in {r.shard for r in got}:
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
     assert all(r.grown_shard in (r.shard, 24) for r in got)
+    # the argmin itself, by the definition
+    import hashlib
+    from math import log
+
+    def shard(i, weights):
+        draw = lambda k: (int(hashlib.md5(f"{'' if i is None else i}:{k}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+        return min(range(len(weights)), key=lambda k: (-log(draw(k)) / weights[k], k))
+
+    assert all(r.shard == shard(r.doc_id, [1.0] * 24) and r.grown_shard == shard(r.doc_id, [1.0] * 25) for r in got)
+    uneven = [0.5, 3.0, 1.0]
+    assert all(r.shard == shard(r.doc_id, uneven) for r in sharding.shard_documents(docs, uneven).collect())
     assert sharding.shard_documents(none, [1.0, 2.0]).count() == 0
     ids = spark.range(4000).selectExpr("id as doc_id", "cast(id as string) as text")
     n = [r["count"] for r in sharding.shard_documents(ids, [1.0, 3.0]).groupBy("shard").count().orderBy("shard").collect()]
