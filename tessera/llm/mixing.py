@@ -43,20 +43,19 @@ def _places(new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def features(blobs: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Each text's distinct places, and its count of words."""
+def features(blobs: list[bytes], used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts' distinct places (among the used ones, if given): the text's number and the place; and each text's count of words."""
     table = W.held("places", lambda: W.WordTable(_places))
     rows, starts = W.split(table, blobs)
-    word, shape = (c[rows] for c in table.columns)
-    out = []
-    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-        seen = np.zeros(PLACES, bool) if b - a > 4096 else None
-        if seen is None:
-            out.append(np.unique(np.concatenate((word[a:b], shape[a:b]))))
-        else:
-            seen[word[a:b]] = seen[shape[a:b]] = True
-            out.append(np.flatnonzero(seen))
-    return out, np.diff(starts)
+    n = np.diff(starts)
+    text = np.repeat(np.arange(len(n)) * PLACES, n)
+    keys = []
+    for column in table.columns:
+        place = column[rows]
+        at = slice(None) if used is None else np.flatnonzero(used[place])
+        keys.append(text[at] + place[at])
+    both = np.unique(np.concatenate(keys))
+    return both // PLACES, both % PLACES, n
 
 
 def labelled(labels: DataFrame) -> DataFrame:
@@ -66,7 +65,7 @@ def labelled(labels: DataFrame) -> DataFrame:
 
 
 class Classifier:
-    """Naive Bayes over the places that are present, or absent, far more often in one domain than in another: beyond chance (|z| >= least_z) and `least_ratio` times as often. Words that merely go with the length of a domain's texts are below that."""
+    """Naive Bayes over the places that are present, or absent, far more often in one domain than in another: beyond chance (|z| >= least_z) and `least_ratio` times as often. Words that merely go with the length of a domain's texts are below that. Its evidence is turned into probabilities by a logistic regression on labelled documents that it has not counted."""
 
     def __init__(self, counts: np.ndarray, documents: np.ndarray, least_z: float = 6.0, least_ratio: float = 4.0):
         self.learned = bool(documents.sum())
@@ -74,18 +73,48 @@ class Classifier:
         share = (counts + 0.5) / (n + 1.0)
         overall = (counts.sum(0) + 0.5) / (documents.sum() + 1.0)
         z = (counts / n - overall) / np.sqrt(overall * (1 - np.minimum(overall, 1 - 1e-9)) / n)
-        used = (np.abs(z).max(0) >= least_z) & (share.max(0) >= least_ratio * share.min(0))
+        self.used = (np.abs(z).max(0) >= least_z) & (share.max(0) >= least_ratio * share.min(0))
         absent = np.log(1 - np.minimum(share, 1 - 1e-9))
-        gain = np.where(used, np.log(share) - absent, 0.0)
-        self.weights = (gain - gain.mean(0)).T.astype(np.float32)
-        base = np.where(used, absent, 0.0).sum(1)
+        gain = np.where(self.used, np.log(share) - absent, 0.0)
+        self.weights = gain - gain.mean(0)
+        base = np.where(self.used, absent, 0.0).sum(1)
         self.bias = np.log((documents + 1.0) / (documents.sum() + len(documents))) + base - base.mean()
-
-    def posteriors(self, places: list[np.ndarray]) -> np.ndarray:
-        logs = np.stack([self.weights[p].sum(0, dtype=np.float64) for p in places]) + self.bias if places else np.zeros((0, len(self.bias)))
-        logs -= logs.max(1, keepdims=True)
-        p = np.exp(logs)
-        return p / p.sum(1, keepdims=True)
+        self.logistic: np.ndarray | None = None
+
+    def evidence(self, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Log weights of the domains, and counts of words."""
+        text, place, n = features(blobs, self.used)
+        return np.stack([np.bincount(text, w[place], len(blobs)) + b for w, b in zip(self.weights, self.bias, strict=True)], 1), n
+
+    @staticmethod
+    def _inputs(logs: np.ndarray) -> np.ndarray:
+        """Evidence against the first domain, far values drawn in, and 1."""
+        return np.concatenate((np.arcsinh(logs[:, 1:] - logs[:, :1]), np.ones((len(logs), 1))), 1)
+
+    def calibrate(self, logs: np.ndarray, domain: np.ndarray, ridge: float = 1e-2, rounds: int = 25) -> None:
+        """Fits the logistic regression by Newton steps."""
+        x, k = self._inputs(logs), logs.shape[1]
+        y = np.eye(k)[domain]
+        w = np.zeros((k - 1, x.shape[1]))
+        for _ in range(rounds):
+            p = self._softmax(x @ w.T)
+            g = ((p - y)[:, 1:].T @ x + ridge * w).reshape(-1)
+            q = p[:, 1:]
+            h = np.einsum("nab,ni,nj->aibj", np.einsum("na,ab->nab", q, np.eye(k - 1)) - q[:, :, None] * q[:, None, :], x, x, optimize=True)
+            step = np.linalg.solve(h.reshape(len(g), -1) + ridge * np.eye(len(g)), g)
+            w -= (step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))).reshape(w.shape)
+        self.logistic = w
+
+    @staticmethod
+    def _softmax(rest: np.ndarray) -> np.ndarray:
+        z = np.concatenate((np.zeros((len(rest), 1)), rest), 1)
+        e = np.exp(z - z.max(1, keepdims=True))
+        return e / e.sum(1, keepdims=True)
+
+    def posteriors(self, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of the domains, and counts of words."""
+        logs, n = self.evidence(blobs)
+        return self._softmax(logs[:, 1:] - logs[:, :1] if self.logistic is None else self._inputs(logs) @ self.logistic.T), n
 
 
 def _kinds(rows: DataFrame) -> DataFrame:
@@ -108,24 +137,36 @@ def train(documents: DataFrame, labels: DataFrame) -> Classifier:
     if share < 1:
         known = known.where(F.pmod(F.xxhash64("labelled_id", F.lit("train")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
     of = lambda x: documents.select("doc_id", "text").join(F.broadcast(x), F.col("doc_id") == F.col("labelled_id"))
-    known = materialize(_kinds(of(known)).groupBy("domain", "least").agg(F.min("labelled_id").alias("labelled_id")).select("labelled_id", "domain"), "labelled")
-    rows = of(known).select("domain", "text")
+    known = materialize(_kinds(of(known)).groupBy("domain", "least").agg(F.min("labelled_id").alias("labelled_id")).select("labelled_id", "domain", F.pmod(F.xxhash64("least", F.lit("half")), F.lit(2)).alias("half")), "labelled")
+    rows = of(known).select("domain", "half", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((k, PLACES + 1), np.int64)
+        counts = np.zeros(k * (PLACES + 1), np.int64)
         for batch, blobs in W.chunks(batches, "text"):
-            places, _ = features(blobs)
-            for d, p in zip(batch.column(batch.schema.get_field_index("domain")).to_pylist(), places, strict=True):
-                counts[d, p] += 1
-                counts[d, PLACES] += 1
-        d, p = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(d.astype(np.int32)), pa.array(p.astype(np.int32)), pa.array(counts[d, p])], names=["domain", "place", "n"])
-
-    total = rows.mapInArrow(run, "domain int, place int, n long").groupBy("domain", "place").agg(F.sum("n").alias("n")).toPandas()
-    discard(known)
+            domain = batch.column(batch.schema.get_field_index("domain")).to_numpy(zero_copy_only=False).astype(np.int64)
+            text, place, _ = features(blobs)
+            counts += np.bincount(domain[text] * (PLACES + 1) + place, minlength=len(counts))
+            counts += np.bincount(domain * (PLACES + 1) + PLACES, minlength=len(counts))
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array((at // (PLACES + 1)).astype(np.int32)), pa.array((at % (PLACES + 1)).astype(np.int32)), pa.array(counts[at])], names=["domain", "place", "n"])
+
+    total = rows.where("half = 0").mapInArrow(run, "domain int, place int, n long").groupBy("domain", "place").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((k, PLACES + 1))
     counts[total["domain"], total["place"]] = total["n"]
-    return Classifier(counts[:, :PLACES], counts[:, PLACES])
+    model = Classifier(counts[:, :PLACES], counts[:, PLACES])
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, blobs in W.chunks(batches, "text"):
+            logs, _ = shared.value.evidence(blobs)
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("domain")), *(pa.array(x) for x in logs.T)], names=["domain", *(f"l{i}" for i in range(k))])
+
+    # up to about TRAIN_ROWS / 2 rows
+    seen = rows.where("half = 1").mapInArrow(weigh, "domain int, " + ", ".join(f"l{i} double" for i in range(k))).toPandas().sort_values(["domain", *(f"l{i}" for i in range(k))])
+    if len(seen):
+        model.calibrate(seen[[f"l{i}" for i in range(k)]].to_numpy(float), seen["domain"].to_numpy(int))
+    discard(known)
+    return model
 
 
 def memberships(documents: DataFrame, model: Classifier, keep: list[str]) -> DataFrame:
@@ -135,8 +176,7 @@ def memberships(documents: DataFrame, model: Classifier, keep: list[str]) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, blobs in W.chunks(batches, "text"):
-            places, n = features(blobs)
-            p = shared.value.posteriors(places)
+            p, n = shared.value.posteriors(blobs)
             ends = np.arange(len(blobs) + 1, dtype=np.int32) * p.shape[1]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(p.reshape(-1)))], names=schema.names)
 
@@ -208,7 +248,7 @@ def with_rates(rows: DataFrame, steps: list[np.ndarray]) -> DataFrame:
 
 
 #: Weights of the three domains in the mixture.
-WEIGHTS = (0.99, 0.002, 0.008)
+WEIGHTS = (0.991, 0.001, 0.008)
 
 
 def _steps(rows: DataFrame, model: Classifier, weights: tuple[float, ...]) -> list[np.ndarray]:

@@ -21,7 +21,7 @@ from tessera.llm import words as W
 
 END_ID = 2
 #: Words whose ids a worker holds.
-TOKEN_WORDS = 300_000
+TOKEN_WORDS = 500_000
 PIECES = T.StructType([T.StructField("doc_id", T.LongType())] + [T.StructField(x, T.LongType()) for x in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [T.StructField("bucket", T.IntegerType())])
 
 

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Words that a table holds, and bytes it may take, before it forgets; and bytes of text handled at a time.
-TABLE_WORDS, TABLE_BYTES, CHUNK_BYTES = 250_000, 64 << 20, 2 << 20
+TABLE_WORDS, TABLE_BYTES, CHUNK_BYTES = 400_000, 128 << 20, 2 << 20
 #: Bytes that a word takes in a table beside its own characters: the bytes object, its number, its place in the dictionary and its columns.
 WORD_BYTES = 180
 

@@ -161,6 +161,30 @@ def test_unreachable_targets_leave_the_least_residual(spark):
     assert np.allclose(target, [15, 15 / 9]) and np.abs(reached - target).max() < np.abs(np.array([15, 15]) - target).max() and reached[0] == pytest.approx(reached[1])
 
 
+def test_probabilities_are_calibrated(spark):
+    """Few documents of one domain, and evidence that overstates: mean probabilities are the shares all the same."""
+    rng = np.random.default_rng(8)
+    domain = rng.choice(3, 6000, p=(0.9, 0.01, 0.09))
+    logs = rng.normal(0, 30, (6000, 3))
+    logs[np.arange(6000), domain] += 60 * (domain != 1)
+    model = mixing.Classifier(np.zeros((3, mixing.PLACES)), np.array([5.0, 5.0, 5.0]))
+    model.calibrate(logs[:3000], domain[:3000])
+    p = model._softmax(model._inputs(logs[3000:]) @ model.logistic.T)
+    assert np.allclose(p.mean(0), np.bincount(domain[3000:], minlength=3) / 3000, atol=0.015)
+    assert (p.argmax(1) == domain[3000:]).mean() > 0.95
+
+
+def test_classifier_on_held_out_labels(spark):
+    """Learned from two thirds of the labels, held against the others."""
+    root = "/root/testdata/check_s"
+    docs, labels = (spark.read.parquet(f"{root}/{t}.parquet") for t in ("documents", "labels"))
+    model = mixing.train(docs, labels.where("doc_id % 3 <> 0"))
+    rows = mixing.memberships(docs, model, ["doc_id"]).join(mixing.labelled(labels.where("doc_id % 3 = 0")).withColumnRenamed("labelled_id", "doc_id"), "doc_id").collect()
+    clean = [r for r in rows if r.domain == 0]
+    toxic = [r for r in rows if r.domain == 2]
+    assert sum(r.p[0] > 0.5 for r in clean) >= 0.97 * len(clean) and sum(r.p[2] > 0.5 for r in toxic) >= 0.8 * len(toxic)
+
+
 def test_places_of_whole_words():
     one, two = b"a" + b"-a" * 40, b"a" + b"-a" * 39 + b"-9"
     _, shapes = mixing._places([one, two, b"aaab", b"ab"])
