@@ -49,8 +49,8 @@ class Field:
         if self.kind != "list" and (self.ordered or self.sort_key or self.unique):
             raise ValueError("only lists are ordered, sorted or unique")
         if self.kind == "list":
-            if self.ordered and self.sort_key:
-                raise ValueError("an ordered list has no sort_key")
+            if self.ordered and (self.sort_key or self.unique):
+                raise ValueError("an ordered list has no sort_key and is not unique")
             if self.items.kind == "object" and not self.ordered and not self.sort_key:
                 raise ValueError("an unordered list of objects needs a sort_key")
             own = {f.name: f for f in self.items.fields}
@@ -67,8 +67,13 @@ def dumps(value: Any) -> str:
 def _date(value: Any) -> str:
     if not isinstance(value, str):
         raise Mismatch("a date is text")
+    text = re.sub(r"[zZ]$", "+00:00", value.strip())
     try:
-        return date.fromisoformat(value.strip()).isoformat()
+        return date.fromisoformat(text).isoformat()
+    except ValueError:
+        pass
+    try:  # a datetime means its date
+        return datetime.fromisoformat(text).date().isoformat()
     except ValueError as e:
         raise Mismatch(str(e)) from e
 
@@ -206,6 +211,24 @@ def flatten(contract: Field, prefix: str = "") -> list[str]:
     return [f"{here}:{contract.kind}"]
 
 
+def inferred_paths(df: DataFrame, answer: str) -> DataFrame:
+    """(path, n): the paths of the contracts that all rows' answers, as JSON, fit, and how many rows have each. An answer that does not parse has none."""
+
+    def paths(text: str | None) -> list[str]:
+        try:
+            return flatten(infer(json.loads(text))) if text else []
+        except ValueError:
+            return []
+
+    @F.pandas_udf("array<string>")
+    def of(texts: pd.Series) -> pd.Series:
+        return texts.map(paths)
+
+    # an answer is read once, however often it is given
+    each = df.groupBy(F.col(answer).alias("_text")).agg(F.count("*").alias("_n"))
+    return each.select(F.explode(of("_text")).alias("path"), "_n").groupBy("path").agg(F.sum("_n").alias("n"))
+
+
 def words(text: Column) -> Column:
     """Runs of underscores, dashes and white space as one space, trimmed."""
     return F.trim(F.regexp_replace(text, r"[_\-\s]+", " "))
@@ -236,7 +259,10 @@ def leaves(value: Any) -> list[str]:
 
 def ungrounded(answers: DataFrame, observed: DataFrame, answer: str = "answer", seen: str = "observed", key: str = "task_id") -> DataFrame:
     """(key, value): text leaves of answers, as JSON, that no observation of the same task has."""
-    split = F.udf(lambda x: leaves(json.loads(x)) if x else [], "array<string>")
+    @F.pandas_udf("array<string>")
+    def split(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: leaves(json.loads(x)) if x else [])
+
     a = answers.select(key, F.explode(split(answer)).alias("value")).distinct()
     b = observed.select(key, F.explode(split(seen)).alias("value")).distinct()
     return a.join(b, [key, "value"], "left_anti")

@@ -2,31 +2,37 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VISIBLE, INTERNAL, BLOCKED = "user_visible", "internal", "blocked"
-#: Names of columns that are never shown, and of those that only the engine sees.
-BLOCKED_NAMES = re.compile(r"(^|_)(password|passwd|pwd|secret|token|api_?key|ssn|salt|hash|credit_?card|card_?number|cvv|pin|private_?key)(_|$)", re.I)
-INTERNAL_NAMES = re.compile(r"(^|_)(email|e_?mail|phone|mobile|fax|address|street|zip|postal_?code|birth_?date|dob|ip|picture|last_update|created_at|updated_at)(_|$)", re.I)
+# Parts of names of columns that are never shown, of those that only the engine sees, of columns that are
+# safe in a table about people, and of such tables.
+BLOCKED_NAMES = "ssn social_security passport tax_id cvv pin password secret token api_key private_key credit_card card_number bank_account iban routing_number".split()
+INTERNAL_NAMES = "email e_mail phone mobile telephone fax address street zipcode postal_code postcode city state province country birth birthdate birthday dob first_name last_name full_name".split()
+SAFE_NAMES = "name title label status type kind category language code rating mode method channel plan tier level".split()
+SENSITIVE_TABLES = "customer user member account profile person staff employee contact address patient student teacher".split()
 
 
-def visibility(table: str, column: str, overrides: Mapping[str, str] | None = None, sensitive_tables: Sequence[str] = (), safe_columns: Sequence[str] = ()) -> str:
-    """An override by table.column, or else by column, comes first; then blocked names; columns of sensitive tables are internal unless safe."""
+def has_part(name: str, parts: Sequence[str]) -> bool:
+    """Whether one of the parts stands in the name between underscores or its ends."""
+    return any(f"_{p}_" in f"_{name.strip().lower()}_" for p in parts)
+
+
+def visibility(table: str, column: str, overrides: Mapping[str, str] | None = None, sensitive_tables: Sequence[str] | None = None, safe_columns: Sequence[str] | None = None, schema: str = "public", default: str = VISIBLE) -> str:
+    """An override by schema.table.column, table.column or column comes first; then blocked and internal names; columns of tables about people are internal unless safe. Tables and safe columns may be named outright."""
     overrides = overrides or {}
-    for key in (f"{table}.{column}", column):
+    for key in (f"{schema}.{table}.{column}", f"{table}.{column}", column):
         if key in overrides:
             return overrides[key]
-    if BLOCKED_NAMES.search(column):
-        return BLOCKED
-    if column in safe_columns:
-        return VISIBLE
-    if table in sensitive_tables or INTERNAL_NAMES.search(column):
-        return INTERNAL
-    return VISIBLE
+    for parts, label in ((BLOCKED_NAMES, BLOCKED), (INTERNAL_NAMES, INTERNAL)):
+        if has_part(column, parts):
+            return label
+    sensitive = has_part(table, SENSITIVE_TABLES) if sensitive_tables is None else table in sensitive_tables
+    safe = has_part(column, SAFE_NAMES) if safe_columns is None else column in safe_columns
+    return INTERNAL if sensitive and not safe else default
 
 
 def redact(df: DataFrame, labels: Mapping[str, str]) -> DataFrame:

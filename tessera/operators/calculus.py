@@ -26,11 +26,8 @@ def ordered(column: str | Column, descending: bool) -> Column:
     return c.desc_nulls_first() if descending else c.asc_nulls_last()
 
 
-def money(column: Column, fn: str, kind: str) -> Column:
-    """Sums and means of floats as of decimals of two places, so that the order of rows does not show."""
-    if fn in ("sum", "avg") and kind in ("float", "double"):
-        exact = F.sum(column.cast("decimal(18,2)")).cast("double")
-        return exact if fn == "sum" else exact / F.count(column)
+def aggregated(column: Column, fn: str, kind: str) -> Column:
+    """The aggregate of the column as it is; sums of integers as bigint."""
     if fn == "sum" and kind in ("tinyint", "smallint", "int", "bigint"):
         return F.sum(column).cast("bigint")
     return AGGREGATES[fn](column)
@@ -125,7 +122,7 @@ class Calculus:
         if fn not in AGGREGATES:
             raise ValueError(f"unknown aggregate {fn!r}")
         bag, table = self._bag(cursor)
-        return bag.agg(money(F.col(column), fn, table.type_of(column)).alias("agg"))
+        return bag.agg(aggregated(F.col(column), fn, table.type_of(column)).alias("agg"))
 
     def group_top(self, cursor: str, group: str, fn: str, n: int, column: str | None = None) -> DataFrame:
         """The n groups of the greatest aggregate over the bag; a null aggregate comes first, ties go to the lesser group."""
@@ -137,7 +134,7 @@ class Calculus:
                 raise ValueError("count takes no column")
             value = F.count("*")
         elif fn in AGGREGATES and column is not None:
-            value = money(F.col(column), fn, table.type_of(column))
+            value = aggregated(F.col(column), fn, table.type_of(column))
         else:
             raise ValueError(f"{fn!r} needs a column and is one of count, {', '.join(AGGREGATES)}")
         out = bag.groupBy(F.col(group).alias("group_value")).agg(value.alias("agg_value"))

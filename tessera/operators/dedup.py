@@ -64,7 +64,9 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def near_pairs(df: DataFrame, id_column: str, text: str, scope: Sequence[str] = (), threshold: float = THRESHOLD, word: str = r"(?U)\w+", verify: bool = True) -> DataFrame:
     """Pairs (a, b, similarity) of at least the threshold: exact Jaccard similarity, or with verify off the share of agreeing signature slots. Texts of equal shingles are linked to the least id among them; links between different texts are all of the candidates'."""
-    sets = shingled(df, text, word=word).select(id_column, *scope, "shingle_hashes").withColumn("class", F.xxhash64(F.array_sort("shingle_hashes")))
+    # one column stands for the scope, so that nulls are equal
+    sets = shingled(df, text, word=word).select(id_column, F.to_json(F.struct(F.lit(0).alias("_"), *scope), {"ignoreNullFields": "false"}).alias("_scope"), "shingle_hashes").withColumn("class", F.xxhash64(F.array_sort("shingle_hashes")))
+    scope = ["_scope"]
     least = sets.groupBy(*scope, "class").agg(F.min(id_column).alias("rep"))
     known = sets.join(least, [*scope, "class"])
     copies = known.where(F.col(id_column) != F.col("rep")).select(F.col("rep").alias("a"), F.col(id_column).alias("b"), F.lit(1.0).alias("similarity"))

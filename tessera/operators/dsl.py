@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.predicates import conjunction
-from tessera.operators.calculus import money, ordered
+from tessera.operators.calculus import aggregated, ordered
 from tessera.plans.catalog import Catalog, Table
 
 FIELDS = ("from", "filter", "join", "select", "group_by", "aggregate", "sort", "limit")
@@ -109,15 +109,15 @@ class Query:
         if a.get("column") is None:
             return F.count("*")
         c = self._col(a["column"])
-        return F.count(c) if a["fn"] == "count" else money(c, a["fn"], self.find(a["column"])[1].type_of(a["column"]))
+        return F.count(c) if a["fn"] == "count" else aggregated(c, a["fn"], self.find(a["column"])[1].type_of(a["column"]))
 
 
 def query(catalog: Catalog, frames: Callable[[str], DataFrame], spec: dict) -> DataFrame:
     return Query(catalog, spec).frame(frames)
 
 
-def answer(catalog: Catalog, frames: Callable[[str], DataFrame], spec: dict) -> dict:
-    """columns, rows and row_count, collected."""
+def answer(catalog: Catalog, frames: Callable[[str], DataFrame], spec: dict, most: int = 1_000) -> dict:
+    """columns, rows and row_count, collected; of a query without a lower limit the first `most` rows, and whether there are more."""
     df = query(catalog, frames, spec)
-    rows = [r.asDict() for r in df.collect()]
-    return {"columns": df.columns, "rows": rows, "row_count": len(rows)}
+    rows = [r.asDict() for r in df.limit(most + 1).collect()]
+    return {"columns": df.columns, "rows": rows[:most], "row_count": len(rows[:most]), "truncated": len(rows) > most}

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import reduce
+from hashlib import md5
+from math import log
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.predicates import check, conjunction
@@ -93,11 +95,11 @@ def fanout(catalog: Catalog, frames: Frames) -> DataFrame:
 
 
 def fk_orphans(catalog: Catalog, frames: Frames) -> DataFrame:
-    """For each edge: rows whose foreign key is set and refers to nothing."""
+    """For each edge: rows whose foreign key is set and refers to nothing. Keys are counted before they meet, so rows are combined before the shuffle."""
     parts = []
     for e in catalog.edges:
-        held = frames(e.source).where(F.col(e.column).isNotNull()).select(F.col(e.column).alias("fk"))
-        parts.append(held.join(frames(e.target).select(F.col(e.target_column).alias("pk")), F.col("fk") == F.col("pk"), "left_anti").agg(F.count("*").alias("orphans")).select(F.lit(e.forward).alias("label"), "orphans"))
+        held = frames(e.source).where(F.col(e.column).isNotNull()).groupBy(F.col(e.column).alias("fk")).agg(F.count("*").alias("n"))
+        parts.append(held.join(frames(e.target).select(F.col(e.target_column).alias("pk")), F.col("fk") == F.col("pk"), "left_anti").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("orphans")).select(F.lit(e.forward).alias("label"), "orphans"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -123,14 +125,16 @@ def sample(catalog: Catalog, frames: Frames, table: str, n: int, seed: int | Non
 
 def random_anchor(catalog: Catalog, frames: Frames, sizes: dict[str, int], seed: int, least_rows: int = 100) -> tuple[str, DataFrame]:
     """A table, drawn by in-degree among those with a one-column key and rows enough, and one row's key of it."""
-    from random import Random
-
     fit = [t for t in catalog.tables if len(t.key) == 1 and sizes.get(t.name, 0) >= least_rows]
     if not fit:
         raise LookupError("no table has rows enough")
-    weights = [max(1, sum(e.target == t.name for e in catalog.edges)) for t in fit]
-    t = Random(seed).choices(fit, weights)[0]
-    return t.name, frames(t.name).select(t.key[0]).orderBy(F.xxhash64(t.key[0], F.lit(seed)), t.key[0]).limit(1)
+
+    def draw(t) -> float:  # the least of exponential times, at a rate of the table's weight
+        u = (int(md5(f"{t.name}{seed}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+        return -log(u) / max(1, sum(e.target == t.name for e in catalog.edges))
+
+    t = min(fit, key=lambda t: (draw(t), t.name))
+    return t.name, frames(t.name).select(t.key[0]).orderBy(F.md5(F.concat(F.col(t.key[0]).cast("string"), F.lit(str(seed)))), t.key[0]).limit(1)
 
 
 def profile_table(catalog: Catalog, frames: Frames, table: str, clauses: Sequence[dict] = (), columns: Sequence[str] | None = None) -> DataFrame:
@@ -161,26 +165,27 @@ def top_values(catalog: Catalog, frames: Frames, table: str, column: str, k: int
 
 
 def neighborhood(catalog: Catalog, frames: Frames, table: str, row_id: Any, most: int = 5) -> DataFrame:
-    """For each edge at the row: how many rows it leads to, and the first keys as text. A forward edge onto a key leads to one row unless the foreign key is null; tables without a one-column key are 'unsupported'."""
+    """For each edge at the row: how many rows it leads to, and the first keys as text. A forward edge onto a key leads to one row unless the foreign key is null; tables without a one-column key are 'unsupported'. No rows if the row is not there."""
     t = catalog.table(table)
     if len(t.key) != 1:
         raise ValueError(f"{table} needs a key of one column")
-    anchor = frames(table).where(F.col(t.key[0]) == F.lit(check(t, t.key[0], "eq", row_id)))
+    anchor = frames(table).where(F.col(t.key[0]) == F.lit(check(t, t.key[0], "eq", row_id))).limit(1)
     parts = []
     for h in catalog.hops(table):
         key = catalog.table(h.dest).key
         label = F.lit(h.label).alias("label")
         if len(key) != 1:
-            parts.append(anchor.limit(1).select(label, F.lit("unsupported").alias("status"), F.lit(None).cast("bigint").alias("total"), F.lit(None).cast("string").alias("ids")))
+            parts.append(anchor.select(label, F.lit("unsupported").alias("status"), F.lit(None).cast("bigint").alias("total"), F.lit(None).cast("string").alias("ids")))
         elif h.is_forward and key[0] == h.dest_column:
             fk = F.col(h.origin_column)
             parts.append(anchor.select(label, F.lit("ok").alias("status"), F.when(fk.isNull(), 0).otherwise(1).cast("bigint").alias("total"), F.coalesce(fk.cast("string"), F.lit("")).alias("ids")))
         else:
             from_here = anchor.select(F.col(h.origin_column).alias("_v"))
-            found = frames(h.dest).select(F.col(key[0]).alias("_k"), F.col(h.dest_column).alias("_f")).join(F.broadcast(from_here.limit(1)), F.col("_f") == F.col("_v"))
+            found = frames(h.dest).select(F.col(key[0]).alias("_k"), F.col(h.dest_column).alias("_f")).join(F.broadcast(from_here), F.col("_f") == F.col("_v"))
             first = found.orderBy("_k").limit(most).agg(F.array_join(F.transform(F.sort_array(F.collect_list("_k")), lambda x: x.cast("string")), ",").alias("ids"))  # `most` keys
             total = found.agg(F.count("*").alias("total"))
-            parts.append(total.crossJoin(first).select(label, F.lit("ok").alias("status"), "total", "ids"))  # one row each
+            # one row each, and none for a row that is not there
+            parts.append(total.crossJoin(first).crossJoin(from_here.select("_v")).select(label, F.lit("ok").alias("status"), "total", "ids"))
     if not parts:
         raise ValueError(f"no edge touches {table}")
     return reduce(DataFrame.unionByName, parts)
@@ -220,15 +225,32 @@ def numeric_bands(catalog: Catalog, frames: Frames, tables: Sequence[str], least
 
 
 def categorical_values(catalog: Catalog, frames: Frames, tables: Sequence[str], most: int = 20, least_rows: int = 10) -> DataFrame:
-    """The values, with counts, of text columns of 2 to `most` different ones."""
+    """The values, with counts, of text columns of 2 to `most` different ones. A first pass over each table drops columns that a sketch finds far beyond `most`; a second counts the others' values together."""
     parts = []
     for name in tables:
         t = catalog.table(name)
         skip = {*t.key, *SKIPPED, *(e.column for e in catalog.edges if e.source == name)}
-        for c in (c for c, k in t.columns if k == "string" and c not in skip):
-            counts = frames(name).groupBy(F.col(c).alias("value")).agg(F.count("*").alias("frequency"))
-            kinds = counts.agg(F.count("value").alias("kinds"), F.sum("frequency").alias("rows"))
-            # kinds is one row
-            ok = counts.where(F.col("value").isNotNull()).crossJoin(F.broadcast(kinds)).where(f"kinds between 2 and {most} and rows >= {least_rows}")
-            parts.append(ok.select(F.lit(name).alias("table_name"), F.lit(c).alias("column_name"), "value", "frequency"))
+        columns = [c for c, k in t.columns if k == "string" and c not in skip]
+        if columns:
+            about = frames(name).agg(*(F.approx_count_distinct(c).alias(c) for c in columns)).first()
+            columns = [c for c in columns if about[c] <= 3 * most]
+        if not columns:
+            continue
+        cells = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value")) for c in columns))
+        counts = frames(name).select(F.explode(cells).alias("x")).groupBy("x.column_name", "x.value").agg(F.count("*").alias("frequency"))
+        w = Window.partitionBy("column_name")  # 3 * most values or so
+        ok = counts.withColumn("kinds", F.count("value").over(w)).withColumn("rows", F.sum("frequency").over(w)).where(f"value is not null and kinds between 2 and {most} and rows >= {least_rows}")
+        parts.append(ok.select(F.lit(name).alias("table_name"), "column_name", "value", "frequency"))
+    if not parts:
+        raise ValueError("no text column of few values")
     return reduce(DataFrame.unionByName, parts)
+
+
+def profile_lines(numeric: DataFrame, categorical: DataFrame) -> DataFrame:
+    """table_name, column_name, line: the bands and values of numeric_bands() and categorical_values() as lines to read, commonest values first."""
+    bands = numeric.select("table_name", "column_name", F.format_string("- %s.%s: low(<%.2f) mid(%.2f-%.2f) high(>%.2f)", "table_name", "column_name", "low", "low", "high", "high").alias("line"))
+    # as many as a categorical column has
+    values = F.array_sort(F.collect_list(F.struct((-F.col("frequency")).alias("n"), "value")))
+    items = F.array_join(F.transform(values, lambda x: F.concat(x["value"], F.lit("("), (-x["n"]).cast("string"), F.lit(")"))), ", ")
+    kinds = categorical.groupBy("table_name", "column_name").agg(F.count("*").alias("k"), items.alias("items"))
+    return bands.unionByName(kinds.select("table_name", "column_name", F.format_string("- %s.%s: %d categories [%s]", "table_name", "column_name", "k", "items").alias("line")))

@@ -43,6 +43,21 @@ def snapshot(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).orderBy(*keys)  # total is one row
 
 
+def recent(df: DataFrame, keys: Sequence[str], limit: int, created: str, key: str, equal: dict | None = None) -> DataFrame:
+    """The rest of a snapshot: the newest rows, each with the count of all rows of the same filter."""
+    for c, v in (equal or {}).items():
+        df = df.where(F.col(c) == F.lit(v))
+    return listing(df, limit, created, key).select(*keys).crossJoin(F.broadcast(df.agg(F.count("*").alias("task_count"))))  # one row
+
+
+def candidates(df: DataFrame, limit: int, created: str, key: str, topic: str, question: str, constraints: str, semantic: str, equal: dict | None = None) -> DataFrame:
+    """The newest rows with the text that near-dedup compares: the registered one, or else topic, question and constraints, those that there are, a line each."""
+    rows = listing(df, limit, created, key, equal)
+    text = lambda c: F.when(F.trim(c) != "", F.col(c))
+    lines = F.concat_ws("\n", *(F.concat(F.lit(f"{n}: "), text(c)) for n, c in (("topic", topic), ("question", question), ("constraints", constraints))))
+    return rows.select(key, topic, F.coalesce(text(semantic), lines).alias("semantic_text"))
+
+
 def unprocessed(items: DataFrame, done: DataFrame, item: str, key: str) -> DataFrame:
     """Items not in the set of processed keys."""
     return items.join(done.select(F.col(key).alias("_done")), F.col(item) == F.col("_done"), "left_anti")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from tessera.functions.predicates import OPERATORS
 from tessera.operators import dsl, explore
 from tessera.operators.calculus import AGGREGATES, Calculus
+from tessera.operators.drafts import plain
 from tessera.plans.catalog import Catalog
 
 NAMES = ("rows_where", "rows_via", "intersect", "order_by", "take", "count", "aggregate", "group_top", "read", "schema_map", "profile", "sample", "neighborhood", "query")
@@ -34,7 +35,7 @@ class Toolbox:
                 raise TypeError("arguments are a JSON object")
             if name not in NAMES:
                 raise KeyError(f"unknown tool {name!r}")
-            out = json.dumps(getattr(self, f"_{name}")(**given), default=str, ensure_ascii=False)
+            out = json.dumps(plain(getattr(self, f"_{name}")(**given)), default=str, ensure_ascii=False)
         except Exception as e:  # every failure is an answer to the caller
             out = json.dumps({"error": str(e), "error_type": type(e).__name__}, ensure_ascii=False)
         if self.log:
@@ -69,19 +70,26 @@ class Toolbox:
         return self.calculus.read_one(table, row_id, columns)
 
     def _schema_map(self, root_table: str | None = None, depth: int = 2) -> dict:
-        return explore.schema_map(self.catalog, root_table, depth)
+        return explore.schema_map(self.catalog, root_table, self._number("depth", depth, 0))
 
     def _profile(self, table: str, column: str | None = None, top_k: int = 5, predicate: list[dict] | None = None) -> dict:
         if column is None:
             return {"columns": _rows(explore.profile_table(self.catalog, self.frames, table, predicate or []))}
-        return _rows(explore.profile_column(self.catalog, self.frames, table, column, predicate or []))[0] | {"top": _rows(explore.top_values(self.catalog, self.frames, table, column, top_k, predicate or []))}
+        return _rows(explore.profile_column(self.catalog, self.frames, table, column, predicate or []))[0] | {"top": _rows(explore.top_values(self.catalog, self.frames, table, column, self._number("top_k", top_k), predicate or []))}
+
+    @staticmethod
+    def _number(name: str, n: Any, least: int = 1) -> int:
+        if isinstance(n, bool) or not isinstance(n, int) or n < least:
+            raise ValueError(f"{name} is an integer of {least} or more")
+        return n
 
     def _sample(self, table: str, n: int = 5, seed: int | None = None, predicate: list[dict] | None = None) -> dict:
-        return {"rows": _rows(explore.sample(self.catalog, self.frames, table, n, seed, predicate or []))}
+        return {"rows": _rows(explore.sample(self.catalog, self.frames, table, self._number("n", n), seed, predicate or []))}
 
     def _neighborhood(self, table: str, row_id: Any, depth: int = 1, max_per_edge: int = 5) -> dict:
         if depth != 1:
             raise ValueError("depth is 1")
+        self._number("max_per_edge", max_per_edge)
         key = self.catalog.table(table).key
         anchor = self.calculus.read_one(table, row_id, list(self.catalog.table(table).names))
         return {"anchor": anchor, "key": list(key), "edges": _rows(explore.neighborhood(self.catalog, self.frames, table, row_id, max_per_edge))}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import canonical, privacy
 from tessera.operators import calibration as cal
-from tessera.operators import dedup, dsl, explore
+from tessera.operators import dedup, drafts, dsl, explore
 from tessera.operators import registry_ops as reg
 from tessera.operators.calculus import Calculus
 from tessera.plans.catalog import star_catalog
@@ -40,23 +40,25 @@ def add(sql: str | None = None):
     return put
 
 
-def chain(sql: str, name: str, *steps: tuple, last: tuple) -> None:
-    """Registers a query of the calculus: steps build cursors (integers refer to earlier ones), last materializes."""
+def chain(sql: str, name: str, *steps: tuple, last: tuple, cents: str | None = None) -> None:
+    """Registers a query of the calculus: steps build cursors (integers refer to earlier ones), last materializes. cents: a sum of amounts of two places, whose last bits depend on the order of rows, is compared at two places."""
 
     def run(spark: SparkSession, root: str) -> DataFrame:
         c, made = calculus(spark, root), []
         for method, *arguments in steps:
             made.append(getattr(c, method)(*(made[a[0]] if isinstance(a, tuple) else a for a in arguments)))
         method, *arguments = last
-        return getattr(c, method)(*((made[-1],) if method not in ("read",) else ()), *arguments)
+        out = getattr(c, method)(*((made[-1],) if method not in ("read",) else ()), *arguments)
+        return out.withColumn(cents, F.round(cents, 2)) if cents else out
 
     run.__name__ = name
     add(sql)(run)
 
 
-def spec(sql: str, name: str, query: dict) -> None:
+def spec(sql: str, name: str, query: dict, cents: str | None = None) -> None:
     def run(spark: SparkSession, root: str) -> DataFrame:
-        return dsl.query(star_catalog(), frames(spark, root), query)
+        out = dsl.query(star_catalog(), frames(spark, root), query)
+        return out.withColumn(cents, F.round(cents, 2)) if cents else out
 
     run.__name__ = name
     add(sql)(run)
@@ -79,12 +81,12 @@ chain("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' ORDER BY o_totalp
 chain("SELECT c_custkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' GROUP BY c_custkey ORDER BY max(c_acctbal) DESC NULLS FIRST, min(c_name) ASC NULLS LAST, c_custkey LIMIT 5", "take_dedup", ("rows_where", "orders", "o_orderstatus", "eq", "F"), ("rows_via", (0,), "orders.o_custkey->customer"), ("order_by", (1,), "c_name"), ("order_by", (2,), "c_acctbal", "desc"), last=("take", 5))
 _LINES = (("rows_where", "orders", "o_orderstatus", "eq", "F"), ("rows_via", (0,), "orders<-lineitem.l_orderkey"))
 _JOIN = "FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'"
-chain(f"SELECT CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS agg {_JOIN}", "agg_sum", *_LINES, last=("aggregate", "sum", "l_extendedprice"))
-chain(f"SELECT CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) / count(l_quantity) AS agg {_JOIN}", "agg_avg", *_LINES, last=("aggregate", "avg", "l_quantity"))
+chain(f"SELECT round(sum(l_extendedprice), 2) AS agg {_JOIN}", "agg_sum", *_LINES, last=("aggregate", "sum", "l_extendedprice"), cents="agg")
+chain(f"SELECT avg(l_quantity) AS agg {_JOIN}", "agg_avg", *_LINES, last=("aggregate", "avg", "l_quantity"))
 chain(f"SELECT min(l_extendedprice) AS agg {_JOIN}", "agg_min", *_LINES, last=("aggregate", "min", "l_extendedprice"))
 chain(f"SELECT max(l_shipdate) AS agg {_JOIN}", "agg_max", *_LINES, last=("aggregate", "max", "l_shipdate"))
 chain(f"SELECT l_returnflag AS group_value, count(*) AS agg_value {_JOIN} GROUP BY 1 ORDER BY 2 DESC NULLS FIRST, 1 ASC NULLS LAST LIMIT 3", "group_top_count", *_LINES, last=("group_top", "l_returnflag", "count", 3))
-chain(f"SELECT l_suppkey AS group_value, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS agg_value {_JOIN} GROUP BY 1 ORDER BY 2 DESC NULLS FIRST, 1 ASC NULLS LAST LIMIT 5", "group_top_sum", *_LINES, last=("group_top", "l_suppkey", "sum", 5, "l_quantity"))
+chain(f"SELECT l_suppkey AS group_value, sum(l_quantity) AS agg_value {_JOIN} GROUP BY 1 ORDER BY 2 DESC NULLS FIRST, 1 ASC NULLS LAST LIMIT 5", "group_top_sum", *_LINES, last=("group_top", "l_suppkey", "sum", 5, "l_quantity"))
 chain("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey = 7 LIMIT 1", "read_row", last=("read", "orders", 7, ["o_orderkey", "o_totalprice", "o_orderstatus"]))
 chain("SELECT conv_id, turn, role FROM conversations WHERE conv_id = 1 AND turn = 1 LIMIT 1", "read_composite", last=("read", "conversations", [1, 1], ["conv_id", "turn", "role"]))
 
@@ -98,9 +100,9 @@ FLAGSHIP = {
     "aggregate": [{"fn": "count", "alias": "n_items"}, {"fn": "sum", "column": "l_extendedprice", "alias": "revenue"}],
     "sort": [{"column": "revenue", "direction": "desc"}, {"column": "c_mktsegment"}],
 }
-spec("SELECT c_mktsegment, count(*) AS n_items, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_returnflag IN ('A', 'R') AND l_quantity >= 10 GROUP BY 1", "dsl_group_agg", FLAGSHIP)
+spec("SELECT c_mktsegment, count(*) AS n_items, round(sum(l_extendedprice), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_returnflag IN ('A', 'R') AND l_quantity >= 10 GROUP BY 1", "dsl_group_agg", FLAGSHIP, "revenue")
 spec("SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 300000 ORDER BY o_orderkey LIMIT 50", "dsl_select_chain", {"from": "orders", "filter": [{"column": "o_totalprice", "op": "gt", "value": 300000}], "join": [{"via_edge": "orders.o_custkey->customer"}, {"via_edge": "customer.c_nationkey->nation"}], "select": ["o_orderkey", "c_name", "n_name"], "sort": [{"column": "o_orderkey"}], "limit": 50})
-spec("SELECT count(*) AS n, count(l_tax) AS n_tax, min(l_discount) AS lo, max(l_discount) AS hi, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) / count(l_quantity) AS mean_quantity FROM lineitem", "dsl_global_agg", {"from": "lineitem", "aggregate": [{"fn": "count", "alias": "n"}, {"fn": "count", "column": "l_tax", "alias": "n_tax"}, {"fn": "min", "column": "l_discount", "alias": "lo"}, {"fn": "max", "column": "l_discount", "alias": "hi"}, {"fn": "avg", "column": "l_quantity", "alias": "mean_quantity"}]})
+spec("SELECT count(*) AS n, count(l_tax) AS n_tax, min(l_discount) AS lo, max(l_discount) AS hi, avg(l_quantity) AS mean_quantity FROM lineitem", "dsl_global_agg", {"from": "lineitem", "aggregate": [{"fn": "count", "alias": "n"}, {"fn": "count", "column": "l_tax", "alias": "n_tax"}, {"fn": "min", "column": "l_discount", "alias": "lo"}, {"fn": "max", "column": "l_discount", "alias": "hi"}, {"fn": "avg", "column": "l_quantity", "alias": "mean_quantity"}]})
 spec("SELECT n_name, count(*) AS n_orders FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey WHERE n_regionkey = 2 GROUP BY 1", "dsl_reverse_join", {"from": "nation", "filter": [{"column": "n_regionkey", "op": "eq", "value": 2}], "join": [{"via_edge": "nation<-customer.c_nationkey"}, {"via_edge": "customer<-orders.o_custkey"}], "group_by": ["n_name"], "aggregate": [{"fn": "count", "alias": "n_orders"}], "sort": [{"column": "n_orders", "direction": "desc"}, {"column": "n_name"}]})
 spec("SELECT c.* FROM orders JOIN customer c ON o_custkey = c_custkey WHERE o_orderkey <= 100", "dsl_default_select", {"from": "orders", "filter": [{"column": "o_orderkey", "op": "lte", "value": 100}], "join": [{"via_edge": "orders.o_custkey->customer"}]})
 
@@ -194,7 +196,10 @@ def neighborhood_edges(spark: SparkSession, root: str) -> DataFrame:
     return explore.neighborhood(star_catalog(), frames(spark, root), "customer", 4)
 
 
-@add()
+_DEGREES = " UNION ALL ".join(f"SELECT '{t.name}' AS name, {max(1, sum(e.target == t.name for e in star_catalog().edges))} AS weight, (SELECT count(*) FROM {t.name}) AS n, (SELECT CAST({t.key[0]} AS VARCHAR) FROM {t.name} ORDER BY md5(CAST({t.key[0]} AS VARCHAR) || '11'), {t.key[0]} LIMIT 1) AS row_id" for t in star_catalog().tables if len(t.key) == 1)
+
+
+@add(f"SELECT name AS table_name, row_id FROM ({_DEGREES}) WHERE n >= 100 ORDER BY -ln((CAST('0x' || substr(md5(name || '11'), 1, 12) AS BIGINT) + 0.5) / pow(2, 48)) / weight, name LIMIT 1")
 def random_anchor(spark: SparkSession, root: str) -> DataFrame:
     f = frames(spark, root)
     sizes = {r["table_name"]: r["row_count"] for r in explore.table_sizes(star_catalog(), f).collect()}
@@ -207,10 +212,14 @@ def path_catalog(spark: SparkSession, root: str) -> DataFrame:
     return explore.path_features(spark, star_catalog(), {}, 3).select("path", "edges", "hops")
 
 
-@add()
+_FLAGGED = "(VALUES " + ", ".join(f"('{e.source}', '{e.target}', '{e.forward}', {str(e.unique).lower()}, {str(e.nullable).lower()})" for e in star_catalog().edges) + ") AS e(source, target, forward, u, o)"
+_STEPS = f"(SELECT e.*, s.row_count / t.row_count AS fan, t.row_count AS rows FROM {_FLAGGED} JOIN ({SQL['table_sizes']}) s ON s.table_name = e.source JOIN ({SQL['table_sizes']}) t ON t.table_name = e.target)"
+
+
+@add(f"WITH RECURSIVE n AS (SELECT source, target, source || '.' || target AS path, forward AS edges, 1 AS hops, fan AS fanout_max, fan AS fanout_product, rows AS target_rows, u AS has_unique, o AS has_nullable FROM {_STEPS} UNION ALL SELECT n.source, e.target, n.path || '.' || e.target, n.edges || ' ' || e.forward, n.hops + 1, greatest(n.fanout_max, e.fan), n.fanout_product * e.fan, e.rows, n.has_unique OR e.u, n.has_nullable OR e.o FROM n JOIN {_STEPS} e ON e.source = n.target WHERE n.hops < 3) SELECT path, edges, CAST(hops AS INT) AS hops, fanout_max, round(fanout_product, 9) AS fanout_product, target_rows, has_unique, has_nullable, CAST(count(*) OVER (PARTITION BY source, target) - 1 AS INT) AS shortcuts FROM n")
 def path_features(spark: SparkSession, root: str) -> DataFrame:
     sizes = {r["table_name"]: r["row_count"] for r in explore.table_sizes(star_catalog(), frames(spark, root)).collect()}
-    return explore.path_features(spark, star_catalog(), sizes, 3)
+    return explore.path_features(spark, star_catalog(), sizes, 3).withColumn("fanout_product", F.round("fanout_product", 9))
 
 
 def _band(table: str, c: str) -> str:
@@ -266,7 +275,10 @@ def exact_dedup(spark: SparkSession, root: str) -> DataFrame:
     return dedup.exact_dedup(read_table(spark, root, "documents").select("doc_id", "text"), ["text"], ["doc_id"]).select("doc_id", "signature")
 
 
-@add()
+_GRAMS = "CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"
+
+
+@add(f"WITH d AS (SELECT doc_id, lang, list_sort(list_distinct({_GRAMS})) AS g FROM (SELECT doc_id, lang, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM documents)), r AS (SELECT *, min(doc_id) OVER (PARTITION BY lang, md5(array_to_string(g, '|'))) AS rep FROM d WHERE len(g) > 0), s AS (SELECT doc_id, lang, len(g) AS n, unnest(g) AS g FROM r WHERE doc_id = rep), p AS (SELECT x.doc_id AS a, y.doc_id AS b, x.n AS m, y.n, count(*) AS c FROM s x JOIN s y ON x.lang = y.lang AND x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL) SELECT a, b, c / (m + n - c) AS similarity FROM p WHERE c / (m + n - c) >= 0.9 UNION ALL SELECT rep, doc_id, 1.0 FROM r WHERE doc_id <> rep")
 def near_dup_verified(spark: SparkSession, root: str) -> DataFrame:
     return dedup.near_pairs(read_table(spark, root, "documents"), "doc_id", "text", ["lang"], word="[a-z0-9_]+")
 
@@ -311,9 +323,12 @@ def pass_rate(spark: SparkSession, root: str) -> DataFrame:
     return _rates(spark, root)
 
 
-@cache
 def _intervals(most: int) -> str:
-    return "(VALUES " + ", ".join(f"({n}, {k}, {round(a, 6)!r}::DOUBLE, {round(b, 6)!r}::DOUBLE)" for n in range(most + 1) for k in range(n + 1) for a, b in [cal.clopper_pearson(k, n, 0.1)]) + ") AS i(n, passes, ci_low, ci_high)"
+    """Both ends by 50 halvings, in SQL, on binomial tails from logarithms of factorials."""
+    tail = "list_sum(list_transform(range({k}, n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p}))))"
+    halve = "list_reduce(list_prepend(0.5::DOUBLE, list_transform(range(2, 52), lambda j: pow(0.5, j))), lambda p, w: CASE WHEN {tail} < {at} THEN p + w ELSE p - w END)"
+    ends = [halve.format(tail=tail.format(k=k, p="p"), at=at) for k, at in (("passes", "0.05"), ("passes + 1", "0.95"))]
+    return f"(SELECT n, passes, CASE WHEN passes = 0 THEN 0.0 ELSE round({ends[0]}, 6) END AS ci_low, CASE WHEN passes = n THEN 1.0 ELSE round({ends[1]}, 6) END AS ci_high FROM (SELECT CAST(n AS INT) AS n, CAST(unnest(range(n + 1)) AS INT) AS passes FROM range({most + 1}) t(n))) AS i"
 
 
 @add(f"SELECT * FROM {_intervals(12)}")
@@ -357,7 +372,7 @@ def calibration_decision(spark: SparkSession, root: str) -> DataFrame:
     return _decided(spark, root)
 
 
-_DIVERGENCE = "SELECT user_id, count(*) AS submissions, count(DISTINCT props) AS answers, count(DISTINCT props) / count(*) AS divergence FROM events WHERE coalesce(trim(props), '') <> '' GROUP BY 1"
+_DIVERGENCE = "SELECT user_id, count(*) AS submissions, count(DISTINCT CAST(json(props) AS VARCHAR)) AS answers, count(DISTINCT CAST(json(props) AS VARCHAR)) / count(*) AS divergence FROM events WHERE coalesce(props, '') <> '' GROUP BY 1"
 
 
 @add(_DIVERGENCE)
@@ -423,10 +438,63 @@ def canonical_lists(spark: SparkSession, root: str) -> DataFrame:
     return read_table(spark, root, "events").groupBy("user_id").agg(F.array_join(canonical.canonical_list(F.collect_set("event_type"), True), ",").alias("kinds"))
 
 
-@add("SELECT DISTINCT 'k:int' AS path FROM events")
+@add("SELECT k || ':' || CASE WHEN json_type(props, '$.' || k) IN ('UBIGINT', 'BIGINT') THEN 'int' WHEN json_type(props, '$.' || k) = 'DOUBLE' THEN 'float' ELSE 'string' END AS path, count(*) AS answers FROM (SELECT props, unnest(json_keys(props)) AS k FROM events) GROUP BY 1")
 def inferred_schema(spark: SparkSession, root: str) -> DataFrame:
-    first = read_table(spark, root, "events").orderBy("event_id").select("props").first()
-    return spark.createDataFrame([(p,) for p in canonical.flatten(canonical.infer(json.loads(first["props"])))], "path string")
+    return canonical.inferred_paths(read_table(spark, root, "events"), "props").withColumnRenamed("n", "answers")
+
+
+# drafts and registered tasks: events and documents stand for them
+
+@add("SELECT t || '.' || c AS name, CASE WHEN c IN ('c_name', 'c_city', 'first_name', 'phone', 'notes') AND t = 'customer' AND c <> 'c_name' THEN 'internal' WHEN c = 'api_key' THEN 'blocked' WHEN t = 'customer' AND c = 'c_acctbal' THEN 'internal' ELSE 'user_visible' END AS label FROM (VALUES ('customer', 'c_name'), ('customer', 'c_city'), ('customer', 'first_name'), ('customer', 'phone'), ('customer', 'notes'), ('customer', 'c_acctbal'), ('orders', 'api_key'), ('orders', 'capacity'), ('part', 'p_type')) v(t, c)")
+def column_labels(spark: SparkSession, root: str) -> DataFrame:
+    names = [("customer", "c_name"), ("customer", "c_city"), ("customer", "first_name"), ("customer", "phone"), ("customer", "notes"), ("customer", "c_acctbal"), ("orders", "api_key"), ("orders", "capacity"), ("part", "p_type")]
+    return spark.createDataFrame([(f"{t}.{c}", privacy.visibility(t, c)) for t, c in names], "name string, label string")
+
+
+_DRAFT = "SELECT event_id, event_type AS topic, CASE WHEN event_id % 7 = 0 THEN '[1]' ELSE '{\"user\": ' || user_id || '}' END AS anchor, props AS answer, CASE event_id % 5 WHEN 0 THEN 'Which?' WHEN 1 THEN '<entity>' || chr(10) || '{\"user\": 0}' || chr(10) || '</entity>' || chr(10) || chr(10) || 'Which?' ELSE '<entity>' || chr(10) || '{\"user\": ' || user_id || '}' || chr(10) || '</entity>' || chr(10) || chr(10) || 'What did it do?' END AS question, user_id FROM events"
+
+
+def _drafts(spark: SparkSession, root: str) -> DataFrame:
+    return read_table(spark, root, "events").selectExpr("event_id", "event_type AS topic", "CASE WHEN event_id % 7 = 0 THEN '[1]' ELSE concat('{\"user\": ', user_id, '}') END AS anchor", "props AS answer", "CASE event_id % 5 WHEN 0 THEN 'Which?' WHEN 1 THEN '<entity>\\n{\"user\": 0}\\n</entity>\\n\\nWhich?' ELSE concat('<entity>\\n{\"user\": ', user_id, '}\\n</entity>\\n\\nWhat did it do?') END AS question", "CAST(NULL AS STRING) AS observed")
+
+
+@add(f"SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'anchor_entity_scalar_map_required' WHEN event_id % 5 = 0 THEN 'question_entity_block_required' WHEN event_id % 5 = 1 AND user_id <> 0 THEN 'question_entity_block_mismatch' END AS code FROM ({_DRAFT})")
+def draft_codes(spark: SparkSession, root: str) -> DataFrame:
+    return drafts.checked(_drafts(spark, root), "topic", "anchor", "answer", "question", "observed").select("event_id", "code")
+
+
+@add(f"SELECT event_id, question LIKE '<entity>%' AS has_entity, CASE WHEN question LIKE '<entity>%' THEN split_part(question, chr(10), 2) END AS entity_json, CASE WHEN question LIKE '<entity>%' THEN split_part(question, chr(10), 5) END AS body FROM ({_DRAFT})")
+def entity_prompts(spark: SparkSession, root: str) -> DataFrame:
+    return drafts.split_prompts(_drafts(spark, root), "question").select("event_id", "has_entity", "entity_json", "body")
+
+
+@add("SELECT event_id, event_type, CASE WHEN user_id % 3 = 0 THEN 'known ' || event_id ELSE 'topic: ' || event_type || chr(10) || 'constraints: ' || props END AS semantic_text FROM events WHERE event_type = 'click' ORDER BY ts DESC NULLS LAST, event_id DESC LIMIT 30")
+def dedup_candidates(spark: SparkSession, root: str) -> DataFrame:
+    rows = read_table(spark, root, "events").selectExpr("*", "CAST(NULL AS STRING) AS question", "IF(user_id % 3 = 0, concat('known ', event_id), ' ') AS semantic")
+    return reg.candidates(rows, 30, "ts", "event_id", "event_type", "question", "props", "semantic", {"event_type": "click"})
+
+
+@add("SELECT event_id, event_type, (SELECT count(*) FROM events WHERE event_type = 'signup') AS task_count FROM events WHERE event_type = 'signup' ORDER BY ts DESC NULLS LAST, event_id DESC LIMIT 5")
+def registry_recent(spark: SparkSession, root: str) -> DataFrame:
+    return reg.recent(read_table(spark, root, "events"), ["event_id", "event_type"], 5, "ts", "event_id", {"event_type": "signup"})
+
+
+@add("SELECT table_name, column_name, printf('- %s.%s: low(<%.2f) mid(%.2f-%.2f) high(>%.2f)', table_name, column_name, low, low, high, high) AS line FROM (" + SQL["numeric_bands"] + ") UNION ALL SELECT table_name, column_name, '- ' || table_name || '.' || column_name || ': ' || count(*) || ' categories [' || string_agg(value || '(' || frequency || ')', ', ' ORDER BY frequency DESC, value) || ']' FROM (" + SQL["categorical_topk"] + ") GROUP BY 1, 2")
+def profile_lines(spark: SparkSession, root: str) -> DataFrame:
+    f = frames(spark, root)
+    return explore.profile_lines(explore.numeric_bands(star_catalog(), f, ["customer", "part"]), explore.categorical_values(star_catalog(), f, ["orders", "customer"]))
+
+
+@add("SELECT event_id, 'topic: ' || event_type || chr(10) || 'question: ' || chr(10) || 'answer: ' || props || chr(10) || 'schema: ' || chr(10) || 'constraints: ' || chr(10) || 'payload: p' AS semantic_text FROM events")
+def semantic_texts(spark: SparkSession, root: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return read_table(spark, root, "events").select("event_id", dedup.semantic_text(F.col("event_type"), none, F.col("props"), none, none, F.lit("p")).alias("semantic_text"))
+
+
+@add("SELECT event_id, lower(event_type) AS value FROM events WHERE event_id % 3 = 0 AND event_type NOT IN ('click', 'view')")
+def ungrounded_values(spark: SparkSession, root: str) -> DataFrame:
+    rows = read_table(spark, root, "events").selectExpr("event_id", "concat('{\"a\": [\"', event_type, '\", 3]}') AS answer", "IF(event_id % 3 = 0, '[\"Click \", \"view\"]', concat('\"', event_type, '\"')) AS observed")
+    return canonical.ungrounded(rows, rows, key="event_id")
 
 
 def flagship(spark: SparkSession, root: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -61,26 +62,28 @@ def breaker_stream(events: DataFrame, seconds: float, least: int, rate: float, p
     """The circuit breaker with its state by key. events: key string, ts double (seconds), failed boolean.
 
     Opens at a failure with enough events in the window and the rate reached, for `probe` seconds; a success after that
-    closes it and empties the window. State holds the window's events only.
+    closes it, and the window stays. State holds the window's events only.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, fails, until = (list(state.get[0]), list(state.get[1]), state.get[2]) if state.exists else ([], [], 0.0)
+        times, fails, until = (deque(state.get[0]), deque(state.get[1]), state.get[2]) if state.exists else (deque(), deque(), 0.0)
+        bad_ones = sum(fails)
         rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
         out = []
         for t, bad in zip(rows["ts"], rows["failed"], strict=True):
             t, bad = float(t), bool(bad)
             times.append(t)
             fails.append(bad)
+            bad_ones += bad
             while times and times[0] < t - seconds:
-                times.pop(0)
-                fails.pop(0)
+                times.popleft()
+                bad_ones -= fails.popleft()
             if until and t >= until and not bad:
-                until, times, fails = 0.0, [], []
-            elif bad and len(times) >= least and sum(fails) / len(times) >= rate:
+                until = 0.0
+            elif bad and len(times) >= least and bad_ones / len(times) >= rate:
                 until = t + probe
-            out.append((key[0], t, bad, len(times), sum(fails), "open" if until and t < until else "probe" if until else "closed"))
-        state.update((times, fails, until))
+            out.append((key[0], t, bad, len(times), bad_ones, "open" if until and t < until else "probe" if until else "closed"))
+        state.update((list(times), list(fails), until))
         yield pd.DataFrame(out, columns=["key", "ts", "failed", "n", "errors", "state"])
 
     return events.groupBy("key").applyInPandasWithState(step, BREAKER_OUT, BREAKER_STATE, "append", GroupStateTimeout.NoTimeout)

@@ -162,5 +162,5 @@ def test_tools(frames):
     assert json.loads(box.call("take", {"cursor": "c_x", "n": 2}))["error_type"] == "KeyError"
     found = json.loads(box.call("neighborhood", {"table": "film", "row_id": 1}))
     assert {e["label"]: (e["status"], e["total"]) for e in found["edges"]} == {"film<-copy.film_id": ("ok", 2), "film<-tag.film_id": ("unsupported", None)}
-    assert json.loads(box.call("query", {"spec": {"from": "film", "aggregate": [{"fn": "count", "alias": "n"}]}})) == {"columns": ["n"], "rows": [{"n": 4}], "row_count": 1}
+    assert json.loads(box.call("query", {"spec": {"from": "film", "aggregate": [{"fn": "count", "alias": "n"}]}})) == {"columns": ["n"], "rows": [{"n": 4}], "row_count": 1, "truncated": False}
     assert set(box.schemas()) == set(NAMES) and len(log) == 6
