@@ -95,11 +95,11 @@ def fanout(catalog: Catalog, frames: Frames) -> DataFrame:
 
 
 def fk_orphans(catalog: Catalog, frames: Frames) -> DataFrame:
-    """For each edge: rows whose foreign key is set and refers to nothing. Keys are counted before they meet, so rows are combined before the shuffle."""
+    """For each edge: rows whose foreign key is set and refers to nothing. The keys' side is as large as its table, so small ones are broadcast and nothing else moves."""
     parts = []
     for e in catalog.edges:
-        held = frames(e.source).where(F.col(e.column).isNotNull()).groupBy(F.col(e.column).alias("fk")).agg(F.count("*").alias("n"))
-        parts.append(held.join(frames(e.target).select(F.col(e.target_column).alias("pk")), F.col("fk") == F.col("pk"), "left_anti").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("orphans")).select(F.lit(e.forward).alias("label"), "orphans"))
+        held = frames(e.source).where(F.col(e.column).isNotNull()).select(F.col(e.column).alias("fk"))
+        parts.append(held.join(frames(e.target).select(F.col(e.target_column).alias("pk")), F.col("fk") == F.col("pk"), "left_anti").agg(F.count("*").alias("orphans")).select(F.lit(e.forward).alias("label"), "orphans"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -138,13 +138,15 @@ def random_anchor(catalog: Catalog, frames: Frames, sizes: dict[str, int], seed:
 
 
 def profile_table(catalog: Catalog, frames: Frames, table: str, clauses: Sequence[dict] = (), columns: Sequence[str] | None = None) -> DataFrame:
-    """row_count, and distinct and null counts of each column, in one pass; zeros over no rows."""
+    """row_count, and distinct and null counts of each column; zeros over no rows. Each column is read by itself and its values are counted before the shuffle, which several exact distinct counts in one aggregate would not do."""
     t = catalog.table(table)
-    names = list(columns or t.names)
     df = frames(table).where(conjunction(t, clauses)) if clauses else frames(table)
-    one = df.agg(F.count("*").alias("row_count"), *(F.count_distinct(c).alias(f"d_{c}") for c in names), *(F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in names))
-    cells = [F.struct(F.lit(c).alias("column_name"), F.col(f"d_{c}").alias("distinct_count"), F.col(f"n_{c}").alias("null_count")) for c in names]
-    return one.select("row_count", F.explode(F.array(*cells)).alias("x")).select("x.column_name", "row_count", "x.distinct_count", "x.null_count")
+    parts = []
+    for c in columns or t.names:
+        values = df.groupBy(F.col(c).alias("v")).agg(F.count("*").alias("n"))
+        sums = (F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), F.count("v").alias("distinct_count"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("null_count"))
+        parts.append(values.agg(*sums).select(F.lit(c).alias("column_name"), "row_count", "distinct_count", "null_count"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def profile_column(catalog: Catalog, frames: Frames, table: str, column: str, clauses: Sequence[dict] = ()) -> DataFrame:

@@ -30,7 +30,7 @@ def test_commands(spark, capsys, tmp_path):
     assert said(capsys, spark, "plan-synthesis-coverage", ROOT, "documents", "--columns", "lang", "--target", "100")[1][0]["deficit"] > 0
     assert said(capsys, spark, "run-summary", ROOT, "events", "event_type", "purchase", "error")[1]["total"] == 1000
     assert said(capsys, spark, "export-bundle", ROOT, "orders", str(tmp_path / "out"), "--by", "o_orderstatus", "--key", "o_orderkey", "--having", "o_orderkey < 50")[0] == 0
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 49
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 50
     (tmp_path / "c.json").write_text('{"a": "${NOT_SET_HERE:-1}"}')
     assert said(capsys, spark, "validate-config", str(tmp_path / "c.json"), "--known", "a")[1] == {"valid": True, "keys": ["a"]}
     assert said(capsys, spark, "validate-config", str(tmp_path / "c.json"))[0] == 1
