@@ -78,7 +78,6 @@ class TokenWords(W.WordTable):
         at = np.repeat(first - ends[:-1], counts) + np.arange(ends[-1])
         self.owner.ids, self.owner.used = self.owner.ids[at], int(ends[-1])
         self.columns = (ends[:-1], *self.columns[1:])
-        self.parts = [[c] for c in self.columns]
         return keep
 
 

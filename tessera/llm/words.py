@@ -32,9 +32,10 @@ class WordTable(dict):
         self.fill, self.limit = fill, limit
         self.new: list[bytes] = []
         self.bytes = 0
-        self.parts: list[list[np.ndarray]] = []
+        self.room: list[np.ndarray] = []  # the columns, and space to grow
         self.columns: tuple[np.ndarray, ...] | None = None
         self.uses = np.zeros(0, np.int64)
+        self.forgot = 0  # how many times
 
     def __missing__(self, word: bytes) -> int:
         row = self[word] = len(self)
@@ -48,6 +49,7 @@ class WordTable(dict):
 
     def forget(self) -> np.ndarray:
         """Keeps the words used most, half of what fits; returns their former rows. Words used once always go."""
+        self.forgot += 1
         most = self.limit // 2
         order = np.argsort(-self.uses, kind="stable")[:most]
         keep = np.sort(order[self.uses[order] > 1])
@@ -60,7 +62,7 @@ class WordTable(dict):
         self.update(zip(kept, range(len(kept))))
         self.bytes = int(sizes[fit - 1]) if fit else 0
         self.columns = tuple(c[keep] for c in self.columns)
-        self.parts = [[c] for c in self.columns]
+        self.room = []
         self.uses = self.uses[keep] // 2
         return keep
 
@@ -70,13 +72,14 @@ class WordTable(dict):
             self.forget()
         out = np.fromiter(map(self.__getitem__, words), np.int32, count)
         if self.new or self.columns is None:
-            got = self.fill(self.new)
-            self.parts = self.parts or [[] for _ in got]
-            for have, x in zip(self.parts, got, strict=True):
-                have.append(x)
-                if len(have) > 1 and len(have[-1]) * 4 > len(have[-2]):
-                    have[-2:] = [np.concatenate(have[-2:])]
-            self.columns = tuple(np.concatenate(x) if len(x) > 1 else x[0] for x in self.parts)
+            got, size = self.fill(self.new), len(self)
+            if not self.room or size > len(self.room[0]):
+                grown = max(2 * size, 1024)
+                old = self.columns or [x[:0] for x in got]
+                self.room = [np.concatenate((c, np.zeros(grown - len(c), x.dtype))) for c, x in zip(old, got, strict=True)]
+            for have, x in zip(self.room, got, strict=True):
+                have[size - len(x) : size] = x
+            self.columns = tuple(c[:size] for c in self.room)
             self.new = []
         seen = np.bincount(out, minlength=len(self))
         seen[: len(self.uses)] += self.uses
@@ -84,6 +87,23 @@ class WordTable(dict):
         return out
 
 
+class Derived:
+    """Columns that are worked out from a table's column of hashes, kept up with the table as it grows and forgets."""
+
+    def __init__(self, table: WordTable, column: int, work_out: Callable[[np.ndarray], tuple[np.ndarray, ...]]):
+        self.table, self.column, self.work_out = table, column, work_out
+        self.forgot, self.columns = -1, ()
+
+    def now(self) -> tuple[np.ndarray, ...]:
+        """The columns, as long as the table's own."""
+        h = self.table.columns[self.column]
+        if self.forgot != self.table.forgot or not self.columns:
+            self.forgot, self.columns = self.table.forgot, self.work_out(h)
+        elif (done := len(self.columns[0])) < len(h):
+            self.columns = tuple(np.concatenate((c, x)) for c, x in zip(self.columns, self.work_out(h[done:]), strict=True))
+        return self.columns
+
+
 _held: dict[object, object] = {}
 
 
