@@ -26,9 +26,7 @@ SETS = T.StructType([T.StructField("node", T.LongType()), T.StructField("hashes"
 
 def shingle_sets(blobs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Each text's distinct shingle hashes, ascending, of its words with A-Z in lower case; and where each text's start."""
-    table = W.held("hashes", lambda: W.WordTable(W.hash64))
-    rows, starts = W.split(table, [b.lower() for b in blobs])
-    return W.distinct(*W.shingles(table.columns[0][rows], starts, width))
+    return W.distinct(*W.shingles(*W.word_hashes(blobs), width))
 
 
 def least_agreement(percent: int, values: int) -> int:

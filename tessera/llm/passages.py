@@ -43,12 +43,6 @@ def tuned_bands(percent: int, recall: float, values: int = BAND_ROWS) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - (percent / 100) ** values)))
 
 
-def _hashes(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    table = W.held("hashes", lambda: W.WordTable(W.hash64))
-    rows, starts = W.split(table, [b.lower() for b in blobs])
-    return table.columns[0][rows], starts
-
-
 def _lines(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all lines with words: the text's number, the first word's place in the text, and the count of words."""
     text, first, count = [], [], []
@@ -145,7 +139,7 @@ def seeds(documents: DataFrame, least_run: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, blobs in W.chunks(batches, "text"):
-            hashes, at = _hashes(blobs)
+            hashes, at = W.word_hashes(blobs)
             ids, keys = _columns(batch, blobs)
             column = batch.column(batch.schema.get_field_index("copy_of"))
             is_copy = column.is_valid().to_numpy(zero_copy_only=False)
@@ -171,7 +165,7 @@ def seeded_windows(documents: DataFrame, marks: DataFrame, few: bool, least_run:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, blobs in W.chunks(batches, "text"):
-            hashes, at = _hashes(blobs)
+            hashes, at = W.word_hashes(blobs)
             ids, keys = _columns(batch, blobs)
             lists = batch.column(batch.schema.get_field_index("marks")).to_pylist()
             owners, starts = [], []
@@ -194,7 +188,7 @@ def line_paragraphs(documents: DataFrame, width: int, bands: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, blobs in W.chunks(batches, "text"):
-            hashes, at = _hashes(blobs)
+            hashes, at = W.word_hashes(blobs)
             text, first, count = _paragraphs(hashes, at, blobs)
             begin = at[:-1][text] + first
             total = np.concatenate(([0], np.cumsum(count)))
@@ -218,7 +212,7 @@ def line_sets(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, blobs in W.chunks(batches, "text"):
-            hashes, at = _hashes(blobs)
+            hashes, at = W.word_hashes(blobs)
             lines = batch.column(batch.schema.get_field_index("lines")).to_pylist()
             node, parts, signed = [], [], []
             for d, b in enumerate(blobs):

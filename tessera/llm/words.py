@@ -159,6 +159,58 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Bytes hashed at a time by word_hashes(); a longer word is hashed by itself.
+SEGMENT = 1 << 18
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_FACTOR = 0x9E3779B97F4A7C17  # 3 modulo 4
+_LETTER = np.random.Generator(np.random.PCG64(7411)).integers(0, 1 << 64, 256, dtype=np.uint64)
+_LETTER[65:91] = _LETTER[97:123]  # A-Z as a-z
+_powers: list[np.ndarray] = []
+
+
+def word_hashes(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all the texts' words, with A-Z in lower case, in one array, and where each text's words start (one more than texts).
+
+    A word's hash is a polynomial of its bytes' random numbers, from running sums over the text that are scaled back by
+    the inverse power at the word's start; so no word is made an object of its own.
+    """
+    if not _powers:
+        for factor in (_FACTOR, pow(_FACTOR, -1, 1 << 64)):
+            x = np.full(SEGMENT, factor, np.uint64)
+            x[0] = 1
+            _powers.append(np.cumprod(x))
+    power, inverse = _powers
+    data = np.frombuffer(b"\n".join(blobs) + b"\n", np.uint8)
+    solid = ~_SPACE[data]
+    edge = np.flatnonzero(solid[1:] != solid[:-1]) + 1
+    if solid[0]:
+        edge = np.concatenate(([0], edge))
+    begin, end = edge[0::2], edge[1::2]
+    sizes = np.array([len(b) + 1 for b in blobs], np.int64)
+    starts = np.searchsorted(begin, np.concatenate(([0], np.cumsum(sizes))))
+    out = np.empty(len(begin), np.uint64)
+    k = 0
+    while k < len(begin):
+        a = int(begin[k])
+        stop = int(np.searchsorted(end, a + SEGMENT, "right"))
+        if stop <= k:
+            out[k] = xxhash.xxh3_64_intdigest(data[a : end[k]].tobytes().lower())
+            k += 1
+            continue
+        sums = _LETTER[data[a : end[stop - 1]]]
+        sums *= power[: len(sums)]
+        np.cumsum(sums, out=sums)
+        b, e = begin[k:stop] - a, end[k:stop] - a
+        x = sums[e - 1]
+        x[1:] -= sums[b[1:] - 1]
+        x *= inverse[b]
+        x += (e - b).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        out[k:stop] = x
+        k = stop
+    return mix64(out), starts
+
+
 def shingles(hashes: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of each text's `width`-word shingles, in order, and where each text's start. A text of fewer words has one: the whole sequence; one without words has none."""
     n = np.diff(starts)

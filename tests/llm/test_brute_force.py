@@ -198,6 +198,22 @@ def test_shingles_of_words():
     assert np.diff(at).tolist() == [2, 1, 0, 1] and values[0] == values[2] != values[1]
 
 
+def test_word_hashes_tell_words_apart(monkeypatch):
+    rng = random.Random(1)
+    texts = [bytes(rng.choice(b"abAB \n\t.\xc3\xa9") for _ in range(rng.randrange(200))) for _ in range(300)] + [b"", b" ", b"x" * 5000 + b" Y", b"\x0b\x0c", b"\x00 \x00\x00"]
+    for segment in (1 << 18, 64):
+        monkeypatch.setattr(W, "SEGMENT", segment)
+        W._powers.clear()
+        hashes, starts = W.word_hashes(texts)
+        words = [w.lower() for t in texts for w in t.split()]
+        assert np.diff(starts).tolist() == [len(t.split()) for t in texts] and len(hashes) == len(words)
+        by = dict(zip(words, hashes.tolist(), strict=True))
+        assert all(by[w] == h for w, h in zip(words, hashes.tolist(), strict=True)) and len(set(by.values())) == len(by)
+    W._powers.clear()
+    many = [f"{i:x}" for i in range(400_000)] + ["ab" * k for k in range(1, 60)] + ["ba" * k for k in range(1, 60)]
+    assert len(set(W.word_hashes([" ".join(many).encode()])[0].tolist())) == len(set(many))
+
+
 def test_word_table_forgets():
     t = W.WordTable(W.hash64, limit=4)
     for text in (b"a a b b c d e", b"e a f g h", b"a", b"b b z z y x w v u t", b"z"):
