@@ -88,8 +88,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b), written, whose full sets have 100 * intersection >= percent * union. A set of many pairs is joined in a way that Spark can split."""
     pairs = materialize(pairs, "pairs")
     ends = materialize(pairs.select(F.col("b").alias("n")).distinct(), "ends")
-    one = sets.join(beside(pairs), F.col("node") == F.col("a")).select("a", "b", F.col("hashes").alias("ha"))
-    two = sets.join(beside(ends, 1), F.col("node") == F.col("n"), "left_semi").select(F.col("node").alias("nb"), F.col("hashes").alias("hb"))
+    one = sets.join(beside(pairs, texts=True), F.col("node") == F.col("a")).select("a", "b", F.col("hashes").alias("ha"))
+    two = sets.join(beside(ends, 1, texts=True), F.col("node") == F.col("n"), "left_semi").select(F.col("node").alias("nb"), F.col("hashes").alias("hb"))
     both = F.size(F.array_intersect("ha", "hb"))
     out = materialize(one.join(two, F.col("b") == F.col("nb")).where(100 * both >= percent * (F.size("ha") + F.size("hb") - both)).select("a", "b").distinct(), "links")
     discard(pairs, ends)

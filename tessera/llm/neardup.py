@@ -87,7 +87,7 @@ def signatures(documents: DataFrame, width: int, bands: int, rows: int) -> DataF
 
 def full_sets(documents: DataFrame, wanted: DataFrame, width: int, values: int) -> DataFrame:
     """(node, hashes, sketch) of the wanted classes (rep, k1, k2, node), from one document of each."""
-    chosen = documents.select("doc_id", "text").join(beside(wanted, 4), F.col("doc_id").eqNullSafe(F.col("rep")))
+    chosen = documents.select("doc_id", "text").join(beside(wanted, 4, texts=True), F.col("doc_id").eqNullSafe(F.col("rep")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, blobs in W.chunks(batches, "text"):
@@ -156,4 +156,4 @@ def one_of_each(documents: DataFrame, **options) -> DataFrame:
     first = materialize(placed.groupBy(F.col("component_id").alias("c")).agg(F.min("place")["_row"].alias("stays")), "first")
     gone = materialize(placed.join(beside(first), F.col("component_id") == F.col("c")).where("r <> stays").select("r"), "gone")
     discard(verdict, several, members, placed, first)
-    return restore(rows.join(beside(gone, 1), F.col("_row") == F.col("r"), "left_anti"))
+    return restore(rows.join(beside(gone, 1, texts=True), F.col("_row") == F.col("r"), "left_anti"))

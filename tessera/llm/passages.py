@@ -255,11 +255,12 @@ def line_removals(documents: DataFrame, width: int, percent: int, recall: float)
 def _copies(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """documents (doc_id, text) with copy_of: the smallest doc_id of the same text, null where it is the row's own; and the table that says so."""
     rows = documents.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.xxhash64("text").alias("t"), F.octet_length("text").alias("size")).where("size > 0")
-    first = rows.groupBy("t", "size").agg(F.min("id").alias("copy_of"), F.max("id").alias("last")).where("copy_of <> last").select(F.col("t").alias("t1"), F.col("size").alias("s1"), "copy_of")
     # a text of one document only is no copy
-    copies = materialize(rows.join(first, (F.col("t") == F.col("t1")) & (F.col("size") == F.col("s1"))).where("id <> copy_of").select("id", "t", "copy_of").distinct(), "copies")
+    first = materialize(rows.groupBy("t", "size").agg(F.min("id").alias("copy_of"), F.max("id").alias("last")).where("copy_of <> last").select(F.col("t").alias("t1"), F.col("size").alias("s1"), "copy_of"), "first-copies")
+    copies = materialize(rows.join(beside(first, 3), (F.col("t") == F.col("t1")) & (F.col("size") == F.col("s1"))).where("id <> copy_of").select("id", "t", "copy_of").distinct(), "copies")
+    discard(first)
     own = (F.coalesce("doc_id", F.lit((1 << 63) - 1)) == F.col("id")) & (F.xxhash64("text") == F.col("t"))
-    return documents.select("doc_id", "text").join(beside(copies, 3), own, "left").select("doc_id", "text", "copy_of"), copies
+    return documents.select("doc_id", "text").join(beside(copies, 3, texts=True), own, "left").select("doc_id", "text", "copy_of"), copies
 
 
 def window_removals(documents: DataFrame, least_run: int) -> DataFrame:
