@@ -48,13 +48,13 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Rows of two ids (16 bytes) that are sent to all executors at most: where texts or sets would be shuffled otherwise, and where narrow rows would.
-BROADCAST_IDS, BROADCAST_NARROW = 500_000, 100_000
+#: Rows of two ids (16 bytes) that are sent to all executors at most, where texts or sets would be shuffled otherwise.
+BROADCAST_IDS = 500_000
 
 
 def beside(df: DataFrame, ids: int = 2, texts: bool = False) -> DataFrame:
-    """A written table as the other side of a join: sent to all executors if its rows, of `ids` numbers each, are few; or else the join shuffles, and Spark splits what is skewed. texts: whether the rows that it meets hold texts or sets."""
-    return F.broadcast(df) if df.count() * ids <= 2 * (BROADCAST_IDS if texts else BROADCAST_NARROW) else df
+    """A written table as the other side of a join. Where it meets rows that hold texts or sets, it is sent to all executors if its rows, of `ids` numbers each, are few; narrow rows are left to Spark, which shuffles them at every size and splits what is skewed."""
+    return F.broadcast(df) if texts and df.count() * ids <= 2 * BROADCAST_IDS else df
 
 
 def shield(df: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, Callable[..., DataFrame]]:
