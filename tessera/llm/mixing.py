@@ -227,12 +227,15 @@ def solve(rows: DataFrame, weights: list[float], tolerance: float = 1e-4, iterat
     target = now[0] * w / w[0]
     floor = 1e-9 * np.diag(gram).max()
     best = (np.abs(now - target).max(), 0, now)
-    while best[0] > tolerance * every and len(steps) < iterations:
+    seen = [best[0]]
+    # eight steps that take off less than a hundredth do not get there
+    while best[0] > tolerance * every and len(steps) < iterations and (len(seen) < 9 or seen[-1] < 0.99 * seen[-9]):
         curve = np.maximum(np.diag(gram), floor)
         length = 1 / np.linalg.eigvalsh(gram / np.sqrt(np.outer(curve, curve)))[-1]
         steps.append(length * (now - target) / curve)
         now, gram = _sums(rows, steps, k)
         best = min(best, (np.abs(now - target).max(), len(steps), now), key=lambda x: x[0])
+        seen.append(best[0])
     return steps[: best[1]], target, best[2]
 
 
