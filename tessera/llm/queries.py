@@ -79,8 +79,28 @@ def op10_sharding(spark: SparkSession, root: str) -> DataFrame:
     return shard_documents(table(spark, root, "documents"), [1.0] * 24)
 
 
+def op11_chat_formatting(spark: SparkSession, root: str) -> DataFrame:
+    from tessera.llm.chat import formatted_digests
+
+    return formatted_digests(spark, table(spark, root, "conversations"))
+
+
+def op12_prefix_trie(spark: SparkSession, root: str) -> DataFrame:
+    from tessera.llm.trie import prefix_trie
+
+    return prefix_trie(table(spark, root, "conversations"))
+
+
+def op13_merkle_manifest(spark: SparkSession, root: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tessera.llm.merkle import audit, lowered, to_be_tampered
+
+    return audit(table(spark, root, "documents"), to_be_tampered(), lowered(F.col("text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_lm_scoring, op3_quality_rules, op4_nearest_neighbours, op5_mixing, op6_substring_dedup, op7_packing, op8_html_extraction, op9_minhash_near_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_language_id, op2_lm_scoring, op3_quality_rules, op4_nearest_neighbours, op5_mixing, op6_substring_dedup, op7_packing, op8_html_extraction, op9_minhash_near_dedup, op10_sharding, op11_chat_formatting, op12_prefix_trie, op13_merkle_manifest)}
 
 
 #: The checksum is worked out bytewise from its polynomial. Of equal weights the least -ln(u) is the greatest u, which is the greatest hex digits.
@@ -94,4 +114,6 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITI
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_sharding": SHARDING_SQL}
+    from tessera.llm.oracles import CHAT_SQL, TRIE_SQL, merkle_sql
+
+    return {"op10_sharding": SHARDING_SQL, "op11_chat_formatting": CHAT_SQL, "op12_prefix_trie": TRIE_SQL, "op13_merkle_manifest": merkle_sql()}
