@@ -24,7 +24,7 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _kind(v: Column) -> Column:
+def kind_of(v: Column) -> Column:
     """STRING, BIGINT, BOOLEAN, VOID, OBJECT, ARRAY, or DOUBLE for all other numbers."""
     name = F.regexp_extract(F.schema_of_variant(v), r"^[A-Z]+", 0)
     return F.when(name.isin("DECIMAL", "FLOAT"), "DOUBLE").otherwise(name)
@@ -74,15 +74,15 @@ def _moment(text: Column) -> Column:
 def _scalar(v: Column, contract: Field) -> Column:
     kind = contract.kind
     if kind == "string":
-        return F.when(_kind(v) == "STRING", quoted(_get(v, "string")))
+        return F.when(kind_of(v) == "STRING", quoted(_get(v, "string")))
     if kind == "int":
-        return F.when(_kind(v) == "BIGINT", _get(v, "bigint").cast("string"))
+        return F.when(kind_of(v) == "BIGINT", _get(v, "bigint").cast("string"))
     if kind == "float":
-        return F.when(_kind(v).isin("BIGINT", "DOUBLE"), _get(v, "double").cast("string"))
+        return F.when(kind_of(v).isin("BIGINT", "DOUBLE"), _get(v, "double").cast("string"))
     if kind == "bool":
-        return F.when(_kind(v) == "BOOLEAN", _get(v, "boolean").cast("string"))
+        return F.when(kind_of(v) == "BOOLEAN", _get(v, "boolean").cast("string"))
     if kind in ("date", "datetime"):
-        return F.when(_kind(v) == "STRING", quoted(let(_stripped(v), _whole_day if kind == "date" else _moment)))
+        return F.when(kind_of(v) == "STRING", quoted(let(_stripped(v), _whole_day if kind == "date" else _moment)))
     # an enum: the same kind and the same value
     names = {str: "STRING", bool: "BOOLEAN", int: "BIGINT", float: "DOUBLE"}
     shown = {str: lambda: quoted(_get(v, "string")), bool: lambda: _get(v, "boolean").cast("string"), int: lambda: _get(v, "bigint").cast("string"), float: lambda: _get(v, "double").cast("string")}
@@ -92,7 +92,7 @@ def _scalar(v: Column, contract: Field) -> Column:
         if same:
             texts = [json.dumps(x, ensure_ascii=False) if t in (str, bool, int) else None for x in same]
             fits = shown[t]().isin(*texts) if t is not float else _get(v, "double").isin(*same)
-            out = F.when((_kind(v) == names[t]) & fits, shown[t]()).otherwise(out)
+            out = F.when((kind_of(v) == names[t]) & fits, shown[t]()).otherwise(out)
     return out
 
 
@@ -109,7 +109,7 @@ def _object(v: Column, contract: Field) -> Column:
     for k, f in enumerate(sorted(contract.fields, key=lambda f: f.name)):
         value = compiled(F.try_variant_get(v, _path(f.name), "variant"), f)
         parts += [F.lit(("," if k else "") + dumps(f.name) + ":"), value]
-    fits = (_kind(v) == "OBJECT") & (F.size(F.array_except(keys, F.array(*map(F.lit, names)))) == 0)
+    fits = (kind_of(v) == "OBJECT") & (F.size(F.array_except(keys, F.array(*map(F.lit, names)))) == 0)
     return F.when(fits, F.concat(F.lit("{"), *parts, F.lit("}")))
 
 
@@ -136,7 +136,7 @@ def _list(v: Column, contract: Field) -> Column:
         texts = F.array_distinct(texts) if contract.unique else texts
         return F.when(~F.exists(parts, lambda p: p["text"].isNull()), F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]")))
 
-    return F.when(_kind(v) == "ARRAY", let(F.transform(items, one), joined))
+    return F.when(kind_of(v) == "ARRAY", let(F.transform(items, one), joined))
 
 
 def compiled(v: Column, contract: Field) -> Column:
@@ -187,7 +187,7 @@ def inferred_paths(df: DataFrame, answer: str) -> DataFrame:
     A list is judged by its first item, an empty one holds text; null is text. Each round opens one level of all answers,
     so that there are as many as the deepest has levels.
     """
-    level = df.groupBy(F.col(answer).alias("text")).agg(F.count("*").alias("n")).select(F.lit("").alias("path"), F.to_json(F.try_parse_json("text")).alias("text"), _kind(F.try_parse_json("text")).alias("kind"), "n")
+    level = df.groupBy(F.col(answer).alias("text")).agg(F.count("*").alias("n")).select(F.lit("").alias("path"), F.to_json(F.try_parse_json("text")).alias("text"), kind_of(F.try_parse_json("text")).alias("kind"), "n")
     level, leaves = written(level.where("text is not null"), "paths"), []
     while True:
         scalar = ~F.col("kind").isin("OBJECT", "ARRAY")
@@ -201,7 +201,7 @@ def inferred_paths(df: DataFrame, answer: str) -> DataFrame:
         fields = deeper.where("kind = 'OBJECT'").select("path", "n", F.explode(F.try_variant_get(v, "$", "map<string,variant>")).alias("key", "v"))
         fields = fields.select(F.when(F.col("path") == "", F.col("key")).otherwise(F.concat("path", F.lit("."), "key")).alias("path"), "v", "n")
         items = deeper.where("kind = 'ARRAY'").select(F.concat("path", F.lit("[]")).alias("path"), F.try_variant_get(v, "$[0]", "variant").alias("v"), "n")
-        next_level = fields.union(items).select("path", F.coalesce(F.to_json("v"), F.lit('""')).alias("text"), F.coalesce(_kind(F.col("v")), F.lit("VOID")).alias("kind"), "n")
+        next_level = fields.union(items).select("path", F.coalesce(F.to_json("v"), F.lit('""')).alias("text"), F.coalesce(kind_of(F.col("v")), F.lit("VOID")).alias("kind"), "n")
         level = written(next_level.groupBy("path", "text", "kind").agg(F.sum("n").alias("n")), "paths")
     out = leaves[0]
     for more in leaves[1:]:

@@ -6,7 +6,7 @@ values, however deep they lie.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters that JSON cannot hold as they are; they stand for an escaped backslash and an escaped quote while text is cut.
@@ -43,10 +43,15 @@ def string_leaves(text: Column) -> Column:
     return F.filter(strings, lambda s: s != "")
 
 
+def has_blank(text: Column) -> Column:
+    """Whether a string value at any depth is empty or white space."""
+    return F.exists(_tokens(text), lambda t: F.startswith(t, F.lit('"')) & (folded(_value(t)) == ""))
+
+
 def number_name(text: Column) -> Column:
     """One name for equal numbers, whatever their spelling; true is 1 and false is 0."""
     whole = text.rlike(r"^-?[0-9]{1,18}$")
-    double = F.expr("cast(null as double)") if text is None else text.try_cast("double")
+    double = text.try_cast("double")
     integral = (double == F.floor(double)) & (F.abs(double) < 1e15)
     return F.concat(F.lit("n:"), F.when(text == "true", "1").when(text == "false", "0").when(whole, text.try_cast("bigint").cast("string")).when(integral, double.try_cast("bigint").cast("string")).otherwise(double.cast("string")))
 
@@ -64,3 +69,10 @@ def flat_object(text: Column) -> Column:
     shown = F.transform(F.map_values(parts), lambda v: F.coalesce(F.to_json(F.struct(v.alias("v"))), F.lit("{}")))
     # {"v":...}
     return F.flatten(F.transform(F.filter(shown, lambda s: ~s.rlike(r'^\{"v":[\[{]')), lambda s: scalar_leaves(s, True)))
+
+
+def ungrounded(answers: DataFrame, observed: DataFrame, answer: str = "answer", seen: str = "observed", key: str = "task_id") -> DataFrame:
+    """(key, value): text leaves of answers, as JSON, that no observation of the same task has."""
+    a = answers.select(key, F.explode(string_leaves(F.col(answer))).alias("value")).distinct()
+    b = observed.select(key, F.explode(string_leaves(F.col(seen))).alias("value")).distinct()
+    return a.join(b, [key, "value"], "left_anti")

@@ -22,7 +22,7 @@ def has_part(name: str, parts: Sequence[str]) -> bool:
 
 
 def visibility(table: str, column: str, overrides: Mapping[str, str] | None = None, sensitive_tables: Sequence[str] | None = None, safe_columns: Sequence[str] | None = None, schema: str = "public", default: str = VISIBLE) -> str:
-    """An override by schema.table.column, table.column or column comes first; then blocked and internal names; columns of tables about people are internal unless safe. Tables and safe columns may be named outright."""
+    """An override by schema.table.column, table.column or column comes first; then blocked and internal names; then the default. Where that is blocked, safe names are internal, but not in tables about people. Tables and safe columns may be named outright."""
     overrides = overrides or {}
     for key in (f"{schema}.{table}.{column}", f"{table}.{column}", column):
         if key in overrides:
@@ -32,7 +32,15 @@ def visibility(table: str, column: str, overrides: Mapping[str, str] | None = No
             return label
     sensitive = has_part(table, SENSITIVE_TABLES) if sensitive_tables is None else table in sensitive_tables
     safe = has_part(column, SAFE_NAMES) if safe_columns is None else column in safe_columns
-    return INTERNAL if sensitive and not safe else default
+    return INTERNAL if default == BLOCKED and safe and not sensitive else default
+
+
+def labelled(df: DataFrame, table: str, defaults: Sequence[str], overrides: Mapping[str, str] | None = None) -> DataFrame:
+    """table_name, column_name, default_label, label and shown (its values that are not null) of every column, for each default."""
+    labels = [(d, visibility(table, c, overrides, default=d)) for c in df.columns for d in defaults]
+    one = df.agg(*(F.count(F.col(f"`{c}`")).alias(f"_{i}") for i, c in enumerate(df.columns)))
+    rows = F.array(*(F.struct(F.lit(df.columns[i // len(defaults)]).alias("column_name"), F.lit(d).alias("default_label"), F.lit(label).alias("label"), F.col(f"_{i // len(defaults)}").alias("shown")) for i, (d, label) in enumerate(labels)))
+    return one.select(F.lit(table).alias("table_name"), F.explode(rows).alias("r")).select("table_name", "r.*")
 
 
 def redact(df: DataFrame, labels: Mapping[str, str]) -> DataFrame:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import json
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.canonical import dumps
+from tessera.functions.contracts import open_form
 
 
 def _tail(k: int, n: int, p: float) -> float:
@@ -62,25 +60,10 @@ def gate(decision: Column, rate: Column, divergence: Column, low: float, high: f
     return F.when(divergence > most_divergence, "divergent").otherwise(settled)
 
 
-def _one_form(text: str | None) -> str | None:
-    """Objects and lists that parse in canonical JSON, other text as it is."""
-    if text and text.strip().startswith(("{", "[")):
-        try:
-            return dumps(json.loads(text))
-        except ValueError:
-            pass
-    return text
-
-
 def divergence(runs: DataFrame, key: str, answer: str) -> DataFrame:
     """key, submissions, answers, divergence: different answers, whatever their spelling, for each submission; empty ones left out."""
-    @F.pandas_udf("string")
-    def one_form(texts: pd.Series) -> pd.Series:
-        return texts.map(_one_form)
-
-    # a spelling is read once, however often it is given
-    each = runs.where(F.coalesce(answer, F.lit("")) != "").groupBy(key, F.col(answer).alias("_text")).agg(F.count("*").alias("_n"))
-    out = each.groupBy(key).agg(F.sum("_n").alias("submissions"), F.count_distinct(one_form("_text")).alias("answers"))
+    each = runs.where(F.coalesce(answer, F.lit("")) != "").groupBy(key, open_form(F.col(answer)).alias("_form")).agg(F.count("*").alias("_n"))
+    out = each.groupBy(key).agg(F.sum("_n").alias("submissions"), F.count("*").alias("answers"))
     return out.withColumn("divergence", F.col("answers") / F.col("submissions"))
 
 

@@ -8,16 +8,19 @@ from datetime import date, datetime, time
 from decimal import Decimal
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.canonical import leaves, slots
+from tessera.functions.contracts import kind_of, let
+from tessera.functions.json_leaves import has_blank, string_leaves
 
 #: An entity as JSON between its tags, an empty line, and the question.
 _PROMPT = re.compile(r"<entity>\n(.+?)\n</entity>\n\n(.+)", re.S)
 # Codes of drafts that are sent back, in the order in which they are tried here.
-CODES = ("topic_required", "anchor_entity_required", "anchor_entity_scalar_map_required", "canonical_answer_json_invalid", "question_required", "question_entity_block_required", "question_entity_block_invalid_json", "question_entity_block_mismatch", "question_body_required", "question_raw_identifier_leak", "question_entity_placeholder_forbidden", "label_blank_string_forbidden", "label_values_not_grounded")
+CODES = ("submit_payload_invalid", "topic_required", "anchor_entity_required", "anchor_entity_scalar_map_required", "canonical_answer_json_invalid", "question_required", "no_new_grounded_observation", "question_entity_block_required", "question_entity_block_invalid_json", "question_entity_block_mismatch", "question_body_required", "question_raw_identifier_leak", "question_entity_placeholder_forbidden", "label_blank_string_forbidden", "label_values_not_grounded", "label_not_strengthened", "draft_validation_failed", "reject_too_easy", "reject_too_hard")
+#: A word that is the name of an identifier, and an entity's tag, as it is or escaped.
+_IDENTIFIER, _PLACEHOLDER = r"(?i)(?<![a-z0-9_])[a-z][a-z0-9_]*_ids?(?![a-z0-9_])", r"(?i)<entity>|&lt;entity&gt;"
 
 
 def split_prompt(text: str) -> tuple[dict | None, str | None, str | None]:
@@ -44,14 +47,8 @@ def blank_paths(value: Any, here: str = "$") -> list[str]:
     return [here] if isinstance(value, str) and not value.strip() else []
 
 
-def leaks(entity: dict, body: str) -> bool:
-    """Whether the body names a key of the entity, or gives the value beside it away, as a word of its own."""
-    words = {w.lower() for w in re.findall(r"\w+", body)}
-    return any(k.lower() in words and (k.lower().endswith("_id") or k.lower() == "id") for k in entity)
-
-
-def check_draft(topic: str | None, anchor: str | None, answer: str | None, question: str | None, observed: str | None = None) -> str | None:
-    """The first code that the draft earns, or None. anchor, answer and observed are JSON; without observations nothing is held against them."""
+def check_draft(topic: str | None, anchor: str | None, answer: str | None, question: str | None, observed: str | None = None, new_calls: int | None = None, refused: str | None = None, verdict: str | None = None) -> str | None:
+    """The first code that the draft earns, or None. anchor, answer, observed and refused (the label last refused as too easy) are JSON; what is None is not held against it. verdict: of the quality gate."""
 
     def read(text: str | None) -> Any:
         try:
@@ -66,35 +63,81 @@ def check_draft(topic: str | None, anchor: str | None, answer: str | None, quest
         return "anchor_entity_required"
     if not isinstance(entity, dict) or any(isinstance(v, (dict, list)) for v in entity.values()):
         return "anchor_entity_scalar_map_required"
-    if label is None:
+    if not isinstance(label, (dict, list)) or not label:
         return "canonical_answer_json_invalid"
     if not (question or "").strip():
         return "question_required"
+    if new_calls is not None and new_calls <= 0:
+        return "no_new_grounded_observation"
     shown, body, code = split_prompt(question)
     if code:
         return code
     if shown != entity:
         return "question_entity_block_mismatch"
-    if leaks(entity, body):
+    if re.search(_IDENTIFIER, body):
         return "question_raw_identifier_leak"
-    if re.search(r"<[a-z_]+>|\{[a-z_]+\}", body):
+    if re.search(_PLACEHOLDER, body):
         return "question_entity_placeholder_forbidden"
     if blank_paths(label):
         return "label_blank_string_forbidden"
     if observed is not None and set(leaves(label)) - set(leaves(read(observed))):
         return "label_values_not_grounded"
-    return None
+    if refused is not None and read(refused) == label:
+        return "label_not_strengthened"
+    if isinstance(label, list) and any(type(x) is not type(label[0]) or slots(x) != slots(label[0]) for x in label):
+        return "draft_validation_failed"
+    return {"too_easy": "reject_too_easy", "too_hard": "reject_too_hard"}.get(verdict or "")
+
+
+def draft_code(topic: Column, anchor: Column, answer: Column, question: Column, observed: Column, new_calls: Column | None = None, refused: Column | None = None, verdict: Column | None = None) -> Column:
+    """check_draft() in the JVM."""
+    given = lambda c, kind: F.lit(None).cast(kind) if c is None else c
+    new_calls, refused, verdict = given(new_calls, "int"), given(refused, "string"), given(verdict, "string")
+    stripped = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
+    form = r"(?s)^<entity>\n(.+?)\n</entity>\n\n(.+)$"
+    kinds = lambda v: F.transform(F.map_values(F.try_variant_get(v, "$", "map<string,variant>")), kind_of)
+    nested = lambda v: F.exists(kinds(v), lambda k: k.isin("OBJECT", "ARRAY"))
+    nothing = lambda v: v.isNull() | F.to_json(v).isin("{}", "[]", "null", '""', "0", "false")
+    # items of one kind, and objects of the same keys
+    shape = lambda v: F.struct(kind_of(v), F.coalesce(F.array_sort(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))), F.array().cast("array<string>")))
+    uneven = lambda v: F.coalesce(F.size(F.array_distinct(F.transform(F.try_variant_get(v, "$", "array<variant>"), shape))) > 1, F.lit(False))
+
+    def judged(x: Column) -> Column:
+        entity, label, shown = x["entity"], x["label"], x["shown"]
+        late = F.when(~x["form"], "question_entity_block_required")
+        late = late.when(F.coalesce(kind_of(shown) != "OBJECT", F.lit(True)), "question_entity_block_invalid_json").when(x["body"] == "", "question_body_required")
+        late = late.when(F.to_json(shown) != F.to_json(entity), "question_entity_block_mismatch").when(x["body"].rlike(_IDENTIFIER), "question_raw_identifier_leak").when(x["body"].rlike(_PLACEHOLDER), "question_entity_placeholder_forbidden")
+        late = late.when(has_blank(answer), "label_blank_string_forbidden").when(observed.isNotNull() & (F.size(F.array_except(string_leaves(answer), string_leaves(observed))) > 0), "label_values_not_grounded")
+        late = late.when(F.to_json(F.try_parse_json(refused)) == F.to_json(label), "label_not_strengthened").when((kind_of(label) == "ARRAY") & uneven(label), "draft_validation_failed")
+        late = late.when(verdict == "too_easy", "reject_too_easy").when(verdict == "too_hard", "reject_too_hard")
+        early = F.when(stripped(topic) == "", "topic_required").when(nothing(entity), "anchor_entity_required").when((kind_of(entity) != "OBJECT") | nested(entity), "anchor_entity_scalar_map_required")
+        early = early.when(nothing(label) | ~kind_of(label).isin("OBJECT", "ARRAY"), "canonical_answer_json_invalid").when(stripped(question) == "", "question_required").when(new_calls <= 0, "no_new_grounded_observation")
+        return early.otherwise(late)
+
+    def parsed(text: Column) -> Column:
+        return F.struct(F.try_parse_json(anchor).alias("entity"), F.try_parse_json(answer).alias("label"), text.rlike(form).alias("form"), F.try_parse_json(F.regexp_extract(text, form, 1)).alias("shown"), stripped(F.regexp_extract(text, form, 2)).alias("body"))
+
+    return let(stripped(question), lambda text: let(parsed(text), judged))
 
 
 def checked(df: DataFrame, topic: str, anchor: str, answer: str, question: str, observed: str) -> DataFrame:
-    """Adds code, null for a draft that keeps all rules. JSON of any shape goes through Python in Arrow batches."""
+    """Adds code, null for a draft that keeps all rules."""
+    return df.withColumn("code", draft_code(*(F.col(c) for c in (topic, anchor, answer, question, observed))))
+
+
+def checked_payloads(df: DataFrame, payload: str, observed: str, new_calls: str, refused: str, verdict: str) -> DataFrame:
+    """Adds code for payloads as they are submitted: an object of topic, label (JSON, or text that holds it), entity (text that holds JSON) and question. One that is no object, or has other keys, is submit_payload_invalid."""
 
-    @F.pandas_udf("string")
-    def codes(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, e: pd.Series) -> pd.Series:
-        none = lambda x: None if x is None or x is pd.NA else x
-        return pd.Series([check_draft(*map(none, x)) for x in zip(a, b, c, d, e, strict=True)], dtype=object)
+    def judged(v: Column) -> Column:
+        text = lambda k: F.try_variant_get(v, f"$.{k}", "string")
+        label = F.try_variant_get(v, "$.label", "variant")
+        known = F.array(*map(F.lit, ("topic", "label", "entity", "question")))
+        keys = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
+        odd = v.isNull() | keys.isNull() | (F.size(F.array_except(keys, known)) > 0)
+        answer = F.when(kind_of(label) == "STRING", text("label")).otherwise(F.to_json(label))
+        return F.when(odd, "submit_payload_invalid").otherwise(draft_code(text("topic"), text("entity"), answer, text("question"), *(F.col(c) for c in (observed, new_calls, refused, verdict))))
 
-    return df.withColumn("code", codes(topic, anchor, answer, question, observed))
+    return df.withColumn("code", let(F.try_parse_json(payload), judged))
 
 
 def split_prompts(df: DataFrame, prompt: str) -> DataFrame:

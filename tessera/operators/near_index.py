@@ -109,8 +109,8 @@ class NearIndex:
         return scored.groupBy("scope", "set1", "set2").agg(best.alias("found"))
 
 
-def decide(rows: DataFrame, pairs: DataFrame, key: str, seq: str) -> DataFrame:
-    """rows with kept: in the order of seq, a row is kept if no kept row before it is paired with it. pairs: a, b (ids, a before b).
+def decide(rows: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """rows with kept: one by one, a row is kept if no kept row before it is paired with it. pairs: a, b (ids, a before b).
 
     Each round decides rows that no undecided row before them is paired with, and those paired with a kept one; as many
     rounds as the longest chain of pairs is long. Rows without pairs are kept at once.

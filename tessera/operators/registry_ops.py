@@ -36,6 +36,16 @@ def run_summary(df: DataFrame, status: str, accepted: str, rejected: str) -> Dat
     return df.agg(F.count("*").alias("total"), a.alias("accepted"), r.alias("rejected"), (F.count("*") - a - r).alias("other"))
 
 
+def run_summaries(tasks: DataFrame, verifications: DataFrame, events: DataFrame, run: str, status: str, accepted: str, rejected: str) -> DataFrame:
+    """run_summary() of every run that has tasks, with its numbers of verification results and of events."""
+    a, r = F.count_if(F.col(status) == accepted), F.count_if(F.col(status) == rejected)
+    out = tasks.groupBy(run).agg(F.count("*").alias("total"), a.alias("accepted"), r.alias("rejected"), (F.count("*") - a - r).alias("other"))
+    for rows, name in ((verifications, "verification_results"), (events, "event_count")):
+        counts = rows.groupBy(F.col(run).alias("_run")).agg(F.count("*").alias("_n"))
+        out = out.join(counts, F.col(run).eqNullSafe(F.col("_run")), "left").withColumn(name, F.coalesce("_n", F.lit(0))).drop("_run", "_n")
+    return out
+
+
 def snapshot(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Coverage by group with the total of all groups beside it."""
     counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
@@ -63,13 +73,6 @@ def unprocessed(items: DataFrame, done: DataFrame, item: str, key: str) -> DataF
     return items.join(done.select(F.col(key).alias("_done")), F.col(item) == F.col("_done"), "left_anti")
 
 
-def ledger(entries: DataFrame, run: str, order: Sequence[str], kind: str, amount: str, limit: float) -> DataFrame:
-    """Running spend: reservations count until they are settled or released; over is set where a limit is passed."""
-    signed = F.when(F.col(kind) == "release", -F.col(amount)).otherwise(F.col(amount))
-    w = Window.partitionBy(run).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return entries.withColumn("spent", F.sum(signed).over(w)).withColumn("over", F.col("spent") > limit)
-
-
 def export(df: DataFrame, path: str, by: str, order: Sequence[str], where: Column | None = None) -> None:
     """Chosen records as Parquet by group, sorted within; fails if the target exists."""
     rows = df if where is None else df.where(where)

@@ -6,17 +6,20 @@ import json
 from collections.abc import Callable
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import canonical, privacy
+from tessera.functions import canonical, contracts, json_leaves, privacy
+from tessera.operators import anchors, budget, dedup, drafts, dsl, explore, near_index
 from tessera.operators import calibration as cal
-from tessera.operators import dedup, drafts, dsl, explore
 from tessera.operators import registry_ops as reg
 from tessera.operators.calculus import Calculus
+from tessera.operators.near_index import NearIndex
 from tessera.plans.catalog import star_catalog
+from tessera.sources import sinks
+from tessera.sources.scratch import scratch
 from tessera.sources.tables import read_table
-from tessera.streaming import flows
+from tessera.streaming import flows, states
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -249,6 +252,57 @@ def latest_by_key(spark: SparkSession, root: str) -> DataFrame:
     return reg.latest_by_key(read_table(spark, root, "events").select("user_id", "event_id", "event_type", "ts"), ["user_id"], ["ts", "event_id"])
 
 
+def _parts(spark: SparkSession, root: str, parts: int) -> list[DataFrame]:
+    """All events in batches, as they might come in."""
+    events = read_table(spark, root, "events")
+    return [events.where(F.pmod("event_id", F.lit(parts)) == k) for k in range(parts)]
+
+
+@add(SQL["latest_by_key"])
+def upsert_replayed(spark: SparkSession, root: str) -> DataFrame:
+    # batches arrive as files of a stream; then two of them come again
+    arriving, table, columns = scratch(spark, "arriving"), scratch(spark, "upserted"), ["user_id", "event_id", "event_type", "ts"]
+    batches = [part.select(*columns) for part in _parts(spark, root, 4)]
+    for part in batches:
+        part.write.mode("append").parquet(arriving)
+    sink = lambda batch, number: sinks.upsert(batch, number, table, ["user_id"], ["ts", "event_id"])
+    stream = spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+    query = sinks.stream_into(stream, sink, scratch(spark, "upsert-checkpoint"))
+    query.awaitTermination()
+    sink(batches[1], 1)
+    sink(batches[0], 0)
+    return sinks.read_upserted(spark, table).select(*columns)
+
+
+@add("SELECT row_number() OVER (ORDER BY event_id % 4, ts, event_id) AS log_id, event_id, event_type FROM events")
+def event_log_ids(spark: SparkSession, root: str) -> DataFrame:
+    path = scratch(spark, "event-log")
+    for number in (0, 1, 2, 1, 3, 0):  # two of them come again
+        sinks.append(_parts(spark, root, 4)[number].select("event_id", "event_type", "ts"), number, path, ["ts", "event_id"])
+    return sinks.read_appended(spark, path).select("log_id", "event_id", "event_type")
+
+
+@add("SELECT doc_id, lang, source FROM documents WHERE lang IS NOT NULL")
+def registry_commit(spark: SparkSession, root: str) -> DataFrame:
+    # one bundle for each language; one of them is tried again, and one fails its check
+    docs, path = read_table(spark, root, "documents").select("doc_id", "lang", "source"), scratch(spark, "registry")
+    sizes = {r["lang"]: r["n"] for r in docs.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}  # as many as languages
+
+    def check(n: int) -> Callable[[DataFrame], str | None]:
+        return lambda rows: None if rows.count() == n else "rows are missing"
+
+    out = docs.limit(0)
+    for lang, n in sorted(sizes.items()):
+        out = out.union(spark.read.parquet(sinks.commit_bundle(docs.where(F.col("lang") == lang), path, lang, check(n))))
+    for lang, n, rows in ((min(sizes), sizes[min(sizes)], docs), ("incomplete", -1, docs)) if sizes else ():
+        try:
+            sinks.commit_bundle(rows, path, lang, check(n))
+        except sinks.CommitError:
+            continue
+        raise AssertionError("a bundle was committed that should not have been")
+    return out
+
+
 @add("SELECT event_id, user_id, event_type, ts FROM events WHERE event_type = 'signup' ORDER BY ts DESC NULLS LAST, event_id DESC LIMIT 20")
 def registry_list(spark: SparkSession, root: str) -> DataFrame:
     return reg.listing(read_table(spark, root, "events").select("event_id", "user_id", "event_type", "ts"), 20, "ts", "event_id", {"event_type": "signup"})
@@ -283,6 +337,33 @@ def near_dup_verified(spark: SparkSession, root: str) -> DataFrame:
     return dedup.near_pairs(read_table(spark, root, "documents"), "doc_id", "text", ["lang"], word="[a-z0-9_]+")
 
 
+_EARLIER = f"WITH d AS (SELECT doc_id, lang, list_sort(list_distinct({_GRAMS})) AS g FROM (SELECT doc_id, lang, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM documents)), r AS (SELECT *, min(doc_id) OVER (PARTITION BY lang, md5(array_to_string(g, '|'))) AS rep FROM d WHERE len(g) > 0), s AS (SELECT doc_id, lang, len(g) AS n, unnest(g) AS g FROM r WHERE doc_id = rep), p AS (SELECT x.doc_id AS a, y.doc_id AS b, x.n AS m, y.n, count(*) AS c FROM s x JOIN s y ON x.lang IS NOT DISTINCT FROM y.lang AND x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL), near AS (SELECT a, b, c / (m + n - c) AS similarity FROM p WHERE c / (m + n - c) >= 0.9 UNION ALL SELECT rep, doc_id, 1.0 FROM r WHERE doc_id <> rep)"
+
+
+@add(f"{_EARLIER} SELECT d.doc_id AS id, n.a AS match, n.similarity FROM documents d LEFT JOIN (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY b ORDER BY similarity DESC, a) = 1) n ON n.b = d.doc_id")
+def near_dup_lookup(spark: SparkSession, root: str) -> DataFrame:
+    # all documents come in three batches, by doc_id, into an index that starts empty
+    docs = read_table(spark, root, "documents")
+    index = NearIndex(spark, scratch(spark, "near-index"), "bigint", word="[a-z0-9_]+")
+    lo, hi = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    out = docs.select(F.col("doc_id").alias("id"), F.lit(None).cast("bigint").alias("match"), F.lit(None).cast("double").alias("similarity")).limit(0)
+    for k in range(3) if lo is not None else ():
+        place = F.floor((F.col("doc_id") - lo) * 3 / (hi - lo + 1))
+        out = out.union(index.add(docs.where(place == k), k, "doc_id", "doc_id", "text", ["lang"]))
+    return out
+
+
+_GREEDY = f"WITH RECURSIVE {_EARLIER.removeprefix('WITH ')}, o AS MATERIALIZED (SELECT b, row_number() OVER (ORDER BY b) AS i, list(a) AS before FROM near GROUP BY b), f AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS gone UNION ALL SELECT o.i, CASE WHEN len(list_filter(before, lambda x: NOT list_contains(gone, x))) > 0 THEN list_append(gone, b) ELSE gone END FROM f JOIN o ON o.i = f.i + 1)"
+
+
+@add(f"{_GREEDY} SELECT doc_id, lang, NOT list_contains((SELECT gone FROM f ORDER BY i DESC LIMIT 1), doc_id) AS kept FROM documents")
+def near_dup_kept(spark: SparkSession, root: str) -> DataFrame:
+    # registered one by one: a document is refused if one that was kept before is near it
+    docs = read_table(spark, root, "documents").select("doc_id", "text", "lang")
+    pairs = dedup.near_pairs(docs, "doc_id", "text", ["lang"], word="[a-z0-9_]+").select("a", "b")
+    return near_index.decide(docs.select("doc_id", "lang"), pairs, "doc_id")
+
+
 @add()
 def minhash_pairs(spark: SparkSession, root: str) -> DataFrame:
     return dedup.near_pairs(read_table(spark, root, "documents"), "doc_id", "text", ["lang"], verify=False)
@@ -293,8 +374,17 @@ def shingle_counts(spark: SparkSession, root: str) -> DataFrame:
     return read_table(spark, root, "benchmark").select("item_id", F.size(dedup.shingles(F.col("text"), word="[a-z0-9_]+")).cast("bigint").alias("n_shingles"))
 
 
-@add("SELECT count(*) AS total, count_if(event_type = 'purchase') AS accepted, count_if(event_type = 'error') AS rejected, count_if(event_type NOT IN ('purchase', 'error')) AS other FROM events")
+@add("SELECT o_custkey AS run_id, count(*) AS total, count_if(o_orderstatus = 'F') AS accepted, count_if(o_orderstatus = 'P') AS rejected, count_if(o_orderstatus NOT IN ('F', 'P')) AS other, coalesce((SELECT count(*) FROM lineitem JOIN orders i ON l_orderkey = i.o_orderkey WHERE i.o_custkey = o.o_custkey), 0) AS verification_results, (SELECT count(*) FROM events WHERE user_id = o.o_custkey) AS event_count FROM orders o GROUP BY 1")
 def run_summary(spark: SparkSession, root: str) -> DataFrame:
+    # customers stand for runs, their orders for tasks, the lines of these for verifications
+    orders = read_table(spark, root, "orders")
+    checks = read_table(spark, root, "lineitem").join(orders.select("o_orderkey", F.col("o_custkey").alias("run_id")), F.col("l_orderkey") == F.col("o_orderkey"))
+    events = read_table(spark, root, "events").withColumnRenamed("user_id", "run_id")
+    return reg.run_summaries(orders.withColumnRenamed("o_custkey", "run_id"), checks, events, "run_id", "o_orderstatus", "F", "P")
+
+
+@add("SELECT count(*) AS total, count_if(event_type = 'purchase') AS accepted, count_if(event_type = 'error') AS rejected, count_if(event_type NOT IN ('purchase', 'error')) AS other FROM events")
+def status_counts(spark: SparkSession, root: str) -> DataFrame:
     return reg.run_summary(read_table(spark, root, "events"), "event_type", "purchase", "error")
 
 
@@ -303,10 +393,40 @@ def checkpoint_anti(spark: SparkSession, root: str) -> DataFrame:
     return reg.unprocessed(read_table(spark, root, "documents").select("doc_id", "lang"), read_table(spark, root, "labels"), "doc_id", "doc_id")
 
 
-@add("SELECT event_id, user_id, CAST(spent AS DOUBLE) AS spent, spent > 500 AS over FROM (SELECT event_id, user_id, sum(CASE WHEN event_type = 'error' THEN -1 ELSE 1 END * CAST(value AS DECIMAL(18,2))) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS spent FROM events)")
+#: Each user's events as entries: views and signups reserve, others settle or release what the event before them reserved.
+_ENTRIES = "(SELECT event_id, user_id, row_number() OVER w AS r, CASE WHEN event_type IN ('view', 'signup') THEN 'reserve' WHEN event_type = 'error' THEN 'release' ELSE 'settle' END AS kind, CASE WHEN event_type IN ('view', 'signup') THEN event_id ELSE lag(event_id) OVER w END AS reservation, CASE WHEN event_type IN ('view', 'signup') THEN floor(value) WHEN event_id % 4 > 0 THEN floor(value / 2) END AS compose, CAST(event_id % 5 AS DOUBLE) AS solve, CASE WHEN event_type IN ('view', 'signup') THEN CAST(event_id % 3 AS DOUBLE) END AS gpu FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"
+_LIMIT, _GPU = 400, 25
+_FITS = f"(n.kind = 'reserve' AND f.spent_compose + f.spent_solve + f.reserved_compose + f.reserved_solve + n.compose + n.solve <= {_LIMIT} AND f.spent_gpu + f.reserved_gpu + n.gpu <= {_GPU})"
+_CLOSES = "(n.kind <> 'reserve' AND f.status = 'reserved')"
+
+
+def _folded(p: str) -> str:
+    spends = f"f.spent_{p} + CASE WHEN {_CLOSES} AND n.kind = 'settle' THEN coalesce(n.{p}, f.own_{p}) ELSE 0 END"
+    return f"{spends}, f.reserved_{p} + CASE WHEN {_FITS} THEN n.{p} WHEN {_CLOSES} THEN -f.own_{p} ELSE 0 END, CASE WHEN {_FITS} THEN n.{p} ELSE 0 END"
+
+
+@add(f"WITH RECURSIVE e AS {_ENTRIES}, f(user_id, r, event_id, status, spent_compose, reserved_compose, own_compose, spent_solve, reserved_solve, own_solve, spent_gpu, reserved_gpu, own_gpu) AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), '', {', '.join(['0::DOUBLE'] * 9)} FROM e UNION ALL SELECT n.user_id, n.r, n.event_id, CASE WHEN {_FITS} THEN 'reserved' WHEN n.kind = 'reserve' THEN 'refused' WHEN {_CLOSES} AND n.kind = 'settle' THEN 'settled' WHEN {_CLOSES} THEN 'released' ELSE 'unknown' END, {', '.join(_folded(p) for p in budget.PHASES)} FROM f JOIN e n ON n.user_id = f.user_id AND n.r = f.r + 1) SELECT event_id, status, spent_compose, spent_solve, spent_gpu, reserved_compose, reserved_solve, reserved_gpu FROM f WHERE r > 0")
 def budget_ledger(spark: SparkSession, root: str) -> DataFrame:
-    rows = read_table(spark, root, "events").select("event_id", "user_id", "ts", F.when(F.col("event_type") == "error", "release").otherwise("reserve").alias("kind"), F.col("value").cast("decimal(18,2)").alias("amount"))
-    return reg.ledger(rows, "user_id", ["ts", "event_id"], "kind", "amount", 500).select("event_id", "user_id", F.col("spent").cast("double").alias("spent"), "over")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    holds = F.col("event_type").isin("view", "signup")
+    rows = read_table(spark, root, "events").select(
+        "event_id",
+        "user_id",
+        "ts",
+        F.when(holds, "reserve").when(F.col("event_type") == "error", "release").otherwise("settle").alias("kind"),
+        F.when(holds, F.col("event_id")).otherwise(F.lag("event_id").over(w)).alias("reservation"),
+        F.when(holds, F.floor("value")).when(F.col("event_id") % 4 > 0, F.floor(F.col("value") / 2)).alias("compose"),
+        (F.col("event_id") % 5).alias("solve"),
+        F.when(holds, F.col("event_id") % 3).alias("gpu"),
+    )
+    told = budget.ledger(rows, "user_id", ["ts", "event_id"], "kind", "reservation", budget.PHASES, _LIMIT, _GPU)
+    return told.select("event_id", "status", *(f"{w}_{p}" for w in ("spent", "reserved") for p in budget.PHASES))
+
+
+@add("SELECT user_id, count_if(event_type = 'purchase') AS accepted, count(*) AS attempted, count(*) >= 5 AND count_if(event_type = 'purchase') / count(*) < 0.2 AS abort FROM events GROUP BY 1")
+def budget_abort(spark: SparkSession, root: str) -> DataFrame:
+    counts = read_table(spark, root, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "purchase").alias("accepted"), F.count("*").alias("attempted"))
+    return counts.withColumn("abort", budget.should_abort(F.col("accepted"), F.col("attempted"), 0.2, 5))
 
 
 # calibration: users are tasks, their events are runs
@@ -345,8 +465,6 @@ _SIX = "SELECT user_id, count(*) AS n, count_if(event_type = 'purchase') AS pass
 
 def _first(spark: SparkSession, root: str, most: int) -> DataFrame:
     rows = read_table(spark, root, "events").where("event_type <> 'error'")
-    from pyspark.sql import Window
-
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     rows = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
     return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "purchase").alias("passes"))
@@ -412,6 +530,22 @@ def backoff_runs(spark: SparkSession, root: str) -> DataFrame:
     return flows.runs(read_table(spark, root, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type").isin("error", "view"))
 
 
+_ORDERED = "o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, epoch_us(ts) AS t FROM events)"
+_WINDOWED = "x AS (SELECT e.user_id, e.r, e.t, e.event_id, e.event_type = 'error' AS bad, count(*) AS n, count_if(p.event_type = 'error') AS errors FROM o e JOIN o p ON p.user_id = e.user_id AND p.r <= e.r AND p.t >= e.t - 86400000000 GROUP BY ALL)"
+
+
+@add(f"WITH RECURSIVE {_ORDERED}, {_WINDOWED}, f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BIGINT) AS until, CAST(0 AS BIGINT) AS t, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS errors FROM o UNION ALL SELECT x.user_id, x.r, x.event_id, CASE WHEN x.bad AND x.n >= 3 AND x.errors / x.n >= 0.4 THEN x.t + 21600000000 WHEN NOT x.bad AND x.t >= f.until THEN NULL ELSE f.until END, x.t, x.n, x.errors FROM f JOIN x ON x.user_id = f.user_id AND x.r = f.r + 1) SELECT event_id, n, errors, errors / n AS error_rate, CASE WHEN until IS NULL THEN 'closed' WHEN t < until THEN 'open' ELSE 'probe' END AS state, until IS NULL OR t >= until AS available, CASE WHEN t < until THEN (until - t) / 1000000 ELSE 0.0 END AS cooldown_remaining_s FROM f WHERE r > 0")
+def breaker_states(spark: SparkSession, root: str) -> DataFrame:
+    out = states.breaker_states(read_table(spark, root, "events"), "user_id", "ts", "event_id", F.col("event_type") == "error", 86_400, 3, 0.4, 21_600)
+    return out.select("event_id", "n", "errors", "error_rate", "state", "available", "cooldown_remaining_s")
+
+
+@add(f"WITH RECURSIVE {_ORDERED}, f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS c, CAST(NULL AS BIGINT) AS until FROM o UNION ALL SELECT o.user_id, o.r, o.event_id, CASE WHEN event_type NOT IN ('error', 'view') THEN 0 WHEN o.t >= f.until THEN 1 ELSE f.c + 1 END, CASE WHEN event_type IN ('error', 'view') AND (CASE WHEN o.t >= f.until THEN 0 ELSE f.c END) + 1 >= 3 THEN o.t + 64800000000 END FROM f JOIN o ON o.user_id = f.user_id AND o.r = f.r + 1) SELECT event_id, c AS discards, until / 1000000 AS backoff_until FROM f WHERE r > 0")
+def backoff_states(spark: SparkSession, root: str) -> DataFrame:
+    out = states.backoff_states(read_table(spark, root, "events"), "user_id", "ts", "event_id", F.col("event_type").isin("error", "view"), 3, 64_800)
+    return out.select("event_id", "discards", "backoff_until")
+
+
 @add("SELECT event_id, user_id, gap_seconds FROM (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 1000000 AS gap_seconds FROM events) WHERE gap_seconds > 86400")
 def stall_gaps(spark: SparkSession, root: str) -> DataFrame:
     return flows.stalls(read_table(spark, root, "events"), "user_id", "ts", "event_id", 86_400).select("event_id", "user_id", "gap_seconds")
@@ -424,12 +558,16 @@ def event_seq_check(spark: SparkSession, root: str) -> DataFrame:
 
 # answers
 
-@add("SELECT event_id, CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) % 2 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS reward, CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) % 2 = 0 THEN 'matched' ELSE 'em_mismatch' END AS status FROM events")
+_ANSWER = canonical.Field("object", fields=(canonical.Field("int", "k"), canonical.Field("list", "tags", items=canonical.Field("string"), unique=True)))
+
+
+@add("SELECT event_id, CASE WHEN status = 'matched' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS reward, status FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'decode_failed' WHEN event_id % 7 = 1 THEN 'schema_mismatch' WHEN CAST(json_extract_string(props, '$.k') AS INT) % 2 = 0 THEN 'matched' ELSE 'em_mismatch' END AS status FROM events)")
 def answer_rewards(spark: SparkSession, root: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
-    rows = read_table(spark, root, "events").select("event_id", "props", F.format_string('{"k": %d}', k + k % 2).alias("expected"))
-    contract = canonical.Field("object", fields=(canonical.Field("int", "k"),))
-    return canonical.rewards(rows, "props", "expected", contract).select("event_id", "reward", "status")
+    given = F.format_string('{"tags": ["b", "%s", "b"], "k": %d}', "event_type", k)
+    given = F.when(F.col("event_id") % 7 == 0, F.substring(given, 1, 9)).when(F.col("event_id") % 7 == 1, F.replace(given, F.lit('"k": '), F.lit('"k": 0.'))).otherwise(given)
+    rows = read_table(spark, root, "events").select("event_id", given.alias("given"), F.format_string('{"k": %d, "tags": ["%s", "b"]}', k + k % 2, "event_type").alias("expected"))
+    return contracts.rewards(rows, "given", "expected", _ANSWER).select("event_id", "reward", "status")
 
 
 @add("SELECT user_id, array_to_string(list_sort(list_distinct(list(event_type))), ',') AS kinds FROM events GROUP BY 1")
@@ -440,15 +578,24 @@ def canonical_lists(spark: SparkSession, root: str) -> DataFrame:
 
 @add("SELECT k || ':' || CASE WHEN json_type(props, '$.' || k) IN ('UBIGINT', 'BIGINT') THEN 'int' WHEN json_type(props, '$.' || k) = 'DOUBLE' THEN 'float' ELSE 'string' END AS path, count(*) AS answers FROM (SELECT props, unnest(json_keys(props)) AS k FROM events) GROUP BY 1")
 def inferred_schema(spark: SparkSession, root: str) -> DataFrame:
-    return canonical.inferred_paths(read_table(spark, root, "events"), "props").withColumnRenamed("n", "answers")
+    return contracts.inferred_paths(read_table(spark, root, "events"), "props").withColumnRenamed("n", "answers")
 
 
 # drafts and registered tasks: events and documents stand for them
 
-@add("SELECT t || '.' || c AS name, CASE WHEN c IN ('c_name', 'c_city', 'first_name', 'phone', 'notes') AND t = 'customer' AND c <> 'c_name' THEN 'internal' WHEN c = 'api_key' THEN 'blocked' WHEN t = 'customer' AND c = 'c_acctbal' THEN 'internal' ELSE 'user_visible' END AS label FROM (VALUES ('customer', 'c_name'), ('customer', 'c_city'), ('customer', 'first_name'), ('customer', 'phone'), ('customer', 'notes'), ('customer', 'c_acctbal'), ('orders', 'api_key'), ('orders', 'capacity'), ('part', 'p_type')) v(t, c)")
+_PEOPLE = "customer|user|member|account|profile|person|staff|employee|contact|address|patient|student|teacher"
+_SHOWN = "name|title|label|status|type|kind|category|language|code|rating|mode|method|channel|plan|tier|level"
+_HIDDEN = ("ssn|social_security|passport|tax_id|cvv|pin|password|secret|token|api_key|private_key|credit_card|card_number|bank_account|iban|routing_number", "email|e_mail|phone|mobile|telephone|fax|address|street|zipcode|postal_code|postcode|city|state|province|country|birth|birthdate|birthday|dob|first_name|last_name|full_name")
+
+
+@add(" UNION ALL ".join(f"SELECT '{t.name}' AS table_name, c AS column_name, d AS default_label, CASE WHEN t || '.' || c = 'orders.o_comment' THEN 'internal' WHEN regexp_matches(c, '(^|_)({_HIDDEN[0]})($|_)') THEN 'blocked' WHEN regexp_matches(c, '(^|_)({_HIDDEN[1]})($|_)') THEN 'internal' WHEN d = 'blocked' AND NOT regexp_matches(t, '(^|_)({_PEOPLE})($|_)') AND regexp_matches(c, '(^|_)({_SHOWN})($|_)') THEN 'internal' ELSE d END AS label, n AS shown FROM (SELECT '{t.name}' AS t, unnest([{', '.join(f'{chr(39)}{c}{chr(39)}' for c in t.names)}]) AS c, unnest([{', '.join(f'(SELECT count({c}) FROM {t.name})' for c in t.names)}]) AS n), (VALUES ('user_visible'), ('internal'), ('blocked')) v(d)" for t in star_catalog().tables if t.name in ("customer", "orders", "part", "supplier", "nation")))
 def column_labels(spark: SparkSession, root: str) -> DataFrame:
-    names = [("customer", "c_name"), ("customer", "c_city"), ("customer", "first_name"), ("customer", "phone"), ("customer", "notes"), ("customer", "c_acctbal"), ("orders", "api_key"), ("orders", "capacity"), ("part", "p_type")]
-    return spark.createDataFrame([(f"{t}.{c}", privacy.visibility(t, c)) for t, c in names], "name string, label string")
+    """Labels of the tables' own columns under each default, and how many values a label covers."""
+    f, out = frames(spark, root), None
+    for name in ("customer", "orders", "part", "supplier", "nation"):
+        told = privacy.labelled(f(name), name, ("user_visible", "internal", "blocked"), {"orders.o_comment": privacy.INTERNAL})
+        out = told if out is None else out.union(told)
+    return out
 
 
 _DRAFT = "SELECT event_id, event_type AS topic, CASE WHEN event_id % 7 = 0 THEN '[1]' ELSE '{\"user\": ' || user_id || '}' END AS anchor, props AS answer, CASE event_id % 5 WHEN 0 THEN 'Which?' WHEN 1 THEN '<entity>' || chr(10) || '{\"user\": 0}' || chr(10) || '</entity>' || chr(10) || chr(10) || 'Which?' ELSE '<entity>' || chr(10) || '{\"user\": ' || user_id || '}' || chr(10) || '</entity>' || chr(10) || chr(10) || 'What did it do?' END AS question, user_id FROM events"
@@ -458,9 +605,39 @@ def _drafts(spark: SparkSession, root: str) -> DataFrame:
     return read_table(spark, root, "events").selectExpr("event_id", "event_type AS topic", "CASE WHEN event_id % 7 = 0 THEN '[1]' ELSE concat('{\"user\": ', user_id, '}') END AS anchor", "props AS answer", "CASE event_id % 5 WHEN 0 THEN 'Which?' WHEN 1 THEN '<entity>\\n{\"user\": 0}\\n</entity>\\n\\nWhich?' ELSE concat('<entity>\\n{\"user\": ', user_id, '}\\n</entity>\\n\\nWhat did it do?') END AS question", "CAST(NULL AS STRING) AS observed")
 
 
-@add(f"SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'anchor_entity_scalar_map_required' WHEN event_id % 5 = 0 THEN 'question_entity_block_required' WHEN event_id % 5 = 1 AND user_id <> 0 THEN 'question_entity_block_mismatch' END AS code FROM ({_DRAFT})")
+#: What each draft, by its number, has wrong with it; drafts beyond these have nothing.
+_FAULTS = ("topic_required", "anchor_entity_required", "anchor_entity_scalar_map_required", "canonical_answer_json_invalid", "question_required", "question_entity_block_required", "question_entity_block_invalid_json", "question_entity_block_mismatch", "question_body_required", "question_raw_identifier_leak", "question_entity_placeholder_forbidden", "label_blank_string_forbidden", "label_values_not_grounded", "no_new_grounded_observation", "label_not_strengthened", "submit_payload_invalid", "draft_validation_failed", "reject_too_easy", "reject_too_hard")
+
+
+@add("SELECT event_id, CASE event_id % 23 " + " ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(_FAULTS)).replace("question_body_required", "question_entity_block_required") + " END AS code FROM events")
 def draft_codes(spark: SparkSession, root: str) -> DataFrame:
-    return drafts.checked(_drafts(spark, root), "topic", "anchor", "answer", "question", "observed").select("event_id", "code")
+    """Drafts made from events, each with the fault that its number asks for. A blank body, its white space taken off, leaves no block that is followed by one."""
+    n = F.col("event_id") % 23
+    odd = lambda code, wrong, right: F.when(n == _FAULTS.index(code), wrong).otherwise(right)
+    entity = F.format_string('{"user": %d}', "user_id")
+    good = F.concat(F.lit("<entity>\n"), entity, F.lit("\n</entity>\n\nWhat did it do?"))
+    question = odd("question_entity_block_required", F.lit("What did it do?"), good)
+    question = odd("question_entity_block_invalid_json", F.replace(good, F.lit("{"), F.lit("(")), question)
+    question = odd("question_entity_block_mismatch", F.replace(good, F.lit(': '), F.lit(": 1")), question)
+    question = odd("question_body_required", F.replace(good, F.lit("What did it do?"), F.lit(" \n ")), question)
+    question = odd("question_raw_identifier_leak", F.concat(good, F.lit(" See order_ids.")), question)
+    question = odd("question_entity_placeholder_forbidden", F.concat(good, F.lit(" <b>It</b> is &lt;Entity&gt; {x}.")), question)
+    label = F.format_string('[{"kind": "%s", "k": %s}]', "event_type", F.get_json_object("props", "$.k"))
+    label = odd("canonical_answer_json_invalid", F.lit("[]"), label)
+    label = odd("label_blank_string_forbidden", F.lit('[{"kind": " "}]'), label)
+    label = odd("label_values_not_grounded", F.lit('[{"kind": "unseen"}]'), label)
+    label = odd("draft_validation_failed", F.format_string('[{"kind": "%s"}, {"k": 1}]', "event_type"), label)
+    entity_given = odd("anchor_entity_scalar_map_required", F.lit('{"a": [1]}'), odd("anchor_entity_required", F.lit("{}"), entity))
+    fields = [odd("topic_required", F.lit(" "), F.col("event_type")).alias("topic"), F.try_parse_json(label).alias("label"), entity_given.alias("entity"), odd("question_required", F.lit(None), question).alias("question"), odd("submit_payload_invalid", F.lit("x"), F.lit(None)).alias("note")]
+    rows = read_table(spark, root, "events").select(
+        "event_id",
+        F.to_json(F.struct(*fields)).alias("payload"),
+        F.format_string('{"rows": [["%s "]]}', F.upper("event_type")).alias("observed"),
+        odd("no_new_grounded_observation", F.lit(0), F.lit(2)).alias("new_calls"),
+        odd("label_not_strengthened", label, F.lit("[1]")).alias("refused_label"),
+        F.when(n == _FAULTS.index("reject_too_easy"), "too_easy").when(n == _FAULTS.index("reject_too_hard"), "too_hard").otherwise("accept").alias("verdict"),
+    )
+    return drafts.checked_payloads(rows, "payload", "observed", "new_calls", "refused_label", "verdict").select("event_id", "code")
 
 
 @add(f"SELECT event_id, question LIKE '<entity>%' AS has_entity, CASE WHEN question LIKE '<entity>%' THEN split_part(question, chr(10), 2) END AS entity_json, CASE WHEN question LIKE '<entity>%' THEN split_part(question, chr(10), 5) END AS body FROM ({_DRAFT})")
@@ -494,7 +671,22 @@ def semantic_texts(spark: SparkSession, root: str) -> DataFrame:
 @add("SELECT event_id, lower(event_type) AS value FROM events WHERE event_id % 3 = 0 AND event_type NOT IN ('click', 'view')")
 def ungrounded_values(spark: SparkSession, root: str) -> DataFrame:
     rows = read_table(spark, root, "events").selectExpr("event_id", "concat('{\"a\": [\"', event_type, '\", 3]}') AS answer", "IF(event_id % 3 = 0, '[\"Click \", \"view\"]', concat('\"', event_type, '\"')) AS observed")
-    return canonical.ungrounded(rows, rows, key="event_id")
+    return json_leaves.ungrounded(rows, rows, key="event_id")
+
+
+#: Each user's events as tool calls: a call asks for the tens of its k and shows its kind and what comes next; known numbers are bits of a mask.
+_CALLS = "c AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r, k // 10 AS asks, (k * 7 % 100) // 10 AS next, event_type || '-' || k % 10 AS kind, value > 20 AS said FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events))"
+
+
+@add(f"WITH RECURSIVE {_CALLS}, f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS r, CAST(1 << (user_id % 10) AS BIGINT) AS mask, CAST(NULL AS VARCHAR) AS kind, false AS ok FROM c UNION ALL SELECT c.user_id, c.r, CASE WHEN (mask >> asks) & 1 = 1 THEN mask | (1 << next) ELSE mask END, c.kind, (mask >> asks) & 1 = 1 FROM f JOIN c ON c.user_id = f.user_id AND c.r = f.r + 1) SELECT DISTINCT user_id, kind AS value FROM c WHERE said AND NOT EXISTS (SELECT 1 FROM f WHERE f.user_id = c.user_id AND f.kind = c.kind AND f.ok)")
+def disconnected_strings(spark: SparkSession, root: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("int")
+    kind = F.concat("event_type", F.lit("-"), (k % 10).cast("string"))
+    events = read_table(spark, root, "events")
+    calls = events.select("user_id", "event_id", F.to_json(F.struct(F.floor(k / 10).alias("k"))).alias("params"), F.to_json(F.struct(F.array(F.struct(kind.alias("kind"))).alias("rows"), F.floor(k * 7 % 100 / 10).alias("next"))).alias("result"))
+    anchor = events.select("user_id", F.to_json(F.struct((F.col("user_id") % 10).alias("start"))).alias("anchor")).distinct()
+    answers = events.where("value > 20").groupBy("user_id").agg(F.to_json(F.collect_set(kind)).alias("answer"))  # of 50 kinds
+    return anchors.disconnected_strings(answers, calls, anchor, "user_id", "event_id", "params", "result", "anchor", "answer")
 
 
 def flagship(spark: SparkSession, root: str) -> DataFrame:

@@ -3,6 +3,7 @@ from datetime import date, datetime
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera import cli
 from tessera.functions import canonical as can
@@ -51,14 +52,38 @@ def test_commands(spark, capsys, tmp_path):
         ("question_entity_block_invalid_json", {"question": GOOD.replace("{", "(")}),
         ("question_entity_block_mismatch", {"question": GOOD.replace("7", "8")}),
         ("question_raw_identifier_leak", {"anchor": '{"customer_id": 7}', "question": '<entity>\n{"customer_id": 7}\n</entity>\n\nWhich has customer_id 7?'}),
-        ("question_entity_placeholder_forbidden", {"question": GOOD + " Of <customer>?"}),
+        ("question_raw_identifier_leak", {"question": GOOD + " Name its order_IDs."}),
+        (None, {"question": GOOD + " Is <b>it</b> {x} paid_ or grid?"}),
+        ("question_entity_placeholder_forbidden", {"question": GOOD + " Of <Entity>?"}),
+        ("question_entity_placeholder_forbidden", {"question": GOOD + " Of &lt;entity&gt;?"}),
         ("label_blank_string_forbidden", {"answer": '[{"a": " "}]'}),
         ("label_values_not_grounded", {"answer": '["closed"]'}),
+        ("canonical_answer_json_invalid", {"answer": "{}"}),
+        ("canonical_answer_json_invalid", {"answer": '"Open"'}),
+        ("question_entity_block_invalid_json", {"question": GOOD.replace('{"customer": 7}', "[7]")}),
+        (None, {"question": GOOD.replace("7", "7.0"), "observed": None}),
+        ("no_new_grounded_observation", {"new_calls": 0}),
+        ("label_not_strengthened", {"refused": '[ "Open " ]'}),
+        (None, {"refused": '["open"]'}),
+        ("draft_validation_failed", {"answer": '["open", 1]'}),
+        ("draft_validation_failed", {"answer": '[{"a": "open"}, {"b": "open"}]'}),
+        ("reject_too_easy", {"verdict": "too_easy"}),
+        ("reject_too_hard", {"verdict": "too_hard"}),
+        (None, {"verdict": "accept"}),
     ],
 )
-def test_draft_codes(code, change):
-    draft = {"topic": "orders", "anchor": '{"customer": 7}', "answer": '["Open "]', "question": GOOD, "observed": '[{"status": "open"}]'} | change
+def test_draft_codes(spark, code, change):
+    draft = {"topic": "orders", "anchor": '{"customer": 7}', "answer": '["Open "]', "question": GOOD, "observed": '[{"status": "open"}]', "new_calls": None, "refused": None, "verdict": None} | change
     assert drafts.check_draft(*draft.values()) == code and (code is None or code in drafts.CODES)
+    df = spark.createDataFrame([tuple(draft.values())], ", ".join(f"{c} {'int' if c == 'new_calls' else 'string'}" for c in draft))
+    assert df.select(drafts.draft_code(*(F.col(c) for c in draft))).first()[0] == code
+
+
+def test_draft_payloads(spark):
+    payload = {"topic": "orders", "entity": '{"customer": 7}', "label": ["Open "], "question": GOOD}
+    rows = [(json.dumps(payload), None), (json.dumps(payload | {"label": '["Open "]'}), None), (json.dumps(payload | {"more": 1}), "submit_payload_invalid"), ("[]", "submit_payload_invalid"), ("{", "submit_payload_invalid"), (None, "submit_payload_invalid"), ("{}", "topic_required")]
+    df = spark.createDataFrame([(p, '"open"', None, None, None) for p, _ in rows], "p string, o string, n int, r string, v string")
+    assert [r.code for r in drafts.checked_payloads(df, "p", "o", "n", "r", "v").collect()] == [c for _, c in rows]
 
 
 def test_results_and_previews():

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import canonical as can
-from tessera.functions import privacy
+from tessera.functions import contracts, json_leaves, privacy
 from tessera.functions.values import coerce
 from tessera.operators import calibration as cal
 from tessera.operators import dedup, explore
@@ -39,7 +39,10 @@ def test_visibility_and_redaction(spark):
     assert privacy.visibility("users", "email") == privacy.INTERNAL
     assert privacy.visibility("users", "name") == privacy.VISIBLE
     assert privacy.visibility("users", "email", {"users.email": privacy.VISIBLE}) == privacy.VISIBLE
-    assert privacy.visibility("staff", "notes") == privacy.visibility("team", "notes", sensitive_tables=["team"]) == privacy.INTERNAL and privacy.visibility("staff", "name") == privacy.visibility("team", "notes") == privacy.VISIBLE
+    # the default holds, but for safe names where it is blocked
+    assert privacy.visibility("staff", "notes") == privacy.visibility("team", "notes", sensitive_tables=["team"]) == privacy.visibility("staff", "name") == privacy.VISIBLE
+    assert privacy.visibility("team", "name", default=privacy.BLOCKED) == privacy.INTERNAL and privacy.visibility("team", "notes", default=privacy.BLOCKED) == privacy.visibility("staff", "name", default=privacy.BLOCKED) == privacy.visibility("team", "name", default=privacy.BLOCKED, sensitive_tables=["team"]) == privacy.BLOCKED
+    assert privacy.visibility("team", "name", default=privacy.INTERNAL) == privacy.INTERNAL
     assert {privacy.visibility("t", c) for c in ("passport", "tax_id", "iban", "bank_account", "routing_number", "social_security", "user_pin")} == {privacy.BLOCKED}
     assert {privacy.visibility("t", c) for c in ("first_name", "last_name", "birthday", "telephone", "city", "country")} == {privacy.INTERNAL}
     assert privacy.visibility("t", "pinned") == privacy.visibility("t", "capacity") == privacy.VISIBLE and privacy.visibility("t", "iban", {"public.t.iban": privacy.INTERNAL}) == privacy.INTERNAL
@@ -84,7 +87,7 @@ def test_contracts_are_checked():
 
 def test_rewards(spark):
     df = spark.createDataFrame([('[{"day": 1}]', "[]"), ("[", "[]"), ("[1]", "[]"), ('[{"day":2},{"day":1}]', '[{"day":1},{"day":2}]'), (None, "[]")], "got string, want string")
-    assert [r.status for r in can.rewards(df, "got", "want", LIST).collect()] == ["em_mismatch", "decode_failed", "schema_mismatch", "matched", "decode_failed"]
+    assert [r.status for r in contracts.rewards(df, "got", "want", LIST).collect()] == ["em_mismatch", "decode_failed", "schema_mismatch", "matched", "decode_failed"]
 
 
 def test_inference():
@@ -97,7 +100,7 @@ def test_inference():
 def test_ungrounded(spark):
     a = spark.createDataFrame([(1, json.dumps({"x": ["Oslo ", "Rome"], "n": 3}))], "task_id int, answer string")
     b = spark.createDataFrame([(1, json.dumps("oslo")), (2, json.dumps("rome"))], "task_id int, observed string")
-    assert rows(can.ungrounded(a, b)) == [(1, "rome")]
+    assert rows(json_leaves.ungrounded(a, b)) == [(1, "rome")]
 
 
 def test_intervals():
