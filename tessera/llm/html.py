@@ -22,15 +22,22 @@ from tessera.llm import words as W
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
-RAW = frozenset(("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "template", "svg", "math", "object"))
-INLINE = frozenset(("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"))
+_PAIR = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_MAYBE = re.compile(r"hidden|display", re.I)
+_UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+RAW = frozenset(("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "template", "svg", "annotation", "annotation-xml", "object"))
+#: Elements of formulas, which run on in the text around them.
+FORMULA = frozenset("math semantics mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd menclose".split())
+INLINE = FORMULA | frozenset(("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"))
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 #: Elements that are never article text, and words of class, id or role that mark such elements.
 BOILERPLATE = frozenset(("nav", "footer", "aside", "form", "button", "select", "option", "head", "menu", "dialog", "header", "label", "fieldset", "audio", "video", "canvas", "map"))
-COMMENTS = frozenset("comment comments commentlist commenter replies reply respond discussion disqus".split())
+COMMENTS = frozenset("comment comments commentlist commenter replies reply respond discussion disqus feedback".split())
 MARKS = COMMENTS | frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead topbar share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay widget pagination pager search complementary contentinfo navigation toolbar skip".split())
+#: Words among these that are also what a section of an article may be about.
+TOPICS = frozenset("discussion search related navigation menu notice notices sharing share social widget header toolbar alert login".split())
 ARTICLE = frozenset(("article", "main"))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _HOLDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",)}
@@ -38,9 +45,27 @@ _CONTAINER = frozenset("html body div section article main center table tbody tr
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
+def _hidden(attributes: str) -> bool:
+    """Whether there is an attribute hidden, or a style that takes the element off the page."""
+    if not _MAYBE.search(attributes):
+        return False
+    for name, *value in _PAIR.findall(attributes):
+        name = name.lower()
+        if name == "hidden" or (name == "style" and _UNSEEN.search("".join(value))):
+            return True
+    return False
+
+
+def _topic(tag: str, attributes: str) -> bool:
+    """Whether all that speaks against a section is one word in its id that may as well be what it is about."""
+    ids = ["".join(value).lower() for name, *value in _PAIR.findall(attributes) if name.lower() == "id"]
+    others = ["".join(value).lower() for name, *value in _PAIR.findall(attributes) if name.lower() in ("class", "role", "aria-label")]
+    return tag in ("section", "div") and len(ids) == 1 and ids[0] in TOPICS and not any(w in MARKS for o in others for w in re.split(r"[^a-z]+", o))
+
+
 def _kind(tag: str, attributes: str) -> tuple[bool, float, str]:
     """Whether the element is boilerplate by its kind; how far its names say so: the share of a name's words that do (2 for comments), most of all names; and its names without digits."""
-    if tag in BOILERPLATE or (attributes and _HIDDEN.search(attributes)):
+    if tag in BOILERPLATE or (attributes and _hidden(attributes)):
         return True, 0.0, ""
     if not attributes:
         return False, 0.0, ""
@@ -59,7 +84,7 @@ class Page:
     """Blocks of a page: text, element, share of link text; and elements: parent, path, whether they are boilerplate, and how far their own names say so."""
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.path, self.out, self.mark = [-1], [""], [0], [False], [0.0]
+        self.parent, self.tag, self.path, self.out, self.mark, self.topic = [-1], [""], [0], [False], [0.0], [False]
         self.paths: dict[tuple[int, str, str], int] = {}
         self.blocks: list[tuple[str, int, int]] = []  # text, element, characters in links
         self._stack, self._links, self._buffer, self._linked = [0], 0, [], 0
@@ -78,15 +103,17 @@ class Page:
             name, attributes = name.lower(), m[3] or m[6] or ""
             if m[1] or m[4]:
                 self._close(name)
+            elif name == "noscript" and self.tag[self._stack[-1]] == "p":
+                continue  # a part of the sentence for whom the page is read without scripts
             elif name in RAW:
-                if not attributes.endswith("/") or name not in ("svg", "math"):
+                if not attributes.endswith("/") or name != "svg":
                     lower = lower or source.lower()
                     stop = lower.find(f"</{name}", at) if len(lower) == end else -1
                     if stop < 0 and len(lower) != end:  # lower case changed the length
                         found = re.compile(f"</{name}", re.I).search(source, at)
                         stop = found.start() if found else -1
                     at = end if stop < 0 else stop
-                    if name not in ("svg", "math", "noscript", "object"):
+                    if name not in ("svg", "annotation", "annotation-xml", "noscript", "object"):
                         self._flush() if name in ("textarea", "iframe") else None
             else:
                 self._open(name, attributes)
@@ -123,6 +150,7 @@ class Page:
         self.path.append(self.paths.setdefault((self.path[top], name, names), len(self.paths) + 1))
         self.out.append(self.out[top] or (out and not (name == "header" and self._in_article())))
         self.mark.append(mark)
+        self.topic.append(bool(mark) and _topic(name, attributes))
         self._links = 0
 
     def _in_article(self) -> bool:
@@ -187,8 +215,16 @@ class Page:
             weight = self._weights(blocks, np.where(passed, size, 0))
         root, sure = self._holder(weight, suspect)
         inside = self._inside(root)
+        if sure:  # articles side by side, alike in their names
+            for e in range(1, len(weight)):
+                if e != root and weight[e] > 0 and self.path[e] == self.path[root] and self.parent[e] == self.parent[root] and not suspect[e]:
+                    inside |= self._inside(e)
         mine = np.array([inside[b[1]] for b in blocks])
         chosen = mine & (~dense | self._between(mine & ~dense & passed))
+        for k in range(1, len(blocks)):  # a last sentence that is all link
+            here, before = blocks[k], blocks[k - 1]
+            if mine[k] and not chosen[k] and chosen[k - 1] and self.tag[here[1]] == self.tag[before[1]] == "p" and self.parent[here[1]] == self.parent[before[1]] and here[0][-1] in ".!?\u2026":
+                chosen[k] = True
         if not sure:  # a heading or lead beside the holder
             chosen |= passed
             first = int(np.argmax(chosen)) if chosen.any() else 0
@@ -220,9 +256,10 @@ class Page:
         return inside
 
     def _suspects(self, blocks: list[tuple[str, int, int]], sizes: np.ndarray) -> np.ndarray:
-        """Elements whose names are believed. A name gives way if beside the element there is next to nothing that passes (twenty times less; nothing at all if all its words name boilerplate), or, if no more than half of its words do, if the element stands among an article's blocks and passes like them."""
+        """Elements whose names are believed. A name gives way if beside the element there is next to nothing that passes (twenty times less; nothing at all if all its words name boilerplate), or, if no more than half of its words do, if the element stands among an article's blocks and passes like them. So does a section of an article whose id may be what it is about, if it has a heading and then prose that passes."""
         weight = self._weights(blocks, sizes)
         plain = self._weights(blocks, np.array([len(b[0]) for b in blocks], float))
+        titled = self._titled_prose(blocks)
         suspect = np.zeros(len(self.parent), bool)
         article = [False] * len(self.parent)
         for e in range(1, len(self.parent)):
@@ -232,9 +269,30 @@ class Page:
                 rest = weight[0] - weight[e]
                 holds = weight[e] > 0 and (rest * 20 <= weight[e] if self.mark[e] < 1 else rest == 0)
                 among = self.mark[e] <= 0.5 and article[up] and weight[e] > 0.5 * plain[e] and weight[e] < 0.5 * weight[0]
-                suspect[e] = not holds and not among
+                about = titled[e] and article[up] and weight[e] > 0.5 * plain[e]
+                suspect[e] = not holds and not among and not about
         return suspect
 
+    def _titled_prose(self, blocks: list[tuple[str, int, int]]) -> list[bool]:
+        """Of sections whose id may be their topic: whether a heading comes first, and then paragraphs, with nothing in them that names boilerplate."""
+        if not any(self.topic):
+            return self.topic
+        first: dict[int, str] = {}
+        for _, e, _ in blocks:
+            up = e
+            while up > 0:
+                if self.topic[up]:
+                    first.setdefault(up, self.tag[e])
+                up = self.parent[up]
+        out = [first.get(e) in HEADINGS for e in range(len(self.parent))]
+        for e in range(1, len(self.parent)):
+            up = self.parent[e]
+            while up > 0:
+                if self.topic[up] and (self.mark[e] or self.tag[e] == "li"):
+                    out[up] = False
+                up = self.parent[up]
+        return out
+
     def _holder(self, weight: np.ndarray, suspect: np.ndarray, share: float = 0.9) -> tuple[int, bool]:
         """The element of the article, and whether it is one by its tag: an article or main element with most of the weight (or with a heading of the first order and some), or else the deepest container with nearly all."""
         least = 0.5 * weight[0]

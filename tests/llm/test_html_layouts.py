@@ -53,6 +53,19 @@ LAYOUTS = {
     "definition list": (f"<article><h1>{H}</h1><p>{A}</p><dl><dt>Cost</dt><dd>Two million, at least.</dd></dl><p>{B}</p></article>", f"{H} {A} Cost Two million, at least. {B}"),
     "table of figures": (f"<article><h1>{H}</h1><p>{A}</p><table><tr><td>1997</td><td>flood</td></tr></table><p>{B}</p></article>", f"{H} {A} 1997 flood {B}"),
     "short article": (f"{NAV}<article><h1>{H}</h1><p>It will be rebuilt.</p></article>{FOOT}", f"{H} It will be rebuilt."),
+    "hidden in a title": (f'<article><h1>{H}</h1><p title="A hidden gem of text">{A}</p><p data-x="how hidden = x">{B}</p><p style="color: red" alt="display: none">{C}</p></article>', FULL),
+    "attribute hidden": (f"<article>{BODY}<div hidden><p>{R}</p></div><div class=x hidden=until-found><p>{R}</p></div><p style='color:red; DISPLAY : none'>{R}</p></article>", FULL),
+    **{f"a section about {x}": (f"<article><h1>{H}</h1><p>{A}</p><section id={x}><h2>What was said</h2><p>{B}</p><p>{C}</p></section></article>{FOOT}", f"{H} {A} What was said {B} {C}") for x in ("discussion", "search", "related", "navigation", "menu", "notice", "sharing")},
+    "discussion of readers": (f"<article>{BODY}<section id=discussion><h2>Discussion</h2><div class=comment><p>{R}</p></div><div class=comment><p>{R}</p></div></section></article>", FULL),
+    "discussion as a list": (f"<article>{BODY}<section id=discussion><h2>Discussion</h2><ol><li>{R}</li><li>{R}</li></ol></section></article>", FULL),
+    "related links with a heading": (f"<article>{BODY}<section id=related><h2>Related</h2>{LINKS}</section></article>", FULL),
+    "newsletter with a heading": (f"<article>{BODY}<div id=newsletter><h3>News by mail</h3><p>Sign up now, it is free, and we never, ever share it.</p></div></article>", FULL),
+    "two articles": (f"{NAV}<main><article><h1>{H}</h1><p>{A}</p><p>{B}</p></article><article><h2>More</h2><p>{C}</p><p>{B}</p></article></main>{FOOT}", f"{H} {A} {B} More {C} {B}"),
+    "cards elsewhere": (f"{NAV}<main><article>{BODY}</article></main><div class=more><article><h3>Other</h3><p>{R}</p></article></div>{FOOT}", FULL),
+    "a last paragraph that is a link": (f"<article>{BODY}<p><a href=/plan>Read the whole plan, with all its figures.</a></p></article>", f"{FULL} Read the whole plan, with all its figures."),
+    "formula": (f"<article><h1>{H}</h1><p>{A} Here <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p><p>{B}</p></article>", f"{H} {A} Here x=2 holds. {B}"),
+    "without scripts": (f"<noscript>Please enable scripts, dear reader, for this page.</noscript><article><h1>{H}</h1><p>{A} <noscript>Seen without.</noscript></p><p>{B}</p></article>", f"{H} {A} Seen without. {B}"),
+    "feedback": (f"{NAV}<div class=story>{BODY}</div><div class=feedback><p>{R}</p><p>{R}</p></div>{FOOT}", FULL),
     "only a menu": (NAV, ""),
     "nothing": ("", ""),
 }
