@@ -11,10 +11,11 @@ from __future__ import annotations
 
 import math
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ from tessera.llm.storage import discard, materialize
 
 #: Vectors in a shard and in a leaf, queries in a block; vectors that the tree over the shards is grown on, and its leaves at most (larger leaves are dealt into several shards).
 SHARD_ROWS, LEAF_ROWS, BLOCK_ROWS, SAMPLE_ROWS, LEAVES = 16_384, 128, 4_096, 4_096, 256
+#: Queries that the factor is chosen by, against exact search; the recall that they are to reach; and the factors that are tried, the last of which is exact.
+TRIAL_QUERIES, TRIAL_RECALL, FACTORS = 128, 0.975, (0.2, 0.3, 0.4, 0.5, 0.65, 0.8, 1.0)
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -164,7 +167,7 @@ class Shards:
         return [np.flatnonzero(x) for x in out]
 
 
-def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 20, factor: float = 0.2) -> DataFrame:
+def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 20, factor: float | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: for each query the k nearest of all other ids, ties to the smaller id.
 
     Both tables have vec_id and embedding. A vector that is null, empty, zero, or holds a null or non-finite component
@@ -172,7 +175,8 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 20, factor: floa
     length. Rows that repeat an id count once, by the least of their vectors. Candidates of the query's own id are left
     out. Fewer candidates give fewer ranks; empty tables give no rows; other columns are ignored. Equal vectors are one in
     the index, by their k + 1 smallest ids, so a much repeated vector fills no shard. Work is dealt as pairs of one shard
-    and one block of the queries routed to it, each bounded.
+    and one block of the queries routed to it, each bounded. Without a factor, the least of FACTORS is taken at which
+    TRIAL_QUERIES of the queries, drawn by a hash, find TRIAL_RECALL of what exact search finds for them.
     """
 
     def valid(df: DataFrame) -> DataFrame:
@@ -198,8 +202,60 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 20, factor: floa
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _nearest(vectors: DataFrame, asked: DataFrame, n: int, top: float, k: int, factor: float) -> DataFrame:
+def exact(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the k nearest of a few queries by looking at every vector; each task keeps k for each query."""
+    rows = asked.toPandas()
+    few = vectors.sparkSession.sparkContext.broadcast((rows["vec_id"].to_numpy(), np.stack(rows["embedding"].to_list())))
+
+    def best(found: pd.DataFrame) -> pd.DataFrame:
+        return found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, q = few.value
+        kept = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            score = products(q, np.stack(pdf["embedding"].to_list()))
+            # k + 1 vectors, and their equals in score, hold the k nearest ids besides the query's own
+            least = np.partition(score, -min(k + 1, score.shape[1]), axis=1)[:, -min(k + 1, score.shape[1])]
+            who, col = np.nonzero(score >= least[:, None])
+            here = pd.DataFrame({"query_id": ids[who], "vec_id": pdf["ids"].to_numpy()[col], "score": score[who, col]}).explode("vec_id").astype({"vec_id": "int64"})
+            here = here[here["query_id"] != here["vec_id"]]
+            kept = best(here if kept is None else pd.concat([kept, here]))
+        if kept is not None:
+            yield kept
+
+    each = vectors.select("embedding", "ids").mapInPandas(scan, "query_id long, vec_id long, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return each.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
+
+
+def _nearest(vectors: DataFrame, asked: DataFrame, n: int, top: float, k: int, factor: float | None) -> DataFrame:
     """(query_id, vec_id, score): of each query's k nearest in each shard that it is routed to."""
+    search, parts = _index(vectors, n, top, k)
+    return search(asked, choose_factor(vectors, asked, search, k) if factor is None else factor, parts)
+
+
+def choose_factor(vectors: DataFrame, asked: DataFrame, search: Callable[[DataFrame, float, int], DataFrame], k: int) -> float:
+    """The least of FACTORS that reaches TRIAL_RECALL on a bounded sample of the queries."""
+    trial = materialize(asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRIAL_QUERIES), "trial")
+    if trial.isEmpty():
+        return FACTORS[0]
+    truth = materialize(exact(vectors, trial, k), "truth")
+    total, chosen = truth.count(), FACTORS[-1]
+    for f in FACTORS[:-1]:
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        found = search(trial, f, 1).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
+        if found.join(truth, ["query_id", "vec_id"], "left_semi").count() >= TRIAL_RECALL * total:
+            chosen = f
+            break
+    discard(trial, truth)
+    return chosen
+
+
+def _index(vectors: DataFrame, n: int, top: float, k: int) -> tuple[Callable[[DataFrame, float, int], DataFrame], int]:
+    """A search over trees that are built here: of (queries, factor, tasks for each shard and block); and how many shards a leaf has."""
     leaves = min(LEAVES, -(-n // SHARD_ROWS))
     parts = -(-n // (leaves * SHARD_ROWS))
     sample = vectors.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(SAMPLE_ROWS).toPandas()
@@ -229,6 +285,10 @@ def _nearest(vectors: DataFrame, asked: DataFrame, n: int, top: float, k: int, f
     trees = materialize(placed.select("embedding", "ids", "leaf", "part").groupBy("leaf", "part").applyInPandas(grow, "shard long, tree binary"), "trees")
     discard(placed)
 
+    return lambda asked, factor, tasks: _search(asked, shared, trees, lo, hi, k, factor, tasks), parts
+
+
+def _search(asked: DataFrame, shared: Broadcast, trees: DataFrame, lo: np.ndarray, hi: np.ndarray, k: int, factor: float, tasks: int) -> DataFrame:
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
@@ -265,4 +325,4 @@ def _nearest(vectors: DataFrame, asked: DataFrame, n: int, top: float, k: int, f
 
     # one pair of a tree and a block at a time
     pairs = work.join(trees, F.col("leaf") == F.col("shard")).select("asked", "tree")
-    return pairs.repartition(max(1, work.count() * parts)).mapInPandas(find, "query_id long, vec_id long, score double")
+    return pairs.repartition(max(1, work.count() * tasks)).mapInPandas(find, "query_id long, vec_id long, score double")
