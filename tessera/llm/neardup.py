@@ -20,7 +20,7 @@ from tessera.llm import words as W
 from tessera.llm.components import link, shared_keys
 from tessera.llm.storage import beside, discard, materialize, shield
 
-SIGNATURES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+SIGNATURES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_key", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 SETS = T.StructType([T.StructField("node", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
 
 
@@ -69,7 +69,7 @@ def sketches(values: np.ndarray, starts: np.ndarray, count: int) -> list[bytes]:
 
 
 def signatures(documents: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, the set's size, its 128-bit fingerprint (k1, k2) and its band hashes (none for an empty set)."""
+    """doc_id, a hash of the text, the set's size, its 128-bit fingerprint (k1, k2) and its band hashes (none for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, blobs in W.chunks(batches, "text"):
@@ -80,14 +80,15 @@ def signatures(documents: DataFrame, width: int, bands: int, rows: int) -> DataF
             found = min_max_bands(values, np.concatenate((starts[:-1][full], starts[-1:])), bands, rows) if len(full) else np.zeros((0, bands), np.int64)
             ends = np.concatenate(([0], np.cumsum(np.where(n > 0, bands, 0))))
             k1, k2 = (np.array([x >> s & (1 << 64) - 1 for x in digests], np.uint64).view(np.int64) for s in (64, 0))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(n), pa.array(k1), pa.array(k2), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found.reshape(-1)))], names=SIGNATURES.names)
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()), batch.column(batch.schema.get_field_index("text_key")), pa.array(n), pa.array(k1), pa.array(k2), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found.reshape(-1)))], names=SIGNATURES.names)
 
-    return documents.select("doc_id", "text").mapInArrow(run, SIGNATURES)
+    return documents.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, SIGNATURES)
 
 
 def full_sets(documents: DataFrame, wanted: DataFrame, width: int, values: int) -> DataFrame:
-    """(node, hashes, sketch) of the wanted classes (rep, k1, k2, node), from one document of each."""
-    chosen = documents.select("doc_id", "text").join(beside(wanted, 4, texts=True), F.col("doc_id").eqNullSafe(F.col("rep")))
+    """(node, hashes, sketch) of the wanted classes (rep, rep_key, k1, k2, node), from one document of each, found by its doc_id and its text's hash."""
+    own = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.xxhash64("text") == F.col("rep_key"))
+    chosen = documents.select("doc_id", "text").join(beside(wanted, 5, texts=True), own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, blobs in W.chunks(batches, "text"):
@@ -118,11 +119,11 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 75, ban
     """
     values = bands * rows
     every = materialize(signatures(documents, width, bands, rows), "signatures")
-    classes = every.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id())
-    classes = materialize(classes, "classes")
+    classes = every.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id())
+    classes = materialize(classes.select("k1", "k2", F.col("least.doc_id").alias("rep"), F.col("least.text_key").alias("rep_key"), "copies", "bands", "node"), "classes")
     shared = shared_keys(classes.select(F.explode("bands").alias("key"), "node"))
     nodes = materialize(shared.select(F.col("node").alias("n")).distinct(), "nodes")
-    wanted = materialize(classes.join(beside(nodes, 1), F.col("node") == F.col("n"), "left_semi").select("rep", "k1", "k2", "node"), "wanted")
+    wanted = materialize(classes.join(beside(nodes, 1), F.col("node") == F.col("n"), "left_semi").select("rep", "rep_key", "k1", "k2", "node"), "wanted")
     sets = materialize(full_sets(documents, wanted, width, values), "sets")
     found = link(shared, sets.select("node", "sketch"), sets, percent, least_agreement(percent, values))
     discard(shared, nodes, wanted, sets)

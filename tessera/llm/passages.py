@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -128,10 +128,18 @@ def _rolled(hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     return W.mix64(out)
 
 
-def _columns(batch: pa.RecordBatch, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """doc_id (a null one comes last) and the text's hash."""
-    ids = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()).fill_null((1 << 63) - 1).to_numpy(zero_copy_only=False)
-    return ids, np.array([xxhash.xxh3_64_intdigest(b) for b in blobs], np.uint64).view(np.int64)
+def _place() -> tuple[Column, Column]:
+    """A row's doc_id (a null one comes last) and its text's hash, which together say where a text is: rows of one id or of none are told apart."""
+    return F.coalesce("doc_id", F.lit((1 << 63) - 1)), F.xxhash64("text")
+
+
+def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("own_id", "own_key"))
+
+
+def _keyed(documents: DataFrame, *more: str) -> DataFrame:
+    own_id, own_key = _place()
+    return documents.select("text", *more, own_id.cast("long").alias("own_id"), own_key.alias("own_key"))
 
 
 def seeds(documents: DataFrame, least_run: int) -> DataFrame:
@@ -140,7 +148,7 @@ def seeds(documents: DataFrame, least_run: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, blobs in W.chunks(batches, "text"):
             hashes, at = W.word_hashes(blobs)
-            ids, keys = _columns(batch, blobs)
+            ids, keys = _columns(batch)
             column = batch.column(batch.schema.get_field_index("copy_of"))
             is_copy = column.is_valid().to_numpy(zero_copy_only=False)
             places, values = winnow(hashes, at, least_run)
@@ -154,23 +162,20 @@ def seeds(documents: DataFrame, least_run: int) -> DataFrame:
             keeper = np.concatenate((np.zeros(len(owner), np.int64), column.fill_null(0).to_numpy(zero_copy_only=False)[whole]))
             yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (ids[rows], keys[rows], start, h)), pa.array(keeper, mask=np.arange(len(rows)) < len(owner))], names=SEEDS.names)
 
-    return documents.select("doc_id", "text", "copy_of").mapInArrow(run, SEEDS)
+    return _keyed(documents, "copy_of").mapInArrow(run, SEEDS)
 
 
 def seeded_windows(documents: DataFrame, marks: DataFrame, few: bool, least_run: int) -> DataFrame:
     """The windows of `least_run` words that hold a marked seed (of_id, of_key, places), with their hashes."""
-    marks = marks.groupBy(F.col("of_id").alias("m")).agg(F.collect_list(F.struct("of_key", "places")).alias("marks"))
-    chosen = documents.select("doc_id", "text").join(F.broadcast(marks) if few else marks, F.coalesce("doc_id", F.lit((1 << 63) - 1)) == F.col("m"))
+    chosen = _keyed(documents).join(F.broadcast(marks) if few else marks, (F.col("own_id") == F.col("of_id")) & (F.col("own_key") == F.col("of_key")))
     reach = least_run - min(SEED_WORDS, least_run)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, blobs in W.chunks(batches, "text"):
             hashes, at = W.word_hashes(blobs)
-            ids, keys = _columns(batch, blobs)
-            lists = batch.column(batch.schema.get_field_index("marks")).to_pylist()
+            ids, keys = _columns(batch)
             owners, starts = [], []
-            for d, own in enumerate(lists):
-                places = [p for o in own if o["of_key"] == keys[d] for p in o["places"]]
+            for d, places in enumerate(batch.column(batch.schema.get_field_index("places")).to_pylist()):
                 if places:
                     at_word = np.unique(np.array(places, np.int64)[:, None] - np.arange(reach + 1))
                     at_word = at_word[(at_word >= 0) & (at_word <= at[d + 1] - at[d] - least_run)]
@@ -180,7 +185,7 @@ def seeded_windows(documents: DataFrame, marks: DataFrame, few: bool, least_run:
             h = _rolled(hashes, at[:-1][owner] + start, least_run)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[owner], keys[owner], start, h.view(np.int64))], names=WINDOWS.names)
 
-    return chosen.select("doc_id", "text", "marks").mapInArrow(run, WINDOWS)
+    return chosen.select("text", "own_id", "own_key", "places").mapInArrow(run, WINDOWS)
 
 
 def line_paragraphs(documents: DataFrame, width: int, bands: int) -> DataFrame:
@@ -194,36 +199,35 @@ def line_paragraphs(documents: DataFrame, width: int, bands: int) -> DataFrame:
             total = np.concatenate(([0], np.cumsum(count)))
             flat = hashes[np.repeat(begin - total[:-1], count) + np.arange(total[-1])]
             values, starts = W.distinct(*W.shingles(flat, total, width))
-            ids, keys = _columns(batch, blobs)
+            ids, keys = _columns(batch)
             found = min_max_bands(values, starts, bands, BAND_ROWS) if len(text) else np.zeros((0, bands), np.int64)
             digests = [xxhash.xxh3_128_intdigest(values[starts[d] : starts[d + 1]].tobytes()) for d in range(len(text))]
             k1, k2 = (np.array([x >> s & (1 << 64) - 1 for x in digests], np.uint64).view(np.int64) for s in (64, 0))
             ends = np.arange(len(text) + 1, dtype=np.int32) * bands
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[text], keys[text], first, count, k1, k2)] + [pa.ListArray.from_arrays(pa.array(ends), pa.array(found.reshape(-1)))], names=LINES.names)
 
-    return documents.select("doc_id", "text").mapInArrow(run, LINES)
+    return _keyed(documents).mapInArrow(run, LINES)
 
 
 def line_sets(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(node, hashes, sketch) of wanted lines (rep doc_id, its text's key, start, n, node)."""
-    by_doc = wanted.groupBy("rep").agg(F.collect_list(F.struct("rep_key", "start", "n", "node")).alias("lines"))
+    # a text's own lines: as many as its words allow
+    by_doc = wanted.groupBy("rep", "rep_key").agg(F.collect_list(F.struct("start", "n", "node")).alias("lines"))
     small = wanted.count() <= BROADCAST_IDS
-    chosen = documents.select("doc_id", "text").join(F.broadcast(by_doc) if small else by_doc, F.coalesce("doc_id", F.lit((1 << 63) - 1)) == F.col("rep"))
+    chosen = _keyed(documents).join(F.broadcast(by_doc) if small else by_doc, (F.col("own_id") == F.col("rep")) & (F.col("own_key") == F.col("rep_key")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, blobs in W.chunks(batches, "text"):
             hashes, at = W.word_hashes(blobs)
             lines = batch.column(batch.schema.get_field_index("lines")).to_pylist()
             node, parts, signed = [], [], []
-            for d, b in enumerate(blobs):
-                key = np.uint64(xxhash.xxh3_64_intdigest(b)).view(np.int64)
+            for d in range(len(blobs)):
                 for x in lines[d]:
-                    if x["rep_key"] == key:
-                        own = hashes[at[d] + x["start"] : at[d] + x["start"] + x["n"]]
-                        values, _ = W.distinct(*W.shingles(own, np.array([0, len(own)]), width))
-                        node.append(x["node"])
-                        parts.append(values.view(np.int64))
-                        signed += sketches(values, np.array([0, len(values)]), SKETCH_VALUES)
+                    own = hashes[at[d] + x["start"] : at[d] + x["start"] + x["n"]]
+                    values, _ = W.distinct(*W.shingles(own, np.array([0, len(own)]), width))
+                    node.append(x["node"])
+                    parts.append(values.view(np.int64))
+                    signed += sketches(values, np.array([0, len(values)]), SKETCH_VALUES)
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(parts, pa.list_(pa.int64())), pa.array(signed, pa.binary())], names=SETS.names)
 
     return chosen.select("lines", "text").mapInArrow(run, SETS)
@@ -254,12 +258,13 @@ def line_removals(documents: DataFrame, width: int, percent: int, recall: float)
 
 def _copies(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """documents (doc_id, text) with copy_of: the smallest doc_id of the same text, null where it is the row's own; and the table that says so."""
-    rows = documents.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.xxhash64("text").alias("t"), F.octet_length("text").alias("size")).where("size > 0")
+    own_id, own_key = _place()
+    rows = documents.select(own_id.alias("id"), own_key.alias("t"), F.octet_length("text").alias("size")).where("size > 0")
     # a text of one document only is no copy
     first = materialize(rows.groupBy("t", "size").agg(F.min("id").alias("copy_of"), F.max("id").alias("last")).where("copy_of <> last").select(F.col("t").alias("t1"), F.col("size").alias("s1"), "copy_of"), "first-copies")
     copies = materialize(rows.join(beside(first, 3), (F.col("t") == F.col("t1")) & (F.col("size") == F.col("s1"))).where("id <> copy_of").select("id", "t", "copy_of").distinct(), "copies")
     discard(first)
-    own = (F.coalesce("doc_id", F.lit((1 << 63) - 1)) == F.col("id")) & (F.xxhash64("text") == F.col("t"))
+    own = (own_id == F.col("id")) & (own_key == F.col("t"))
     return documents.select("doc_id", "text").join(beside(copies, 3, texts=True), own, "left").select("doc_id", "text", "copy_of"), copies
 
 
@@ -314,20 +319,22 @@ def without_passages(documents: DataFrame, width: int = 5, percent: int = 75, re
     they are. A passage stays in the smallest doc_id that has it; repeats within one document, and rows that share a
     doc_id, do not count against each other. A near-matched line or block goes whole, also the few words in it that the
     other lacks. A row of null doc_id counts as the last. A text that is wholly repeated
-    becomes empty, and its row stays. An empty table gives no rows.
+    becomes empty, and its row stays. An empty table gives no rows. Columns of documents that have the names of the new
+    ones stay beside them.
     """
     lines = line_removals(documents, width, percent, recall)
     windows = window_removals(documents, least_run)
     both = materialize(lines.unionByName(windows), "removals")
     discard(lines, windows)
     # a document's spans: as many as its words allow
-    spans = both.groupBy(F.col("doc_id").alias("span_id"), F.col("text_key").alias("span_key")).agg(F.collect_list(F.struct("start", "n", "keeper")).alias("_parts"))
+    spans = both.groupBy(F.col("doc_id").alias("span_id"), F.col("text_key").alias("span_key")).agg(F.collect_list(F.struct("start", "n", "keeper")).alias("_found"))
     small = both.count() <= BROADCAST_IDS
     inner_documents, restore = shield(documents, ("doc_id", "text"))
     fields = list(inner_documents.schema.fields)
     schema = T.StructType([*fields, T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("start", "end", "keeper")])))])
     names = inner_documents.columns
-    joined = inner_documents.join(F.broadcast(_by_id(spans)) if small else _by_id(spans), F.coalesce("doc_id", F.lit((1 << 63) - 1)) == F.col("_span_id"), "left")
+    own_id, own_key = _place()
+    joined = inner_documents.join(F.broadcast(spans) if small else spans, (own_id == F.col("span_id")) & (own_key == F.col("span_key")), "left")
     inner = schema["spans"].dataType
     arrow = pa.list_(pa.struct([(c, pa.int64()) for c in inner.elementType.names]))
 
@@ -336,11 +343,7 @@ def without_passages(documents: DataFrame, width: int = 5, percent: int = 75, re
             found = batch.column(batch.schema.get_field_index("_found")).to_pylist()
             column = batch.column(batch.schema.get_field_index("text"))
             texts, removed, spans_out = column.to_pylist(), [0] * len(blobs), [[] for _ in blobs]
-            for d, own in enumerate(found):
-                if not own:
-                    continue
-                key = int(np.uint64(xxhash.xxh3_64_intdigest(blobs[d])).view(np.int64))
-                parts = [p for o in own if o["key"] == key for p in o["parts"]]
+            for d, parts in enumerate(found):
                 if parts:
                     texts[d], spans_out[d] = take_out(blobs[d], [(p["start"], p["start"] + p["n"], p["keeper"]) for p in parts])
                     removed[d] = sum(s["end"] - s["start"] for s in spans_out[d])
@@ -350,10 +353,6 @@ def without_passages(documents: DataFrame, width: int = 5, percent: int = 75, re
     return restore(joined.select(*names, "_found").mapInArrow(run, schema), "n_removed", "spans")
 
 
-def _by_id(spans: DataFrame) -> DataFrame:
-    return spans.groupBy(F.col("span_id").alias("_span_id")).agg(F.collect_list(F.struct(F.col("span_key").alias("key"), F.col("_parts").alias("parts"))).alias("_found"))
-
-
 def take_out(blob: bytes, parts: list[tuple[int, int, int]]) -> tuple[str, list[dict]]:
     """The text without the words of the spans, which are merged; each takes the white space after it along."""
     merged: list[list[int]] = []
