@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import canonical, contracts, json_leaves, privacy
@@ -19,7 +19,7 @@ from tessera.plans.catalog import star_catalog
 from tessera.sources import sinks
 from tessera.sources.scratch import scratch
 from tessera.sources.tables import read_table
-from tessera.streaming import flows, states
+from tessera.streaming import flows, stateful, states
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -546,6 +546,28 @@ def backoff_states(spark: SparkSession, root: str) -> DataFrame:
     return out.select("event_id", "discards", "backoff_until")
 
 
+def _by_time(spark: SparkSession, root: str, flag: Column, parts: int = 3) -> list[DataFrame]:
+    """Events as the streams take them, in parts that follow each other in time."""
+    rows = read_table(spark, root, "events").select(F.col("user_id").cast("string").alias("key"), states.micros("ts").alias("ts"), F.col("event_id").alias("tie"), flag.alias("flag")).where("ts is not null")
+    lo, hi = rows.agg(F.min("ts"), F.max("ts")).first()
+    place = F.floor((F.col("ts") - (lo or 0)) * parts / ((hi or 0) - (lo or 0) + 1))
+    return [rows.where(place == k) for k in range(parts)]
+
+
+@add(f"SELECT event_id, n, errors, state FROM ({SQL['breaker_states']})")
+def breaker_stream(spark: SparkSession, root: str) -> DataFrame:
+    check = stateful.Breaker(86_400_000_000, 3, 0.4, 21_600_000_000)
+    out = stateful.over_split(spark, _by_time(spark, root, F.col("event_type") == "error"), check, scratch(spark, "breaker-stream"))
+    return out.select(F.col("tie").alias("event_id"), "n", "errors", "state")
+
+
+@add(SQL["backoff_states"])
+def backoff_stream(spark: SparkSession, root: str) -> DataFrame:
+    check = stateful.Backoff(3, 64_800_000_000)
+    out = stateful.over_split(spark, _by_time(spark, root, F.col("event_type").isin("error", "view")), check, scratch(spark, "backoff-stream"))
+    return out.select(F.col("tie").alias("event_id"), "discards", (F.col("until") / 1_000_000).alias("backoff_until"))
+
+
 @add("SELECT event_id, user_id, gap_seconds FROM (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 1000000 AS gap_seconds FROM events) WHERE gap_seconds > 86400")
 def stall_gaps(spark: SparkSession, root: str) -> DataFrame:
     return flows.stalls(read_table(spark, root, "events"), "user_id", "ts", "event_id", 86_400).select("event_id", "user_id", "gap_seconds")
