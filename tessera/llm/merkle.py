@@ -150,21 +150,20 @@ def _outside(first: int, count: int, above: tuple[int, bytes]) -> Iterator[int]:
 
 
 def finish_levels(nodes: DataFrame, levels: int) -> tuple[DataFrame | None, DataFrame, list[DataFrame]]:
-    """From passed-on nodes (key, level, pos, digest, total): the runs met on the way (key, level, run, children), each group's root (key, root), and the tables written for them."""
-    columns, here, roots, runs = ["key", "level", "pos", "digest", "total"], nodes.where("level = 0"), [], []
-    for level in range(levels + 1):
-        here = here.select(columns)
-        top = F.ceil(F.col("total") / F.lit(float(ARITY**level))) == 1
-        roots.append(here.where(top).select("key", F.col("digest").alias("root")))
-        if level == levels:
-            break
+    """From passed-on nodes (key, level, pos, digest, total): the runs met on the way (key, level, run, children), each group's root (key, root), and the tables written for them. levels: of the tallest group that is cut."""
+    columns = ["key", "level", "pos", "digest", "total"]
+    is_root = F.ceil(F.col("total") / F.pow(F.lit(float(ARITY)), F.col("level"))) == 1
+    roots, runs, here = [nodes.where(is_root)], [], nodes.where((F.col("level") == 0) & ~is_root).select(columns)
+    for level in range(levels):
         children = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "digest"))), lambda x: x["digest"]), "")
-        met = here.where(~top).groupBy("key", "total", F.floor(F.col("pos") / ARITY).alias("run")).agg(children.alias("children"))
+        # at most ARITY nodes
+        met = here.groupBy("key", "total", F.floor(F.col("pos") / ARITY).alias("run")).agg(children.alias("children"))
         runs.append(materialize(met.withColumn("level", F.lit(level)), "merkle-runs"))
         up = runs[-1].select("key", F.lit(level + 1).alias("level"), F.col("run").alias("pos"), F.sha2("children", 256).alias("digest"), "total")
-        here = nodes.where(F.col("level") == level + 1).select(columns).union(up)
+        roots.append(up.where(is_root))
+        here = nodes.where((F.col("level") == level + 1) & ~is_root).select(columns).union(up.where(~is_root))
     every = reduce(DataFrame.union, (r.select("key", "level", "run", "children") for r in runs)) if runs else None
-    return every, reduce(DataFrame.union, roots), runs
+    return every, reduce(DataFrame.union, (r.select("key", F.col("digest").alias("root")) for r in roots)), runs
 
 
 # the third pass: proofs
@@ -224,6 +223,7 @@ def forest(rows: DataFrame, order: list[str], payload: list[str], schema: str, e
         return _groups(at, n, part_rows)
 
     passed = materialize(spark.createDataFrame(ranged.mapPartitionsWithIndex(lambda p, it: _pass_on(p, groups(p, it))), _PASSED), "merkle-passed")
+    # a group that is cut is the first or the last of its partitions
     levels = max((height(t) for at in found for t in at[1:]), default=0)
     runs, roots, written = finish_levels(passed.where("not wanted"), levels)
     roots = materialize(roots, "merkle-roots")
