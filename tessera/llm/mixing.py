@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -191,6 +192,10 @@ def replay(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
     return rate
 
 
+#: A domain's total meets its target if it is within this share of all tokens.
+TOLERANCE = 1e-4
+
+
 def _sums(rows: DataFrame, steps: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
     """The domains' expected totals at the rates, and their Gram matrix over documents whose rates are above 0."""
 
@@ -210,7 +215,7 @@ def _sums(rows: DataFrame, steps: list[np.ndarray], k: int) -> tuple[np.ndarray,
     return out[:k], out[k:].reshape(k, k)
 
 
-def solve(rows: DataFrame, weights: list[float], tolerance: float = 1e-4, iterations: int = 60) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def solve(rows: DataFrame, weights: list[float], tolerance: float = TOLERANCE, iterations: int = 60) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Steps whose replay gives rates that meet the targets; the targets; and the totals reached. The first domain's target is its own tokens, each other's its weight against the first's: less than it has, or more, for which its documents are repeated.
 
     rows: (n_tokens, p), read once an iteration. The squares of the domains' residuals are weighted by their curvature, the
@@ -254,29 +259,53 @@ def with_rates(rows: DataFrame, steps: list[np.ndarray]) -> DataFrame:
 WEIGHTS = (0.991, 0.001, 0.008)
 
 
-def _steps(rows: DataFrame, model: Classifier, weights: tuple[float, ...]) -> list[np.ndarray]:
-    return solve(rows, list(weights))[0] if model.learned else []
+@dataclass(frozen=True)
+class Mixture:
+    """What the rates come to: their steps, and by domain the tokens that were wanted and those that the rates give."""
+
+    steps: list[np.ndarray]
+    target: np.ndarray
+    reached: np.ndarray
+    tokens: float
+
+    @property
+    def met(self) -> list[bool]:
+        return [bool(x) for x in np.abs(self.reached - self.target) <= TOLERANCE * self.tokens]
+
+
+def mixture(rows: DataFrame, model: Classifier, weights: tuple[float, ...]) -> Mixture:
+    """The rates' steps for memberships; none without labelled documents, where all that there is is wanted."""
+    k = len(weights)
+    if model.learned:
+        steps, target, reached = solve(rows, list(weights), TOLERANCE)
+    else:
+        now, _ = _sums(rows, [], k)
+        steps, target, reached = [], now, now
+    return Mixture(steps, target, reached, float(rows.agg(F.sum("n_tokens")).first()[0] or 0))
 
 
 def mix(documents: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """doc_id, n_tokens, p_<domain>, rate, copies for every row.
+    """doc_id, n_tokens, p_<domain>, rate, copies for every row, and, alike in all rows, target_<domain>, reached_<domain> (expected tokens at the rates) and targets_met.
 
     The first domain keeps its tokens, at rates near 1; the others are brought to their weights against it, thinned or
-    repeated. A null or empty text has no tokens and the labelled table's own shares as its probabilities; rows that
-    repeat are weighed one by one and get the same rate; a null doc_id is an ordinary key of the draw. Without labelled
-    documents no domain can be told and all rates are 1. An empty table gives no rows; other columns are ignored.
+    repeated. Where no rates meet all targets, or the solver's steps take next to nothing off, reached_<domain> and
+    targets_met say so. A null or empty text has no tokens and the labelled table's own shares as its probabilities; rows
+    that repeat are weighed one by one and get the same rate; a null doc_id is an ordinary key of the draw. Without
+    labelled documents no domain can be told and all rates are 1. An empty table gives no rows; other columns are ignored.
     """
     model = train(documents, labels)
     rows = materialize(memberships(documents, model, ["doc_id"]), "memberships")
-    out = with_rates(rows, _steps(rows, model, weights))
-    return out.select("doc_id", "n_tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)), "rate", "copies")
+    made = mixture(rows, model, weights)
+    out = with_rates(rows, made.steps)
+    said = [F.lit(float(x)).alias(f"{name}_{d}") for name, values in (("target", made.target), ("reached", made.reached)) for d, x in zip(DOMAINS, values, strict=True)]
+    return out.select("doc_id", "n_tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)), "rate", "copies", *said, F.lit(all(made.met)).alias("targets_met"))
 
 
 def mixed_documents(documents: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """The documents, with all their columns, each as often as its copies say, as mix() does for each kind of row."""
     model = train(documents, labels)
     rows = materialize(memberships(documents, model, ["doc_id"]), "memberships")
-    steps = _steps(rows, model, weights)
+    steps = mixture(rows, model, weights).steps
     discard(rows)
     inner, restore = shield(documents, ("doc_id", "text"))
     chosen = with_rates(memberships(inner, model, inner.columns), steps)

@@ -147,7 +147,13 @@ def test_mixing(docs, none, labels):
             assert abs(r.p_clean + r.p_junk + r.p_toxic - 1) < 1e-9 and r.rate >= 0 and r.copies in (int(r.rate), int(r.rate) + 1)
     assert got[4][0].n_tokens == 0
     assert len({r.copies for r in got[2]}) == 1
+    for rows in got.values():  # what was wanted and what came of it, alike in all rows
+        for r in rows:
+            assert (r.target_clean, r.reached_toxic, r.targets_met) == (got[1][0].target_clean, got[1][0].reached_toxic, got[1][0].targets_met)
+            assert r.targets_met == all(abs(r[f"target_{d}"] - r[f"reached_{d}"]) <= mixing.TOLERANCE * sum(x.n_tokens for y in got.values() for x in y) for d in mixing.DOMAINS)
     assert mixing.mix(none, labels).count() == 0
+    blind = mixing.mix(docs, labels.limit(0)).first()
+    assert blind.targets_met and blind.target_clean == blind.reached_clean
     assert [r.copies for r in mixing.mix(docs, labels.limit(0)).collect()] == [1] * len(ROWS)
     assert mixing.mixed_documents(docs, labels).columns == docs.columns
 
