@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Permutations, words in a shingle, and similarity (fixed values).
@@ -19,9 +19,10 @@ def signature(*parts: str | Column) -> Column:
 
 
 def first_of(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first row of each key."""
-    w = Window.partitionBy(*keys).orderBy(*(F.col(o).asc_nulls_last() for o in order))
-    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """The first row of each key, nulls last; found before the shuffle as far as it can be, so that a key of many rows is one row of each task."""
+    rank = F.struct(*(c for o in order for c in (F.col(o).isNull(), F.col(o))))
+    best = df.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.min_by(F.struct(*df.columns), rank).alias("_row"))
+    return best.select("_row.*")
 
 
 def exact_dedup(df: DataFrame, parts: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -86,12 +86,12 @@ def distinct_counts(frames: Frames, table: str, columns: Sequence[str], approxim
 
 
 def fanout(catalog: Catalog, frames: Frames) -> DataFrame:
-    """For each edge: rows of its source for each row of its target; null if that is empty."""
-    parts = []
-    for e in catalog.edges:
-        s, t = (frames(x).agg(F.count("*").alias(n)) for x, n in ((e.source, "source_rows"), (e.target, "target_rows")))
-        parts.append(s.crossJoin(t).select(F.lit(e.forward).alias("label"), "source_rows", "target_rows", F.when(F.col("target_rows") > 0, F.col("source_rows") / F.col("target_rows")).alias("fanout")))  # one row each
-    return reduce(DataFrame.unionByName, parts)
+    """For each edge: rows of its source for each row of its target; null if that is empty. Each table is counted once."""
+    sizes = table_sizes(catalog, frames)
+    # one row, of as many entries as tables
+    known = sizes.agg(F.map_from_entries(F.collect_list(F.struct("table_name", "row_count"))).alias("n"))
+    edges = F.explode(F.array(*(F.struct(F.lit(e.forward).alias("label"), F.col("n")[e.source].alias("source_rows"), F.col("n")[e.target].alias("target_rows")) for e in catalog.edges))).alias("e")
+    return known.select(edges).select("e.*", F.when(F.col("e.target_rows") > 0, F.col("e.source_rows") / F.col("e.target_rows")).alias("fanout"))
 
 
 def fk_orphans(catalog: Catalog, frames: Frames) -> DataFrame:

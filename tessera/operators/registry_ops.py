@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def latest_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The last row of each key, as an upsert would leave."""
-    w = Window.partitionBy(*keys).orderBy(*(F.col(o).desc_nulls_last() for o in order))
-    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """The last row of each key, nulls first, as an upsert would leave."""
+    last = df.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("_row"))
+    return last.select("_row.*")
 
 
 def listing(df: DataFrame, limit: int, created: str, key: str, equal: dict | None = None) -> DataFrame:

@@ -6,15 +6,17 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.streaming.states import carried, chunk_of, micros, trailing
+
 
 def rolling_errors(events: DataFrame, key: str, ts: str, failed: Column, seconds: int) -> DataFrame:
-    """Adds n, errors and rate of each event's trailing window, its own time included."""
-    w = Window.partitionBy(key).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    out = events.withColumn("failed", failed).withColumn("n", F.count("*").over(w)).withColumn("errors", F.count_if("failed").over(w))
+    """Adds n, errors and rate of each event's trailing window, its own time included. A key's history is split by stretches of the window's length."""
+    rows = events.withColumn("failed", failed).withColumn("_t", micros(ts))
+    out = trailing(rows, key, "_t", "_t", seconds * 1_000_000, {"n": F.lit(True), "errors": F.coalesce("failed", F.lit(False))}, peers=True).drop("_t")
     return out.withColumn("rate", F.col("errors") / F.col("n"))
 
 
@@ -24,18 +26,17 @@ def breaker_openings(events: DataFrame, key: str, ts: str, failed: Column, secon
 
 
 def runs(events: DataFrame, keys: list[str], order: list[str], hit: Column) -> DataFrame:
-    """Unbroken runs of hits: keys, run_length, first and last position."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    rows = events.withColumn("_i", F.row_number().over(w)).withColumn("_h", hit)
-    rows = rows.withColumn("_g", F.sum(F.when(F.col("_h"), 0).otherwise(1)).over(w)).where("_h")
+    """Unbroken runs of hits: keys, run_length, first and last position. A key's history is numbered in chunks of its first order column."""
+    rows = events.withColumn("_h", hit).withColumn("_flow", F.struct(*keys)).withColumn("_part", chunk_of(events, order[0]))
+    rows = carried(rows, "_flow", "_part", order, {}, sums={"_i": F.lit(1), "_g": F.when(F.col("_h"), 0).otherwise(1)}).where("_h")
     return rows.groupBy(*keys, "_g").agg(F.count("*").alias("run_length"), F.min("_i").cast("bigint").alias("first_pos"), F.max("_i").cast("bigint").alias("last_pos")).drop("_g")
 
 
 def stalls(events: DataFrame, key: str, ts: str, tie: str, seconds: int) -> DataFrame:
     """Events that come more than `seconds` after the one before, with the gap."""
-    before = F.lag(ts).over(Window.partitionBy(key).orderBy(ts, tie))
-    gap = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(before.cast("timestamp"))) / 1_000_000
-    return events.withColumn("gap_seconds", gap).where(F.col("gap_seconds") > seconds)
+    rows = carried(events.withColumn("_part", chunk_of(events, ts)), key, "_part", [ts, tie], {"_before": F.struct(F.col(ts).alias("ts"))}, inclusive=False)
+    gap = (micros(ts) - micros(F.col("_before.ts"))) / 1_000_000
+    return rows.drop("_part").withColumn("gap_seconds", gap).where(F.col("gap_seconds") > seconds).drop("_before")
 
 
 def sequence_faults(events: DataFrame, flow: str, seq: str) -> DataFrame:

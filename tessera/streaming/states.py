@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.sources.scratch import written
 
@@ -41,17 +42,31 @@ def carried(rows: DataFrame, key: str, chunk: str, order: Sequence[str], last: M
     return out.drop("_key", "_chunk", *(f"_{p}_{n}" for n in names for p in "vob"))
 
 
-def trailing(rows: DataFrame, key: str, t: str, tie: str, width: int, counts: Mapping[str, Column]) -> DataFrame:
-    """Adds, for each condition, how many rows of the key it held for among those up to this one, in the order of (t, tie), that are at most `width` older. t is a whole number.
+def chunk_of(df: DataFrame, column: str) -> Column:
+    """A number that ascends with a column, for chunks: days of a time, thousands of a number, and one chunk for all of another kind. Nulls come first."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        whole = F.floor(micros(column) / F.lit(86_400_000_000))
+    elif isinstance(kind, T.NumericType):
+        whole = F.floor(F.col(column) / F.lit(1000))
+    else:
+        whole = F.lit(0)
+    return F.coalesce(whole.cast("bigint"), F.lit(-(2**62)))
+
+
+def trailing(rows: DataFrame, key: str, t: str, tie: str, width: int, counts: Mapping[str, Column], peers: bool = False) -> DataFrame:
+    """Adds, for each condition, how many rows of the key it held for among those up to this one, in the order of (t, tie), that are at most `width` older; with peers, all rows of its own t count. t is a whole number, or null, which is older than all and of which nulls alone are in reach.
 
     A row is seen in its own stretch of `width` and, to count only, in the next one.
     """
     rows = rows.select("*", *(F.when(c, 1).otherwise(0).alias(f"_c_{n}") for n, c in counts.items()))
-    seen = rows.withColumn("_later", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_stretch", F.floor(F.col(t) / F.lit(width)) + F.col("_later"))
+    stretches = F.when(F.col(t).isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    seen = rows.withColumn("_later", F.explode(stretches)).withColumn("_stretch", F.floor(F.col(t) / F.lit(width)) + F.col("_later"))
     by = Window.partitionBy(key, "_stretch")
-    upto = by.orderBy(t, tie).rowsBetween(Window.unboundedPreceding, 0)
+    upto = by.orderBy(t).rangeBetween(Window.unboundedPreceding, 0) if peers else by.orderBy(t, tie).rowsBetween(Window.unboundedPreceding, 0)
     gone = by.orderBy(t).rangeBetween(Window.unboundedPreceding, -width - 1)
-    out = seen.select("*", *((F.sum(f"_c_{n}").over(upto) - F.coalesce(F.sum(f"_c_{n}").over(gone), F.lit(0))).alias(n) for n in counts))
+    left = lambda n: F.when(F.col(t).isNotNull(), F.coalesce(F.sum(f"_c_{n}").over(gone), F.lit(0))).otherwise(0)
+    out = seen.select("*", *((F.sum(f"_c_{n}").over(upto) - left(n)).alias(n) for n in counts))
     return out.where("_later = 0").drop("_later", "_stretch", *(f"_c_{n}" for n in counts))
 
 
