@@ -17,14 +17,18 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 from itertools import groupby
 
-from pyspark import RDD
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.llm.storage import discard, materialize
 
 #: Children of a node (fixed value), and bytes and hex digits of a digest.
 ARITY, BYTES, HEX = 16, 32, 64
+#: Rows of a batch of results.
+BATCH_ROWS = 2_000
 
 
 def digest_of(text: str) -> str:
@@ -110,9 +114,9 @@ def places(ends: list[tuple]) -> list[tuple[int, int, int]]:
     return out
 
 
-def _groups(place: tuple[int, int, int], n_groups: int, rows: Iterable[tuple]) -> Iterator[tuple]:
-    """key, start, total, leaves (bytes) and payloads of each group of a partition."""
-    for k, (key, members) in enumerate(groupby(rows, key=lambda r: r[0])):
+def _groups(place: tuple[int, int, int], n_groups: int, rows: Iterable[tuple], first: int = 0) -> Iterator[tuple]:
+    """key, start, total, leaves (bytes) and payloads of each group of a partition, of its group number `first` on."""
+    for k, (key, members) in enumerate(groupby(rows, key=lambda r: r[0]), first):
         leaves, kept = bytearray(), []
         for _, leaf, *payload in members:
             leaves += leaf
@@ -169,10 +173,6 @@ def finish_levels(nodes: DataFrame, levels: int) -> tuple[DataFrame | None, Data
 # the third pass: proofs
 
 
-def _pack(rows: Iterable) -> Iterator[list]:
-    yield list(rows)
-
-
 def paths(start: int, total: int, leaves: bytes, known: dict[tuple[int, int], str]) -> Iterator[list[tuple[int, str]]]:
     """For each leaf, (its place among them, hex digests of the children) of each run on its way to the root. known: children by (level, run) of runs that were not built here."""
     levels, h = local_levels(start, leaves, total), height(total)
@@ -212,7 +212,7 @@ def forest(rows: DataFrame, order: list[str], payload: list[str], schema: str, e
     written tables that they read. Returned are the rows, lazily, and the written tables that these read.
     """
     spark, sc = rows.sparkSession, rows.sparkSession.sparkContext
-    # one RDD for all three passes: its ranges are drawn once, and its shuffle is read again
+    # one RDD for all passes: its ranges are drawn once, and its shuffle is read again
     ranged = rows.orderBy(F.col("key").asc_nulls_first(), *(F.col(c).asc_nulls_first() for c in order)).select("key", "leaf", *payload).rdd.map(tuple)
     ends = ranged.mapPartitions(_ends).collect()  # one small row of each partition
     found = places(ends)
@@ -238,25 +238,56 @@ def forest(rows: DataFrame, order: list[str], payload: list[str], schema: str, e
         answers = of_groups.union(of_runs.select("part", "a.key", "a.level", "a.pos", F.col("children").alias("digests"), none))
     answers = materialize(answers, "merkle-answers")
     discard(passed, roots, *written, *more_written)
-    sent = answers.rdd.map(lambda r: (r[0], tuple(r[1:]))).partitionBy(max(1, len(ends)), int).values()
-    spare = sent.getNumPartitions() - len(ends)  # where the cluster deals out to more partitions than were asked for
-    both: RDD = (ranged.union(sc.parallelize([], spare)) if spare else ranged).mapPartitions(_pack).zip(sent.mapPartitions(_pack))
-
-    def prove(part: int, pairs: Iterable[tuple[list, list]]) -> Iterator[tuple]:
-        for part_rows, said in pairs:
-            known: dict = {}
-            tops: dict = {}
-            for key, level, run, digests, extra in said:
-                if level is None:
-                    tops[key] = (digests, extra)
-                else:
-                    known.setdefault(key, {})[level, run] = digests
-            for key, start, total, leaves, kept in groups(part, part_rows):
+    told_leaves = ranged.mapPartitionsWithIndex(lambda p, it: ((p, i, *r) for i, r in enumerate(it)))
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in payload)
+    leaves = spark.createDataFrame(told_leaves, f"part long, place long, key string, leaf binary, {kinds}")
+    # answers come before the leaves of their range
+    both = leaves.unionByName(answers, allowMissingColumns=True).repartition("part").sortWithinPartitions("part", F.col("place").asc_nulls_first())
+    out = T._parse_datatype_string(schema)
+    arrow = to_arrow_schema(out)
+
+    def prove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list = []  # leaves of one group of one range
+        part, known, tops = None, {}, {}
+
+        def proven() -> Iterator[pa.RecordBatch]:
+            at, n = place.value[part]
+            keys = [r["key"] for r in waiting]
+            packed = ((k, r["leaf"], [r[c] for c in payload]) for k, r in zip(keys, waiting, strict=True))
+            for key, start, total, digests, kept in _groups(at, n, packed, group):
                 root, extra = tops[key]
-                for i, path in enumerate(paths(start, total, leaves, known.get(key, {}))):
-                    yield emit(root, leaves[i * BYTES : (i + 1) * BYTES].hex(), path, kept[i], extra)
+                made = []
+                for i, path in enumerate(paths(start, total, digests, known.get(key, {}))):
+                    made.append(emit(root, digests[i * BYTES : (i + 1) * BYTES].hex(), path, kept[i][0], extra))
+                    if len(made) == BATCH_ROWS:
+                        yield _batch(made, arrow)
+                        made = []
+                yield _batch(made, arrow)
+
+        group = 0
+        for batch in batches:
+            for r in batch.to_pylist():
+                new = r["part"] != part
+                if waiting and (new or (r["place"] is not None and r["key"] != waiting[0]["key"])):
+                    yield from proven()
+                    waiting, group = [], group + 1
+                if new:
+                    part, known, tops, group = r["part"], {}, {}, 0
+                if r["place"] is not None:
+                    waiting.append(r)
+                elif r["level"] is None:
+                    tops[r["key"]] = (r["digests"], r["more"])
+                else:
+                    known.setdefault(r["key"], {})[r["level"], r["pos"]] = r["digests"]
+        if waiting:
+            yield from proven()
+
+    return both.mapInArrow(prove, out), [answers]
+
 
-    return spark.createDataFrame(both.mapPartitionsWithIndex(prove), schema), [answers]
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [() for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 # documents
@@ -292,7 +323,7 @@ _TOP = "key string, root string, path array<struct<slot:int,children:string>>"
 def _top(roots: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """The tree over the groups' roots, in the order of their keys."""
     rows = roots.select(F.lit(None).cast("string").alias("key"), F.unhex("root").alias("leaf"), F.col("key").alias("source"))
-    out, written = forest(rows, ["source"], ["source"], _TOP, lambda root, leaf, path, kept, _: (kept[0], root, path))
+    out, written = forest(rows, ["source"], ["source"], _TOP, lambda root, leaf, path, kept, _: (kept[0], root, [{"slot": i, "children": c} for i, c in path]))
     return out.select("key", F.struct("root", "path").alias("more")), written
 
 
@@ -315,7 +346,7 @@ def manifest(documents: DataFrame) -> DataFrame:
     """
 
     def emit(root: str, leaf: str, path: list, kept: list, top) -> tuple:
-        every = [*path, *top["path"]]
+        every = [*path, *((x["slot"], x["children"]) for x in top["path"])]
         return kept[0], leaf, root, top["root"], [i for i, _ in every], siblings(every)
 
     none = F.lit(None).cast("binary")
@@ -326,7 +357,7 @@ def audit(documents: DataFrame, tampered: Column, text: Column) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified for every document: folded_root is what its siblings lead to from the leaf with `text` in place of its own where `tampered` is true. Rows as in manifest()."""
 
     def emit(root: str, leaf: str, path: list, kept: list, top) -> tuple:
-        every = [*path, *top["path"]]
+        every = [*path, *((x["slot"], x["children"]) for x in top["path"])]
         folded = fold(leaf if kept[1] is None else bytes(kept[1]).hex(), every)
         return kept[0], leaf, root, top["root"], digest_of("".join(siblings(every))), folded, folded == top["root"]
 
