@@ -17,6 +17,7 @@ from tessera.operators.drafts import plain
 from tessera.plans.catalog import star_catalog
 from tessera.session import local_session
 from tessera.sources import files
+from tessera.sources.runs import RunStore
 from tessera.sources.tables import read_table
 
 
@@ -31,6 +32,11 @@ def _pairs(given: Sequence[str]) -> dict[str, str]:
     return dict(x.split("=", 1) for x in given)
 
 
+def _leaves_open(known: dict) -> dict:
+    """Keys that nothing is said about below may hold anything."""
+    return {k: _leaves_open(v) if v else None for k, v in known.items()}
+
+
 def run(spark: SparkSession, a: argparse.Namespace) -> object:
     """What the command answers, for JSON."""
     table = lambda: read_table(spark, a.root, a.table)
@@ -39,8 +45,19 @@ def run(spark: SparkSession, a: argparse.Namespace) -> object:
     if a.command == "show-layout":
         return explore.schema_map(star_catalog(), None, 0) | {"queries": sorted(registry.queries())}
     if a.command == "validate-config":
-        with open(a.path, encoding="utf-8") as f:
-            return {"valid": True, "keys": sorted(files.strict(json.loads(files.expand(f.read())), set(a.known)))}
+        known: dict = {}
+        for path in a.known:  # a.b is key b below a
+            at = known
+            for name in path.split("."):
+                at[name] = at.get(name) or {}
+                at = at[name]
+        return {"valid": True, "keys": sorted(files.strict(files.read_config(spark, a.path), _leaves_open(known)))}
+    if a.command == "bootstrap-run-db":
+        return {"ready": a.path, "created": RunStore(spark, a.path).bootstrap()}
+    if a.command == "run-db-summary":
+        rows = RunStore(spark, a.path).summaries().where(F.col("run_id") == a.run_id).collect()
+        none = {"run_id": a.run_id, "total": 0, "accepted": 0, "rejected": 0, "other": 0, "verification_results": 0, "event_count": 0}
+        return rows[0].asDict() if rows else none
     if a.command == "query":
         df = registry.queries()[a.name](spark, a.root)
         return [r.asDict(recursive=True) for r in df.limit(a.limit).collect()]
@@ -72,7 +89,9 @@ def parser() -> argparse.ArgumentParser:
 
     command("check-db", "open a session and name it")
     command("show-layout", "tables, edges and queries")
-    command("validate-config", "read a JSON configuration, its variables filled in", "path").add_argument("--known", nargs="*", default=[])
+    command("validate-config", "read a configuration in YAML or JSON, its variables filled in", "path").add_argument("--known", nargs="*", default=[], help="keys; a.b is b below a, and * is any key")
+    command("bootstrap-run-db", "make the tables of runs", "path")
+    command("run-db-summary", "tasks, verifications and events of a run", "path", "run_id")
     command("query", "run a registered query", "root", "name").add_argument("--limit", type=int, default=100)
     c = command("show-task-registry", "the newest rows", "root", "table")
     c.add_argument("--columns", nargs="+", required=True)

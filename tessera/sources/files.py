@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,8 +51,38 @@ def expand(text: str, environment: dict[str, str] | None = None) -> str:
     return re.sub(r"\$\{(\w+)(?::-([^}]*))?\}", value, text)
 
 
-def strict(config: dict[str, Any], known: set[str]) -> dict[str, Any]:
-    """The configuration, if it has known keys only."""
-    if unknown := set(config) - known:
-        raise ValueError(f"unknown keys: {', '.join(sorted(unknown))}")
+def expanded(value: Any, environment: dict[str, str] | None = None) -> Any:
+    """expand() on all text in a configuration, at any depth."""
+    if isinstance(value, dict):
+        return {k: expanded(v, environment) for k, v in value.items()}
+    if isinstance(value, list):
+        return [expanded(v, environment) for v in value]
+    return expand(value, environment) if isinstance(value, str) else value
+
+
+def read_config(spark: SparkSession, path: str, environment: dict[str, str] | None = None) -> dict[str, Any]:
+    """A configuration in YAML, or JSON, which is YAML too, with its variables filled in. Spark brings the reader along."""
+    text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+    yaml = spark.sparkContext._jvm.org.yaml.snakeyaml
+    try:
+        read = yaml.Yaml(yaml.constructor.SafeConstructor(yaml.LoaderOptions())).load(text)
+        config = json.loads(spark.sparkContext._jvm.com.fasterxml.jackson.databind.ObjectMapper().writeValueAsString(read))
+    except Py4JJavaError as e:
+        raise ValueError(f"{path} is no YAML: {str(e.java_exception.getMessage()).splitlines()[0]}") from e
+    if not isinstance(config, dict):
+        raise ValueError(f"{path} holds no keys")
+    return expanded(config, environment)
+
+
+def strict(config: dict[str, Any], known: set[str] | dict[str, Any], here: str = "") -> dict[str, Any]:
+    """The configuration, if it has known keys only. known: names, or a map of names to what is known below them, null where anything goes; below the name * are the keys of every name."""
+    if isinstance(known, (set, frozenset)):
+        known = dict.fromkeys(known)
+    if unknown := [] if "*" in known else sorted(set(config) - set(known)):
+        raise ValueError(f"unknown keys: {', '.join(here + str(k) for k in unknown)}")
+    for key, value in config.items():
+        below = known.get(key, known.get("*"))
+        for item in value if isinstance(value, list) else [value]:
+            if below is not None and isinstance(item, dict):
+                strict(item, below, f"{here}{key}.")
     return config

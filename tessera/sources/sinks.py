@@ -57,7 +57,7 @@ def append(batch: DataFrame, number: int, path: str, order: Sequence[str]) -> No
     its own place and ids, and rows that `order` does not tell apart may trade them.
     """
     spark = batch.sparkSession
-    before = spark.read.parquet(path).where(F.col(BATCH) < number).count() if exists(spark, path) else 0
+    before = spark.read.schema(f"{BATCH} bigint").parquet(path).where(F.col(BATCH) < number).count() if exists(spark, path) else 0
     # the number of a row's range, and of the row in it
     placed = written(batch.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "append")
     part = F.shiftright("_at", 33)

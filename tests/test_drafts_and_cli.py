@@ -10,12 +10,76 @@ from tessera.functions import canonical as can
 from tessera.operators import calibration as cal
 from tessera.operators import dedup, drafts, explore
 from tessera.plans.catalog import star_catalog
+from tessera.sources import files
+from tessera.sources.runs import RunStore
 from tessera.sources.tables import read_table
 
 ROOT = "/root/testdata/sf0.001"
 GOOD = '<entity>\n{"customer": 7}\n</entity>\n\nWhich orders are open?'
 
 
+YAML = """
+database:
+  dsn: "${DSN_NOT_SET_HERE:-local}"   # a comment
+  pool: 32
+providers:
+  one: {type: plain, retries: 3}
+  two:
+    type: other
+models:
+  solvers:
+    - {provider: one, model: "m-1"}
+    - {provider: two, model: 'm: 2'}
+text: |
+  two
+  lines
+"""
+
+
+def test_yaml(spark, capsys, tmp_path):
+    (tmp_path / "c.yaml").write_text(YAML)
+    config = files.read_config(spark, str(tmp_path / "c.yaml"))
+    assert config["database"] == {"dsn": "local", "pool": 32} and config["models"]["solvers"][1] == {"provider": "two", "model": "m: 2"} and config["text"] == "two\nlines\n"
+    assert files.read_config(spark, str(tmp_path / "c.yaml"), {"DSN_NOT_SET_HERE": "x: y"})["database"]["dsn"] == "x: y"
+    shape = {"database": {"dsn", "pool"}, "providers": {"*": {"type", "retries"}}, "models": {"solvers": {"provider", "model"}}, "text": None}
+    assert files.strict(config, shape) is config
+    for odd, where in (({"pool": 1, "pol": 2}, "database.pol"), ({"*": {}}, None)):
+        with pytest.raises(ValueError, match=(where or "unknown").replace("*", ".")):
+            files.strict(config | {"database": odd}, shape)
+    with pytest.raises(ValueError, match="providers.two.kind"):
+        files.strict(config | {"providers": {"two": {"kind": 1}}}, shape)
+    (tmp_path / "bad.yaml").write_text("a: [1\nb: }")
+    with pytest.raises(ValueError, match="no YAML"):
+        files.read_config(spark, str(tmp_path / "bad.yaml"))
+    path = str(tmp_path / "c.yaml")
+    assert said(capsys, spark, "validate-config", path, "--known", "database.dsn", "database.pool", "providers", "models", "text")[0] == 0
+    assert said(capsys, spark, "validate-config", path, "--known", "database.dsn", "providers", "models", "text")[0] == 1
+
+
+def test_run_store(spark, capsys, tmp_path):
+    path = str(tmp_path / "run")
+    store = RunStore(spark, path, buckets=4)
+    assert store.summaries().count() == 0
+    code, made = said(capsys, spark, "bootstrap-run-db", path)
+    assert code == 0 and "tasks" in made["created"] and said(capsys, spark, "bootstrap-run-db", path)[1]["created"] == []
+    tasks = lambda *rows: spark.createDataFrame(rows, "task_id string, run_id string, status string, payload_json string")
+    store.record("tasks", tasks(("a", "r", "draft", "{}"), ("b", "r", "rejected", "{}"), ("c", "s", "accepted", None)), 0)
+    store.record("tasks", tasks(("a", "r", "accepted", '{"n":1}')), 1)
+    store.record("tasks", tasks(("a", "r", "draft", "{}"), ("b", "r", "rejected", "{}"), ("c", "s", "accepted", None)), 0)  # it comes again
+    assert {r.task_id: r.status for r in store.read("tasks").collect()} == {"a": "accepted", "b": "rejected", "c": "accepted"}
+    log = lambda *rows: spark.createDataFrame(rows, "run_id string, event_type string, payload_json string")
+    store.record("event_log", log(("r", "start", "{}"), ("r", "end", "{}")), 0)
+    store.record("event_log", log(("s", "start", "{}")), 1)
+    store.record("event_log", log(("s", "start", "{}")), 1)
+    assert sorted((r.log_id, r.run_id) for r in store.read("event_log").collect()) == [(1, "r"), (2, "r"), (3, "s")]
+    store.record("verification_results", spark.createDataFrame([("a", "r", "x", "{}"), ("a", "r", "y", "{}"), ("a", "r", "x", "{}")], "task_id string, run_id string, solver_id string, payload_json string"), 0)
+    assert said(capsys, spark, "run-db-summary", path, "r")[1] == {"run_id": "r", "total": 2, "accepted": 1, "rejected": 1, "other": 0, "verification_results": 2, "event_count": 2}
+    assert said(capsys, spark, "run-db-summary", path, "none")[1]["total"] == 0
+    store.record("processed_keys", spark.createDataFrame([("n", "1", None)], "namespace string, item_key string, payload_json string"), 0)
+    items = spark.createDataFrame([("1",), ("2",)], "k string")
+    assert [r.k for r in store.unprocessed("n", items, "k").collect()] == ["2"] and store.unprocessed("m", items, "k").count() == 2
+
+
 def said(capsys, spark, *arguments):
     code = cli.main(arguments, spark)
     out = capsys.readouterr()
