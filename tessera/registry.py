@@ -115,19 +115,29 @@ _EDGES = "(VALUES " + ", ".join(f"('{e.source}', '{e.target}', '{e.forward}', '{
 _THIRD = max(1, len(star_catalog().tables) // 3)
 
 
-@add(f"SELECT forward, reverse, source, target FROM {_EDGES} WHERE source IN ('orders', 'customer', 'lineitem', 'nation') AND target IN ('orders', 'customer', 'lineitem', 'nation')")
+def _sized(df: DataFrame, spark: SparkSession, root: str, column: str, name: str) -> DataFrame:
+    """df, which tells of tables, with how many rows the table in a column has."""
+    sizes = explore.table_sizes(star_catalog(), frames(spark, root)).select(F.col("table_name").alias("_t"), F.col("row_count").alias(name))
+    return df.join(F.broadcast(sizes), F.col(column) == F.col("_t")).drop("_t")  # as many rows as tables
+
+
+_SIZES = "(" + " UNION ALL ".join(f"SELECT '{t.name}' AS table_name, count(*) AS row_count FROM {t.name}" for t in star_catalog().tables) + ")"
+
+
+@add(f"SELECT forward, reverse, source, target, s.row_count AS source_rows, t.row_count AS target_rows FROM {_EDGES} JOIN {_SIZES} s ON s.table_name = source JOIN {_SIZES} t ON t.table_name = target WHERE source IN ('orders', 'customer', 'lineitem', 'nation') AND target IN ('orders', 'customer', 'lineitem', 'nation')")
 def schema_map(spark: SparkSession, root: str) -> DataFrame:
-    return explore.schema_map_frame(spark, star_catalog(), "customer", 1).union(explore.schema_map_frame(spark, star_catalog(), "orders", 1)).distinct()
+    edges = explore.schema_map_frame(spark, star_catalog(), "customer", 1).union(explore.schema_map_frame(spark, star_catalog(), "orders", 1)).distinct()
+    return _sized(_sized(edges, spark, root, "source", "source_rows"), spark, root, "target", "target_rows")
 
 
-@add(f"SELECT t AS table_name, count(*) AS degree FROM (SELECT source AS t FROM {_EDGES} UNION ALL SELECT target FROM {_EDGES}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT {_THIRD}")
+@add(f"SELECT d.*, row_count FROM (SELECT t AS table_name, count(*) AS degree FROM (SELECT source AS t FROM {_EDGES} UNION ALL SELECT target FROM {_EDGES}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT {_THIRD}) d JOIN {_SIZES} USING (table_name)")
 def hubs(spark: SparkSession, root: str) -> DataFrame:
-    return explore.hubs(spark, star_catalog())
+    return _sized(explore.hubs(spark, star_catalog()), spark, root, "table_name", "row_count")
 
 
-@add(f"SELECT source AS table_name, count(*) AS fk_count FROM {_EDGES} GROUP BY 1 HAVING count(*) >= 2")
+@add(f"SELECT b.*, row_count FROM (SELECT source AS table_name, count(*) AS fk_count FROM {_EDGES} GROUP BY 1 HAVING count(*) >= 2) b JOIN {_SIZES} USING (table_name)")
 def bridges(spark: SparkSession, root: str) -> DataFrame:
-    return explore.bridges(spark, star_catalog())
+    return _sized(explore.bridges(spark, star_catalog()), spark, root, "table_name", "row_count")
 
 
 @add(" UNION ALL ".join(f"SELECT '{t.name}' AS table_name, count(*) AS row_count FROM {t.name}" for t in star_catalog().tables))
@@ -135,9 +145,16 @@ def table_sizes(spark: SparkSession, root: str) -> DataFrame:
     return explore.table_sizes(star_catalog(), frames(spark, root))
 
 
-@add("SELECT * FROM (VALUES " + ", ".join(f"('{t.name}', '{c}', '{k}', {i + 1}, {str(c in t.key).lower()}, {str(any(e.source == t.name and e.column == c for e in star_catalog().edges)).lower()})" for t in star_catalog().tables for i, (c, k) in enumerate(t.columns)) + ") AS x(table_name, column_name, type, ordinal, is_key, is_foreign_key)")
+@add(" UNION ALL ".join(f"SELECT '{t.name}' AS table_name, '{c}' AS column_name, '{k}' AS type, {i + 1} AS ordinal, {str(c in t.key).lower()} AS is_key, {str(any(e.source == t.name and e.column == c for e in star_catalog().edges)).lower()} AS is_foreign_key, count({c}) AS n_values FROM {t.name}" for t in star_catalog().tables for i, (c, k) in enumerate(t.columns)))
 def catalog_columns(spark: SparkSession, root: str) -> DataFrame:
-    return explore.columns_frame(spark, star_catalog())
+    """The catalog's columns, each with its number of values, so that the tables must have them."""
+    f, counts = frames(spark, root), None
+    for t in star_catalog().tables:
+        one = f(t.name).agg(*(F.count(c).alias(c) for c in t.names))
+        told = one.select(F.explode(F.array(*(F.struct(F.lit(t.name).alias("t"), F.lit(c).alias("c"), F.col(c).alias("n_values")) for c in t.names))).alias("x")).select("x.*")
+        counts = told if counts is None else counts.union(told)
+    columns = explore.columns_frame(spark, star_catalog())
+    return columns.join(F.broadcast(counts), (F.col("table_name") == F.col("t")) & (F.col("column_name") == F.col("c"))).drop("t", "c")  # as many rows as columns
 
 
 @add(" UNION ALL ".join(f"SELECT '{e.forward}' AS label, (SELECT count(*) FROM {e.source}) AS source_rows, (SELECT count(*) FROM {e.target}) AS target_rows, (SELECT count(*) FROM {e.source}) / (SELECT count(*) FROM {e.target}) AS fanout" for e in star_catalog().edges))
@@ -210,9 +227,10 @@ def random_anchor(spark: SparkSession, root: str) -> DataFrame:
     return row.select(F.lit(name).alias("table_name"), F.col(row.columns[0]).cast("string").alias("row_id"))
 
 
-@add("SELECT * FROM (WITH RECURSIVE n AS (" + f"SELECT source, target, forward, source || '.' || target AS path, forward AS edges, 1 AS hops FROM {_EDGES} UNION ALL SELECT n.source, e.target, e.forward, n.path || '.' || e.target, n.edges || ' ' || e.forward, n.hops + 1 FROM n JOIN {_EDGES} ON e.source = n.target WHERE n.hops < 3) SELECT path, edges, hops FROM n)")
+@add("SELECT path, edges, hops, row_count AS end_rows FROM (WITH RECURSIVE n AS (" + f"SELECT source, target, forward, source || '.' || target AS path, forward AS edges, 1 AS hops FROM {_EDGES} UNION ALL SELECT n.source, e.target, e.forward, n.path || '.' || e.target, n.edges || ' ' || e.forward, n.hops + 1 FROM n JOIN {_EDGES} ON e.source = n.target WHERE n.hops < 3) SELECT target, path, edges, hops FROM n) JOIN {_SIZES} ON table_name = target")
 def path_catalog(spark: SparkSession, root: str) -> DataFrame:
-    return explore.path_features(spark, star_catalog(), {}, 3).select("path", "edges", "hops")
+    paths = explore.path_features(spark, star_catalog(), {}, 3).select("path", "edges", "hops")
+    return _sized(paths.withColumn("_end", F.element_at(F.split("path", "\\."), -1)), spark, root, "_end", "end_rows").drop("_end")
 
 
 _FLAGGED = "(VALUES " + ", ".join(f"('{e.source}', '{e.target}', '{e.forward}', {str(e.unique).lower()}, {str(e.nullable).lower()})" for e in star_catalog().edges) + ") AS e(source, target, forward, u, o)"
@@ -451,9 +469,14 @@ def _intervals(most: int) -> str:
     return f"(SELECT n, passes, CASE WHEN passes = 0 THEN 0.0 ELSE round({ends[0]}, 6) END AS ci_low, CASE WHEN passes = n THEN 1.0 ELSE round({ends[1]}, 6) END AS ci_high FROM (SELECT CAST(n AS INT) AS n, CAST(unnest(range(n + 1)) AS INT) AS passes FROM range({most + 1}) t(n))) AS i"
 
 
-@add(f"SELECT * FROM {_intervals(12)}")
+_OUTCOMES = "SELECT CAST(n AS INT) AS n, CAST(passes AS INT) AS passes, count(*) AS users FROM (SELECT user_id, count(*) AS n, count_if(event_type = 'purchase') AS passes FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE event_type <> 'error') WHERE r <= 12 GROUP BY 1) GROUP BY 1, 2"
+
+
+@add(f"SELECT o.*, i.ci_low, i.ci_high FROM ({_OUTCOMES}) o JOIN {_intervals(12)} ON i.n = o.n AND i.passes = o.passes")
 def cp_interval(spark: SparkSession, root: str) -> DataFrame:
-    return cal.interval_table(spark, 12)
+    """The interval of every outcome that users have in their first 12 runs."""
+    seen = _first(spark, root, 12).groupBy(F.col("n").cast("int").alias("n"), F.col("passes").cast("int").alias("passes")).agg(F.count("*").alias("users"))
+    return seen.join(F.broadcast(cal.interval_table(spark, 12)), ["n", "passes"])  # 91 rows
 
 
 def _possible(total: str) -> str:
