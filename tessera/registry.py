@@ -355,7 +355,7 @@ def near_dup_verified(spark: SparkSession, root: str) -> DataFrame:
     return dedup.near_pairs(read_table(spark, root, "documents"), "doc_id", "text", ["lang"], word="[a-z0-9_]+")
 
 
-_EARLIER = f"WITH d AS (SELECT doc_id, lang, list_sort(list_distinct({_GRAMS})) AS g FROM (SELECT doc_id, lang, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM documents)), r AS (SELECT *, min(doc_id) OVER (PARTITION BY lang, md5(array_to_string(g, '|'))) AS rep FROM d WHERE len(g) > 0), s AS (SELECT doc_id, lang, len(g) AS n, unnest(g) AS g FROM r WHERE doc_id = rep), p AS (SELECT x.doc_id AS a, y.doc_id AS b, x.n AS m, y.n, count(*) AS c FROM s x JOIN s y ON x.lang IS NOT DISTINCT FROM y.lang AND x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL), near AS (SELECT a, b, c / (m + n - c) AS similarity FROM p WHERE c / (m + n - c) >= 0.9 UNION ALL SELECT rep, doc_id, 1.0 FROM r WHERE doc_id <> rep)"
+_EARLIER = f"WITH d AS (SELECT doc_id, lang, list_sort(list_distinct({_GRAMS})) AS g FROM (SELECT doc_id, lang, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM documents)), r AS (SELECT *, min(doc_id) OVER (PARTITION BY lang, md5(array_to_string(g, '|'))) AS rep FROM d WHERE len(g) > 0), s AS (SELECT doc_id, lang, len(g) AS n, unnest(g) AS g FROM r WHERE doc_id = rep), p AS (SELECT x.doc_id AS a, y.doc_id AS b, x.n AS m, y.n, count(*) AS c FROM s x JOIN s y ON x.lang IS NOT DISTINCT FROM y.lang AND x.g = y.g AND x.doc_id < y.doc_id AND 10 * x.n >= 9 * y.n AND 10 * y.n >= 9 * x.n GROUP BY ALL), near AS (SELECT a, b, c / (m + n - c) AS similarity FROM p WHERE c / (m + n - c) >= 0.9 UNION ALL SELECT rep, doc_id, 1.0 FROM r WHERE doc_id <> rep)"
 
 
 @add(f"{_EARLIER} SELECT d.doc_id AS id, n.a AS match, n.similarity FROM documents d LEFT JOIN (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY b ORDER BY similarity DESC, a) = 1) n ON n.b = d.doc_id")

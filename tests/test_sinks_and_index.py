@@ -126,19 +126,17 @@ def test_near_index(spark, tmp_path, verify):
     for p in sorted(pairs, key=lambda p: (-p.s, p.a_id)):
         want.setdefault(p.b_id, (p.a_id, round(p.s, 9)))
     assert len(want) > 15
-    for cuts in ([0, len(rows)], [0, 9, 10, 40, len(rows)]):
-        index = NearIndex(spark, str(tmp_path / f"index{len(cuts)}"), "bigint", buckets=4)
-        got = {}
-        for n, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            batch = df.where(F.col("id").between(lo, hi - 1))
-            said = index.add(batch, n, "id", "id", "text", ["topic"], verify).collect()
-            assert len(said) == hi - lo
-            got |= {r.id: (r.match, round(r.similarity, 9)) for r in said if r.match is not None}
-            if n == 2:  # the batch comes again
-                again = index.add(batch, n, "id", "id", "text", ["topic"], verify).collect()
-                assert sorted(map(str, again)) == sorted(map(str, said))
-        assert got == want
-        assert index.entries().groupBy("scope", "set1", "set2").count().where("count > 1").isEmpty()
+    index, got = NearIndex(spark, str(tmp_path / "index"), "bigint", buckets=4), {}
+    for n, (lo, hi) in enumerate(((0, 10), (10, 11), (11, len(rows)))):
+        batch = df.where(F.col("id").between(lo, hi - 1))
+        said = index.add(batch, n, "id", "id", "text", ["topic"], verify).collect()
+        assert len(said) == hi - lo
+        got |= {r.id: (r.match, round(r.similarity, 9)) for r in said if r.match is not None}
+        if n == 0:  # the batch comes again
+            again = index.add(batch, n, "id", "id", "text", ["topic"], verify).collect()
+            assert sorted(map(str, again)) == sorted(map(str, said))
+    assert got == want
+    assert index.entries().groupBy("scope", "set1", "set2").count().where("count > 1").isEmpty()
 
 
 def test_decide(spark):
