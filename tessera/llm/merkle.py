@@ -222,7 +222,7 @@ def forest(rows: DataFrame, order: list[str], payload: list[str], schema: str, e
         at, n = place.value[part] if part < len(place.value) else ((0, 0, 0), 0)
         return _groups(at, n, part_rows)
 
-    passed = materialize(spark.createDataFrame(ranged.mapPartitionsWithIndex(lambda p, it: _pass_on(p, groups(p, it))), _PASSED), "merkle-passed")
+    passed = materialize(spark.createDataFrame(ranged.mapPartitionsWithIndex(lambda p, it: _pass_on(p, groups(p, it))), _PASSED, verifySchema=False), "merkle-passed")
     # a group that is cut is the first or the last of its partitions
     levels = max((height(t) for at in found for t in at[1:]), default=0)
     runs, roots, written = finish_levels(passed.where("not wanted"), levels)
@@ -240,7 +240,7 @@ def forest(rows: DataFrame, order: list[str], payload: list[str], schema: str, e
     discard(passed, roots, *written, *more_written)
     told_leaves = ranged.mapPartitionsWithIndex(lambda p, it: ((p, i, *r) for i, r in enumerate(it)))
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in payload)
-    leaves = spark.createDataFrame(told_leaves, f"part long, place long, key string, leaf binary, {kinds}")
+    leaves = spark.createDataFrame(told_leaves, f"part long, place long, key string, leaf binary, {kinds}", verifySchema=False)
     # answers come before the leaves of their range
     both = leaves.unionByName(answers, allowMissingColumns=True).repartition("part").sortWithinPartitions("part", F.col("place").asc_nulls_first())
     out = T._parse_datatype_string(schema)
