@@ -187,7 +187,9 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     conversations there is no node, not even the root. Other columns are ignored. Names of nodes are 128-bit hashes.
     A node's saving is its words times its members but one, added up over its subtree.
     """
-    rows = materialize(prefixes(rebuilt(materialize(turns_of(conversations), "trie-turns"))), "trie-rows")
+    turns = materialize(turns_of(conversations), "trie-turns")
+    rows = materialize(prefixes(rebuilt(turns)), "trie-rows")
+    discard(turns)
     nodes = trie_nodes(rows)
     children = nodes.groupBy(F.col("parent").alias("_p")).agg(F.count("*").alias("n_children"))
     counted = nodes.join(children, F.col("node") == F.col("_p"), "left").withColumn("n_children", F.coalesce("n_children", F.lit(0).cast("long"))).drop("_p")
