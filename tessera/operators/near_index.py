@@ -53,7 +53,7 @@ class NearIndex:
     def _sets(self, rows: DataFrame, key: str, seq: str, text: str, scope: Sequence[str]) -> DataFrame:
         """id, seq, scope and shingle set of each text that has one, with two hashes that stand for the set."""
         sets = dedup.shingled(rows, text, word=self.word)
-        ordered = F.array_sort("shingle_hashes")
+        ordered = F.sort_array("shingle_hashes")
         return sets.select(F.col(key).alias("id"), F.col(seq).cast("bigint").alias("seq"), scope_of(scope).alias("scope"), F.xxhash64(F.lit(1), ordered).alias("set1"), F.xxhash64(F.lit(2), ordered).alias("set2"), "shingle_hashes")
 
     def add(self, rows: DataFrame, batch: int, key: str, seq: str, text: str, scope: Sequence[str] = (), verify: bool = True) -> DataFrame:
@@ -71,10 +71,13 @@ class NearIndex:
         # the first text of each set: in the index, or in the batch
         own = sets.groupBy(*same).agg(F.min(F.struct("seq", "id")).alias("own"))
         joined = own.join(known, [F.col(c) == F.col(f"_{c}") for c in same], "left")
-        firsts = written(joined.select(*same, F.coalesce("first", "own.id").alias("rep"), F.coalesce("first_seq", "own.seq").alias("rep_seq"), F.col("first").isNull().alias("fresh")), "near-firsts")
-        fresh = firsts.where("fresh").select(*(F.col(c).alias(f"_{c}") for c in same), F.col("rep").alias("_rep"))
-        new = sets.join(fresh, [*(F.col(c) == F.col(f"_{c}") for c in same), F.col("id").eqNullSafe(F.col("_rep"))], "left_semi").dropDuplicates(same)
-        signed = self._signed(new)
+        first = F.coalesce("first", "own.id")
+        firsts = joined.select(*(F.col(c).alias(f"_{c}") for c in same), first.alias("rep"), F.col("first").isNull().alias("fresh"))
+        told = sets.select("id", *same).join(firsts, [F.col(c) == F.col(f"_{c}") for c in same])
+        told = written(told.select("id", *same, "rep", (F.col("fresh") & F.col("id").eqNullSafe(F.col("rep"))).alias("is_first")), "near-told")
+        # what goes is less than what stays, so that sets need not be shuffled for it
+        new = sets.join(told.where("not is_first").select(F.col("id").alias("_id")), F.col("id") == F.col("_id"), "left_anti")
+        signed = dedup.signatures(new, ["id", "seq", "scope", "set1", "set2", "shingle_hashes", "bucket"]).select("id", "seq", "scope", "set1", "set2", "shingle_hashes", "minhash", "bucket")
         self._keep(signed, "entries", batch)
         entered = self.spark.read.schema(self.entry_schema).parquet(f"{self.path}/entries").where(F.col("batch") == batch) if exists(self.spark, f"{self.path}/entries") else self.spark.createDataFrame([], self.entry_schema)
         bands = F.array(*(F.xxhash64(F.slice("minhash", i * dedup.ROWS + 1, dedup.ROWS), F.lit(i)) for i in range(dedup.BANDS)))
@@ -82,28 +85,24 @@ class NearIndex:
         self._keep(probes, "bands", batch)
         best = self._best(probes, entered, batch, verify)
         # a text whose set came before matches that set's first; the first of a new set has what was found for it
-        of_set = firsts.join(best.select(*(F.col(c).alias(f"_{c}") for c in same[1:]), "found"), [F.col(c) == F.col(f"_{c}") for c in same[1:]], "left").select(*(F.col(c).alias(f"_{c}") for c in same), "rep", "fresh", "found")
-        told = sets.select("id", *same).join(of_set, [F.col(c) == F.col(f"_{c}") for c in same])
-        is_first = F.col("fresh") & F.col("id").eqNullSafe(F.col("rep"))
-        said = told.select(F.col("id").alias("_id"), F.when(is_first, F.col("found.match")).otherwise(F.col("rep")).alias("match"), F.when(is_first, F.col("found.similarity")).otherwise(1.0).alias("similarity"))
+        found = told.join(best.select(*(F.col(c).alias(f"_{c}") for c in same[1:]), "found"), [F.col(c) == F.col(f"_{c}") for c in same[1:]], "left")
+        said = found.select(F.col("id").alias("_id"), F.when(F.col("is_first"), F.col("found.match")).otherwise(F.col("rep")).alias("match"), F.when(F.col("is_first"), F.col("found.similarity")).otherwise(1.0).alias("similarity"))
         return rows.select(F.col(key).alias("id")).join(said, F.col("id") == F.col("_id"), "left").select("id", "match", "similarity")
 
-    def _signed(self, new: DataFrame) -> DataFrame:
-        keys = ["id", "seq", "scope", "set1", "set2", "bucket"]
-        signed = dedup.signatures(new, ["scope", "set1", "set2"]).select(F.col("scope").alias("_s"), F.col("set1").alias("_1"), F.col("set2").alias("_2"), "minhash")
-        return new.join(signed, (F.col("scope") == F.col("_s")) & (F.col("set1") == F.col("_1")) & (F.col("set2") == F.col("_2"))).select(*keys[:-1], "shingle_hashes", "minhash", "bucket")
-
     def _best(self, probes: DataFrame, entered: DataFrame, batch: int, verify: bool) -> DataFrame:
         """scope, set1, set2 and found (match, similarity) of new texts."""
         kept = self._read("bands", self.band_schema, F.col("batch") <= batch, probes).alias("k")
         earlier = F.expr("p.bucket = k.bucket and p.scope = k.scope and p.band = k.band and k.seq < p.seq")
         pairs = probes.alias("p").join(kept, earlier).select("p.scope", "p.set1", "p.set2", F.col("k.set1").alias("other1"), F.col("k.set2").alias("other2")).distinct()
         value, measure = ("shingle_hashes", dedup.jaccard) if verify else ("minhash", dedup.slots_agreeing)
-        pairs = pairs.withColumn("bucket", F.pmod(F.xxhash64("scope", "other1", "other2"), F.lit(self.buckets)).cast("int"))
-        others = self._read("entries", self.entry_schema, F.col("batch") <= batch).select(F.col("bucket").alias("_b"), F.col("scope").alias("_s"), F.col("set1").alias("_1"), F.col("set2").alias("_2"), F.col("id").alias("match"), F.col("seq").alias("match_seq"), F.col(value).alias("theirs"))
-        one = entered.select(F.col("scope").alias("_so"), F.col("set1").alias("_o1"), F.col("set2").alias("_o2"), F.col(value).alias("own"))
+        pairs = written(pairs.withColumn("bucket", F.pmod(F.xxhash64("scope", "other1", "other2"), F.lit(self.buckets)).cast("int")), "near-pairs")
+        # sets that are in no pair go before those in one are met
+        met = lambda *c: pairs.select(*(F.col(x).alias(f"_m{i}") for i, x in enumerate(c))).distinct()
+        others = self._read("entries", self.entry_schema, F.col("batch") <= batch)
+        others = others.join(met("bucket", "scope", "other1", "other2"), F.expr("bucket = _m0 and scope = _m1 and set1 = _m2 and set2 = _m3"), "left_semi").select(F.col("bucket").alias("_b"), F.col("scope").alias("_s"), F.col("set1").alias("_1"), F.col("set2").alias("_2"), F.col("id").alias("match"), F.col("seq").alias("match_seq"), F.col(value).alias("theirs"))
+        one = entered.join(met("scope", "set1", "set2"), F.expr("scope = _m0 and set1 = _m1 and set2 = _m2"), "left_semi").select(F.col("scope").alias("_so"), F.col("set1").alias("_o1"), F.col("set2").alias("_o2"), F.col(value).alias("own"))
         both = pairs.join(one, F.expr("scope = _so and set1 = _o1 and set2 = _o2")).join(others, F.expr("bucket = _b and scope = _s and other1 = _1 and other2 = _2"))
-        scored = both.select("scope", "set1", "set2", "match", "match_seq", measure(F.col("own"), F.col("theirs")).alias("similarity")).where(F.col("similarity") >= self.threshold)
+        scored = both.select("scope", "set1", "set2", "match", "match_seq", dedup.once(measure(F.col("own"), F.col("theirs"))).alias("similarity")).where(F.col("similarity") >= self.threshold)
         # the greatest similarity, then the earliest
         best = F.min_by(F.struct("match", "similarity"), F.struct(-F.col("similarity"), F.col("match_seq"), F.col("match")))
         return scored.groupBy("scope", "set1", "set2").agg(best.alias("found"))
