@@ -1,4 +1,4 @@
-"""Flow checks as stateful streams, with typed state in the RocksDB store: each key's state is read, and what changed is written, when events of the key come.
+"""Flow checks as stateful streams, with typed state in the RocksDB store: each key's state is read, and what changed is written, when events of the key come. Rows go to and fro in batches of many keys, which a frame for each key would not.
 
 A stream needs settings(spark) before it starts. Events of one trigger are taken in the order of (ts, tie); triggers come in
 the order of time, as files of a log do.
@@ -9,8 +9,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -21,9 +20,9 @@ def settings(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
 
 
-def _in_order(rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+def _in_order(rows: Iterator[Row]) -> list[tuple]:
     """(ts, tie, flag) of a key's events of one trigger."""
-    return pd.concat(list(rows))[["ts", "tie", "flag"]].sort_values(["ts", "tie"]).itertuples(index=False, name=None)
+    return sorted((r["ts"], r["tie"], r["flag"]) for r in rows)
 
 
 class Breaker(StatefulProcessor):
@@ -38,7 +37,7 @@ class Breaker(StatefulProcessor):
         self.window = handle.getListState("window", "t long, bad boolean")
         self.until = handle.getValueState("until", "t long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         held = deque((int(t), bool(b)) for t, b in self.window.get())
         known, left, errors = len(held), 0, sum(b for _, b in held)
         until = self.until.get()[0] if self.until.exists() else None
@@ -63,7 +62,8 @@ class Breaker(StatefulProcessor):
             self.until.clear()
         elif until != was:
             self.until.update((until,))
-        yield pd.DataFrame(out, columns=["key", "tie", "n", "errors", "state"])
+        for key_, tie, n, errors, state in out:
+            yield Row(key=key_, tie=tie, n=n, errors=errors, state=state)
 
     def close(self) -> None:
         pass
@@ -80,8 +80,9 @@ class Backoff(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", "discards long, until long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        count, until = self.state.get() if self.state.exists() else (0, None)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        before = self.state.get()  # None if there is none: each call goes to the JVM and back
+        count, until = (0, None) if before is None else before
         out = []
         for t, tie, bad in _in_order(rows):
             t = int(t)
@@ -92,9 +93,10 @@ class Backoff(StatefulProcessor):
             out.append((key[0], int(tie), int(count), until))
         if count:
             self.state.update((int(count), until))
-        else:
+        elif before is not None:
             self.state.clear()  # a success leaves nothing to keep
-        yield pd.DataFrame(out, columns=["key", "tie", "discards", "until"]).astype({"until": "Int64"})
+        for key_, tie, discards, until in out:
+            yield Row(key=key_, tie=tie, discards=discards, until=until)
 
     def close(self) -> None:
         pass
@@ -112,18 +114,18 @@ class Stall(StatefulProcessor):
         self.handle = handle
         self.seen = handle.getValueState("seen", "events long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        seen = (self.seen.get()[0] if self.seen.exists() else 0) + sum(len(r) for r in rows)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        seen = (self.seen.get()[0] if self.seen.exists() else 0) + sum(1 for _ in rows)
         self.seen.update((int(seen),))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.milliseconds)
-        yield pd.DataFrame([(key[0], int(seen), "active")], columns=["key", "events", "status"])
+        yield Row(key=key[0], events=int(seen), status="active")
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         seen = self.seen.get()[0]
         self.seen.clear()
-        yield pd.DataFrame([(key[0], int(seen), "stalled")], columns=["key", "events", "status"])
+        yield Row(key=key[0], events=int(seen), status="stalled")
 
     def close(self) -> None:
         pass
@@ -132,7 +134,7 @@ class Stall(StatefulProcessor):
 def checked(events: DataFrame, check: Breaker | Backoff | Stall) -> DataFrame:
     """The stream of a check's rows. events: key string, ts long (microseconds), tie long, flag boolean (whether it failed or was discarded; a null one did not)."""
     rows = events.fillna({"flag": False})
-    return rows.groupBy("key").transformWithStateInPandas(check, check.OUT, "Append", "ProcessingTime" if isinstance(check, Stall) else "None")
+    return rows.groupBy("key").transformWithState(check, check.OUT, "Append", "ProcessingTime" if isinstance(check, Stall) else "None")
 
 
 def over_split(spark: SparkSession, parts: list[DataFrame], check: Breaker | Backoff, folder: str) -> DataFrame:

@@ -48,3 +48,40 @@ def test_stall_timer(spark, tmp_path):
         assert got == {("a", 2, "active"), ("b", 1, "active"), ("a", 2, "stalled"), ("b", 1, "stalled")}
     finally:
         query.stop()
+
+
+def test_a_key_costs_few_calls():
+    """Handlers take rows as they are, and ask the store for a key's state once."""
+    from pyspark.sql import Row
+
+    calls = []
+
+    class State:
+        held = None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def exists(self):
+            calls.append("exists")
+            return self.held is not None
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+        def clear(self):
+            calls.append("clear")
+            self.held = None
+
+    class Handle:
+        def getValueState(self, *_):
+            return State()
+
+    check = stateful.Backoff(2, 10)
+    check.init(Handle())
+    run = lambda *x: [tuple(r) for r in check.handleInputRows(("k",), iter([Row(key="k", ts=t, tie=i, flag=b) for i, (t, b) in enumerate(x)]), None)]
+    assert run((5, False)) == [("k", 0, 0, None)] and calls == ["get"]
+    assert run((7, True), (6, True)) == [("k", 1, 1, None), ("k", 0, 2, 17)] and calls == ["get", "get", "update"]
+    assert run((20, False)) == [("k", 0, 0, None)] and calls[3:] == ["get", "clear"]
