@@ -10,13 +10,11 @@ aggregate over a narrow table.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,18 +28,27 @@ DOMAINS = ("clean", "junk", "toxic")
 PLACES = 1 << 16
 #: Labelled rows that the classifier learns from: all up to so many, of more a share by a hash. Their ids and domains (16 bytes each) go to all workers.
 TRAIN_ROWS = 200_000
-_RUN = re.compile(rb"(.)\1+", re.S)
+_OUTER = np.zeros(256, bool)
+_OUTER[list(b".,;:!?|\"'()*#$%&<>")] = True
 _SHAPE = bytes(ord("A") if 65 <= c <= 90 else ord("a") if 97 <= c <= 122 or c >= 128 else ord("0") if 48 <= c <= 57 else c for c in range(256))
 
 
 def _places(new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Of each word, the place of its lower-case form without outer punctuation, and that of its shape (runs of letters as one)."""
-    out = np.zeros((2, len(new)), np.int32)
-    for k, w in enumerate(new):
-        short = _RUN.sub(rb"\1", w.translate(_SHAPE))
-        out[0, k] = xxhash.xxh3_64_intdigest(w.lower().strip(b".,;:!?|\"'()*#$%&<>")) % PLACES
-        out[1, k] = xxhash.xxh3_64_intdigest(b"\x00" + short) % PLACES
-    return out[0], out[1]
+    joined = b"\n" + b"\n".join(new) + b"\n"  # words hold no line break
+    edges = np.flatnonzero(np.frombuffer(joined, np.uint8) == 10)
+    begin, end = edges[:-1] + 1, edges[1:].copy()
+    data = np.frombuffer(joined, np.uint8)
+    shape = np.frombuffer(joined.translate(_SHAPE), np.uint8)
+    short = shape[np.concatenate(([True], shape[1:] != shape[:-1]))]
+    for at, step, last in ((begin, 1, 0), (end, -1, -1)):
+        rest = np.arange(len(begin) * bool(new))
+        while len(rest := rest[(begin[rest] < end[rest]) & _OUTER[data[at[rest] + last]]]):
+            at[rest] += step
+    edges = np.flatnonzero(short == 10)
+    shapes = W.exact_hashes(short.tobytes() + W.PAD, edges[:-1] + 1, np.diff(edges) - 1) if new else np.zeros(0, np.uint64)
+    names = W.exact_hashes(joined.lower() + W.PAD, begin, end - begin) if new else shapes
+    return tuple((x & np.uint64(PLACES - 1)).astype(np.int32) for x in (names, W.mix64(shapes + np.uint64(1))))
 
 
 def features(blobs: list[bytes], used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,6 +1,7 @@
 """Operators against plain Python on small inputs."""
 
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -230,6 +231,42 @@ def test_word_table_forgets():
     assert len(t) <= 4 and b"z" in t and b"w" not in t
 
 
+def test_word_table_holds_numbers_only():
+    """A word costs its slots, hash and columns, and no object of its own."""
+    import tracemalloc
+
+    words = b" ".join(b"%x-word-of-some-length" % (k * 7919) for k in range(100_000))
+    W.split(W.WordTable(W.hash64), [words])
+    t = W.WordTable(W.hash64)
+    tracemalloc.start()
+    rows, _ = W.split(t, [words])
+    rows, held = len(set(rows.tolist())), tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert rows == 100_000 and held < 140 * 100_000
+
+
+def test_word_table_tells_words_apart():
+    """Words of all sizes, some with zero bytes, those that share long parts, and those beyond the size that is read by eights."""
+    rng = random.Random(3)
+    words = [b"a" * k for k in range(1, 150)] + [b"\x00" * k for k in range(1, 70)] + [b"x" * k + b"\x00" for k in range(70)] + [bytes(rng.choice(b"abAB") for _ in range(rng.randrange(1, 80))) for _ in range(3000)]
+    t = W.WordTable(W.hash64)
+    for part in (words[:500], words, words[::-1]):
+        rows, starts = W.split(t, [b" ".join(part), b"", b" \n"])
+        assert t.columns[0][rows].tolist() == W.hash64(part)[0].tolist() and starts.tolist() == [0, len(part), len(part), len(part)]
+    assert len(t) == len(set(words))
+
+
+def test_places_by_plain_python():
+    rng = random.Random(5)
+    words = [bytes(rng.choice(b"aAbB19.,-'\xc3\xa9") for _ in range(rng.randrange(1, 7))) for _ in range(4000)]
+    shape = lambda w: re.sub(rb"(.)\1+", rb"\1", bytes(ord("A") if 65 <= c <= 90 else ord("a") if 97 <= c <= 122 or c > 127 else ord("0") if 48 <= c <= 57 else c for c in w))
+    for got, name in zip(mixing._places(words), (lambda w: w.lower().strip(b".,'"), shape), strict=True):
+        by: dict = {}
+        assert all(by.setdefault(name(w), p) == p for w, p in zip(words, got.tolist(), strict=True))
+        assert len(set(by.values())) >= 0.9 * len(by)
+    assert all(len(x) == 0 for x in mixing._places([]))
+
+
 def test_token_table_forgets():
     from tessera.llm import packing
     from tessera.llm.queries import tokenizer_path
