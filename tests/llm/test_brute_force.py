@@ -290,6 +290,52 @@ def test_special_tokens(text):
     assert ids.tolist() == t.subwords.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_attention_by_loops():
+    """Losses and scores by plain loops over positions, and gradients by differences; targets lie in few groups, and some positions have none."""
+    rng = np.random.default_rng(1)
+    model = lm.Attention(30, 4)
+    inputs, targets = rng.integers(0, 31, (5, lm.WINDOW)), rng.choice([-1, 0, 1, 7, 8, 29], (5, lm.SPAN))
+
+    def slow() -> np.ndarray:
+        p = {k: v.astype(float) for k, v in model.p.items()}
+        out = np.zeros(targets.shape)
+        for w, i in np.argwhere(targets >= 0).tolist():
+            x = p["E"][inputs[w, : lm.LEAD + i + 1]] + p["P"][: lm.LEAD + i + 1]
+            a = np.exp(x[-1] @ p["Q"] @ (x @ p["K"]).T / 2)
+            h = x[-1] + a @ (x @ p["V"]) / a.sum() @ p["O"]
+            group, member = divmod(targets[w, i], model.members)
+            for z, own in ((h @ p["U"] + p["b"], group), (h @ p["M"][group] + p["c"][group] + model.absent[group], member)):
+                out[w, i] += z[own] - np.log(np.exp(z).sum())
+        return out
+
+    assert np.allclose(model.log_probabilities(inputs, targets, 2), slow(), atol=1e-5)
+    loss, g = model.step(inputs, targets)
+    n = (targets >= 0).sum()
+    assert np.isclose(loss, -slow().sum() / n, atol=1e-5) and {k: v.shape for k, v in g.items()} == {k: v.shape for k, v in model.p.items()}
+    for k, v in model.p.items():
+        at = tuple(int(rng.integers(0, m)) for m in v.shape) if k != "c" else (0, 1)
+        was, ends = v[at], []
+        for step in (1e-2, -1e-2):
+            v[at] = was + np.float32(step)
+            ends.append(-slow().sum() / n)
+        v[at] = was
+        assert np.isclose(g[k][at], (ends[0] - ends[1]) / 2e-2, rtol=0.02, atol=2e-4), k
+    assert model.step(inputs, np.full(targets.shape, -1))[0] == 0 and not model.log_probabilities(inputs, np.full(targets.shape, -1)).any()
+
+
+def test_a_step_calls_few_operations():
+    """The exponentials of all groups are taken at once: a call each for the attention, the groups and their members."""
+    rng = np.random.default_rng(2)
+    model = lm.Attention(1024, 16)
+    inputs, targets = rng.integers(0, 1024, (8, lm.WINDOW)), rng.integers(0, 1024, (8, lm.SPAN))
+    calls, exp = [], np.exp
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(lm.np, "exp", lambda *a, **k: calls.append(1) or exp(*a, **k))
+        model.step(inputs, targets)
+        model.log_probabilities(inputs, targets)
+    assert len(calls) == 6
+
+
 def test_windows_score_each_token_once():
     starts = np.array([0, 5, 5, 45])
     classes = np.arange(45, dtype=np.int16)
