@@ -28,8 +28,9 @@ def _tokens(text: Column) -> Column:
 def _value(token: Column) -> Column:
     """The text of a string token."""
     plain = F.replace(F.replace(token, F.lit(_BACKSLASH), F.lit("\\\\")), F.lit(_QUOTE), F.lit('\\"'))
+    escaped = F.contains(token, F.lit("\\")) | F.contains(token, F.lit(_BACKSLASH)) | F.contains(token, F.lit(_QUOTE))
     # without escapes it is what stands between the quotes
-    return F.when(F.contains(plain, F.lit("\\")), F.element_at(F.from_json(F.concat(F.lit("["), plain, F.lit("]")), "array<string>"), 1)).otherwise(F.substring(plain, F.lit(2), F.length(plain) - F.lit(2)))
+    return F.when(escaped, F.element_at(F.from_json(F.concat(F.lit("["), plain, F.lit("]")), "array<string>"), 1)).otherwise(F.substring(token, F.lit(2), F.length(token) - F.lit(2)))
 
 
 def folded(text: Column) -> Column:

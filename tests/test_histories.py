@@ -160,3 +160,16 @@ def test_anchor_replay(spark):
                 known |= leaves(result, True)
         want |= {(task, v) for v in (leaves(answers[task], False) & shown) - connected}
     assert got == want and want
+
+
+def test_text_without_escapes_is_taken_as_it_is(spark):
+    """A string's escapes are put back for those that have some, once, and its text is the same as by Python's json."""
+    import json
+    import re
+
+    from tessera.functions import json_leaves as J
+
+    values = ["plain", "Two Words", 'a"b', "back\\slash", "\\", '"', "tab\tnew\nline", "é中", "\\\\u0041", "x\\n"]
+    df = spark.createDataFrame([(json.dumps([v, {"k": v}]),) for v in values] + [('["\\u0041b"]',)], "x string").select(J.string_leaves(F.col("x")).alias("v"))
+    assert [r.v for r in df.collect()] == [[v.lower().strip(" \t\n\r\x0b\x0c")] * 2 for v in values] + [["ab"]]
+    assert len(re.findall(r"(?<!regexp_)replace\(", df._jdf.queryExecution().analyzed().toString())) <= 4
