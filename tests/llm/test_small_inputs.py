@@ -201,3 +201,15 @@ def test_language(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert langid.identify(empty, docs).count() == 0
     assert [r.lang for r in langid.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), docs.limit(0)).collect()] == [None] * 5
+
+
+def test_a_new_use_gives_memory_back(monkeypatch):
+    """A worker returns what the last use's table took before and after it makes the next one."""
+    from tessera.llm import words
+
+    order = []
+    monkeypatch.setattr(words, "_held", {"last": object()})
+    monkeypatch.setattr(words, "_give_back", lambda: order.append("back"))
+    words.held("next", lambda: order.append("make"))
+    words.held("next", lambda: order.append("make"))
+    assert order == ["back", "make", "back"] and list(words._held) == ["next"]
