@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.storage import beside, discard, materialize
@@ -75,13 +75,10 @@ def components(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFrame:
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """(key, node, hub) of keys (key, node) that two nodes or more have, written; the hub is the key's smallest node. Of keys that one node has, which are most, only a count is shuffled."""
-    twice = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k")), "twice")
-    members = materialize(keys.join(beside(twice, 1), F.col("key") == F.col("k"), "left_semi"), "members")
-    hubs = materialize(members.groupBy(F.col("key").alias("k")).agg(F.min("node").alias("hub")), "hubs")
-    out = materialize(members.join(beside(hubs), F.col("key") == F.col("k")).select("key", "node", "hub"), "keys")
-    discard(twice, members, hubs)
-    return out
+    """(key, node, hub) of keys (key, node) that two nodes or more have, written; the hub is the key's smallest node. Keys are shuffled once, at every size, as rows of two numbers."""
+    own = Window.partitionBy("key")
+    both = keys.select("key", "node", F.min("node").over(own).alias("hub"), F.max("node").over(own).alias("last"))
+    return materialize(both.where("hub <> last").select("key", "node", "hub"), "keys")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -165,9 +165,9 @@ def seeds(documents: DataFrame, least_run: int) -> DataFrame:
     return _keyed(documents, "copy_of").mapInArrow(run, SEEDS)
 
 
-def seeded_windows(documents: DataFrame, marks: DataFrame, few: bool, least_run: int) -> DataFrame:
-    """The windows of `least_run` words that hold a marked seed (of_id, of_key, places), with their hashes."""
-    chosen = _keyed(documents).join(F.broadcast(marks) if few else marks, (F.col("own_id") == F.col("of_id")) & (F.col("own_key") == F.col("of_key")))
+def seeded_windows(documents: DataFrame, marks: DataFrame, least_run: int) -> DataFrame:
+    """The windows of `least_run` words that hold a marked seed (of_id, of_key, places), with their hashes. Marks grow with the texts, so they are met by a shuffle at every size."""
+    chosen = _keyed(documents).join(marks, (F.col("own_id") == F.col("of_id")) & (F.col("own_key") == F.col("of_key")))
     reach = least_run - min(SEED_WORDS, least_run)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,9 +282,7 @@ def window_removals(documents: DataFrame, least_run: int) -> DataFrame:
     both = materialize(own.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select(F.col("h").alias("k")), "both")
     # a document's own seeds: as many as its words allow
     marks = materialize(own.join(beside(both, 1), F.col("h") == F.col("k"), "left_semi").groupBy(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key")).agg(F.collect_set(F.col("start").cast("int")).alias("places")), "marks")
-    # a place is a quarter of an id's 16 bytes
-    few = (marks.agg(F.sum(F.size("places") + 4)).first()[0] or 0) <= 4 * BROADCAST_IDS
-    windows = materialize(seeded_windows(documents, marks, few, least_run), "windows")
+    windows = materialize(seeded_windows(documents, marks, least_run), "windows")
     discard(both, marks)
     first = materialize(windows.groupBy("h").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper <> last").select(F.col("h").alias("k"), "keeper"), "first")
     hits = windows.join(beside(first), F.col("h") == F.col("k")).where("doc_id <> keeper")

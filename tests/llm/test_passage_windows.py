@@ -79,3 +79,20 @@ def test_null_and_repeated_ids(spark):
     rows = [(None, text[0]), (3, text[1]), (3, text[2]), (None, text[3]), (5, text[3]), (5, text[3])]
     got = sorted((r.doc_id is None, r.doc_id or 0, r.n_removed) for r in passages.without_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(False, 3, 0), (False, 3, 0), (False, 5, 0), (False, 5, 0), (True, 0, 60), (True, 0, 60)]
+
+
+def test_texts_meet_marks_by_a_shuffle(spark):
+    """However few the marks are: a plan that changes with the size would move more at scale than small tables show."""
+    docs = spark.createDataFrame([(1, " ".join(new(random.Random(1), 30)))], "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 5, [0])], "of_id long, of_key long, places array<int>")
+    plan = passages.seeded_windows(docs, marks, least_run=24)._jdf.queryExecution().logical().toString()
+    assert "broadcast" not in plan.lower()
+
+
+def test_shared_keys(spark):
+    """Keys of two nodes or more, whose rows are shuffled once."""
+    from tessera.llm import components
+
+    rows = [(1, 5), (1, 3), (1, 9), (2, 4), (3, 7), (3, 7), (4, 2), (4, 1)]
+    found = components.shared_keys(spark.createDataFrame(rows, "key long, node long"))
+    assert sorted(map(tuple, found.collect())) == [(1, 3, 3), (1, 5, 3), (1, 9, 3), (4, 1, 1), (4, 2, 1)]
