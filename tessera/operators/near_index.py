@@ -1,9 +1,11 @@
 """A kept index of texts in which near duplicates are looked up, scope by scope, as new texts come.
 
-Two Parquet tables in one folder: `entries` has the shingle set and the signature of one text of each set, the first that
-came; `bands` has a row for each band of its signature. Both are laid out by buckets (of the set, and of scope and
-band), so that a batch reads the buckets that it touches, and by batch, so that a batch that comes again replaces itself.
-Texts are signed once, when they come; equal sets are never compared.
+Three Parquet tables in one folder: `entries` names one text of each shingle set, the first that came; `sets` has its
+set and the keys of its signature's bands; `bands` has a row for each key. `entries` and `bands` are laid out by buckets
+(of the set, and of the key), so that a batch reads the buckets that it touches, and all by batch, so that a batch that
+comes again replaces itself. Sets, which are larger than the texts, are written once, where they are made, and never
+shuffled but for those of candidates; a text is shingled twice for that: to be named, and, if it is a set's first, to be
+kept. Equal sets are never compared.
 """
 
 from __future__ import annotations
@@ -14,10 +16,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import dedup
-from tessera.sources.scratch import exists, written
+from tessera.sources.scratch import discard, exists, shuffles_dropped, written
 
-#: Parts of each table by hash; a batch reads those that its rows fall into.
+#: Parts of a table by hash; a batch reads those that its rows fall into.
 BUCKETS = 64
+#: Numbers that are sent to all executors at most: of copies in a batch (beyond it, its texts are shuffled), and of marks that candidates have (one may share its mark with others, whose sets are then shuffled too).
+FEW = 2**21
 
 
 def scope_of(scope: Sequence[str]) -> Column:
@@ -30,8 +34,9 @@ class NearIndex:
 
     def __init__(self, spark: SparkSession, path: str, id_type: str, threshold: float = dedup.THRESHOLD, buckets: int = BUCKETS, word: str = r"(?U)\w+"):
         self.spark, self.path, self.threshold, self.buckets, self.word = spark, path.rstrip("/"), threshold, buckets, word
-        self.entry_schema = f"id {id_type}, seq bigint, scope string, set1 bigint, set2 bigint, shingle_hashes array<bigint>, minhash array<bigint>, batch bigint, bucket int"
-        self.band_schema = f"id {id_type}, seq bigint, scope string, band bigint, set1 bigint, set2 bigint, batch bigint, bucket int"
+        self.entry_schema = f"id {id_type}, seq bigint, scope string, set1 bigint, set2 bigint, batch bigint, bucket int"
+        self.set_schema = f"id {id_type}, seq bigint, scope string, shingle_hashes array<bigint>, bands array<bigint>, batch bigint"
+        self.band_schema = "seq bigint, band bigint, batch bigint, bucket int"
 
     def _bucket(self, *of: str) -> Column:
         return F.pmod(F.xxhash64(*of), F.lit(self.buckets)).cast("int").alias("bucket")
@@ -45,16 +50,27 @@ class NearIndex:
         return table if touched is None else table.where(F.col("bucket").isin([r[0] for r in touched.select("bucket").distinct().collect()]))
 
     def _keep(self, rows: DataFrame, name: str, batch: int) -> None:
-        rows.withColumn("batch", F.lit(batch).cast("bigint")).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "bucket").parquet(f"{self.path}/{name}")
+        with shuffles_dropped(self.spark):
+            rows.withColumn("batch", F.lit(batch).cast("bigint")).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "bucket").parquet(f"{self.path}/{name}")
 
     def entries(self) -> DataFrame:
         return self._read("entries", self.entry_schema, F.lit(True))
 
-    def _sets(self, rows: DataFrame, key: str, seq: str, text: str, scope: Sequence[str]) -> DataFrame:
-        """id, seq, scope and shingle set of each text that has one, with two hashes that stand for the set."""
-        sets = dedup.shingled(rows, text, word=self.word)
+    def _told(self, texts: DataFrame, batch: int) -> DataFrame:
+        """id, seq, scope, bucket and two hashes that stand for the shingle set of each text that has one; the first text of the set (rep), and whether it is the text itself."""
         ordered = F.sort_array("shingle_hashes")
-        return sets.select(F.col(key).alias("id"), F.col(seq).cast("bigint").alias("seq"), scope_of(scope).alias("scope"), F.xxhash64(F.lit(1), ordered).alias("set1"), F.xxhash64(F.lit(2), ordered).alias("set2"), "shingle_hashes")
+        named = dedup.shingled(texts, "text", word=self.word).select("id", "seq", "scope", F.xxhash64(F.lit(1), ordered).alias("set1"), F.xxhash64(F.lit(2), ordered).alias("set2"))
+        named = written(named.withColumn("bucket", self._bucket("scope", "set1", "set2")), "near-named")
+        same = ["bucket", "scope", "set1", "set2"]
+        known = self._read("entries", self.entry_schema, F.col("batch") < batch, named).select(*(F.col(c).alias(f"_{c}") for c in same), F.col("id").alias("first"))
+        # the first text of each set: in the index, or in the batch
+        own = named.groupBy(*same).agg(F.min(F.struct("seq", "id")).alias("own"))
+        joined = own.join(known, [F.col(c) == F.col(f"_{c}") for c in same], "left")
+        firsts = joined.select(*(F.col(c).alias(f"_{c}") for c in same), F.coalesce("first", "own.id").alias("rep"), F.col("first").isNull().alias("fresh"))
+        told = named.join(firsts, [F.col(c) == F.col(f"_{c}") for c in same])
+        told = written(told.select("id", "seq", *same, "rep", (F.col("fresh") & F.col("id").eqNullSafe(F.col("rep"))).alias("is_first")), "near-told")
+        discard(self.spark, named.written_path)
+        return told
 
     def add(self, rows: DataFrame, batch: int, key: str, seq: str, text: str, scope: Sequence[str] = (), verify: bool = True) -> DataFrame:
         """Looks up every row among the texts of smaller seq, in the index and in the batch, and adds the batch.
@@ -64,48 +80,52 @@ class NearIndex:
         signature slots. A row without shingles matches nothing. The same batch number again gives the same result and
         the same index; batches come in the order of their seq. Neither id nor seq repeats or is null.
         """
-        sets = written(self._sets(rows, key, seq, text, scope).withColumn("bucket", self._bucket("scope", "set1", "set2")), "near-sets")
-        same = ["bucket", "scope", "set1", "set2"]
-        before = F.col("batch") < batch
-        known = self._read("entries", self.entry_schema, before, sets).select(*(F.col(c).alias(f"_{c}") for c in same), F.col("id").alias("first"), F.col("seq").alias("first_seq"))
-        # the first text of each set: in the index, or in the batch
-        own = sets.groupBy(*same).agg(F.min(F.struct("seq", "id")).alias("own"))
-        joined = own.join(known, [F.col(c) == F.col(f"_{c}") for c in same], "left")
-        first = F.coalesce("first", "own.id")
-        firsts = joined.select(*(F.col(c).alias(f"_{c}") for c in same), first.alias("rep"), F.col("first").isNull().alias("fresh"))
-        told = sets.select("id", *same).join(firsts, [F.col(c) == F.col(f"_{c}") for c in same])
-        told = written(told.select("id", *same, "rep", (F.col("fresh") & F.col("id").eqNullSafe(F.col("rep"))).alias("is_first")), "near-told")
-        # what goes is less than what stays, so that sets need not be shuffled for it
-        new = sets.join(told.where("not is_first").select(F.col("id").alias("_id")), F.col("id") == F.col("_id"), "left_anti")
-        signed = dedup.signatures(new, ["id", "seq", "scope", "set1", "set2", "shingle_hashes", "bucket"]).select("id", "seq", "scope", "set1", "set2", "shingle_hashes", "minhash", "bucket")
-        self._keep(signed, "entries", batch)
-        entered = self.spark.read.schema(self.entry_schema).parquet(f"{self.path}/entries").where(F.col("batch") == batch) if exists(self.spark, f"{self.path}/entries") else self.spark.createDataFrame([], self.entry_schema)
-        bands = F.array(*(F.xxhash64(F.slice("minhash", i * dedup.ROWS + 1, dedup.ROWS), F.lit(i)) for i in range(dedup.BANDS)))
-        probes = written(entered.select("id", "seq", "scope", "set1", "set2", F.explode(bands).alias("band")).withColumn("bucket", self._bucket("scope", "band")), "near-probes")
-        self._keep(probes, "bands", batch)
-        best = self._best(probes, entered, batch, verify)
+        texts = rows.select(F.col(key).alias("id"), F.col(seq).cast("bigint").alias("seq"), scope_of(scope).alias("scope"), F.col(text).alias("text"))
+        told = self._told(texts, batch)
+        copies = told.where("not is_first").select(F.col("seq").alias("_seq"))
+        new = texts.join(F.broadcast(copies) if copies.count() <= FEW else copies, F.col("seq") == F.col("_seq"), "left_anti")
+        sets = dedup.signatures(dedup.shingled(new, "text", word=self.word), ["id", "seq", "scope", "shingle_hashes"])
+        bands = F.array(*(F.xxhash64(F.slice("minhash", i * dedup.ROWS + 1, dedup.ROWS), F.lit(i), "scope") for i in range(dedup.BANDS)))
+        # into the batch's own folder: by columns, each task would sort its sets first
+        with shuffles_dropped(self.spark):
+            sets.select("id", "seq", "scope", "shingle_hashes", bands.alias("bands")).write.mode("overwrite").parquet(f"{self.path}/sets/batch={batch}")
+        self._keep(told.where("is_first").select("id", "seq", "scope", "set1", "set2", "bucket"), "entries", batch)
+        entered = self._read("sets", self.set_schema, F.col("batch") == batch)
+        self._keep(entered.select("seq", F.explode("bands").alias("band")).withColumn("bucket", self._bucket("band")), "bands", batch)
+        pairs = self._pairs(batch)
+        best = self._best(pairs, batch, verify).withColumnRenamed("seq", "_seq")
         # a text whose set came before matches that set's first; the first of a new set has what was found for it
-        found = told.join(best.select(*(F.col(c).alias(f"_{c}") for c in same[1:]), "found"), [F.col(c) == F.col(f"_{c}") for c in same[1:]], "left")
-        said = found.select(F.col("id").alias("_id"), F.when(F.col("is_first"), F.col("found.match")).otherwise(F.col("rep")).alias("match"), F.when(F.col("is_first"), F.col("found.similarity")).otherwise(1.0).alias("similarity"))
+        found = told.join(best, F.col("seq") == F.col("_seq"), "left").select(F.col("id").alias("_id"), F.when(F.col("is_first"), F.col("found.match")).otherwise(F.col("rep")).alias("match"), F.when(F.col("is_first"), F.col("found.similarity")).otherwise(1.0).alias("similarity"))
+        said = written(found.where("match is not null"), "near-said")
+        discard(self.spark, told.written_path, pairs.written_path)
         return rows.select(F.col(key).alias("id")).join(said, F.col("id") == F.col("_id"), "left").select("id", "match", "similarity")
 
-    def _best(self, probes: DataFrame, entered: DataFrame, batch: int, verify: bool) -> DataFrame:
-        """scope, set1, set2 and found (match, similarity) of new texts."""
-        kept = self._read("bands", self.band_schema, F.col("batch") <= batch, probes).alias("k")
-        earlier = F.expr("p.bucket = k.bucket and p.scope = k.scope and p.band = k.band and k.seq < p.seq")
-        pairs = probes.alias("p").join(kept, earlier).select("p.scope", "p.set1", "p.set2", F.col("k.set1").alias("other1"), F.col("k.set2").alias("other2")).distinct()
+    def _pairs(self, batch: int) -> DataFrame:
+        """seq and other: a new text and an earlier one with which it shares a key."""
+        probes = self._read("bands", self.band_schema, F.col("batch") == batch)
+        kept = self._read("bands", self.band_schema, F.col("batch") <= batch, probes)
+        both = probes.alias("p").join(kept.alias("k"), F.expr("p.band = k.band and k.seq < p.seq"))
+        return written(both.select("p.seq", F.col("k.seq").alias("other")).distinct(), "near-pairs")
+
+    def _best(self, pairs: DataFrame, batch: int, verify: bool) -> DataFrame:
+        """seq and found (match, similarity) of new texts."""
+        mark = lambda c: F.pmod(F.xxhash64(c), F.lit(FEW))
         value, measure = ("shingle_hashes", dedup.jaccard) if verify else ("minhash", dedup.slots_agreeing)
-        pairs = written(pairs.withColumn("bucket", F.pmod(F.xxhash64("scope", "other1", "other2"), F.lit(self.buckets)).cast("int")), "near-pairs")
-        # sets that are in no pair go before those in one are met
-        met = lambda *c: pairs.select(*(F.col(x).alias(f"_m{i}") for i, x in enumerate(c))).distinct()
-        others = self._read("entries", self.entry_schema, F.col("batch") <= batch)
-        others = others.join(met("bucket", "scope", "other1", "other2"), F.expr("bucket = _m0 and scope = _m1 and set1 = _m2 and set2 = _m3"), "left_semi").select(F.col("bucket").alias("_b"), F.col("scope").alias("_s"), F.col("set1").alias("_1"), F.col("set2").alias("_2"), F.col("id").alias("match"), F.col("seq").alias("match_seq"), F.col(value).alias("theirs"))
-        one = entered.join(met("scope", "set1", "set2"), F.expr("scope = _m0 and set1 = _m1 and set2 = _m2"), "left_semi").select(F.col("scope").alias("_so"), F.col("set1").alias("_o1"), F.col("set2").alias("_o2"), F.col(value).alias("own"))
-        both = pairs.join(one, F.expr("scope = _so and set1 = _o1 and set2 = _o2")).join(others, F.expr("bucket = _b and scope = _s and other1 = _1 and other2 = _2"))
-        scored = both.select("scope", "set1", "set2", "match", "match_seq", dedup.once(measure(F.col("own"), F.col("theirs"))).alias("similarity")).where(F.col("similarity") >= self.threshold)
+
+        def met(column: str, batches: Column) -> DataFrame:
+            # sets that are in no pair go before those in one are met
+            marks = pairs.select(mark(column).alias("_mark")).distinct()
+            sets = self._read("sets", self.set_schema, batches).join(F.broadcast(marks), mark("seq") == F.col("_mark"), "left_semi").select("id", "seq", "scope", "shingle_hashes")
+            return sets if verify else dedup.signatures(sets, ["id", "seq", "scope"])
+
+        one = met("seq", F.col("batch") == batch).select(F.col("seq").alias("_seq"), F.col("scope").alias("_scope"), F.col(value).alias("own"))
+        others = met("other", F.col("batch") <= batch).select(F.col("id").alias("match"), F.col("seq").alias("match_seq"), "scope", F.col(value).alias("theirs"))
+        # keys are hashes of scopes too, but a scope is told by itself
+        both = pairs.join(one, F.col("seq") == F.col("_seq")).join(others, F.expr("other = match_seq and scope = _scope"))
+        scored = both.select("seq", "match", "match_seq", dedup.once(measure(F.col("own"), F.col("theirs"))).alias("similarity")).where(F.col("similarity") >= self.threshold)
         # the greatest similarity, then the earliest
         best = F.min_by(F.struct("match", "similarity"), F.struct(-F.col("similarity"), F.col("match_seq"), F.col("match")))
-        return scored.groupBy("scope", "set1", "set2").agg(best.alias("found"))
+        return scored.groupBy("seq").agg(best.alias("found"))
 
 
 def decide(rows: DataFrame, pairs: DataFrame, key: str) -> DataFrame:

@@ -2,13 +2,15 @@
 
 import os
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import dedup
+from tessera import registry
+from tessera.operators import dedup, near_index
 from tessera.operators.near_index import NearIndex, decide
-from tessera.sources import sinks
+from tessera.sources import scratch, sinks
 
 
 def files(path):
@@ -148,3 +150,48 @@ def test_decide(spark):
     for k in range(60):
         kept[k] = not any(b == k and kept[a] for a, b in pairs)
     assert got == kept and not all(kept.values())
+
+
+@pytest.fixture
+def shared(tmp_path, monkeypatch):
+    for module in (scratch, registry):
+        monkeypatch.setattr(module, "scratch", lambda _, label: str(tmp_path / f"{label}-{uuid.uuid4().hex}"))
+    return tmp_path
+
+
+def test_sets_are_written_once_and_not_shuffled(spark, shared):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(1500)) for _ in range(200)]
+    texts[150] = texts[3] + " more"
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    of_sets = sum(8 * (len(t.split()) - 2) for t in texts)
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before, index, said = shuffled(), NearIndex(spark, str(shared / "index"), "bigint", buckets=4), []
+        for n in range(2):
+            said += index.add(df.where(F.col("id").between(100 * n, 100 * n + 99)), n, "id", "id", "text").where("match is not null").collect()
+        moved = shuffled() - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [(r.id, r.match) for r in said] == [(150, 3)]
+    assert moved < of_sets / 2
+    assert of_sets / 2 < sum(os.path.getsize(f) for f in files(shared)) < 1.5 * of_sets
+
+
+def test_many_copies_and_shared_marks(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    texts = family(rng, 12) + ["one two three four"] * 9
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").cache()
+    got = []
+    for few in (near_index.FEW, 3):
+        monkeypatch.setattr(near_index, "FEW", few)
+        index = NearIndex(spark, str(tmp_path / f"index{few}"), "bigint", buckets=4)
+        got.append([sorted(map(str, index.add(df.where(F.col("id") % 2 == n), n, "id", "id", "text").collect())) for n in range(2)])
+    assert got[0] == got[1] and sum("match=None" not in r for part in got[0] for r in part) > 15
+
+
+def test_lookup_leaves_no_index(spark, shared):
+    out = registry.near_dup_lookup(spark, "/root/testdata/sf0.001")
+    assert not any(f.startswith(("near-index", "near-sets")) for f in os.listdir(shared))
+    assert out.count() == 200
