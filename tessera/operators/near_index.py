@@ -1,7 +1,7 @@
 """A kept index of texts in which near duplicates are looked up, scope by scope, as new texts come.
 
 Three Parquet tables in one folder: `entries` names one text of each shingle set, the first that came; `sets` has its
-set and the keys of its signature's bands; `bands` has a row for each key. `entries` and `bands` are laid out by buckets
+set, a bitmap of it, and the keys of its signature's bands; `bands` has a row for each key. `entries` and `bands` are laid out by buckets
 (of the set, and of the key), so that a batch reads the buckets that it touches, and all by batch, so that a batch that
 comes again replaces itself. Sets, which are larger than the texts, are written once, where they are made, and never
 shuffled but for those of candidates; a text is shingled twice for that: to be named, and, if it is a set's first, to be
@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.minhash import most_common, with_signatures
 from tessera.operators import dedup
 from tessera.sources.scratch import discard, exists, shuffles_dropped, written
 
@@ -35,7 +36,7 @@ class NearIndex:
     def __init__(self, spark: SparkSession, path: str, id_type: str, threshold: float = dedup.THRESHOLD, buckets: int = BUCKETS, word: str = r"(?U)\w+"):
         self.spark, self.path, self.threshold, self.buckets, self.word = spark, path.rstrip("/"), threshold, buckets, word
         self.entry_schema = f"id {id_type}, seq bigint, scope string, set1 bigint, set2 bigint, batch bigint, bucket int"
-        self.set_schema = f"id {id_type}, seq bigint, scope string, shingle_hashes array<bigint>, bands array<bigint>, batch bigint"
+        self.set_schema = f"id {id_type}, seq bigint, scope string, size int, bits array<bigint>, shingle_hashes array<bigint>, bands array<bigint>, batch bigint"
         self.band_schema = "seq bigint, band bigint, batch bigint, bucket int"
 
     def _bucket(self, *of: str) -> Column:
@@ -84,15 +85,15 @@ class NearIndex:
         told = self._told(texts, batch)
         copies = told.where("not is_first").select(F.col("seq").alias("_seq"))
         new = texts.join(F.broadcast(copies) if copies.count() <= FEW else copies, F.col("seq") == F.col("_seq"), "left_anti")
-        sets = dedup.signatures(dedup.shingled(new, "text", word=self.word), ["id", "seq", "scope", "shingle_hashes"])
+        sets = with_signatures(dedup.shingled(new, "text", word=self.word).select("id", "seq", "scope", "shingle_hashes"), "shingle_hashes", dedup.PERMUTATIONS, mapped=True)
         bands = F.array(*(F.xxhash64(F.slice("minhash", i * dedup.ROWS + 1, dedup.ROWS), F.lit(i), "scope") for i in range(dedup.BANDS)))
         # into the batch's own folder: by columns, each task would sort its sets first
         with shuffles_dropped(self.spark):
-            sets.select("id", "seq", "scope", "shingle_hashes", bands.alias("bands")).write.mode("overwrite").parquet(f"{self.path}/sets/batch={batch}")
+            sets.select("id", "seq", "scope", F.size("shingle_hashes").alias("size"), "bits", "shingle_hashes", bands.alias("bands")).write.mode("overwrite").parquet(f"{self.path}/sets/batch={batch}")
         self._keep(told.where("is_first").select("id", "seq", "scope", "set1", "set2", "bucket"), "entries", batch)
         entered = self._read("sets", self.set_schema, F.col("batch") == batch)
         self._keep(entered.select("seq", F.explode("bands").alias("band")).withColumn("bucket", self._bucket("band")), "bands", batch)
-        pairs = self._pairs(batch)
+        pairs = self._pairs(batch, verify)
         best = self._best(pairs, batch, verify).withColumnRenamed("seq", "_seq")
         # a text whose set came before matches that set's first; the first of a new set has what was found for it
         found = told.join(best, F.col("seq") == F.col("_seq"), "left").select(F.col("id").alias("_id"), F.when(F.col("is_first"), F.col("found.match")).otherwise(F.col("rep")).alias("match"), F.when(F.col("is_first"), F.col("found.similarity")).otherwise(1.0).alias("similarity"))
@@ -100,22 +101,34 @@ class NearIndex:
         discard(self.spark, told.written_path, pairs.written_path)
         return rows.select(F.col(key).alias("id")).join(said, F.col("id") == F.col("_id"), "left").select("id", "match", "similarity")
 
-    def _pairs(self, batch: int) -> DataFrame:
-        """seq and other: a new text and an earlier one with which it shares a key."""
+    def _met(self, pairs: DataFrame, column: str, batches: Column) -> DataFrame:
+        """Rows of `sets` that a pair may name in the column; those in no pair go before those in one are met."""
+        mark = lambda c: F.pmod(F.xxhash64(c), F.lit(FEW))
+        marks = pairs.select(mark(column).alias("_mark")).distinct()
+        return self._read("sets", self.set_schema, batches).join(F.broadcast(marks), mark("seq") == F.col("_mark"), "left_semi")
+
+    def _pairs(self, batch: int, verify: bool) -> DataFrame:
+        """seq and other: a new text and an earlier one with which it shares a key. Where sets are to be compared, pairs that cannot reach the threshold by the sets' bitmaps, a small part of them, go before."""
         probes = self._read("bands", self.band_schema, F.col("batch") == batch)
         kept = self._read("bands", self.band_schema, F.col("batch") <= batch, probes)
         both = probes.alias("p").join(kept.alias("k"), F.expr("p.band = k.band and k.seq < p.seq"))
-        return written(both.select("p.seq", F.col("k.seq").alias("other")).distinct(), "near-pairs")
+        pairs = written(both.select("p.seq", F.col("k.seq").alias("other")).distinct(), "near-pairs")
+        if not verify:
+            return pairs
+        one, two = (self._met(pairs, c, batches).select(F.col("seq").alias(f"_{x}"), F.col("size").alias(f"{x}_size"), F.col("bits").alias(f"{x}_bits")) for x, c, batches in (("a", "seq", F.col("batch") == batch), ("b", "other", F.col("batch") <= batch)))
+        most = most_common(F.col("a_bits"), F.col("b_bits"), F.col("a_size"), F.col("b_size"))
+        # common / (sizes - common) reaches the threshold; a little less, for rounding
+        reach = most * (1 + self.threshold) >= (F.col("a_size") + F.col("b_size")) * self.threshold - 1e-6
+        near = written(pairs.join(one, F.col("seq") == F.col("_a")).join(two, F.col("other") == F.col("_b")).where(reach).select("seq", "other"), "near-reach")
+        discard(self.spark, pairs.written_path)
+        return near
 
     def _best(self, pairs: DataFrame, batch: int, verify: bool) -> DataFrame:
         """seq and found (match, similarity) of new texts."""
-        mark = lambda c: F.pmod(F.xxhash64(c), F.lit(FEW))
         value, measure = ("shingle_hashes", dedup.jaccard) if verify else ("minhash", dedup.slots_agreeing)
 
         def met(column: str, batches: Column) -> DataFrame:
-            # sets that are in no pair go before those in one are met
-            marks = pairs.select(mark(column).alias("_mark")).distinct()
-            sets = self._read("sets", self.set_schema, batches).join(F.broadcast(marks), mark("seq") == F.col("_mark"), "left_semi").select("id", "seq", "scope", "shingle_hashes")
+            sets = self._met(pairs, column, batches).select("id", "seq", "scope", "shingle_hashes")
             return sets if verify else dedup.signatures(sets, ["id", "seq", "scope"])
 
         one = met("seq", F.col("batch") == batch).select(F.col("seq").alias("_seq"), F.col("scope").alias("_scope"), F.col(value).alias("own"))
